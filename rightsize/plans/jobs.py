@@ -72,3 +72,39 @@ def backtest_by_team(spark, sf_dir):
     stages = _stages(spark, sf_dir)
     errors = K.backtest(_calibration(spark, sf_dir, stages), K.measured_profile(stages))
     return K.backtest_by_team(errors, fixture(spark, sf_dir, "workloads"))
+
+
+# ---- wave planner (W) and its validation (V1, V2) ---------------------------
+
+from rightsize.operators import waves as W  # noqa: E402
+
+WAVE_KEYS = ["workload_id", "team", "app_id", "data_size_gb", "sla_seconds", "k_comp", "k_skew",
+             "skew_memory_mode", "t_base_sec", "e_mem_rate"]
+
+
+@job("wave_plan")
+def wave_plan(spark, sf_dir):
+    """Plans with coefficients from ``calibrate`` where the app has them."""
+    wl = W.with_calibration(fixture(spark, sf_dir, "workloads"), _calibration(spark, sf_dir))
+    return W.wave_plan(wl).select(*WAVE_KEYS, "coefficient_source", *W.WAVE_OUTPUTS)
+
+
+@job("wave_plan_typed")
+def wave_plan_typed(spark, sf_dir):
+    """Plans with the typed coefficients and the planner's defaults."""
+    return W.wave_plan(fixture(spark, sf_dir, "workloads")).select(*WAVE_KEYS, *W.WAVE_OUTPUTS)
+
+
+@job("wave_rejects")
+def wave_rejects(spark, sf_dir):
+    return W.wave_rejects(fixture(spark, sf_dir, "workloads"))
+
+
+@job("wave_fleet")
+def wave_fleet(spark, sf_dir):
+    return W.wave_fleet(W.wave_validate(fixture(spark, sf_dir, "workloads")))
+
+
+@job("wave_sensitivity")
+def wave_sensitivity(spark, sf_dir):
+    return W.wave_sensitivity(fixture(spark, sf_dir, "workloads"))

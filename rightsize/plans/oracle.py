@@ -113,3 +113,99 @@ SELECT t.team, count(*) AS apps, max(e.rel_error) AS max_rel_error,
   round(avg(e.rel_error), 9) AS mean_rel_error
 FROM (SELECT DISTINCT team, app_id FROM workloads) t JOIN errors e ON t.app_id = e.app_id
 GROUP BY t.team"""
+
+
+# ---- wave planner (W) ------------------------------------------------------
+
+def _wave_steps(src: str) -> str:
+    """Formula steps over ``src`` (needs data_size_gb, sla_seconds, k_comp,
+    k_skew, skew_memory_mode, t_base_sec, e_mem_rate); adds reject_reason."""
+    return f"""
+SELECT *,
+  CASE WHEN data_size_gb <= 0 THEN 'data_size_not_positive'
+       WHEN sla_seconds <= 0 THEN 'sla_not_positive'
+       WHEN k_comp <= 0 THEN 'k_comp_not_positive'
+       WHEN k_skew <= 0 THEN 'k_skew_not_positive'
+       WHEN t_base_sec <= 0 OR e_mem_rate <= 0 THEN 'system_param_not_positive'
+       WHEN coalesce(waves, 0) < 1 THEN 'sla_too_tight' END AS reject_reason,
+  container_memory_mb * executors AS total_memory_mb_raw,
+  round_even(container_memory_mb / 1024e0, 2) AS container_memory_gb,
+  round_even(container_memory_mb * executors / 1024e0, 2) AS total_cluster_memory_gb,
+  round_even(round_even(container_memory_mb / 1024e0, 2) * executors, 2) AS total_cluster_memory_gb_legacy,
+  'spark-submit --num-executors ' || CAST(executors AS VARCHAR) || ' --executor-cores ' || CAST(cores_per_executor AS VARCHAR)
+    || ' --executor-memory ' || CAST(executor_heap_mb AS VARCHAR) || 'm --conf spark.executor.memoryOverhead='
+    || CAST(executor_overhead_mb AS VARCHAR) || 'm' AS spark_submit
+FROM (
+  SELECT *, executor_heap_mb + executor_overhead_mb AS container_memory_mb FROM (
+    SELECT *, CAST(ceil(greatest(384e0, executor_heap_mb * 0.1e0)) AS BIGINT) AS executor_overhead_mb FROM (
+      SELECT *, CAST(ceil(m_unified_mb / 0.6e0 + 300e0) AS BIGINT) AS executor_heap_mb FROM (
+        SELECT *, m_task_mb * CAST(cores_per_executor AS DOUBLE) AS m_unified_mb FROM (
+          SELECT *, 128e0 * e_mem_rate * k_comp * memory_skew_factor AS m_task_mb,
+            executors * cores_per_executor AS total_cores FROM (
+            SELECT *, CAST(ceil(total_cores_needed / CAST(cores_per_executor AS DOUBLE)) AS BIGINT) AS executors FROM (
+              SELECT *, CAST(ceil(tasks / CAST(CASE WHEN waves >= 1 THEN waves END AS DOUBLE)) AS BIGINT) AS total_cores_needed FROM (
+                SELECT *, CAST(floor(sla_seconds / nullif(t_eff_sec, 0)) AS BIGINT) AS waves FROM (
+                  SELECT *, CAST(ceil(data_size_gb * 1024e0 / 128e0) AS BIGINT) AS tasks,
+                    t_base_sec * k_comp * k_skew AS t_eff_sec,
+                    CAST(5 AS BIGINT) AS cores_per_executor,
+                    CASE WHEN skew_memory_mode = 'linear' THEN k_skew
+                         WHEN skew_memory_mode = 'sqrt' THEN sqrt(k_skew) ELSE 1e0 END AS memory_skew_factor
+                  FROM {src})))))))))"""
+
+
+_WAVE_OUT = """tasks, t_eff_sec, waves, total_cores_needed, executors, total_cores, cores_per_executor,
+  memory_skew_factor, m_task_mb, m_unified_mb, executor_heap_mb, executor_overhead_mb, container_memory_mb,
+  container_memory_gb, total_cluster_memory_gb, total_cluster_memory_gb_legacy, spark_submit"""
+_WAVE_KEYS = "workload_id, team, app_id, data_size_gb, sla_seconds, k_comp, k_skew, skew_memory_mode, t_base_sec, e_mem_rate"
+
+_TYPED_WL = "typed_wl AS (SELECT *, 25e0 AS t_base_sec, 3e0 AS e_mem_rate FROM workloads)"
+
+_CAL_WL = """cal_wl AS (
+  SELECT w.workload_id, w.team, w.app_id, w.data_size_gb, w.sla_seconds, w.skew_memory_mode,
+    coalesce(c.k_comp, w.k_comp) AS k_comp, coalesce(c.k_skew, w.k_skew) AS k_skew,
+    coalesce(c.t_base_sec, 25e0) AS t_base_sec, coalesce(c.e_mem_rate, 3e0) AS e_mem_rate,
+    CASE WHEN c.t_base_sec IS NOT NULL THEN 'calibrated' ELSE 'typed' END AS coefficient_source
+  FROM workloads w LEFT JOIN calibration c ON w.app_id = c.app_id
+)"""
+
+SQL["wave_plan"] = _with("task_metrics", "workloads", extra=_CALIBRATION + ",\n" + _CAL_WL) + f"""
+SELECT {_WAVE_KEYS}, coefficient_source, {_WAVE_OUT}
+FROM ({_wave_steps('cal_wl')}) WHERE reject_reason IS NULL"""
+
+SQL["wave_plan_typed"] = _with("workloads", extra=_TYPED_WL) + f"""
+SELECT {_WAVE_KEYS}, {_WAVE_OUT}
+FROM ({_wave_steps('typed_wl')}) WHERE reject_reason IS NULL"""
+
+SQL["wave_rejects"] = _with("workloads", extra=_TYPED_WL) + f"""
+SELECT workload_id, reject_reason,
+  list_filter([CASE WHEN data_size_gb <= 0 THEN 'data_size_not_positive' END,
+               CASE WHEN sla_seconds <= 0 THEN 'sla_not_positive' END,
+               CASE WHEN k_comp <= 0 THEN 'k_comp_not_positive' END,
+               CASE WHEN k_skew <= 0 THEN 'k_skew_not_positive' END,
+               CASE WHEN t_base_sec <= 0 OR e_mem_rate <= 0 THEN 'system_param_not_positive' END,
+               CASE WHEN coalesce(waves, 0) < 1 THEN 'sla_too_tight' END], lambda x: x IS NOT NULL) AS reject_reasons
+FROM ({_wave_steps('typed_wl')}) WHERE reject_reason IS NOT NULL"""
+
+SQL["wave_fleet"] = _with("workloads", extra=_TYPED_WL) + f"""
+SELECT team, sla_seconds, count(*) AS workloads,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS plans,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS rejected,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN executors END) AS BIGINT) AS executors,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN total_cores END) AS BIGINT) AS total_cores,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN total_memory_mb_raw END) AS BIGINT) AS total_memory_mb,
+  max(CASE WHEN reject_reason IS NULL THEN executors END) AS max_executors,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN 0 ELSE 1 END) AS DOUBLE) / count(*) AS rejected_share
+FROM ({_wave_steps('typed_wl')})
+GROUP BY ROLLUP (team, sla_seconds)"""
+
+SQL["wave_sensitivity"] = _with("workloads", extra="""grid AS (
+  SELECT workload_id, data_size_gb, sla_seconds, k_comp, k_skew, m AS skew_memory_mode,
+    25e0 AS t_base_sec, 3e0 AS e_mem_rate
+  FROM workloads, (SELECT unnest(['off', 'sqrt', 'linear']) AS m))""") + f"""
+SELECT skew_memory_mode,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS plans,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN executors END) AS BIGINT) AS executors,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN total_memory_mb_raw END) AS BIGINT) AS total_memory_mb,
+  max(CASE WHEN reject_reason IS NULL THEN container_memory_mb END) AS max_container_memory_mb
+FROM ({_wave_steps('grid')})
+GROUP BY skew_memory_mode"""

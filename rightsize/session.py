@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     parts = shuffle_partitions or (8 if cpus == "*" else int(cpus))
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app_name)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.host", "127.0.0.1")
          .config("spark.driver.bindAddress", "127.0.0.1")
          .config("spark.driver.memory", "8g")
