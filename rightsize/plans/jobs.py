@@ -108,3 +108,66 @@ def wave_fleet(spark, sf_dir):
 @job("wave_sensitivity")
 def wave_sensitivity(spark, sf_dir):
     return W.wave_sensitivity(fixture(spark, sf_dir, "workloads"))
+
+
+# ---- cost model (C) ---------------------------------------------------------
+
+from rightsize.operators import cost as C  # noqa: E402
+
+
+def _estimates(spark, sf_dir):
+    return C.cost_estimate(spark, fixture(spark, sf_dir, "cost_workloads"))
+
+
+def _candidates(spark, sf_dir):
+    return C.candidates(spark, fixture(spark, sf_dir, "cost_workloads"))
+
+
+@job("cost_estimate")
+def cost_estimate(spark, sf_dir):
+    return _estimates(spark, sf_dir)
+
+
+@job("runtime_curve")
+def runtime_curve(spark, sf_dir):
+    return C.runtime_curve(_candidates(spark, sf_dir))
+
+
+@job("sla_search")
+def sla_search(spark, sf_dir):
+    return C.sla_search(_candidates(spark, sf_dir))
+
+
+@job("curve_gain")
+def curve_gain(spark, sf_dir):
+    return C.curve_gain(_candidates(spark, sf_dir))
+
+
+@job("cheapest")
+def cheapest(spark, sf_dir):
+    return C.cheapest(_candidates(spark, sf_dir))
+
+
+@job("time_breakdown")
+def time_breakdown(spark, sf_dir):
+    return C.time_breakdown(_estimates(spark, sf_dir))
+
+
+@job("memory_breakdown")
+def memory_breakdown(spark, sf_dir):
+    return C.memory_breakdown(_estimates(spark, sf_dir))
+
+
+@job("cost_risks")
+def cost_risks(spark, sf_dir):
+    return C.cost_risks(_estimates(spark, sf_dir))
+
+
+@job("recommendations")
+def recommendations(spark, sf_dir):
+    return C.recommendations(_estimates(spark, sf_dir))
+
+
+@job("bottleneck_mix")
+def bottleneck_mix(spark, sf_dir):
+    return C.bottleneck_mix(_estimates(spark, sf_dir))

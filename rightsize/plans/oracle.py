@@ -209,3 +209,171 @@ SELECT skew_memory_mode,
   max(CASE WHEN reject_reason IS NULL THEN container_memory_mb END) AS max_container_memory_mb
 FROM ({_wave_steps('grid')})
 GROUP BY skew_memory_mode"""
+
+
+# ---- cost model (C) --------------------------------------------------------
+
+_COST_SRC = """cw AS (
+  SELECT w.*, 3e0 AS compression_expand_factor, 1.25e0 AS format_overhead_factor,
+    1e0 AS transform_amplification_factor, 1e0 AS udf_complexity_factor, 18 AS stages_count,
+    1200 AS input_partitions, 2000 AS shuffle_partitions, 4 AS cores_per_executor,
+    16e0 AS executor_memory_gb, 12e0 AS executor_memory_overhead_pct, 0.75e0 AS cluster_cpu_utilization,
+    90e0 AS cpu_tp, 320e0 AS disk_tp, 220e0 AS net_tp, 0.6e0 AS mem_frac, 0.5e0 AS storage_frac,
+    0.2e0 AS ws_frac, 0.2e0 AS cache_frac, 5e0 AS broadcast_tables_gb, 0.25e0 AS concurrent_frac,
+    8e0 AS stage_overhead, 0.65e0 AS spill_penalty, 0.9e0 AS gc_sens, 0.03e0 AS retry_frac,
+    0.35e0 AS retry_cost, 0.05e0 AS spec_gain,
+    CASE join_strategy WHEN 'Broadcast hash join' THEN 0.35e0 WHEN 'Sort-merge join' THEN 1.0e0
+      WHEN 'Shuffle hash join' THEN 0.85e0 WHEN 'Mostly aggregations (few joins)' THEN 0.6e0 ELSE 1.0e0 END AS join_multiplier
+  FROM cost_workloads w
+)"""
+
+
+def _cost_exprs(ex: str) -> dict[str, str]:
+    """The cost formulas as SQL text for executor count ``ex``."""
+    e = {}
+    e["input_logical_gb"] = "(input_data_gb * compression_expand_factor * format_overhead_factor)"
+    e["post_transform_gb"] = f"({e['input_logical_gb']} * transform_amplification_factor)"
+    e["shuffled_gb"] = f"({e['post_transform_gb']} * shuffle_ratio * skew_factor * join_multiplier)"
+    e["total_processed_gb"] = f"({e['post_transform_gb']} + {e['shuffled_gb']})"
+    e["total_cores"] = f"(CAST({ex} AS BIGINT) * CAST(cores_per_executor AS BIGINT))"
+    e["effective_cores"] = f"({e['total_cores']} * greatest(0.2e0, least(1.0e0, cluster_cpu_utilization)))"
+    tp = "(cpu_tp / greatest(0.2e0, least(10.0e0, udf_complexity_factor)))"
+    e["cpu_seconds"] = f"(({e['total_processed_gb']} * 1024e0) / greatest(1e0, {tp} * greatest({e['effective_cores']}, 1e0)))"
+    ex1 = f"greatest(CAST({ex} AS BIGINT), 1)"
+    e["disk_seconds"] = f"(({e['input_logical_gb']} * 1024e0) / greatest(1e0, disk_tp * {ex1}))"
+    e["network_seconds"] = f"(({e['shuffled_gb']} * 1024e0) / greatest(1e0, net_tp * {ex1}))"
+    tasks = f"greatest(CAST(input_partitions AS BIGINT), CAST(shuffle_partitions AS BIGINT), {e['total_cores']})"
+    e["waves"] = f"(CAST({tasks} AS DOUBLE) / greatest({e['total_cores']}, 1))"
+    e["wave_penalty"] = f"(1e0 + greatest(0e0, {e['waves']} - 1e0) * 0.025e0)"
+    base = f"greatest({e['cpu_seconds']}, {e['disk_seconds']}, {e['network_seconds']})"
+    e["scheduling_overhead_seconds"] = "(stages_count * stage_overhead)"
+    heap = f"(CAST({ex} AS BIGINT) * executor_memory_gb)"
+    e["execution_memory_gb"] = f"({heap} * mem_frac * (1e0 - storage_frac))"
+    e["storage_memory_gb"] = f"({heap} * mem_frac * storage_frac)"
+    e["working_set_gb"] = f"({e['post_transform_gb']} * ws_frac)"
+    e["cache_need_gb"] = f"({e['post_transform_gb']} * cache_frac)"
+    e["shuffle_in_flight_gb"] = f"({e['shuffled_gb']} * concurrent_frac)"
+    e["peak_execution_need_gb"] = f"({e['working_set_gb']} + {e['shuffle_in_flight_gb']} + broadcast_tables_gb)"
+    e["spill_ratio"] = f"(greatest(0e0, {e['peak_execution_need_gb']} - {e['execution_memory_gb']}) / greatest({e['execution_memory_gb']}, 0.001e0))"
+    e["spill_multiplier"] = f"(1e0 + {e['spill_ratio']} * spill_penalty)"
+    e["heap_pressure"] = f"(({e['peak_execution_need_gb']} + {e['cache_need_gb']}) / greatest({heap}, 0.001e0))"
+    e["gc_multiplier"] = f"(1e0 + greatest(0e0, {e['heap_pressure']} - 0.65e0) * gc_sens)"
+    e["retry_multiplier"] = "(1e0 + retry_frac * retry_cost)"
+    spec = "(1e0 - greatest(0e0, least(0.35e0, spec_gain)))"
+    runtime_s = (f"(({base} * {e['wave_penalty']} + {e['scheduling_overhead_seconds']}) * {e['spill_multiplier']}"
+                 f" * {e['gc_multiplier']} * {e['retry_multiplier']} * {spec})")
+    e["estimated_runtime_min"] = f"({runtime_s} / 60e0)"
+    e["cpu_core_hours"] = f"(({runtime_s} / 3600e0) * {e['total_cores']})"
+    e["total_memory_gb_with_overhead"] = f"(CAST({ex} AS BIGINT) * (executor_memory_gb + executor_memory_gb * executor_memory_overhead_pct / 100e0))"
+    req = f"(greatest({e['peak_execution_need_gb']}, 0.001e0) / greatest(mem_frac * (1e0 - storage_frac), 0.001e0))"
+    e["recommended_executor_memory_gb"] = f"({req} / {ex1})"
+    e["storage_pressure_ratio"] = f"({e['cache_need_gb']} / greatest({e['storage_memory_gb']}, 0.001e0))"
+    return e
+
+
+def _estimate_sql() -> str:
+    e = _cost_exprs("executors")
+    cols = ",\n  ".join(f"{v} AS {k}" for k, v in e.items())
+    return f"""estimates AS (
+  SELECT workload_id, team, join_strategy, executors, shuffle_partitions, broadcast_tables_gb, target_runtime_min,
+  {cols},
+  CAST(greatest(64, ceil({e['total_cores']} * 2.5e0)) AS BIGINT) AS recommended_shuffle_partitions
+  FROM cw
+)"""
+
+
+def _cands_sql() -> str:
+    e = _cost_exprs("n")
+    p = _cost_exprs("(n - 1)")
+    return f"""ranges AS (
+  SELECT *, greatest(1, least(min_executors, max_executors)) AS curve_from,
+    greatest(greatest(1, least(min_executors, max_executors)), max_executors) AS curve_to,
+    greatest(1, min_executors) AS search_from,
+    greatest(greatest(1, min_executors), max_executors) AS search_to
+  FROM cw
+),
+cands AS (
+  SELECT workload_id, team, target_runtime_min, n, curve_from, curve_to,
+    n BETWEEN curve_from AND curve_to AS in_curve,
+    n BETWEEN search_from AND search_to AS in_search,
+    {e['estimated_runtime_min']} AS runtime_min,
+    {e['cpu_core_hours']} AS cpu_core_hours,
+    {p['estimated_runtime_min']} AS prev_runtime_min
+  FROM ranges, LATERAL (SELECT unnest(range(least(curve_from, search_from), greatest(curve_to, search_to) + 1)) AS n)
+)"""
+
+
+_EST_COLS = ["workload_id", "team", "join_strategy", "executors", "shuffle_partitions", "broadcast_tables_gb",
+             "target_runtime_min", *_cost_exprs("executors").keys(), "recommended_shuffle_partitions"]
+
+SQL["cost_estimate"] = _with("cost_workloads", extra=_COST_SRC + ",\n" + _estimate_sql()) + \
+    "SELECT " + ", ".join(_EST_COLS) + " FROM estimates"
+
+SQL["runtime_curve"] = _with("cost_workloads", extra=_COST_SRC + ",\n" + _cands_sql()) + """
+SELECT workload_id, CAST(n AS BIGINT) AS executors, runtime_min, cpu_core_hours FROM cands WHERE in_curve"""
+
+SQL["sla_search"] = _with("cost_workloads", extra=_COST_SRC + ",\n" + _cands_sql()) + """
+SELECT workload_id, target_runtime_min, best_executors, runtime_at_best_min,
+  CASE WHEN target_runtime_min <= 0 THEN 'disabled' WHEN best_executors IS NOT NULL THEN 'met'
+    ELSE 'unreachable' END AS status
+FROM (
+  SELECT workload_id, target_runtime_min,
+    CAST(min(CASE WHEN in_search AND target_runtime_min > 0 AND runtime_min <= target_runtime_min THEN n END) AS BIGINT) AS best_executors,
+    arg_min(CASE WHEN in_search AND target_runtime_min > 0 AND runtime_min <= target_runtime_min THEN runtime_min END,
+            CASE WHEN in_search AND target_runtime_min > 0 AND runtime_min <= target_runtime_min THEN n END) AS runtime_at_best_min
+  FROM cands GROUP BY workload_id, target_runtime_min)"""
+
+SQL["curve_gain"] = _with("cost_workloads", extra=_COST_SRC + ",\n" + _cands_sql()) + """
+SELECT w.workload_id, k.knee_executors, k.knee_runtime_min, k.knee_gain
+FROM (SELECT DISTINCT workload_id FROM cands) w LEFT JOIN (
+  SELECT workload_id, CAST(n AS BIGINT) AS knee_executors, runtime_min AS knee_runtime_min, gain AS knee_gain FROM (
+    SELECT *, row_number() OVER (PARTITION BY workload_id ORDER BY n) AS rn FROM (
+      SELECT workload_id, n, runtime_min, (prev_runtime_min - runtime_min) / nullif(prev_runtime_min, 0) AS gain,
+        in_curve, curve_from FROM cands)
+    WHERE in_curve AND n > curve_from AND gain < 0.01e0)
+  WHERE rn = 1) k ON w.workload_id = k.workload_id"""
+
+SQL["cheapest"] = _with("cost_workloads", extra=_COST_SRC + ",\n" + _cands_sql()) + """
+SELECT workload_id, CAST(n AS BIGINT) AS cheapest_executors, cpu_core_hours AS cheapest_core_hours,
+  runtime_min AS cheapest_runtime_min
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY workload_id ORDER BY cpu_core_hours, n) AS rn
+  FROM cands WHERE in_search AND target_runtime_min > 0 AND runtime_min <= target_runtime_min)
+WHERE rn = 1"""
+
+_EST = _with("cost_workloads", extra=_COST_SRC + ",\n" + _estimate_sql())
+
+SQL["time_breakdown"] = _EST + """
+SELECT workload_id, 'cpu' AS component, cpu_seconds AS seconds FROM estimates
+UNION ALL SELECT workload_id, 'disk_io', disk_seconds FROM estimates
+UNION ALL SELECT workload_id, 'network_shuffle', network_seconds FROM estimates
+UNION ALL SELECT workload_id, 'scheduler_overhead', scheduling_overhead_seconds FROM estimates"""
+
+SQL["memory_breakdown"] = _EST + """
+SELECT workload_id, 'execution_available' AS component, execution_memory_gb AS gb FROM estimates
+UNION ALL SELECT workload_id, 'storage_available', storage_memory_gb FROM estimates
+UNION ALL SELECT workload_id, 'working_set', working_set_gb FROM estimates
+UNION ALL SELECT workload_id, 'shuffle_in_flight', shuffle_in_flight_gb FROM estimates
+UNION ALL SELECT workload_id, 'cache_need', cache_need_gb FROM estimates
+UNION ALL SELECT workload_id, 'broadcast', broadcast_tables_gb FROM estimates"""
+
+SQL["cost_risks"] = _EST + """
+SELECT workload_id, spill_ratio, heap_pressure, 'high_spill' AS risk FROM estimates WHERE spill_ratio > 0.25e0
+UNION ALL
+SELECT workload_id, spill_ratio, heap_pressure, 'high_heap_pressure' FROM estimates WHERE heap_pressure > 0.85e0"""
+
+SQL["recommendations"] = _EST + """
+SELECT workload_id, 'recommended_executor_memory_gb' AS parameter, recommended_executor_memory_gb AS value FROM estimates
+UNION ALL SELECT workload_id, 'recommended_shuffle_partitions', CAST(recommended_shuffle_partitions AS DOUBLE) FROM estimates
+UNION ALL SELECT workload_id, 'current_shuffle_partitions', CAST(shuffle_partitions AS DOUBLE) FROM estimates
+UNION ALL SELECT workload_id, 'storage_pressure_pct', storage_pressure_ratio * 100e0 FROM estimates
+UNION ALL SELECT workload_id, 'wave_factor', waves FROM estimates"""
+
+SQL["bottleneck_mix"] = _EST + """
+SELECT team, bottleneck, count(*) AS workloads, round(sum(cpu_core_hours), 4) AS cpu_core_hours
+FROM (
+  SELECT team, cpu_core_hours,
+    CASE WHEN cpu_seconds >= disk_seconds AND cpu_seconds >= network_seconds THEN 'cpu'
+      WHEN disk_seconds >= network_seconds THEN 'disk' ELSE 'network' END AS bottleneck
+  FROM estimates)
+GROUP BY team, bottleneck"""
