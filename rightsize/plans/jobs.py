@@ -171,3 +171,36 @@ def recommendations(spark, sf_dir):
 @job("bottleneck_mix")
 def bottleneck_mix(spark, sf_dir):
     return C.bottleneck_mix(_estimates(spark, sf_dir))
+
+
+# ---- profile planner (P) and enum checks (V4) ------------------------------
+
+from rightsize.operators import profiles as P  # noqa: E402
+
+PROFILE_KEYS = ["workload_id", "team", "profile", "data_format", "complexity", "shuffle_intensity",
+                "sla_minutes", "use_cache", "skew_risk", "safety_buffer_pct", "max_executors_cap",
+                "data_volume_gb"]
+
+
+def _profile_plans(spark, sf_dir):
+    return P.profile_plan(spark, fixture(spark, sf_dir, "profile_workloads"))
+
+
+@job("profile_plan")
+def profile_plan(spark, sf_dir):
+    return _profile_plans(spark, sf_dir).select(*PROFILE_KEYS, *P.PLAN_OUTPUTS)
+
+
+@job("enum_rejects")
+def enum_rejects(spark, sf_dir):
+    return P.enum_rejects(spark, fixture(spark, sf_dir, "profile_workloads"))
+
+
+@job("profile_compare")
+def profile_compare(spark, sf_dir):
+    return P.profile_compare(spark, fixture(spark, sf_dir, "profile_workloads"))
+
+
+@job("profile_fleet")
+def profile_fleet(spark, sf_dir):
+    return P.profile_fleet(_profile_plans(spark, sf_dir))

@@ -377,3 +377,126 @@ FROM (
       WHEN disk_seconds >= network_seconds THEN 'disk' ELSE 'network' END AS bottleneck
   FROM estimates)
 GROUP BY team, bottleneck"""
+
+
+# ---- profile planner (P) ---------------------------------------------------
+
+_PROFILE_DIMS = """pdims AS (
+  SELECT * FROM (VALUES ('Conservative', 'Heavy', true, 25, 180), ('Balanced', 'Standard', false, 10, 250),
+    ('Aggressive', 'Standard', false, 5, 400)) t(p_name, p_shuffle, p_skew, p_safety, p_cap)
+),
+fdims AS (SELECT * FROM (VALUES ('Parquet', 1.20e0), ('Iceberg', 1.15e0), ('ORC', 1.25e0), ('CSV', 2.80e0)) t(f_name, format_factor)),
+cdims AS (SELECT * FROM (VALUES ('Low', 384, 75.0e0, 24), ('Medium', 768, 45.0e0, 16), ('High', 1536, 24.0e0, 10))
+  t(c_name, task_memory_mb, throughput_mbps, partitions_per_core)),
+sdims AS (SELECT * FROM (VALUES ('Standard', 1.00e0), ('Heavy', 1.25e0), ('Extreme', 1.45e0)) t(s_name, shuffle_factor))"""
+
+
+def _profile_resolved(src: str) -> str:
+    return f"""
+SELECT r.*, f.format_factor, c.task_memory_mb, c.throughput_mbps, c.partitions_per_core, s.shuffle_factor,
+  CASE WHEN NOT profile_known THEN 'unknown_profile' WHEN f.format_factor IS NULL THEN 'unknown_data_format'
+    WHEN c.task_memory_mb IS NULL THEN 'unknown_complexity' WHEN s.shuffle_factor IS NULL THEN 'unknown_shuffle_intensity'
+    WHEN sla_minutes <= 0 THEN 'sla_not_positive' END AS reject_reason
+FROM (
+  SELECT w.workload_id, w.team, w.profile, w.data_format, w.complexity, w.sla_minutes, w.use_cache,
+    w.data_volume, w.volume_unit, w.manual_override, p.p_cap IS NOT NULL AS profile_known,
+    CASE WHEN coalesce(w.manual_override, false) THEN w.shuffle_intensity ELSE p.p_shuffle END AS shuffle_intensity,
+    CASE WHEN coalesce(w.manual_override, false) THEN w.skew_risk ELSE p.p_skew END AS skew_risk,
+    CAST(CASE WHEN coalesce(w.manual_override, false) THEN w.safety_buffer_pct ELSE p.p_safety END AS INTEGER) AS safety_buffer_pct,
+    CAST(CASE WHEN coalesce(w.manual_override, false) THEN w.max_executors_cap ELSE p.p_cap END AS INTEGER) AS max_executors_cap,
+    CAST(CASE WHEN w.volume_unit = 'TB' THEN w.data_volume * 1024e0 ELSE w.data_volume END AS DOUBLE) AS data_volume_gb
+  FROM {src} w LEFT JOIN pdims p ON w.profile = p.p_name) r
+LEFT JOIN fdims f ON r.data_format = f.f_name
+LEFT JOIN cdims c ON r.complexity = c.c_name
+LEFT JOIN sdims s ON r.shuffle_intensity = s.s_name"""
+
+
+def _profile_plan_sql(src: str) -> str:
+    return f"""
+SELECT *, executors * (executor_memory_mb + executor_overhead_mb) + driver_memory_mb AS total_cluster_ram_mb,
+  greatest(total_partitions, total_cluster_cores * 2) AS shuffle_partitions,
+  '--num-executors ' || CAST(executors AS VARCHAR) || ' --executor-cores ' || CAST(executor_cores AS VARCHAR)
+   || ' --executor-memory ' || CAST(greatest(1, CAST(ceil(executor_memory_mb / 1024) AS BIGINT)) AS VARCHAR)
+   || 'g --driver-cores ' || CAST(driver_cores AS VARCHAR)
+   || ' --driver-memory ' || CAST(greatest(1, CAST(ceil(driver_memory_mb / 1024) AS BIGINT)) AS VARCHAR)
+   || 'g --conf spark.executor.memoryOverhead=' || CAST(executor_overhead_mb AS VARCHAR)
+   || ' --conf spark.serializer=org.apache.spark.serializer.KryoSerializer --conf spark.sql.adaptive.enabled=true'
+   || ' --conf spark.sql.adaptive.coalescePartitions.enabled=true --conf spark.sql.adaptive.advisoryPartitionSizeInBytes='
+   || CAST(advisory_partition_bytes AS VARCHAR)
+   || ' --conf spark.sql.shuffle.partitions=' || CAST(greatest(total_partitions, total_cluster_cores * 2) AS VARCHAR)
+   || ' --conf spark.default.parallelism=' || CAST(greatest(total_partitions, total_cluster_cores * 2) AS VARCHAR) AS spark_submit
+FROM (
+  SELECT *, executors * executor_cores AS total_cluster_cores,
+    greatest(CAST(384 AS BIGINT), CAST(ceil(executor_memory_mb * 0.10e0) AS BIGINT)) AS executor_overhead_mb
+  FROM (
+    SELECT *, least(raw_executors, CAST(max_executors_cap AS BIGINT)) AS executors,
+      raw_executors > least(raw_executors, CAST(max_executors_cap AS BIGINT)) AS cap_hit,
+      CAST(ceil(greatest(CAST(4096 AS BIGINT), CAST(ceil((executor_cores * task_memory_mb)
+        * ((CASE WHEN use_cache THEN 1.30e0 ELSE 1.0e0 END) * shuffle_factor * (CASE WHEN skew_risk THEN 1.15e0 ELSE 1.0e0 END))
+        + CASE WHEN complexity = 'High' THEN 1536 ELSE 1024 END) AS BIGINT)) / 512e0) AS BIGINT) * 512 AS executor_memory_mb,
+      CASE WHEN complexity = 'High' THEN 8192 + CASE WHEN skew_risk THEN 2048 ELSE 0 END
+        WHEN complexity = 'Medium' THEN CASE WHEN use_cache THEN 6144 ELSE 4096 END ELSE 3072 END AS driver_memory_mb,
+      CASE WHEN complexity = 'High' THEN 2 ELSE 1 END AS driver_cores
+    FROM (
+      SELECT *, greatest(CAST(1 AS BIGINT), CAST(ceil(required_parallel_tasks / CAST(executor_cores AS DOUBLE)) AS BIGINT)) AS raw_executors
+      FROM (
+        SELECT *, greatest(
+            greatest(CAST(1 AS BIGINT), CAST(ceil((effective_data_mb / CAST(sla_minutes * 60 AS DOUBLE)) / throughput_mbps) AS BIGINT)),
+            greatest(CAST(1 AS BIGINT), CAST(ceil(total_partitions / CAST(partitions_per_core AS DOUBLE)) AS BIGINT))) AS required_parallel_tasks,
+          CASE WHEN complexity = 'High' OR shuffle_intensity <> 'Standard' THEN 4 ELSE 5 END AS executor_cores
+        FROM (
+          SELECT *, greatest(CAST(1 AS BIGINT), CAST(ceil(effective_data_mb / CAST(aqe_partition_mb AS DOUBLE)) AS BIGINT)) AS total_partitions,
+            CAST(aqe_partition_mb AS BIGINT) * 1048576 AS advisory_partition_bytes,
+            effective_data_mb / 1024e0 AS effective_data_gb
+          FROM (
+            SELECT *, CAST(ceil(data_volume_gb * 1024 * format_factor * shuffle_factor * (1e0 + safety_buffer_pct / 100)) AS BIGINT) AS effective_data_mb,
+              CASE WHEN complexity = 'High' OR shuffle_intensity = 'Extreme' THEN 96 ELSE 128 END AS aqe_partition_mb
+            FROM ({_profile_resolved(src)}) WHERE reject_reason IS NULL))))))"""
+
+
+_P_KEYS = ("workload_id, team, profile, data_format, complexity, shuffle_intensity, sla_minutes, use_cache, "
+           "skew_risk, safety_buffer_pct, max_executors_cap, data_volume_gb")
+_P_OUT = ("executors, executor_cores, executor_memory_mb, executor_overhead_mb, driver_memory_mb, driver_cores, "
+          "total_cluster_cores, total_cluster_ram_mb, effective_data_mb, aqe_partition_mb, total_partitions, "
+          "required_parallel_tasks, shuffle_partitions, advisory_partition_bytes, raw_executors, cap_hit, "
+          "effective_data_gb, spark_submit")
+
+SQL["profile_plan"] = _with("profile_workloads", extra=_PROFILE_DIMS) + \
+    f"SELECT {_P_KEYS}, {_P_OUT} FROM ({_profile_plan_sql('profile_workloads')})"
+
+SQL["enum_rejects"] = _with("profile_workloads", extra=_PROFILE_DIMS) + f"""
+SELECT workload_id, profile, data_format, complexity, shuffle_intensity, reject_reason
+FROM ({_profile_resolved('profile_workloads')}) WHERE reject_reason IS NOT NULL"""
+
+SQL["profile_fleet"] = _with("profile_workloads", extra=_PROFILE_DIMS) + f"""
+SELECT profile, data_format, complexity, count(*) AS workloads, CAST(sum(executors) AS BIGINT) AS executors,
+  CAST(sum(total_cluster_cores) AS BIGINT) AS total_cluster_cores, CAST(sum(total_cluster_ram_mb) AS BIGINT) AS total_cluster_ram_mb,
+  CAST(sum(CAST(cap_hit AS INTEGER)) AS BIGINT) AS capped_workloads
+FROM ({_profile_plan_sql('profile_workloads')})
+GROUP BY CUBE (profile, data_format, complexity)"""
+
+SQL["profile_compare"] = _with("profile_workloads", extra=_PROFILE_DIMS + """,
+grid AS (
+  SELECT w.* REPLACE (g.p AS profile, false AS manual_override)
+  FROM profile_workloads w, (SELECT unnest(['Conservative', 'Balanced', 'Aggressive']) AS p) g
+)""") + f"""
+SELECT workload_id,
+  max(CASE WHEN profile = 'Conservative' THEN executors END) AS Conservative_executors,
+  max(CASE WHEN profile = 'Conservative' THEN total_cluster_cores END) AS Conservative_cores,
+  max(CASE WHEN profile = 'Conservative' THEN total_cluster_ram_mb END) AS Conservative_ram_mb,
+  max(CASE WHEN profile = 'Balanced' THEN executors END) AS Balanced_executors,
+  max(CASE WHEN profile = 'Balanced' THEN total_cluster_cores END) AS Balanced_cores,
+  max(CASE WHEN profile = 'Balanced' THEN total_cluster_ram_mb END) AS Balanced_ram_mb,
+  max(CASE WHEN profile = 'Aggressive' THEN executors END) AS Aggressive_executors,
+  max(CASE WHEN profile = 'Aggressive' THEN total_cluster_cores END) AS Aggressive_cores,
+  max(CASE WHEN profile = 'Aggressive' THEN total_cluster_ram_mb END) AS Aggressive_ram_mb,
+  max(CASE WHEN profile = 'Conservative' THEN total_cluster_ram_mb END)
+    - max(CASE WHEN profile = 'Balanced' THEN total_cluster_ram_mb END) AS Conservative_ram_mb_vs_Balanced,
+  max(CASE WHEN profile = 'Conservative' THEN total_cluster_cores END)
+    - max(CASE WHEN profile = 'Balanced' THEN total_cluster_cores END) AS Conservative_cores_vs_Balanced,
+  max(CASE WHEN profile = 'Aggressive' THEN total_cluster_ram_mb END)
+    - max(CASE WHEN profile = 'Balanced' THEN total_cluster_ram_mb END) AS Aggressive_ram_mb_vs_Balanced,
+  max(CASE WHEN profile = 'Aggressive' THEN total_cluster_cores END)
+    - max(CASE WHEN profile = 'Balanced' THEN total_cluster_cores END) AS Aggressive_cores_vs_Balanced
+FROM ({_profile_plan_sql('grid')})
+GROUP BY workload_id"""
