@@ -204,3 +204,33 @@ def profile_compare(spark, sf_dir):
 @job("profile_fleet")
 def profile_fleet(spark, sf_dir):
     return P.profile_fleet(_profile_plans(spark, sf_dir))
+
+
+# ---- node packer (N), domain rules (V3) ------------------------------------
+
+from rightsize.operators import packing as N  # noqa: E402
+from rightsize.operators import quality as V  # noqa: E402
+
+
+def _packings(spark, sf_dir):
+    return N.node_pack(spark, fixture(spark, sf_dir, "node_workloads"), fixture(spark, sf_dir, "cluster_shapes"))
+
+
+@job("node_pack")
+def node_pack(spark, sf_dir):
+    return _packings(spark, sf_dir)
+
+
+@job("alert_counts")
+def alert_counts(spark, sf_dir):
+    return N.alert_counts(spark, _packings(spark, sf_dir))
+
+
+@job("pick_shape")
+def pick_shape(spark, sf_dir):
+    return N.pick_shape(spark, fixture(spark, sf_dir, "node_workloads"), fixture(spark, sf_dir, "cluster_shapes"))
+
+
+@job("domain_violations")
+def domain_violations(spark, sf_dir):
+    return V.domain_violations({t: fixture(spark, sf_dir, t) for t in V.RULES})

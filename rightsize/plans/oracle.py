@@ -500,3 +500,104 @@ SELECT workload_id,
     - max(CASE WHEN profile = 'Balanced' THEN total_cluster_cores END) AS Aggressive_cores_vs_Balanced
 FROM ({_profile_plan_sql('grid')})
 GROUP BY workload_id"""
+
+
+# ---- node packer (N) -------------------------------------------------------
+
+_SHAPES = """sized AS (
+  SELECT *,
+    CASE WHEN epn IS NULL OR epn < 1 THEN 'no_executor_fits' WHEN epn * num_nodes - 1 < 1 THEN 'cluster_too_small' ELSE 'ok' END AS status,
+    CAST(node_cores * num_nodes AS BIGINT) AS cluster_cores, CAST(node_ram_gb * num_nodes AS BIGINT) AS cluster_ram_gb
+  FROM (SELECT *, CAST(floor((node_cores - os_cores) / nullif(CAST(target_exec_cores AS DOUBLE), 0)) AS BIGINT) AS epn FROM cluster_shapes)
+),
+shapes AS (
+  SELECT *, CASE WHEN status = 'ok' THEN (heap - 0.3e0) * memory_fraction * (epn * num_nodes - 1) END AS cluster_unified_mem_gb
+  FROM (
+    SELECT *, CASE WHEN status = 'ok' THEN raw - greatest(0.384e0, raw * 0.10e0) END AS heap,
+      CASE WHEN status = 'ok' THEN greatest(0.384e0, raw * 0.10e0) END AS overhead_gb,
+      CASE WHEN status = 'ok' THEN epn * num_nodes - 1 END AS total_executors,
+      CASE WHEN status = 'ok' THEN (epn * num_nodes - 1) * target_exec_cores END AS total_compute_cores
+    FROM (SELECT *, CASE WHEN status = 'ok' THEN (node_ram_gb - os_ram_gb) / CAST(epn AS DOUBLE) END AS raw FROM sized))
+),
+infl AS (SELECT * FROM (VALUES ('Parquet / ORC', 4), ('Compressed CSV / JSON', 8), ('Plain text', 3)) t(fmt, inflation_factor))"""
+
+_PACK = """pack AS (
+  SELECT w.workload_id, w.cluster_id, s.cluster, w.data_size_gb, w.data_format, i.inflation_factor,
+    coalesce(s.status, 'unknown_cluster') AS status, s.epn AS executors_per_node, s.total_executors,
+    s.target_exec_cores, s.total_compute_cores, s.raw AS raw_mem_per_exec_gb, s.overhead_gb, s.heap AS heap_gb,
+    s.cluster_unified_mem_gb, s.memory_fraction,
+    w.data_size_gb * i.inflation_factor * 1024 AS mb, w.data_size_gb * i.inflation_factor AS inflated,
+    s.partition_size_mb, CASE WHEN s.status = 'ok' THEN s.heap > 8 END AS g1_advised
+  FROM node_workloads w LEFT JOIN infl i ON w.data_format = i.fmt LEFT JOIN shapes s ON w.cluster_id = s.cluster_id
+),
+packed AS (
+  SELECT workload_id, cluster_id, cluster, data_size_gb, data_format, inflation_factor, status, executors_per_node,
+    total_executors, target_exec_cores, total_compute_cores, raw_mem_per_exec_gb, overhead_gb, heap_gb,
+    cluster_unified_mem_gb,
+    CASE WHEN status = 'ok' THEN mb END AS data_in_memory_mb,
+    CASE WHEN status = 'ok' THEN base END AS base_partitions,
+    CASE WHEN status = 'ok' THEN sp END AS shuffle_partitions,
+    CASE WHEN status = 'ok' THEN CASE WHEN len(a) = 0 THEN ['ok'] ELSE a END END AS alerts,
+    g1_advised,
+    CASE WHEN status = 'ok' THEN '--conf spark.executor.instances=' || CAST(total_executors AS VARCHAR)
+      || ' --conf spark.executor.cores=' || CAST(target_exec_cores AS VARCHAR)
+      || ' --conf spark.executor.memory=' || CAST(CAST(floor(heap_gb) AS BIGINT) AS VARCHAR) || 'g'
+      || ' --conf spark.executor.memoryOverhead=' || CAST(CAST(ceil(overhead_gb * 1024) AS BIGINT) AS VARCHAR) || 'm'
+      || ' --conf spark.sql.shuffle.partitions=' || CAST(sp AS VARCHAR)
+      || ' --conf spark.default.parallelism=' || CAST(sp AS VARCHAR)
+      || ' --conf spark.memory.fraction=' || CAST(memory_fraction AS VARCHAR)
+      || ' --conf spark.sql.adaptive.enabled=true' END AS spark_submit
+  FROM (
+    SELECT *, greatest(CAST(200 AS BIGINT), CAST(ceil(base / CAST(total_compute_cores AS DOUBLE)) AS BIGINT) * total_compute_cores) AS sp,
+      list_filter([CASE WHEN heap_gb > 32 THEN 'compressed_oops_lost' END,
+                   CASE WHEN target_exec_cores > 5 THEN 'fat_executor' END,
+                   CASE WHEN target_exec_cores = 1 THEN 'tiny_executor' END,
+                   CASE WHEN inflated > cluster_unified_mem_gb THEN 'spill_risk'
+                        WHEN inflated > cluster_unified_mem_gb * 0.7e0 THEN 'high_memory_use' END], lambda x: x IS NOT NULL) AS a
+    FROM (SELECT *, CAST(ceil(mb / CAST(partition_size_mb AS DOUBLE)) AS BIGINT) AS base FROM pack))
+)"""
+
+SQL["node_pack"] = _with("node_workloads", "cluster_shapes", extra=_SHAPES + ",\n" + _PACK) + "SELECT * FROM packed"
+
+SQL["alert_counts"] = _with("node_workloads", "cluster_shapes", extra=_SHAPES + ",\n" + _PACK) + """
+SELECT cluster, code, count(*) AS workloads,
+  CASE code WHEN 'compressed_oops_lost' THEN 'warning' WHEN 'fat_executor' THEN 'warning' WHEN 'tiny_executor' THEN 'warning'
+    WHEN 'spill_risk' THEN 'error' WHEN 'high_memory_use' THEN 'info' WHEN 'ok' THEN 'success' END AS severity
+FROM (SELECT cluster, unnest(alerts) AS code FROM packed)
+GROUP BY cluster, code"""
+
+SQL["pick_shape"] = _with("node_workloads", "cluster_shapes", extra=_SHAPES) + """
+SELECT w.workload_id, CAST(w.data_size_gb * i.inflation_factor AS DOUBLE) AS need_gb,
+  b.cluster_id AS best_cluster_id, b.cluster AS best_cluster, b.cluster_cores AS best_cluster_cores,
+  b.cluster_ram_gb AS best_cluster_ram_gb, b.cluster_unified_mem_gb AS best_cluster_unified_mem_gb
+FROM node_workloads w LEFT JOIN infl i ON w.data_format = i.fmt
+LEFT JOIN (
+  SELECT * FROM (
+    SELECT w2.workload_id, s.cluster_id, s.cluster, s.cluster_cores, s.cluster_ram_gb, s.cluster_unified_mem_gb,
+      row_number() OVER (PARTITION BY w2.workload_id ORDER BY s.cluster_cores, s.cluster_ram_gb, s.cluster_id) AS rn
+    FROM node_workloads w2 JOIN infl i2 ON w2.data_format = i2.fmt
+    JOIN shapes s ON s.status = 'ok' AND w2.data_size_gb * i2.inflation_factor <= s.cluster_unified_mem_gb)
+  WHERE rn = 1) b ON w.workload_id = b.workload_id"""
+
+
+# ---- domain rules (V3) -----------------------------------------------------
+
+def _violation_sql() -> str:
+    from rightsize.operators.quality import KEYS, RULES
+    parts = []
+    for table, rules in RULES.items():
+        for code, col, lo, hi in rules:
+            conds = []
+            if lo is not None:
+                conds.append(f"{col} < {lo if isinstance(lo, str) else repr(lo) + ('e0' if isinstance(lo, float) else '')}")
+            if hi is not None:
+                conds.append(f"{col} > {hi if isinstance(hi, str) else repr(hi) + ('e0' if isinstance(hi, float) else '')}")
+            parts.append(f"SELECT '{table}' AS table_name, '{code}' AS rule FROM {table} WHERE {' OR '.join(conds)}")
+    return "\nUNION ALL ".join(parts)
+
+
+SQL["domain_violations"] = _with("workloads", "cost_workloads", "profile_workloads", "cluster_shapes",
+                                 "node_workloads") + f"""
+SELECT table_name, rule, count(*) AS violations FROM (
+{_violation_sql()}
+) GROUP BY table_name, rule"""
