@@ -234,3 +234,40 @@ def pick_shape(spark, sf_dir):
 @job("domain_violations")
 def domain_violations(spark, sf_dir):
     return V.domain_violations({t: fixture(spark, sf_dir, t) for t in V.RULES})
+
+
+# ---- cross-model (X), sources and sinks (S) --------------------------------
+
+from rightsize.operators import compare as X  # noqa: E402
+from rightsize.sources.manifest import dataset_sizes as _dataset_sizes  # noqa: E402
+from rightsize.sources.sinks import write_and_read_back  # noqa: E402
+
+
+def _compared(spark, sf_dir):
+    cw = fixture(spark, sf_dir, "cost_workloads")
+    return X.compare_models(
+        X.from_wave(W.wave_plan(fixture(spark, sf_dir, "workloads"))),
+        X.from_cost(C.sla_search(C.candidates(spark, cw)), C.prepare(spark, cw)),
+        X.from_profile(_profile_plans(spark, sf_dir)),
+        X.from_node(_packings(spark, sf_dir)))
+
+
+@job("compare_models")
+def compare_models(spark, sf_dir):
+    return _compared(spark, sf_dir)
+
+
+@job("model_spread")
+def model_spread(spark, sf_dir):
+    return X.model_spread(_compared(spark, sf_dir), k=20)
+
+
+@job("dataset_sizes")
+def dataset_sizes(spark, sf_dir):
+    return _dataset_sizes(fixture(spark, sf_dir, "file_manifest"))
+
+
+@job("write_plans")
+def write_plans(spark, sf_dir):
+    """Typed wave plans written as parquet partitioned by team, read back."""
+    return write_and_read_back(spark, wave_plan_typed(spark, sf_dir), "wave_plans")

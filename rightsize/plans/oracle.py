@@ -601,3 +601,43 @@ SQL["domain_violations"] = _with("workloads", "cost_workloads", "profile_workloa
 SELECT table_name, rule, count(*) AS violations FROM (
 {_violation_sql()}
 ) GROUP BY table_name, rule"""
+
+
+# ---- cross-model (X), sources and sinks (S) --------------------------------
+
+_COMPARED = (_with("workloads", "cost_workloads", "profile_workloads", "node_workloads", "cluster_shapes",
+                   extra=_TYPED_WL + ",\n" + _COST_SRC + ",\n" + _cands_sql() + ",\n" + _PROFILE_DIMS + ",\n"
+                   + _SHAPES + ",\n" + _PACK) + f""",
+search AS (
+  SELECT workload_id, CAST(min(CASE WHEN in_search AND target_runtime_min > 0 AND runtime_min <= target_runtime_min THEN n END) AS BIGINT) AS best
+  FROM cands GROUP BY workload_id
+),
+compared AS (
+  SELECT workload_id, 'wave' AS model, executors, total_cores, container_memory_mb * executors AS total_ram_mb
+  FROM ({_wave_steps('typed_wl')}) WHERE reject_reason IS NULL
+  UNION ALL
+  SELECT s.workload_id, 'cost', s.best, CAST(s.best * c.cores_per_executor AS BIGINT),
+    CAST(ceil(s.best * (c.executor_memory_gb + c.executor_memory_gb * c.executor_memory_overhead_pct / 100e0) * 1024e0) AS BIGINT)
+  FROM search s JOIN cw c ON s.workload_id = c.workload_id WHERE s.best IS NOT NULL
+  UNION ALL
+  SELECT workload_id, 'profile', executors, total_cluster_cores, total_cluster_ram_mb
+  FROM ({_profile_plan_sql('profile_workloads')})
+  UNION ALL
+  SELECT workload_id, 'node', total_executors, total_compute_cores, CAST(ceil(total_executors * raw_mem_per_exec_gb * 1024e0) AS BIGINT)
+  FROM packed WHERE status = 'ok'
+)""")
+
+SQL["compare_models"] = _COMPARED + "\nSELECT * FROM compared"
+
+SQL["model_spread"] = _COMPARED + """
+SELECT workload_id, count(*) AS models, min(executors) AS min_executors, max(executors) AS max_executors,
+  arg_min(model, (executors, model)) AS min_model, arg_min(model, (-executors, model)) AS max_model,
+  max(executors) / nullif(CAST(min(executors) AS DOUBLE), 0) AS spread_ratio
+FROM compared GROUP BY workload_id
+ORDER BY spread_ratio DESC NULLS LAST, workload_id LIMIT 20"""
+
+SQL["dataset_sizes"] = _with("file_manifest") + """
+SELECT dataset, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, sum(bytes) / 1073741824e0 AS data_size_gb
+FROM file_manifest GROUP BY dataset"""
+
+SQL["write_plans"] = SQL["wave_plan_typed"]
