@@ -271,3 +271,24 @@ def dataset_sizes(spark, sf_dir):
 def write_plans(spark, sf_dir):
     """Typed wave plans written as parquet partitioned by team, read back."""
     return write_and_read_back(spark, wave_plan_typed(spark, sf_dir), "wave_plans")
+
+
+# ---- telemetry from event logs (S1) ----------------------------------------
+
+import uuid  # noqa: E402
+
+from rightsize.session import scratch_path  # noqa: E402
+from rightsize.sources import eventlog as S1  # noqa: E402
+
+
+def _event_log_dir(spark, sf_dir):
+    """The session's own event-log folder when logging is on; otherwise a
+    fresh recording of our jobs over ``sf_dir`` in the shared scratch folder."""
+    if spark.conf.get("spark.eventLog.enabled", "false") == "true" and spark.conf.get("spark.eventLog.dir", None):
+        return spark.conf.get("spark.eventLog.dir")
+    return S1.record_event_log(sf_dir, scratch_path(spark, f"eventlog-{uuid.uuid4().hex}"))
+
+
+@job("read_task_metrics")
+def read_task_metrics(spark, sf_dir):
+    return S1.read_task_metrics(spark, _event_log_dir(spark, sf_dir))
