@@ -96,22 +96,49 @@ def memory_expansion() -> Column:
     return safe_div(F.col("heavy_mem_spill_bytes"), F.col("heavy_disk_spill_bytes"))
 
 
-def calibrate(task_metrics: DataFrame, baseline_stage: int, exact: bool = True,
-              stages: DataFrame | None = None) -> DataFrame:
-    """K9: one calibration row per application (K2 + K4 + K5 + K6 + K7)."""
-    stages = stages if stages is not None else stage_summary(task_metrics, exact)
-    out = compute_factor(heaviest_stage(stages), base_task_time(stages, baseline_stage))
-    return out.select(
-        "app_id",
+def _per_app(stages: DataFrame, baseline_stage: int) -> DataFrame:
+    """One aggregation per app over the stage summary: heaviest stage (K3),
+    baseline median (K2) and the sums the measured profile (K10) needs."""
+    key = F.struct(F.col("median_ms"), (-F.col("stage_id")).alias("neg_stage"))
+    heavy = F.max_by(F.struct("stage_id", "tasks", "median_ms", "max_ms",
+                              "mem_spill_bytes", "disk_spill_bytes"), key)
+    base = F.max(F.when(F.col("stage_id") == baseline_stage, F.col("median_ms")))
+    return (stages.groupBy("app_id")
+            .agg(heavy.alias("h"), base.alias("base_median_ms"), *_profile_aggs())
+            .select("*",
+                    (F.col("base_median_ms") / F.lit(1000.0)).alias("t_base_sec"),
+                    F.col("h.stage_id").alias("heavy_stage_id"),
+                    F.col("h.tasks").alias("heavy_tasks"),
+                    F.col("h.median_ms").alias("heavy_median_ms"),
+                    F.col("h.max_ms").alias("heavy_max_ms"),
+                    F.col("h.mem_spill_bytes").alias("heavy_mem_spill_bytes"),
+                    F.col("h.disk_spill_bytes").alias("heavy_disk_spill_bytes")))
+
+
+def _calibration_columns(baseline_stage: int) -> list[Column]:
+    return [
+        F.col("app_id"),
         F.lit(baseline_stage).cast("int").alias("baseline_stage"),
-        "t_base_sec",
-        "heavy_stage_id",
-        "heavy_tasks",
-        "k_comp",
+        F.col("t_base_sec"),
+        F.col("heavy_stage_id"),
+        F.col("heavy_tasks"),
+        safe_div(F.col("heavy_median_ms"), F.col("base_median_ms")).alias("k_comp"),
         skew_factor().alias("k_skew"),
         memory_expansion().alias("e_mem_rate"),
         (skew_factor() > SKEW_JOIN_THRESHOLD).alias("skew_join_advised"),
-    )
+    ]
+
+
+def calibrate(task_metrics: DataFrame, baseline_stage: int, exact: bool = True,
+              stages: DataFrame | None = None) -> DataFrame:
+    """K9: one calibration row per application (K2 + K3 + K4 + K5 + K6 + K7).
+
+    The heaviest stage (K3) and the baseline median (K2) come out of the same
+    per-app aggregation over the stage summary, so the telemetry is scanned
+    and shuffled once and no join is needed.
+    """
+    stages = stages if stages is not None else stage_summary(task_metrics, exact)
+    return _per_app(stages, baseline_stage).select(*_calibration_columns(baseline_stage))
 
 
 def skew_advice(calibration: DataFrame) -> DataFrame:
@@ -146,29 +173,46 @@ def coefficient_check(calibration: DataFrame) -> DataFrame:
                  F.sum(F.col("skew_join_advised").cast("int")).cast("bigint").alias("skewed_apps")))
 
 
+def _profile_aggs() -> list[Column]:
+    scan = F.col("shuffle_bytes") == 0
+    return [F.count(F.lit(1)).alias("stages_count"),
+            F.sum("tasks").alias("tasks"),
+            F.max(F.when(scan, F.col("tasks"))).alias("input_partitions"),
+            F.sum("retried_tasks").alias("retried_tasks"),
+            F.sum("input_bytes").alias("input_bytes"),
+            F.sum("shuffle_bytes").alias("shuffle_bytes"),
+            F.sum("run_ms").alias("run_ms"),
+            F.sum("duration_ms").alias("duration_ms")]
+
+
+def _profile_columns() -> list[Column]:
+    return [F.col("app_id"), F.col("stages_count"), F.col("tasks"), F.col("input_partitions"),
+            safe_div(F.col("retried_tasks"), F.col("tasks")).alias("expected_retry_fraction"),
+            safe_div(F.col("shuffle_bytes"), F.col("input_bytes")).alias("shuffle_ratio"),
+            safe_div(F.col("input_bytes") / F.lit(1048576.0),
+                     F.col("run_ms") / F.lit(1000.0)).alias("cpu_throughput_mb_s_per_core"),
+            (F.col("input_bytes") / F.lit(1073741824.0)).alias("input_data_gb"),
+            F.col("duration_ms")]
+
+
 def measured_profile(stages: DataFrame) -> DataFrame:
     """Cost-model inputs measured per application.
 
     Built from the stage summary (one row per stage), so the distinct stage
     count needs no second pass over the tasks.
     """
-    scan = F.col("shuffle_bytes") == 0
-    return (stages.groupBy("app_id")
-            .agg(F.count(F.lit(1)).alias("stages_count"),
-                 F.sum("tasks").alias("tasks"),
-                 F.max(F.when(scan, F.col("tasks"))).alias("input_partitions"),
-                 F.sum("retried_tasks").alias("retried_tasks"),
-                 F.sum("input_bytes").alias("input_bytes"),
-                 F.sum("shuffle_bytes").alias("shuffle_bytes"),
-                 F.sum("run_ms").alias("run_ms"),
-                 F.sum("duration_ms").alias("duration_ms"))
-            .select("app_id", "stages_count", "tasks", "input_partitions",
-                    safe_div(F.col("retried_tasks"), F.col("tasks")).alias("expected_retry_fraction"),
-                    safe_div(F.col("shuffle_bytes"), F.col("input_bytes")).alias("shuffle_ratio"),
-                    safe_div(F.col("input_bytes") / F.lit(1048576.0),
-                             F.col("run_ms") / F.lit(1000.0)).alias("cpu_throughput_mb_s_per_core"),
-                    (F.col("input_bytes") / F.lit(1073741824.0)).alias("input_data_gb"),
-                    "duration_ms"))
+    return stages.groupBy("app_id").agg(*_profile_aggs()).select(*_profile_columns())
+
+
+def _prediction(per_app: DataFrame, slots: int, block_size_mb: int) -> DataFrame:
+    observed = F.col("duration_ms") / F.lit(1000.0) / F.lit(float(slots))
+    tasks = F.ceil(F.col("input_data_gb") * F.lit(1024.0) / F.lit(float(block_size_mb)))
+    waves = F.ceil(tasks / F.lit(float(slots)))
+    t_eff = F.col("t_base_sec") * F.col("k_comp") * F.col("k_skew")
+    return (per_app.select("app_id", observed.alias("observed_sec"), tasks.cast("bigint").alias("tasks"),
+                           waves.cast("bigint").alias("waves"), (waves * t_eff).alias("predicted_sec"))
+            .withColumn("abs_error_sec", F.abs(F.col("predicted_sec") - F.col("observed_sec")))
+            .withColumn("rel_error", safe_div(F.col("abs_error_sec"), F.col("observed_sec"))))
 
 
 def backtest(calibration: DataFrame, profile: DataFrame, slots: int = 16,
@@ -179,16 +223,17 @@ def backtest(calibration: DataFrame, profile: DataFrame, slots: int = 16,
     Predicted: the wave model with the app's own calibrated coefficients,
     tasks = input / block, waves = ceil(tasks / slots), each wave t_base*k_comp*k_skew.
     """
-    j = profile.join(calibration, "app_id")
-    observed = F.col("duration_ms") / F.lit(1000.0) / F.lit(float(slots))
-    tasks = F.ceil(F.col("input_data_gb") * F.lit(1024.0) / F.lit(float(block_size_mb)))
-    waves = F.ceil(tasks / F.lit(float(slots)))
-    t_eff = F.col("t_base_sec") * F.col("k_comp") * F.col("k_skew")
-    predicted = waves * t_eff
-    return (j.select("app_id", observed.alias("observed_sec"), tasks.cast("bigint").alias("tasks"),
-                     waves.cast("bigint").alias("waves"), predicted.alias("predicted_sec"))
-            .withColumn("abs_error_sec", F.abs(F.col("predicted_sec") - F.col("observed_sec")))
-            .withColumn("rel_error", safe_div(F.col("abs_error_sec"), F.col("observed_sec"))))
+    return _prediction(profile.join(calibration, "app_id"), slots, block_size_mb)
+
+
+def backtest_from_stages(stages: DataFrame, baseline_stage: int, slots: int = 16,
+                         block_size_mb: int = 128) -> DataFrame:
+    """K11 in one pass: calibration and measured profile from the same
+    per-app aggregation (one scan and one task-level shuffle, no join)."""
+    per_app = _per_app(stages, baseline_stage)
+    both = per_app.select(*_calibration_columns(baseline_stage),
+                          *[c for c in _profile_columns() if str(c) != str(F.col("app_id"))])
+    return _prediction(both, slots, block_size_mb)
 
 
 def backtest_by_team(errors: DataFrame, app_teams: DataFrame) -> DataFrame:

@@ -63,14 +63,12 @@ def measured_profile(spark, sf_dir):
 
 @job("backtest")
 def backtest(spark, sf_dir):
-    stages = _stages(spark, sf_dir)
-    return K.backtest(_calibration(spark, sf_dir, stages), K.measured_profile(stages))
+    return K.backtest_from_stages(_stages(spark, sf_dir), BASELINE_STAGE)
 
 
 @job("backtest_by_team")
 def backtest_by_team(spark, sf_dir):
-    stages = _stages(spark, sf_dir)
-    errors = K.backtest(_calibration(spark, sf_dir, stages), K.measured_profile(stages))
+    errors = K.backtest_from_stages(_stages(spark, sf_dir), BASELINE_STAGE)
     return K.backtest_by_team(errors, fixture(spark, sf_dir, "workloads"))
 
 
