@@ -126,10 +126,10 @@ def node_pack(spark: SparkSession, workloads: DataFrame, shapes: DataFrame) -> D
 
 def alert_counts(spark: SparkSession, packings: DataFrame) -> DataFrame:
     """Alerts in long form, counted per cluster and code."""
-    sev = spark.createDataFrame(ALERT_SEVERITY, "code string, severity string")
+    sev = F.create_map(*[F.lit(x) for pair in ALERT_SEVERITY for x in pair])
     return (packings.select("cluster", F.explode("alerts").alias("code"))
             .groupBy("cluster", "code").agg(F.count(F.lit(1)).alias("workloads"))
-            .join(F.broadcast(sev), "code", "left"))
+            .withColumn("severity", sev[F.col("code")]))
 
 
 # ---- N9: smallest shape that holds the data --------------------------------

@@ -7,8 +7,9 @@ the workload table is never shuffled for a lookup. An unknown name finds no
 dimension row: the workload is rejected (V4) instead of failing the job.
 
 ``profile_compare`` evaluates each workload under every profile (explode of
-the profile names, no join against the workload table) and pivots the three
-results next to each other; ``profile_fleet`` is a CUBE over the plans.
+the profile names, no join against the workload table) and puts the three
+results next to each other with one conditional aggregation (a hand-written
+pivot: one exchange, combined map-side); ``profile_fleet`` is a CUBE.
 """
 
 from __future__ import annotations
@@ -161,11 +162,15 @@ def profile_compare(spark: SparkSession, workloads: DataFrame) -> DataFrame:
     grid = (workloads.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in PROFILES])))
             .withColumn("manual_override", F.lit(False)))
     plans = profile_plan(spark, grid)
-    wide = (plans.groupBy("workload_id")
-            .pivot("profile", list(PROFILES))
-            .agg(F.max("executors").alias("executors"),
-                 F.max("total_cluster_cores").alias("cores"),
-                 F.max("total_cluster_ram_mb").alias("ram_mb")))
+    # Conditional aggregation instead of pivot(): one aggregate, one exchange,
+    # and the three rows of a workload (made by one task) combine map-side.
+    aggs = []
+    for p in PROFILES:
+        mine = F.col("profile") == p
+        aggs += [F.max(F.when(mine, F.col("executors"))).alias(f"{p}_executors"),
+                 F.max(F.when(mine, F.col("total_cluster_cores"))).alias(f"{p}_cores"),
+                 F.max(F.when(mine, F.col("total_cluster_ram_mb"))).alias(f"{p}_ram_mb")]
+    wide = plans.groupBy("workload_id").agg(*aggs)
     base = "Balanced"
     extra = []
     for p in PROFILES:

@@ -69,13 +69,30 @@ SCHEMAS = {
 BROADCAST_ROW_LIMIT = 100_000
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _values_table(spark: SparkSession, name: str) -> DataFrame:
+    """A literal dimension as a SQL VALUES relation (a local relation: no RDD,
+    no job to build it; broadcasting it is free)."""
+    schema, rows = SCHEMAS[name]
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    cols = ", ".join(f"CAST(col{i + 1} AS {t}) AS {n}" for i, (n, t) in enumerate(fields))
+    return spark.sql(f"SELECT {cols} FROM VALUES {values}")
+
+
 def dims(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: spark.createDataFrame(rows, schema) for name, (schema, rows) in SCHEMAS.items()}
+    return {name: _values_table(spark, name) for name in SCHEMAS}
 
 
 def dim(spark: SparkSession, name: str) -> DataFrame:
-    schema, rows = SCHEMAS[name]
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return F.broadcast(_values_table(spark, name))
 
 
 def sized_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
