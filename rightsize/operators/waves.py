@@ -5,8 +5,9 @@ A workload needs ``tasks = ceil(GB*1024/block)`` tasks; each task takes
 waves, which fixes the cores, the executors and, through the unified-memory
 model, the container size.
 
-W1-W10 are one projection: they fuse into the scan's whole-stage-codegen span
-and need no shuffle. Validation (V1/V2) is a column, not a filter, so valid
+W1-W10 are a chain of small projections (each names its results for the
+next): Catalyst collapses them into the scan's whole-stage-codegen span and
+they need no shuffle. Validation (V1/V2) is a column, not a filter, so valid
 plans and rejects come from the same pass. W11-W13 add one aggregation each.
 """
 
@@ -43,44 +44,49 @@ def memory_skew_factor(mode: Column, k_skew: Column) -> Column:
             .otherwise(F.lit(1.0)))
 
 
-def wave_columns(data_size_gb, sla_seconds, k_comp, k_skew, mode,
-                 block_size_mb, t_base_sec, e_mem_rate, cores_per_exec) -> dict[str, Column]:
-    """W1-W10 as named column expressions (operation order as specified)."""
-    gb, sla, kc, ks = dbl(data_size_gb), dbl(sla_seconds), dbl(k_comp), dbl(k_skew)
+def _wave_stages(block_size_mb, t_base_sec, e_mem_rate, cores_per_exec):
+    """W1-W10 as a list of projection stages; each stage names its results
+    and later stages refer to them by name (small expression trees, each
+    sub-result computed once). Operation order is as specified."""
+    c = F.col
     block, tb, em = dbl(block_size_mb), dbl(t_base_sec), dbl(e_mem_rate)
     cores = col_or_lit(cores_per_exec).cast("bigint")
-    mode = col_or_lit(mode)
-
-    tasks = ceil_long(gb * F.lit(1024.0) / block)                          # W1
-    t_eff = tb * kc * ks                                                   # W2
-    waves = floor_long(safe_div(sla, t_eff))                               # W3
-    cores_needed = ceil_long(safe_div(tasks, F.when(waves >= 1, waves)))   # W4
-    executors = ceil_long(safe_div(cores_needed, cores))
-    total_cores = executors * cores
-    factor = memory_skew_factor(mode, ks)                                  # W5
-    m_task = block * em * kc * factor                                      # W6
-    m_unified = m_task * cores.cast("double")
-    heap = ceil_long(m_unified / F.lit(MEMORY_FRACTION) + F.lit(float(RESERVED_MEMORY_MB)))  # W7
-    overhead = ceil_long(F.greatest(F.lit(float(MIN_OVERHEAD_MB)), heap * F.lit(OVERHEAD_FRACTION)))
-    container = heap + overhead
-    container_gb = round_half_even(container / F.lit(1024.0), 2)           # W8
-    total_gb = round_half_even(container * executors / F.lit(1024.0), 2)
-    total_gb_legacy = round_half_even(container_gb * executors, 2)         # W9
-    submit = F.concat(                                                     # W10
-        F.lit("spark-submit --num-executors "), executors.cast("string"),
-        F.lit(" --executor-cores "), cores.cast("string"),
-        F.lit(" --executor-memory "), heap.cast("string"), F.lit("m"),
-        F.lit(" --conf spark.executor.memoryOverhead="), overhead.cast("string"), F.lit("m"))
-    return {
-        "tasks": tasks, "t_eff_sec": t_eff, "waves": waves,
-        "total_cores_needed": cores_needed, "executors": executors,
-        "total_cores": total_cores, "cores_per_executor": cores,
-        "memory_skew_factor": factor, "m_task_mb": m_task, "m_unified_mb": m_unified,
-        "executor_heap_mb": heap, "executor_overhead_mb": overhead,
-        "container_memory_mb": container, "container_memory_gb": container_gb,
-        "total_cluster_memory_gb": total_gb, "total_cluster_memory_gb_legacy": total_gb_legacy,
-        "spark_submit": submit,
-    }
+    return [
+        lambda: {"tasks": ceil_long(dbl("data_size_gb") * F.lit(1024.0) / block),              # W1
+                 "t_eff_sec": tb * dbl("k_comp") * dbl("k_skew"),                               # W2
+                 "cores_per_executor": cores,
+                 "memory_skew_factor": memory_skew_factor(c("skew_memory_mode"), dbl("k_skew"))},  # W5
+        lambda: {"waves": floor_long(safe_div(dbl("sla_seconds"), c("t_eff_sec"))),            # W3
+                 "m_task_mb": block * em * dbl("k_comp") * c("memory_skew_factor")},            # W6
+        lambda: {"total_cores_needed": ceil_long(safe_div(c("tasks"), F.when(c("waves") >= 1, c("waves")))),  # W4
+                 "m_unified_mb": c("m_task_mb") * c("cores_per_executor").cast("double")},
+        lambda: {"executors": ceil_long(safe_div(c("total_cores_needed"), c("cores_per_executor"))),
+                 "executor_heap_mb": ceil_long(c("m_unified_mb") / F.lit(MEMORY_FRACTION)          # W7
+                                               + F.lit(float(RESERVED_MEMORY_MB)))},
+        lambda: {"total_cores": c("executors") * c("cores_per_executor"),
+                 "executor_overhead_mb": ceil_long(F.greatest(F.lit(float(MIN_OVERHEAD_MB)),
+                                                              c("executor_heap_mb") * F.lit(OVERHEAD_FRACTION)))},
+        lambda: {"container_memory_mb": c("executor_heap_mb") + c("executor_overhead_mb")},
+        lambda: {"container_memory_gb": round_half_even(c("container_memory_mb") / F.lit(1024.0), 2),   # W8
+                 "total_cluster_memory_gb": round_half_even(
+                     c("container_memory_mb") * c("executors") / F.lit(1024.0), 2),
+                 "total_cluster_memory_gb_legacy": round_half_even(                                   # W9
+                     round_half_even(c("container_memory_mb") / F.lit(1024.0), 2) * c("executors"), 2),
+                 "spark_submit": F.concat(                                                            # W10
+                     F.lit("spark-submit --num-executors "), c("executors").cast("string"),
+                     F.lit(" --executor-cores "), c("cores_per_executor").cast("string"),
+                     F.lit(" --executor-memory "), c("executor_heap_mb").cast("string"), F.lit("m"),
+                     F.lit(" --conf spark.executor.memoryOverhead="), c("executor_overhead_mb").cast("string"),
+                     F.lit("m"))},
+    ]
+
+
+def wave_columns_df(df: DataFrame, block_size_mb="block_size_mb", t_base_sec="t_base_sec",
+                    e_mem_rate="e_mem_rate", cores_per_exec="cores_per_exec") -> DataFrame:
+    """``df`` with the W1-W10 columns added (no validation)."""
+    for stage in _wave_stages(block_size_mb, t_base_sec, e_mem_rate, cores_per_exec):
+        df = df.select("*", *[v.alias(k) for k, v in stage().items()])
+    return df
 
 
 WAVE_OUTPUTS = ("tasks", "t_eff_sec", "waves", "total_cores_needed", "executors", "total_cores",
@@ -95,37 +101,38 @@ def _with_coefficients(workloads: DataFrame, c: WaveConstants) -> DataFrame:
     defaults = {"block_size_mb": c.block_size_mb, "t_base_sec": float(c.t_base_sec),
                 "e_mem_rate": float(c.e_mem_rate), "cores_per_exec": c.cores_per_exec,
                 "skew_memory_mode": c.skew_memory_mode}
-    out = workloads
+    cols = [F.col(x) for x in workloads.columns if x not in defaults]
     for name, value in defaults.items():
-        if name in out.columns:
-            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
-        else:
-            out = out.withColumn(name, F.lit(value))
-    return out
+        src = F.coalesce(F.col(name), F.lit(value)) if name in workloads.columns else F.lit(value)
+        cols.append(src.alias(name))
+    return workloads.select(*cols)
 
 
 def wave_validate(workloads: DataFrame, constants: WaveConstants = WaveConstants()) -> DataFrame:
     """V1 + V2 + W1-W10 in one pass: every input row, plus its reject reasons.
 
     Rule order is the order of the scalar checks; ``reject_reason`` is the
-    first failing one, NULL for a valid plan.
+    first failing one, NULL for a valid plan (whose plan columns are then
+    NULL as well).
     """
-    df = _with_coefficients(workloads, constants)
-    cols = wave_columns("data_size_gb", "sla_seconds", "k_comp", "k_skew", "skew_memory_mode",
-                        "block_size_mb", "t_base_sec", "e_mem_rate", "cores_per_exec")
-    system_bad = ((F.col("block_size_mb") <= 0) | (F.col("t_base_sec") <= 0)
-                  | (F.col("e_mem_rate") <= 0) | (F.col("cores_per_exec") <= 0))
+    base_cols = [x for x in workloads.columns if x not in WAVE_OUTPUTS]
+    df = wave_columns_df(_with_coefficients(workloads.select(*base_cols), constants))
+    c = F.col
+    system_bad = ((c("block_size_mb") <= 0) | (c("t_base_sec") <= 0)
+                  | (c("e_mem_rate") <= 0) | (c("cores_per_exec") <= 0))
     reasons, first = first_reason(
-        (F.col("data_size_gb") <= 0, "data_size_not_positive"),
-        (F.col("sla_seconds") <= 0, "sla_not_positive"),
-        (F.col("k_comp") <= 0, "k_comp_not_positive"),
-        (F.col("k_skew") <= 0, "k_skew_not_positive"),
+        (c("data_size_gb") <= 0, "data_size_not_positive"),
+        (c("sla_seconds") <= 0, "sla_not_positive"),
+        (c("k_comp") <= 0, "k_comp_not_positive"),
+        (c("k_skew") <= 0, "k_skew_not_positive"),
         (system_bad, "system_param_not_positive"),
-        (F.coalesce(cols["waves"], F.lit(0)) < 1, "sla_too_tight"),
+        (F.coalesce(c("waves"), F.lit(0)) < 1, "sla_too_tight"),
     )
-    valid = F.size(reasons) == 0
-    plan_cols = [F.when(valid, cols[k]).alias(k) for k in WAVE_OUTPUTS]
-    return df.select("*", *plan_cols, reasons.alias("reject_reasons"), first.alias("reject_reason"))
+    df = df.select("*", reasons.alias("reject_reasons"))
+    df = df.select("*", F.get(c("reject_reasons"), 0).alias("reject_reason"))
+    valid = c("reject_reason").isNull()
+    keep = [x for x in df.columns if x not in WAVE_OUTPUTS]
+    return df.select(*keep, *[F.when(valid, c(k)).alias(k) for k in WAVE_OUTPUTS])
 
 
 def wave_plan(workloads: DataFrame, constants: WaveConstants = WaveConstants()) -> DataFrame:

@@ -23,7 +23,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.session.timeZone", "UTC"))
+         .config("spark.sql.session.timeZone", "UTC")
+         # Exact medians (K1) keep one value->count map per (app, stage) group;
+         # let a task hold many groups in the hash map before falling back to sort.
+         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "8192"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
