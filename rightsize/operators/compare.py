@@ -25,14 +25,18 @@ def from_wave(plans: DataFrame) -> DataFrame:
                         (F.col("container_memory_mb") * F.col("executors")).alias("total_ram_mb"))
 
 
-def from_cost(search: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Executors from the SLA search (met only); memory per executor with overhead."""
-    per_exec_gb = (F.col("executor_memory_gb")
-                   + F.col("executor_memory_gb") * F.col("executor_memory_overhead_pct") / F.lit(100.0))
-    j = search.where(F.col("status") == "met").join(estimates, "workload_id")
-    return j.select("workload_id", F.lit("cost").alias("model"), F.col("best_executors").alias("executors"),
+def from_cost(search: DataFrame) -> DataFrame:
+    """Executors from the SLA search (met only); memory per executor with
+    overhead. ``search`` carries the per-workload memory fields
+    (``sla_search(cands, keep=COST_KEEP)``), so no join is needed."""
+    per_exec_gb = F.col("executor_memory_gb") + F.col("overhead_gb")
+    return (search.where(F.col("status") == "met")
+            .select("workload_id", F.lit("cost").alias("model"), F.col("best_executors").alias("executors"),
                     (F.col("best_executors") * F.col("cores_per_executor")).cast("bigint").alias("total_cores"),
-                    ceil_long(F.col("best_executors") * per_exec_gb * F.lit(1024.0)).alias("total_ram_mb"))
+                    ceil_long(F.col("best_executors") * per_exec_gb * F.lit(1024.0)).alias("total_ram_mb")))
+
+
+COST_KEEP = ("cores_per_executor", "executor_memory_gb", "overhead_gb")
 
 
 def from_profile(plans: DataFrame) -> DataFrame:

@@ -117,8 +117,8 @@ def _estimates(spark, sf_dir):
     return C.cost_estimate(spark, fixture(spark, sf_dir, "cost_workloads"))
 
 
-def _candidates(spark, sf_dir):
-    return C.candidates(spark, fixture(spark, sf_dir, "cost_workloads"))
+def _candidates(spark, sf_dir, with_prev=False):
+    return C.candidates(spark, fixture(spark, sf_dir, "cost_workloads"), with_prev=with_prev)
 
 
 @job("cost_estimate")
@@ -138,7 +138,7 @@ def sla_search(spark, sf_dir):
 
 @job("curve_gain")
 def curve_gain(spark, sf_dir):
-    return C.curve_gain(_candidates(spark, sf_dir))
+    return C.curve_gain(_candidates(spark, sf_dir, with_prev=True))
 
 
 @job("cheapest")
@@ -245,7 +245,7 @@ def _compared(spark, sf_dir):
     cw = fixture(spark, sf_dir, "cost_workloads")
     return X.compare_models(
         X.from_wave(W.wave_plan(fixture(spark, sf_dir, "workloads"))),
-        X.from_cost(C.sla_search(C.candidates(spark, cw)), C.prepare(spark, cw)),
+        X.from_cost(C.sla_search(C.candidates(spark, cw), keep=X.COST_KEEP)),
         X.from_profile(_profile_plans(spark, sf_dir)),
         X.from_node(_packings(spark, sf_dir)))
 

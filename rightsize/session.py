@@ -18,7 +18,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.host", "127.0.0.1")
          .config("spark.driver.bindAddress", "127.0.0.1")
-         .config("spark.driver.memory", "8g")
+         .config("spark.driver.memory", "16g")
          .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -31,7 +31,7 @@ def test_search_best_meets_target_and_one_less_does_not(spark):
 
 
 def test_runtime_never_rises_with_executors(spark):
-    cands = C.candidates(spark, fixture(spark, SF_SMALL, "cost_workloads"))
+    cands = C.candidates(spark, fixture(spark, SF_SMALL, "cost_workloads"), with_prev=True)
     rises = cands.where(F.col("in_curve") & (F.col("n") > F.col("curve_from"))
                         & (F.col("runtime_min") > F.col("prev_runtime_min")))
     assert rises.count() == 0
