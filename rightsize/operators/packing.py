@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rightsize.functions.numeric import ceil_long, floor_long, safe_div
+from rightsize.sources.defaults import NODE_WORKLOAD_DEFAULTS, SHAPE_DEFAULTS, with_defaults
 from rightsize.sources.dims import BROADCAST_ROW_LIMIT, dim
 
 # Node-packer constants and alert thresholds.
@@ -48,8 +49,9 @@ SHAPE_OUTPUTS = ("status", "executors_per_node", "total_executors", "total_compu
 
 
 def shape_sizing(shapes: DataFrame) -> DataFrame:
-    """N1, N2, N5, N10 and V5 per shape."""
+    """N1, N2, N5, N10 and V5 per shape (missing fields: form defaults, S3)."""
     c = F.col
+    shapes = with_defaults(shapes, SHAPE_DEFAULTS)
     epn = floor_long(safe_div(c("node_cores") - c("os_cores"), c("target_exec_cores")))
     total = epn * c("num_nodes") - F.lit(DRIVER_SLOTS)
     status = (F.when(epn.isNull() | (epn < 1), F.lit("no_executor_fits"))
@@ -90,6 +92,7 @@ def node_pack(spark: SparkSession, workloads: DataFrame, shapes: DataFrame) -> D
     """N1-N8, N10 for each workload on its cluster's shape."""
     c = F.col
     sized = shape_sizing(shapes)
+    workloads = with_defaults(workloads, NODE_WORKLOAD_DEFAULTS)
     j = (workloads.join(dim(spark, "inflation"), "data_format", "left")
          .join(sized, "cluster_id", "left"))
     ok = c("status") == "ok"

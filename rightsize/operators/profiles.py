@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rightsize.functions.numeric import ceil_long, first_reason, safe_div
+from rightsize.sources.defaults import PROFILE_DEFAULTS as PROFILE_FORM_DEFAULTS
+from rightsize.sources.defaults import with_defaults
 from rightsize.sources.dims import PROFILE_DEFAULTS, dim
 
 # Multipliers, memory rules and driver sizes of the profile planner.
@@ -45,6 +47,7 @@ PLAN_OUTPUTS = ("executors", "executor_cores", "executor_memory_mb", "executor_o
 def resolve(spark: SparkSession, workloads: DataFrame) -> DataFrame:
     """P1 + P2 + P3: profile defaults, unit normalisation and coefficient lookups."""
     c = F.col
+    workloads = with_defaults(workloads, PROFILE_FORM_DEFAULTS)
     df = workloads.join(dim(spark, "profiles"), "profile", "left")
     override = F.coalesce(c("manual_override"), F.lit(False))
     df = df.select(

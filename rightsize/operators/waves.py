@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rightsize.functions.numeric import ceil_long, col_or_lit, dbl, first_reason, floor_long, round_half_even, safe_div
+from rightsize.sources.defaults import WAVE_DEFAULTS
 
 # Memory constants and defaults of the wave planner.
 RESERVED_MEMORY_MB = 300
@@ -97,13 +98,17 @@ WAVE_OUTPUTS = ("tasks", "t_eff_sec", "waves", "total_cores_needed", "executors"
 
 
 def _with_coefficients(workloads: DataFrame, c: WaveConstants) -> DataFrame:
-    """Columns the planner reads, falling back to the constants when absent."""
-    defaults = {"block_size_mb": c.block_size_mb, "t_base_sec": float(c.t_base_sec),
-                "e_mem_rate": float(c.e_mem_rate), "cores_per_exec": c.cores_per_exec,
-                "skew_memory_mode": c.skew_memory_mode}
+    """Columns the planner reads: the planner constants for its system
+    parameters, the form defaults (S3) for any missing workload field."""
+    defaults = {k: v for k, v in WAVE_DEFAULTS.items() if k not in workloads.columns or k in
+                ("data_size_gb", "sla_seconds", "k_comp", "k_skew")}
+    defaults.update({"block_size_mb": c.block_size_mb, "t_base_sec": float(c.t_base_sec),
+                     "e_mem_rate": float(c.e_mem_rate), "cores_per_exec": c.cores_per_exec,
+                     "skew_memory_mode": c.skew_memory_mode})
+    types = {f.name: f.dataType for f in workloads.schema.fields}
     cols = [F.col(x) for x in workloads.columns if x not in defaults]
     for name, value in defaults.items():
-        src = F.coalesce(F.col(name), F.lit(value)) if name in workloads.columns else F.lit(value)
+        src = F.coalesce(F.col(name), F.lit(value).cast(types[name])) if name in types else F.lit(value)
         cols.append(src.alias(name))
     return workloads.select(*cols)
 
@@ -184,16 +189,22 @@ def wave_fleet(validated: DataFrame) -> DataFrame:
 
 
 def wave_sensitivity(workloads: DataFrame, constants: WaveConstants = WaveConstants(),
-                     modes: tuple[str, ...] = SKEW_MEMORY_MODES) -> DataFrame:
-    """Every workload under every skew-memory mode, demand per mode.
+                     modes: tuple[str, ...] = SKEW_MEMORY_MODES,
+                     k_skew_steps: tuple[float, ...] | None = None) -> DataFrame:
+    """Every workload under every skew-memory mode (and, optionally,
+    every k_skew step in place of its own), demand per grid point.
 
-    The modes are generated per row (``explode`` of a literal array), so
-    nothing is joined; the aggregate pre-combines map-side.
+    The grid is generated per row (``explode`` of literal arrays), so nothing
+    is joined; the aggregate pre-combines map-side.
     """
     grid = workloads.withColumn("skew_memory_mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    keys = ["skew_memory_mode"]
+    if k_skew_steps is not None:
+        grid = grid.withColumn("k_skew", F.explode(F.array(*[F.lit(float(k)) for k in k_skew_steps])))
+        keys.append("k_skew")
     plans = wave_validate(grid, constants)
     valid = F.col("reject_reason").isNull()
-    return (plans.groupBy("skew_memory_mode")
+    return (plans.groupBy(*keys)
             .agg(F.sum(F.when(valid, 1).otherwise(0)).cast("bigint").alias("plans"),
                  F.sum("executors").alias("executors"),
                  F.sum(F.col("container_memory_mb") * F.col("executors")).alias("total_memory_mb"),

@@ -108,6 +108,15 @@ def wave_sensitivity(spark, sf_dir):
     return W.wave_sensitivity(fixture(spark, sf_dir, "workloads"))
 
 
+K_SKEW_STEPS = (1.0, 1.5, 2.0, 2.5, 3.0)
+
+
+@job("wave_skew_sensitivity")
+def wave_skew_sensitivity(spark, sf_dir):
+    """W13 over the k_skew range of the form, in steps of 0.5, x skew modes."""
+    return W.wave_sensitivity(fixture(spark, sf_dir, "workloads"), k_skew_steps=K_SKEW_STEPS)
+
+
 # ---- cost model (C) ---------------------------------------------------------
 
 from rightsize.operators import cost as C  # noqa: E402

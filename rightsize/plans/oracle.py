@@ -641,3 +641,15 @@ SELECT dataset, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, sum(byte
 FROM file_manifest GROUP BY dataset"""
 
 SQL["write_plans"] = SQL["wave_plan_typed"]
+
+SQL["wave_skew_sensitivity"] = _with("workloads", extra="""grid AS (
+  SELECT workload_id, data_size_gb, sla_seconds, k_comp, k AS k_skew, m AS skew_memory_mode,
+    25e0 AS t_base_sec, 3e0 AS e_mem_rate
+  FROM workloads, (SELECT unnest(['off', 'sqrt', 'linear']) AS m), (SELECT unnest([1.0e0, 1.5e0, 2.0e0, 2.5e0, 3.0e0]) AS k))""") + f"""
+SELECT skew_memory_mode, k_skew,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS plans,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN executors END) AS BIGINT) AS executors,
+  CAST(sum(CASE WHEN reject_reason IS NULL THEN total_memory_mb_raw END) AS BIGINT) AS total_memory_mb,
+  max(CASE WHEN reject_reason IS NULL THEN container_memory_mb END) AS max_container_memory_mb
+FROM ({_wave_steps('grid')})
+GROUP BY skew_memory_mode, k_skew"""

@@ -47,7 +47,7 @@ COST_DEFAULTS: dict[str, object] = {
     "max_executors": 120,
 }
 
-# Defaults of the wave planner's input form.
+# Defaults of the wave planner's input form (SLA 20 min).
 WAVE_DEFAULTS: dict[str, object] = {
     "data_size_gb": 500.0,
     "sla_seconds": 1200,
@@ -60,10 +60,25 @@ WAVE_DEFAULTS: dict[str, object] = {
     "skew_memory_mode": "off",
 }
 
-# Defaults of the node packer's input form.
-NODE_DEFAULTS: dict[str, object] = {
-    "data_size_gb": 1000,
-    "data_format": "Parquet / ORC",
+# Defaults of the profile planner's input form.
+PROFILE_DEFAULTS: dict[str, object] = {
+    "profile": "Balanced",
+    "data_volume": 100.0,
+    "volume_unit": "GB",
+    "data_format": "Parquet",
+    "complexity": "Medium",
+    "sla_minutes": 60,
+    "use_cache": False,
+    "manual_override": False,
+    # used only under manual override (the override widgets' defaults)
+    "shuffle_intensity": "Heavy",
+    "skew_risk": True,
+    "safety_buffer_pct": 15,
+    "max_executors_cap": 250,
+}
+
+# Defaults of the node packer's input form (shape fields).
+SHAPE_DEFAULTS: dict[str, object] = {
     "node_cores": 16,
     "node_ram_gb": 64,
     "num_nodes": 6,
@@ -74,14 +89,21 @@ NODE_DEFAULTS: dict[str, object] = {
     "memory_fraction": 0.6,
 }
 
+# Defaults of the node packer's input form (workload fields).
+NODE_WORKLOAD_DEFAULTS: dict[str, object] = {
+    "data_size_gb": 1000,
+    "data_format": "Parquet / ORC",
+}
+
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Add each missing field as its default; fill NULLs of present fields."""
+    """Add each missing field as its default; fill NULLs of present fields
+    (keeping the present column's type)."""
     cols = []
-    present = set(df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
     for name, value in defaults.items():
-        if name in present:
-            cols.append(F.coalesce(F.col(name), F.lit(value)).alias(name))
+        if name in types:
+            cols.append(F.coalesce(F.col(name), F.lit(value).cast(types[name])).alias(name))
         else:
             cols.append(F.lit(value).alias(name))
     others = [c for c in df.columns if c not in defaults]
