@@ -209,3 +209,22 @@ def wave_sensitivity(workloads: DataFrame, constants: WaveConstants = WaveConsta
                  F.sum("executors").alias("executors"),
                  F.sum(F.col("container_memory_mb") * F.col("executors")).alias("total_memory_mb"),
                  F.max("container_memory_mb").alias("max_container_memory_mb")))
+
+
+def wave_report(plans: DataFrame) -> DataFrame:
+    """The planner's nested result as STRUCT columns (inputs, execution,
+    cluster, memory, spark_submit); a projection over the flat plan table."""
+    c = F.col
+    return plans.select(
+        "workload_id",
+        F.struct("data_size_gb", "sla_seconds", "k_comp", "k_skew").alias("inputs"),
+        F.struct("tasks", F.round("t_eff_sec", 2).alias("t_eff"), "waves").alias("execution"),
+        F.struct("executors", "total_cores", c("cores_per_executor"),
+                 c("container_memory_gb"), c("total_cluster_memory_gb")).alias("cluster"),
+        F.struct(F.round("m_task_mb", 2).alias("m_task_mb"), F.round("m_unified_mb", 2).alias("m_unified_mb"),
+                 c("executor_heap_mb"), c("executor_overhead_mb"), c("container_memory_mb"),
+                 "skew_memory_mode", F.round("memory_skew_factor", 3).alias("memory_skew_factor")).alias("memory"),
+        F.struct(c("executors").alias("num_executors"), c("cores_per_executor").alias("executor_cores"),
+                 F.concat(c("executor_heap_mb").cast("string"), F.lit("m")).alias("executor_memory"),
+                 F.concat(c("executor_overhead_mb").cast("string"), F.lit("m")).alias("memory_overhead"))
+        .alias("spark_submit"))

@@ -125,3 +125,13 @@ def test_g5_node_defaults(spark):
 def test_g5b_infeasible(spark):
     r = _shape(spark, 4)
     assert r.executors_per_node == 0 and r.status == "no_executor_fits" and r.alerts is None
+
+
+def test_wave_report_nesting(spark):
+    df = spark.createDataFrame([(1, "t", 100.0, 600, 1.5, 1.2, "off")],
+                               "workload_id long, team string, data_size_gb double, sla_seconds int, "
+                               "k_comp double, k_skew double, skew_memory_mode string")
+    r = W.wave_report(W.wave_plan(df)).first()
+    assert r.execution.t_eff == 45.0 and r.cluster.executors == 13
+    assert r.memory.m_task_mb == 576.0 and r.memory.m_unified_mb == 2880.0
+    assert r.spark_submit.executor_memory == "5100m" and r.spark_submit.memory_overhead == "510m"
