@@ -59,3 +59,19 @@ def test_cheapest_meets_target(spark):
     assert j.where(F.col("cheapest_runtime_min") > F.col("target_runtime_min")).count() == 0
     assert j.where(F.col("cheapest_executors") < F.col("best_executors")).count() == 0
     assert ch.count() == search.where("status = 'met'").count()
+
+
+def test_approximate_median_is_close(spark):
+    from rightsize.operators import calibrate as K
+    tm = fixture(spark, SF_SMALL, "task_metrics")
+    exact = {(r.app_id, r.stage_id): r.median_ms for r in K.stage_summary(tm, exact=True).collect()}
+    approx = {(r.app_id, r.stage_id): r.median_ms for r in K.stage_summary(tm, exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    # percentile_approx returns an observed value next to the exact median
+    values = {}
+    for r in tm.select("app_id", "stage_id", "duration_ms").collect():
+        values.setdefault((r.app_id, r.stage_id), []).append(r.duration_ms)
+    for k, v in values.items():
+        v.sort()
+        lo, hi = v[(len(v) - 1) // 2], v[len(v) // 2]
+        assert lo <= approx[k] <= hi or abs(approx[k] - exact[k]) <= 0.01 * exact[k] + 1
