@@ -48,11 +48,24 @@ def round_half_even(c: Column, scale: int) -> Column:
     return F.bround(c, scale)
 
 
+def codes_where(*pairs: tuple[Column, str]) -> Column:
+    """Array of the codes whose condition holds, in the given order.
+
+    ``array_remove`` over a fixed array keeps the expression code-generated
+    (a lambda-based filter would pull the whole operator out of whole-stage
+    codegen).
+    """
+    return F.array_remove(F.array(*[F.when(cond, F.lit(code)).otherwise(F.lit(""))
+                                    for cond, code in pairs]), "")
+
+
 def first_reason(*pairs: tuple[Column, str]) -> tuple[Column, Column]:
     """Ordered rule list -> (array of failed rule codes, first failed code).
 
     ``pairs`` is ``(failed_condition, code)``; the first failing rule is the
-    one the scalar version would have raised.
+    one the scalar version would have raised (a CASE chain, NULL if none).
     """
-    arr = F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in pairs]))
-    return arr, F.get(arr, 0)
+    first = F.when(pairs[0][0], F.lit(pairs[0][1]))
+    for cond, code in pairs[1:]:
+        first = first.when(cond, F.lit(code))
+    return codes_where(*pairs), first

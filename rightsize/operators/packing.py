@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rightsize.functions.numeric import ceil_long, floor_long, safe_div
+from rightsize.functions.numeric import ceil_long, codes_where, floor_long, safe_div
 from rightsize.sources.defaults import NODE_WORKLOAD_DEFAULTS, SHAPE_DEFAULTS, with_defaults
 from rightsize.sources.dims import BROADCAST_ROW_LIMIT, dim
 
@@ -79,12 +79,12 @@ def shape_sizing(shapes: DataFrame) -> DataFrame:
 
 def alert_codes(heap: Column, target: Column, inflated_gb: Column, unified_gb: Column) -> Column:
     """Alert codes in check order; ``ok`` when none is raised."""
-    raised = F.array_compact(F.array(
-        F.when(heap > COMPRESSED_OOPS_HEAP_GB, F.lit("compressed_oops_lost")),
-        F.when(target > FAT_EXECUTOR_CORES, F.lit("fat_executor")),
-        F.when(target == 1, F.lit("tiny_executor")),
-        F.when(inflated_gb > unified_gb, F.lit("spill_risk"))
-         .when(inflated_gb > unified_gb * F.lit(HIGH_MEMORY_USE), F.lit("high_memory_use"))))
+    raised = codes_where(
+        (heap > COMPRESSED_OOPS_HEAP_GB, "compressed_oops_lost"),
+        (target > FAT_EXECUTOR_CORES, "fat_executor"),
+        (target == 1, "tiny_executor"),
+        (inflated_gb > unified_gb, "spill_risk"),
+        ((inflated_gb <= unified_gb) & (inflated_gb > unified_gb * F.lit(HIGH_MEMORY_USE)), "high_memory_use"))
     return F.when(F.size(raised) == 0, F.array(F.lit("ok"))).otherwise(raised)
 
 

@@ -143,11 +143,11 @@ def plan_columns() -> dict[str, Column]:
 def profile_validate(spark: SparkSession, workloads: DataFrame) -> DataFrame:
     """Every workload with its plan (NULL when rejected) and reject reason."""
     df = resolve(spark, workloads)
-    reasons, first = reject_reasons()
-    valid = F.size(reasons) == 0
+    _, first = reject_reasons()
+    df = df.select("*", first.alias("reject_reason"))
+    valid = F.col("reject_reason").isNull()
     cols = plan_columns()
-    return df.select("*", *[F.when(valid, v).alias(k) for k, v in cols.items()],
-                     first.alias("reject_reason"))
+    return df.select("*", *[F.when(valid, v).alias(k) for k, v in cols.items()])
 
 
 def profile_plan(spark: SparkSession, workloads: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rightsize.functions.numeric import codes_where
+
 # Declared input ranges of the four input forms.
 # (rule code, column, lowest allowed, highest allowed); a str bound names a column.
 RULES: dict[str, list[tuple[str, str, object, object]]] = {
@@ -73,8 +75,7 @@ def _violated(column: str, lo, hi) -> Column:
 def violations(df: DataFrame, table: str, rules=None) -> DataFrame:
     """One row per (row, violated rule)."""
     rules = rules if rules is not None else RULES[table]
-    failed = F.array_compact(F.array(*[F.when(_violated(col, lo, hi), F.lit(code))
-                                       for code, col, lo, hi in rules]))
+    failed = codes_where(*[(_violated(col, lo, hi), code) for code, col, lo, hi in rules])
     return df.select(F.lit(table).alias("table_name"), F.col(KEYS[table]).cast("bigint").alias("row_key"),
                      F.explode(failed).alias("rule"))
 

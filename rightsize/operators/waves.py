@@ -133,8 +133,7 @@ def wave_validate(workloads: DataFrame, constants: WaveConstants = WaveConstants
         (system_bad, "system_param_not_positive"),
         (F.coalesce(c("waves"), F.lit(0)) < 1, "sla_too_tight"),
     )
-    df = df.select("*", reasons.alias("reject_reasons"))
-    df = df.select("*", F.get(c("reject_reasons"), 0).alias("reject_reason"))
+    df = df.select("*", reasons.alias("reject_reasons"), first.alias("reject_reason"))
     valid = c("reject_reason").isNull()
     keep = [x for x in df.columns if x not in WAVE_OUTPUTS]
     return df.select(*keep, *[F.when(valid, c(k)).alias(k) for k in WAVE_OUTPUTS])

@@ -59,3 +59,19 @@ def test_calibration_reads_one_narrow_scan(spark):
 def test_dims_are_broadcast(spark):
     p = plan(spark, "profile_plan")
     assert p.count("BroadcastHashJoin") >= 4
+
+
+@pytest.mark.parametrize("name", ["profile_plan", "wave_plan_typed", "node_pack", "cost_estimate",
+                                  "sla_search", "calibrate", "pick_shape", "wave_rejects"])
+def test_projections_stay_in_whole_stage_codegen(spark, name):
+    """No lambda-based (CodegenFallback) expression splits a model's projection
+    out of whole-stage codegen."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(spark, name)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for line in p.splitlines():
+        node = line.lstrip(" :+-")
+        if node.startswith(("Project [", "Filter ")):
+            assert False, f"{name}: outside whole-stage codegen: {node[:80]}"
