@@ -79,84 +79,107 @@ def reject_reasons() -> tuple[Column, Column]:
     )
 
 
-def plan_columns() -> dict[str, Column]:
-    """P4-P15, P18 over the resolved columns."""
+def _plan_stages() -> list:
+    """P4-P15, P18 as projection stages over the resolved columns; each stage
+    names its results (``_p_*`` for intermediates) for the next one. Small
+    stages keep each generated method small enough for the JIT."""
     c = F.col
-    high = c("complexity") == "High"
-    cache = F.when(c("use_cache"), F.lit(CACHE_MULTIPLIER)).otherwise(F.lit(1.0))
-    skew = F.when(c("skew_risk"), F.lit(SKEW_MULTIPLIER)).otherwise(F.lit(1.0))
-    safety = F.lit(1.0) + c("safety_buffer_pct") / F.lit(100)
-    eff_mb = ceil_long(c("data_volume_gb") * F.lit(GB_IN_MB) * c("format_factor")
-                       * c("shuffle_factor") * safety)
-    aqe = F.when(high | (c("shuffle_intensity") == "Extreme"), F.lit(AQE_PARTITION_SMALL_MB)) \
-        .otherwise(F.lit(AQE_PARTITION_MB))
     one = F.lit(1).cast("bigint")
-    parts = F.greatest(one, ceil_long(eff_mb / aqe))
-    need_mbps = safe_div(eff_mb, c("sla_minutes") * F.lit(60))
-    cores_sla = F.greatest(one, ceil_long(need_mbps / c("throughput_mbps")))
-    cores_parts = F.greatest(one, ceil_long(parts / c("partitions_per_core")))
-    req = F.greatest(cores_sla, cores_parts)
-    exec_cores = F.when(high | (c("shuffle_intensity") != "Standard"), F.lit(4)).otherwise(F.lit(5))
-    raw = F.greatest(one, ceil_long(req / exec_cores))
-    executors = F.least(raw, c("max_executors_cap").cast("bigint"))
-    pressure = cache * c("shuffle_factor") * skew
-    mem_tasks = (exec_cores * c("task_memory_mb")) * pressure
-    jvm = F.when(high, F.lit(JVM_RESERVE_HIGH_MB)).otherwise(F.lit(JVM_RESERVE_MB))
-    base_mem = F.greatest(F.lit(MIN_EXECUTOR_MEMORY_MB).cast("bigint"), ceil_long(mem_tasks + jvm))
-    exec_mem = ceil_long(base_mem / F.lit(MEMORY_ROUNDING_MB)) * F.lit(MEMORY_ROUNDING_MB)
-    overhead = F.greatest(F.lit(MIN_OVERHEAD_MB).cast("bigint"), ceil_long(exec_mem * F.lit(OVERHEAD_FRACTION)))
-    driver_mem = (F.when(high, F.lit(DRIVER_HIGH_MB) + F.when(c("skew_risk"), F.lit(DRIVER_HIGH_SKEW_EXTRA_MB))
-                         .otherwise(F.lit(0)))
-                  .when(c("complexity") == "Medium",
-                        F.when(c("use_cache"), F.lit(DRIVER_MEDIUM_CACHED_MB)).otherwise(F.lit(DRIVER_MEDIUM_MB)))
-                  .otherwise(F.lit(DRIVER_LOW_MB)))
-    driver_cores = F.when(high, F.lit(DRIVER_HIGH_CORES)).otherwise(F.lit(1))
-    total_cores = executors * exec_cores
-    total_ram = executors * (exec_mem + overhead) + driver_mem
-    shuffle_parts = F.greatest(parts, total_cores * F.lit(2))
-    advisory = aqe.cast("bigint") * F.lit(MB_IN_BYTES)
-    mem_gb_flag = F.greatest(one, ceil_long(exec_mem / F.lit(GB_IN_MB)))
-    driver_gb_flag = F.greatest(one, ceil_long(driver_mem / F.lit(GB_IN_MB)))
+    high = c("complexity") == "High"
     s = lambda x: x.cast("string")
-    submit = F.concat(
-        F.lit("--num-executors "), s(executors), F.lit(" --executor-cores "), s(exec_cores),
-        F.lit(" --executor-memory "), s(mem_gb_flag), F.lit("g --driver-cores "), s(driver_cores),
-        F.lit(" --driver-memory "), s(driver_gb_flag),
-        F.lit("g --conf spark.executor.memoryOverhead="), s(overhead),
-        F.lit(" --conf spark.serializer=org.apache.spark.serializer.KryoSerializer"
-              " --conf spark.sql.adaptive.enabled=true"
-              " --conf spark.sql.adaptive.coalescePartitions.enabled=true"
-              " --conf spark.sql.adaptive.advisoryPartitionSizeInBytes="), s(advisory),
-        F.lit(" --conf spark.sql.shuffle.partitions="), s(shuffle_parts),
-        F.lit(" --conf spark.default.parallelism="), s(shuffle_parts))
-    return {
-        "executors": executors, "executor_cores": exec_cores, "executor_memory_mb": exec_mem,
-        "executor_overhead_mb": overhead, "driver_memory_mb": driver_mem, "driver_cores": driver_cores,
-        "total_cluster_cores": total_cores, "total_cluster_ram_mb": total_ram,
-        "effective_data_mb": eff_mb, "aqe_partition_mb": aqe, "total_partitions": parts,
-        "required_parallel_tasks": req, "shuffle_partitions": shuffle_parts,
-        "advisory_partition_bytes": advisory, "raw_executors": raw, "cap_hit": raw > executors,
-        "effective_data_gb": eff_mb / F.lit(float(GB_IN_MB)), "spark_submit": submit,
-    }
+    return [
+        lambda: {
+            "_p_cache": F.when(c("use_cache"), F.lit(CACHE_MULTIPLIER)).otherwise(F.lit(1.0)),
+            "_p_skew": F.when(c("skew_risk"), F.lit(SKEW_MULTIPLIER)).otherwise(F.lit(1.0)),
+            "_p_safety": F.lit(1.0) + c("safety_buffer_pct") / F.lit(100),
+            "aqe_partition_mb": F.when(high | (c("shuffle_intensity") == "Extreme"), F.lit(AQE_PARTITION_SMALL_MB))
+                                 .otherwise(F.lit(AQE_PARTITION_MB)),
+            "executor_cores": F.when(high | (c("shuffle_intensity") != "Standard"), F.lit(4)).otherwise(F.lit(5)),
+            "_p_jvm": F.when(high, F.lit(JVM_RESERVE_HIGH_MB)).otherwise(F.lit(JVM_RESERVE_MB)),
+            "driver_memory_mb": (F.when(high, F.lit(DRIVER_HIGH_MB)
+                                        + F.when(c("skew_risk"), F.lit(DRIVER_HIGH_SKEW_EXTRA_MB)).otherwise(F.lit(0)))
+                                 .when(c("complexity") == "Medium",
+                                       F.when(c("use_cache"), F.lit(DRIVER_MEDIUM_CACHED_MB))
+                                        .otherwise(F.lit(DRIVER_MEDIUM_MB)))
+                                 .otherwise(F.lit(DRIVER_LOW_MB))),
+            "driver_cores": F.when(high, F.lit(DRIVER_HIGH_CORES)).otherwise(F.lit(1)),
+        },
+        lambda: {
+            "effective_data_mb": ceil_long(c("data_volume_gb") * F.lit(GB_IN_MB) * c("format_factor")
+                                           * c("shuffle_factor") * c("_p_safety")),
+            "_p_mem_tasks": (c("executor_cores") * c("task_memory_mb"))
+                            * (c("_p_cache") * c("shuffle_factor") * c("_p_skew")),
+        },
+        lambda: {
+            "total_partitions": F.greatest(one, ceil_long(c("effective_data_mb") / c("aqe_partition_mb"))),
+            "_p_cores_sla": F.greatest(one, ceil_long(safe_div(c("effective_data_mb"), c("sla_minutes") * F.lit(60))
+                                                      / c("throughput_mbps"))),
+            "_p_base_mem": F.greatest(F.lit(MIN_EXECUTOR_MEMORY_MB).cast("bigint"),
+                                      ceil_long(c("_p_mem_tasks") + c("_p_jvm"))),
+        },
+        lambda: {
+            "required_parallel_tasks": F.greatest(c("_p_cores_sla"), F.greatest(
+                one, ceil_long(c("total_partitions") / c("partitions_per_core")))),
+            "executor_memory_mb": ceil_long(c("_p_base_mem") / F.lit(MEMORY_ROUNDING_MB)) * F.lit(MEMORY_ROUNDING_MB),
+        },
+        lambda: {
+            "raw_executors": F.greatest(one, ceil_long(c("required_parallel_tasks") / c("executor_cores"))),
+            "executor_overhead_mb": F.greatest(F.lit(MIN_OVERHEAD_MB).cast("bigint"),
+                                               ceil_long(c("executor_memory_mb") * F.lit(OVERHEAD_FRACTION))),
+        },
+        lambda: {"executors": F.least(c("raw_executors"), c("max_executors_cap").cast("bigint"))},
+        lambda: {
+            "total_cluster_cores": c("executors") * c("executor_cores"),
+            "total_cluster_ram_mb": c("executors") * (c("executor_memory_mb") + c("executor_overhead_mb"))
+                                    + c("driver_memory_mb"),
+            "cap_hit": c("raw_executors") > c("executors"),
+            "advisory_partition_bytes": c("aqe_partition_mb").cast("bigint") * F.lit(MB_IN_BYTES),
+            "effective_data_gb": c("effective_data_mb") / F.lit(float(GB_IN_MB)),
+        },
+        lambda: {"shuffle_partitions": F.greatest(c("total_partitions"), c("total_cluster_cores") * F.lit(2))},
+        lambda: {"spark_submit": F.concat(
+            F.lit("--num-executors "), s(c("executors")), F.lit(" --executor-cores "), s(c("executor_cores")),
+            F.lit(" --executor-memory "), s(F.greatest(one, ceil_long(c("executor_memory_mb") / F.lit(GB_IN_MB)))),
+            F.lit("g --driver-cores "), s(c("driver_cores")),
+            F.lit(" --driver-memory "), s(F.greatest(one, ceil_long(c("driver_memory_mb") / F.lit(GB_IN_MB)))),
+            F.lit("g --conf spark.executor.memoryOverhead="), s(c("executor_overhead_mb")),
+            F.lit(" --conf spark.serializer=org.apache.spark.serializer.KryoSerializer"
+                  " --conf spark.sql.adaptive.enabled=true"
+                  " --conf spark.sql.adaptive.coalescePartitions.enabled=true"
+                  " --conf spark.sql.adaptive.advisoryPartitionSizeInBytes="), s(c("advisory_partition_bytes")),
+            F.lit(" --conf spark.sql.shuffle.partitions="), s(c("shuffle_partitions")),
+            F.lit(" --conf spark.default.parallelism="), s(c("shuffle_partitions")))},
+    ]
+
+
+def _with_plan(df: DataFrame) -> DataFrame:
+    for stage in _plan_stages():
+        df = df.select("*", *[v.alias(k) for k, v in stage().items()])
+    return df.drop(*[x for x in df.columns if x.startswith("_p_")])
+
+
+def _resolved_with_reason(spark: SparkSession, workloads: DataFrame) -> DataFrame:
+    _, first = reject_reasons()
+    return resolve(spark, workloads).select("*", first.alias("reject_reason"))
 
 
 def profile_validate(spark: SparkSession, workloads: DataFrame) -> DataFrame:
     """Every workload with its plan (NULL when rejected) and reject reason."""
-    df = resolve(spark, workloads)
-    _, first = reject_reasons()
-    df = df.select("*", first.alias("reject_reason"))
+    df = _with_plan(_resolved_with_reason(spark, workloads))
     valid = F.col("reject_reason").isNull()
-    cols = plan_columns()
-    return df.select("*", *[F.when(valid, v).alias(k) for k, v in cols.items()])
+    keep = [x for x in df.columns if x not in PLAN_OUTPUTS]
+    return df.select(*keep, *[F.when(valid, F.col(k)).alias(k) for k in PLAN_OUTPUTS])
 
 
 def profile_plan(spark: SparkSession, workloads: DataFrame) -> DataFrame:
-    return profile_validate(spark, workloads).where(F.col("reject_reason").isNull()).drop("reject_reason")
+    """Valid workloads only: the filter runs before any plan arithmetic."""
+    df = _resolved_with_reason(spark, workloads).where(F.col("reject_reason").isNull())
+    return _with_plan(df).drop("reject_reason")
 
 
 def enum_rejects(spark: SparkSession, workloads: DataFrame) -> DataFrame:
     """V4: workloads naming an unknown profile, format, complexity or shuffle level."""
-    return (profile_validate(spark, workloads).where(F.col("reject_reason").isNotNull())
+    return (_resolved_with_reason(spark, workloads).where(F.col("reject_reason").isNotNull())
             .select("workload_id", "profile", "data_format", "complexity", "shuffle_intensity", "reject_reason"))
 
 
