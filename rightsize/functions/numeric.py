@@ -69,3 +69,30 @@ def first_reason(*pairs: tuple[Column, str]) -> tuple[Column, Column]:
     for cond, code in pairs[1:]:
         first = first.when(cond, F.lit(code))
     return codes_where(*pairs), first
+
+
+def sql_literal(v) -> str:
+    """A Python scalar as a Spark SQL literal (DOUBLE for floats)."""
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return repr(v)
+    if isinstance(v, float):
+        return repr(v) + "D"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def stage(df, exprs: dict[str, str]):
+    """One projection stage: every named SQL expression added to the row."""
+    return df.selectExpr("*", *[f"{v} AS {k}" for k, v in exprs.items()])
+
+
+def case_first(pairs: list[tuple[str, str]]) -> str:
+    """SQL: the code of the first true condition (NULL if none)."""
+    return "CASE " + " ".join(f"WHEN {cond} THEN '{code}'" for cond, code in pairs) + " END"
+
+
+def codes_array(pairs: list[tuple[str, str]]) -> str:
+    """SQL: array of the codes whose condition is true, in order (codegen-able)."""
+    items = ", ".join(f"CASE WHEN {cond} THEN '{code}' ELSE '' END" for cond, code in pairs)
+    return f"array_remove(array({items}), '')"

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rightsize.functions.numeric import ceil_long, col_or_lit, dbl, first_reason, floor_long, round_half_even, safe_div
+from rightsize.functions.numeric import case_first, codes_array, safe_div, sql_literal, stage
 from rightsize.sources.defaults import WAVE_DEFAULTS
 
 # Memory constants and defaults of the wave planner.
@@ -45,48 +45,43 @@ def memory_skew_factor(mode: Column, k_skew: Column) -> Column:
             .otherwise(F.lit(1.0)))
 
 
-def _wave_stages(block_size_mb, t_base_sec, e_mem_rate, cores_per_exec):
-    """W1-W10 as a list of projection stages; each stage names its results
-    and later stages refer to them by name (small expression trees, each
-    sub-result computed once). Operation order is as specified."""
-    c = F.col
-    block, tb, em = dbl(block_size_mb), dbl(t_base_sec), dbl(e_mem_rate)
-    cores = col_or_lit(cores_per_exec).cast("bigint")
+def _wave_stages(block: str, t_base: str, e_mem: str, cores: str) -> list[dict[str, str]]:
+    """W1-W10 as projection stages (SQL over the named input columns); each
+    stage names its results for the next one. Operation order as specified."""
+    d = lambda x: f"CAST({x} AS DOUBLE)"
     return [
-        lambda: {"tasks": ceil_long(dbl("data_size_gb") * F.lit(1024.0) / block),              # W1
-                 "t_eff_sec": tb * dbl("k_comp") * dbl("k_skew"),                               # W2
-                 "cores_per_executor": cores,
-                 "memory_skew_factor": memory_skew_factor(c("skew_memory_mode"), dbl("k_skew"))},  # W5
-        lambda: {"waves": floor_long(safe_div(dbl("sla_seconds"), c("t_eff_sec"))),            # W3
-                 "m_task_mb": block * em * dbl("k_comp") * c("memory_skew_factor")},            # W6
-        lambda: {"total_cores_needed": ceil_long(safe_div(c("tasks"), F.when(c("waves") >= 1, c("waves")))),  # W4
-                 "m_unified_mb": c("m_task_mb") * c("cores_per_executor").cast("double")},
-        lambda: {"executors": ceil_long(safe_div(c("total_cores_needed"), c("cores_per_executor"))),
-                 "executor_heap_mb": ceil_long(c("m_unified_mb") / F.lit(MEMORY_FRACTION)          # W7
-                                               + F.lit(float(RESERVED_MEMORY_MB)))},
-        lambda: {"total_cores": c("executors") * c("cores_per_executor"),
-                 "executor_overhead_mb": ceil_long(F.greatest(F.lit(float(MIN_OVERHEAD_MB)),
-                                                              c("executor_heap_mb") * F.lit(OVERHEAD_FRACTION)))},
-        lambda: {"container_memory_mb": c("executor_heap_mb") + c("executor_overhead_mb")},
-        lambda: {"container_memory_gb": round_half_even(c("container_memory_mb") / F.lit(1024.0), 2),   # W8
-                 "total_cluster_memory_gb": round_half_even(
-                     c("container_memory_mb") * c("executors") / F.lit(1024.0), 2),
-                 "total_cluster_memory_gb_legacy": round_half_even(                                   # W9
-                     round_half_even(c("container_memory_mb") / F.lit(1024.0), 2) * c("executors"), 2),
-                 "spark_submit": F.concat(                                                            # W10
-                     F.lit("spark-submit --num-executors "), c("executors").cast("string"),
-                     F.lit(" --executor-cores "), c("cores_per_executor").cast("string"),
-                     F.lit(" --executor-memory "), c("executor_heap_mb").cast("string"), F.lit("m"),
-                     F.lit(" --conf spark.executor.memoryOverhead="), c("executor_overhead_mb").cast("string"),
-                     F.lit("m"))},
+        {"tasks": f"CAST(ceil({d('data_size_gb')} * 1024.0D / {d(block)}) AS BIGINT)",                      # W1
+         "t_eff_sec": f"{d(t_base)} * {d('k_comp')} * {d('k_skew')}",                                       # W2
+         "cores_per_executor": f"CAST({cores} AS BIGINT)",
+         "memory_skew_factor": (f"CASE WHEN skew_memory_mode = 'linear' THEN {d('k_skew')}"                 # W5
+                                f" WHEN skew_memory_mode = 'sqrt' THEN sqrt({d('k_skew')}) ELSE 1.0D END")},
+        {"waves": f"CAST(floor(try_divide({d('sla_seconds')}, {d('t_eff_sec')})) AS BIGINT)",               # W3
+         "m_task_mb": f"{d(block)} * {d(e_mem)} * {d('k_comp')} * memory_skew_factor"},                     # W6
+        {"total_cores_needed": (f"CAST(ceil(try_divide({d('tasks')},"                                       # W4
+                                f" {d('CASE WHEN waves >= 1 THEN waves END')})) AS BIGINT)"),
+         "m_unified_mb": f"m_task_mb * {d('cores_per_executor')}"},
+        {"executors": f"CAST(ceil(try_divide({d('total_cores_needed')}, {d('cores_per_executor')})) AS BIGINT)",
+         "executor_heap_mb": (f"CAST(ceil(m_unified_mb / {MEMORY_FRACTION}D"                                # W7
+                              f" + {float(RESERVED_MEMORY_MB)}D) AS BIGINT)")},
+        {"total_cores": "executors * cores_per_executor",
+         "executor_overhead_mb": (f"CAST(ceil(greatest({float(MIN_OVERHEAD_MB)}D,"
+                                  f" executor_heap_mb * {OVERHEAD_FRACTION}D)) AS BIGINT)")},
+        {"container_memory_mb": "executor_heap_mb + executor_overhead_mb"},
+        {"container_memory_gb": "bround(container_memory_mb / 1024.0D, 2)",                                # W8
+         "total_cluster_memory_gb": "bround(container_memory_mb * executors / 1024.0D, 2)",
+         "total_cluster_memory_gb_legacy": "bround(bround(container_memory_mb / 1024.0D, 2) * executors, 2)",  # W9
+         "spark_submit": ("concat('spark-submit --num-executors ', CAST(executors AS STRING),"               # W10
+                          " ' --executor-cores ', CAST(cores_per_executor AS STRING),"
+                          " ' --executor-memory ', CAST(executor_heap_mb AS STRING), 'm',"
+                          " ' --conf spark.executor.memoryOverhead=', CAST(executor_overhead_mb AS STRING), 'm')")},
     ]
 
 
 def wave_columns_df(df: DataFrame, block_size_mb="block_size_mb", t_base_sec="t_base_sec",
                     e_mem_rate="e_mem_rate", cores_per_exec="cores_per_exec") -> DataFrame:
     """``df`` with the W1-W10 columns added (no validation)."""
-    for stage in _wave_stages(block_size_mb, t_base_sec, e_mem_rate, cores_per_exec):
-        df = df.select("*", *[v.alias(k) for k, v in stage().items()])
+    for exprs in _wave_stages(block_size_mb, t_base_sec, e_mem_rate, cores_per_exec):
+        df = stage(df, exprs)
     return df
 
 
@@ -105,12 +100,23 @@ def _with_coefficients(workloads: DataFrame, c: WaveConstants) -> DataFrame:
     defaults.update({"block_size_mb": c.block_size_mb, "t_base_sec": float(c.t_base_sec),
                      "e_mem_rate": float(c.e_mem_rate), "cores_per_exec": c.cores_per_exec,
                      "skew_memory_mode": c.skew_memory_mode})
-    types = {f.name: f.dataType for f in workloads.schema.fields}
-    cols = [F.col(x) for x in workloads.columns if x not in defaults]
+    types = {f.name: f.dataType.simpleString() for f in workloads.schema.fields}
+    exprs = [f"`{x}`" for x in workloads.columns if x not in defaults]
     for name, value in defaults.items():
-        src = F.coalesce(F.col(name), F.lit(value).cast(types[name])) if name in types else F.lit(value)
-        cols.append(src.alias(name))
-    return workloads.select(*cols)
+        lit = sql_literal(value)
+        exprs.append(f"coalesce({name}, CAST({lit} AS {types[name]})) AS {name}" if name in types
+                     else f"{lit} AS {name}")
+    return workloads.selectExpr(*exprs)
+
+
+WAVE_RULES = [
+    ("data_size_gb <= 0", "data_size_not_positive"),
+    ("sla_seconds <= 0", "sla_not_positive"),
+    ("k_comp <= 0", "k_comp_not_positive"),
+    ("k_skew <= 0", "k_skew_not_positive"),
+    ("block_size_mb <= 0 OR t_base_sec <= 0 OR e_mem_rate <= 0 OR cores_per_exec <= 0", "system_param_not_positive"),
+    ("coalesce(waves, 0) < 1", "sla_too_tight"),
+]
 
 
 def wave_validate(workloads: DataFrame, constants: WaveConstants = WaveConstants()) -> DataFrame:
@@ -122,21 +128,9 @@ def wave_validate(workloads: DataFrame, constants: WaveConstants = WaveConstants
     """
     base_cols = [x for x in workloads.columns if x not in WAVE_OUTPUTS]
     df = wave_columns_df(_with_coefficients(workloads.select(*base_cols), constants))
-    c = F.col
-    system_bad = ((c("block_size_mb") <= 0) | (c("t_base_sec") <= 0)
-                  | (c("e_mem_rate") <= 0) | (c("cores_per_exec") <= 0))
-    reasons, first = first_reason(
-        (c("data_size_gb") <= 0, "data_size_not_positive"),
-        (c("sla_seconds") <= 0, "sla_not_positive"),
-        (c("k_comp") <= 0, "k_comp_not_positive"),
-        (c("k_skew") <= 0, "k_skew_not_positive"),
-        (system_bad, "system_param_not_positive"),
-        (F.coalesce(c("waves"), F.lit(0)) < 1, "sla_too_tight"),
-    )
-    df = df.select("*", reasons.alias("reject_reasons"), first.alias("reject_reason"))
-    valid = c("reject_reason").isNull()
-    keep = [x for x in df.columns if x not in WAVE_OUTPUTS]
-    return df.select(*keep, *[F.when(valid, c(k)).alias(k) for k in WAVE_OUTPUTS])
+    df = stage(df, {"reject_reasons": codes_array(WAVE_RULES), "reject_reason": case_first(WAVE_RULES)})
+    keep = [f"`{x}`" for x in df.columns if x not in WAVE_OUTPUTS]
+    return df.selectExpr(*keep, *[f"CASE WHEN reject_reason IS NULL THEN {k} END AS {k}" for k in WAVE_OUTPUTS])
 
 
 def wave_plan(workloads: DataFrame, constants: WaveConstants = WaveConstants()) -> DataFrame:
