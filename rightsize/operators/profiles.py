@@ -14,10 +14,10 @@ pivot: one exchange, combined map-side); ``profile_fleet`` is a CUBE.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rightsize.functions.numeric import ceil_long, first_reason, safe_div
+from rightsize.functions.numeric import case_first, stage
 from rightsize.sources.defaults import PROFILE_DEFAULTS as PROFILE_FORM_DEFAULTS
 from rightsize.sources.defaults import with_defaults
 from rightsize.sources.dims import PROFILE_DEFAULTS, dim
@@ -46,121 +46,95 @@ PLAN_OUTPUTS = ("executors", "executor_cores", "executor_memory_mb", "executor_o
 
 def resolve(spark: SparkSession, workloads: DataFrame) -> DataFrame:
     """P1 + P2 + P3: profile defaults, unit normalisation and coefficient lookups."""
-    c = F.col
     workloads = with_defaults(workloads, PROFILE_FORM_DEFAULTS)
     df = workloads.join(dim(spark, "profiles"), "profile", "left")
-    override = F.coalesce(c("manual_override"), F.lit(False))
-    df = df.select(
-        *[x for x in workloads.columns if x not in
-          ("shuffle_intensity", "skew_risk", "safety_buffer_pct", "max_executors_cap")],
-        c("profile_max_executors_cap").isNotNull().alias("profile_known"),
-        F.when(override, c("shuffle_intensity")).otherwise(c("profile_shuffle_intensity")).alias("shuffle_intensity"),
-        F.when(override, c("skew_risk")).otherwise(c("profile_skew_risk")).alias("skew_risk"),
-        F.when(override, c("safety_buffer_pct")).otherwise(c("profile_safety_buffer_pct"))
-         .cast("int").alias("safety_buffer_pct"),
-        F.when(override, c("max_executors_cap")).otherwise(c("profile_max_executors_cap"))
-         .cast("int").alias("max_executors_cap"),
-        F.when(c("volume_unit") == "TB", c("data_volume") * F.lit(1024.0))
-         .otherwise(c("data_volume")).cast("double").alias("data_volume_gb"))
+    over = "coalesce(manual_override, false)"
+    typed = ("shuffle_intensity", "skew_risk", "safety_buffer_pct", "max_executors_cap")
+    df = df.selectExpr(
+        *[f"`{x}`" for x in workloads.columns if x not in typed],
+        "profile_max_executors_cap IS NOT NULL AS profile_known",
+        f"CASE WHEN {over} THEN shuffle_intensity ELSE profile_shuffle_intensity END AS shuffle_intensity",
+        f"CASE WHEN {over} THEN skew_risk ELSE profile_skew_risk END AS skew_risk",
+        f"CAST(CASE WHEN {over} THEN safety_buffer_pct ELSE profile_safety_buffer_pct END AS INT) AS safety_buffer_pct",
+        f"CAST(CASE WHEN {over} THEN max_executors_cap ELSE profile_max_executors_cap END AS INT) AS max_executors_cap",
+        "CAST(CASE WHEN volume_unit = 'TB' THEN data_volume * 1024.0D ELSE data_volume END AS DOUBLE) AS data_volume_gb")
     return (df.join(dim(spark, "formats"), "data_format", "left")
               .join(dim(spark, "complexity"), "complexity", "left")
               .join(dim(spark, "shuffle"), "shuffle_intensity", "left"))
 
 
-def reject_reasons() -> tuple[Column, Column]:
-    """V4 (unknown names) and a non-positive SLA, in lookup order."""
-    c = F.col
-    return first_reason(
-        (~c("profile_known"), "unknown_profile"),
-        (c("format_factor").isNull(), "unknown_data_format"),
-        (c("task_memory_mb").isNull(), "unknown_complexity"),
-        (c("shuffle_factor").isNull(), "unknown_shuffle_intensity"),
-        (c("sla_minutes") <= 0, "sla_not_positive"),
-    )
-
-
-def _plan_stages() -> list:
-    """P4-P15, P18 as projection stages over the resolved columns; each stage
-    names its results (``_p_*`` for intermediates) for the next one. Small
-    stages keep each generated method small enough for the JIT."""
-    c = F.col
-    one = F.lit(1).cast("bigint")
-    high = c("complexity") == "High"
-    s = lambda x: x.cast("string")
+# V4 (unknown names) and a non-positive SLA, in lookup order.
+PROFILE_RULES = [
+    ("NOT profile_known", "unknown_profile"),
+    ("format_factor IS NULL", "unknown_data_format"),
+    ("task_memory_mb IS NULL", "unknown_complexity"),
+    ("shuffle_factor IS NULL", "unknown_shuffle_intensity"),
+    ("sla_minutes <= 0", "sla_not_positive"),
+]
+
+
+def _plan_stages() -> list[dict[str, str]]:
+    """P4-P15, P18 as projection stages (SQL over the resolved columns); each
+    stage names its results (``_p_*`` for intermediates) for the next one.
+    Small stages keep each generated method small enough for the JIT."""
+    high = "complexity = 'High'"
+    gb_flag = lambda x: f"CAST(greatest(1L, CAST(ceil({x} / {GB_IN_MB}) AS BIGINT)) AS STRING)"
     return [
-        lambda: {
-            "_p_cache": F.when(c("use_cache"), F.lit(CACHE_MULTIPLIER)).otherwise(F.lit(1.0)),
-            "_p_skew": F.when(c("skew_risk"), F.lit(SKEW_MULTIPLIER)).otherwise(F.lit(1.0)),
-            "_p_safety": F.lit(1.0) + c("safety_buffer_pct") / F.lit(100),
-            "aqe_partition_mb": F.when(high | (c("shuffle_intensity") == "Extreme"), F.lit(AQE_PARTITION_SMALL_MB))
-                                 .otherwise(F.lit(AQE_PARTITION_MB)),
-            "executor_cores": F.when(high | (c("shuffle_intensity") != "Standard"), F.lit(4)).otherwise(F.lit(5)),
-            "_p_jvm": F.when(high, F.lit(JVM_RESERVE_HIGH_MB)).otherwise(F.lit(JVM_RESERVE_MB)),
-            "driver_memory_mb": (F.when(high, F.lit(DRIVER_HIGH_MB)
-                                        + F.when(c("skew_risk"), F.lit(DRIVER_HIGH_SKEW_EXTRA_MB)).otherwise(F.lit(0)))
-                                 .when(c("complexity") == "Medium",
-                                       F.when(c("use_cache"), F.lit(DRIVER_MEDIUM_CACHED_MB))
-                                        .otherwise(F.lit(DRIVER_MEDIUM_MB)))
-                                 .otherwise(F.lit(DRIVER_LOW_MB))),
-            "driver_cores": F.when(high, F.lit(DRIVER_HIGH_CORES)).otherwise(F.lit(1)),
-        },
-        lambda: {
-            "effective_data_mb": ceil_long(c("data_volume_gb") * F.lit(GB_IN_MB) * c("format_factor")
-                                           * c("shuffle_factor") * c("_p_safety")),
-            "_p_mem_tasks": (c("executor_cores") * c("task_memory_mb"))
-                            * (c("_p_cache") * c("shuffle_factor") * c("_p_skew")),
-        },
-        lambda: {
-            "total_partitions": F.greatest(one, ceil_long(c("effective_data_mb") / c("aqe_partition_mb"))),
-            "_p_cores_sla": F.greatest(one, ceil_long(safe_div(c("effective_data_mb"), c("sla_minutes") * F.lit(60))
-                                                      / c("throughput_mbps"))),
-            "_p_base_mem": F.greatest(F.lit(MIN_EXECUTOR_MEMORY_MB).cast("bigint"),
-                                      ceil_long(c("_p_mem_tasks") + c("_p_jvm"))),
-        },
-        lambda: {
-            "required_parallel_tasks": F.greatest(c("_p_cores_sla"), F.greatest(
-                one, ceil_long(c("total_partitions") / c("partitions_per_core")))),
-            "executor_memory_mb": ceil_long(c("_p_base_mem") / F.lit(MEMORY_ROUNDING_MB)) * F.lit(MEMORY_ROUNDING_MB),
-        },
-        lambda: {
-            "raw_executors": F.greatest(one, ceil_long(c("required_parallel_tasks") / c("executor_cores"))),
-            "executor_overhead_mb": F.greatest(F.lit(MIN_OVERHEAD_MB).cast("bigint"),
-                                               ceil_long(c("executor_memory_mb") * F.lit(OVERHEAD_FRACTION))),
-        },
-        lambda: {"executors": F.least(c("raw_executors"), c("max_executors_cap").cast("bigint"))},
-        lambda: {
-            "total_cluster_cores": c("executors") * c("executor_cores"),
-            "total_cluster_ram_mb": c("executors") * (c("executor_memory_mb") + c("executor_overhead_mb"))
-                                    + c("driver_memory_mb"),
-            "cap_hit": c("raw_executors") > c("executors"),
-            "advisory_partition_bytes": c("aqe_partition_mb").cast("bigint") * F.lit(MB_IN_BYTES),
-            "effective_data_gb": c("effective_data_mb") / F.lit(float(GB_IN_MB)),
-        },
-        lambda: {"shuffle_partitions": F.greatest(c("total_partitions"), c("total_cluster_cores") * F.lit(2))},
-        lambda: {"spark_submit": F.concat(
-            F.lit("--num-executors "), s(c("executors")), F.lit(" --executor-cores "), s(c("executor_cores")),
-            F.lit(" --executor-memory "), s(F.greatest(one, ceil_long(c("executor_memory_mb") / F.lit(GB_IN_MB)))),
-            F.lit("g --driver-cores "), s(c("driver_cores")),
-            F.lit(" --driver-memory "), s(F.greatest(one, ceil_long(c("driver_memory_mb") / F.lit(GB_IN_MB)))),
-            F.lit("g --conf spark.executor.memoryOverhead="), s(c("executor_overhead_mb")),
-            F.lit(" --conf spark.serializer=org.apache.spark.serializer.KryoSerializer"
-                  " --conf spark.sql.adaptive.enabled=true"
-                  " --conf spark.sql.adaptive.coalescePartitions.enabled=true"
-                  " --conf spark.sql.adaptive.advisoryPartitionSizeInBytes="), s(c("advisory_partition_bytes")),
-            F.lit(" --conf spark.sql.shuffle.partitions="), s(c("shuffle_partitions")),
-            F.lit(" --conf spark.default.parallelism="), s(c("shuffle_partitions")))},
+        {"_p_cache": f"CASE WHEN use_cache THEN {CACHE_MULTIPLIER}D ELSE 1.0D END",
+         "_p_skew": f"CASE WHEN skew_risk THEN {SKEW_MULTIPLIER}D ELSE 1.0D END",
+         "_p_safety": "1.0D + safety_buffer_pct / 100",
+         "aqe_partition_mb": (f"CASE WHEN {high} OR shuffle_intensity = 'Extreme' THEN {AQE_PARTITION_SMALL_MB}"
+                              f" ELSE {AQE_PARTITION_MB} END"),
+         "executor_cores": f"CASE WHEN {high} OR shuffle_intensity != 'Standard' THEN 4 ELSE 5 END",
+         "_p_jvm": f"CASE WHEN {high} THEN {JVM_RESERVE_HIGH_MB} ELSE {JVM_RESERVE_MB} END",
+         "driver_memory_mb": (f"CASE WHEN {high} THEN {DRIVER_HIGH_MB}"
+                              f" + CASE WHEN skew_risk THEN {DRIVER_HIGH_SKEW_EXTRA_MB} ELSE 0 END"
+                              f" WHEN complexity = 'Medium' THEN CASE WHEN use_cache THEN {DRIVER_MEDIUM_CACHED_MB}"
+                              f" ELSE {DRIVER_MEDIUM_MB} END ELSE {DRIVER_LOW_MB} END"),
+         "driver_cores": f"CASE WHEN {high} THEN {DRIVER_HIGH_CORES} ELSE 1 END"},
+        {"effective_data_mb": (f"CAST(ceil(data_volume_gb * {GB_IN_MB} * format_factor * shuffle_factor"
+                               f" * _p_safety) AS BIGINT)"),
+         "_p_mem_tasks": "(executor_cores * task_memory_mb) * (_p_cache * shuffle_factor * _p_skew)"},
+        {"total_partitions": "greatest(1L, CAST(ceil(effective_data_mb / aqe_partition_mb) AS BIGINT))",
+         "_p_cores_sla": ("greatest(1L, CAST(ceil(try_divide(CAST(effective_data_mb AS DOUBLE),"
+                          " CAST(sla_minutes * 60 AS DOUBLE)) / throughput_mbps) AS BIGINT))"),
+         "_p_base_mem": f"greatest({MIN_EXECUTOR_MEMORY_MB}L, CAST(ceil(_p_mem_tasks + _p_jvm) AS BIGINT))"},
+        {"required_parallel_tasks": ("greatest(_p_cores_sla,"
+                                     " greatest(1L, CAST(ceil(total_partitions / partitions_per_core) AS BIGINT)))"),
+         "executor_memory_mb": (f"CAST(ceil(_p_base_mem / {MEMORY_ROUNDING_MB}) AS BIGINT)"
+                                f" * {MEMORY_ROUNDING_MB}")},
+        {"raw_executors": "greatest(1L, CAST(ceil(required_parallel_tasks / executor_cores) AS BIGINT))",
+         "executor_overhead_mb": (f"greatest({MIN_OVERHEAD_MB}L,"
+                                  f" CAST(ceil(executor_memory_mb * {OVERHEAD_FRACTION}D) AS BIGINT))")},
+        {"executors": "least(raw_executors, CAST(max_executors_cap AS BIGINT))"},
+        {"total_cluster_cores": "executors * executor_cores",
+         "total_cluster_ram_mb": "executors * (executor_memory_mb + executor_overhead_mb) + driver_memory_mb",
+         "cap_hit": "raw_executors > executors",
+         "advisory_partition_bytes": f"CAST(aqe_partition_mb AS BIGINT) * {MB_IN_BYTES}",
+         "effective_data_gb": f"effective_data_mb / {float(GB_IN_MB)}D"},
+        {"shuffle_partitions": "greatest(total_partitions, total_cluster_cores * 2)"},
+        {"spark_submit": (
+            "concat('--num-executors ', CAST(executors AS STRING), ' --executor-cores ', CAST(executor_cores AS STRING),"
+            f" ' --executor-memory ', {gb_flag('executor_memory_mb')}, 'g --driver-cores ', CAST(driver_cores AS STRING),"
+            f" ' --driver-memory ', {gb_flag('driver_memory_mb')},"
+            " 'g --conf spark.executor.memoryOverhead=', CAST(executor_overhead_mb AS STRING),"
+            " ' --conf spark.serializer=org.apache.spark.serializer.KryoSerializer"
+            " --conf spark.sql.adaptive.enabled=true"
+            " --conf spark.sql.adaptive.coalescePartitions.enabled=true"
+            " --conf spark.sql.adaptive.advisoryPartitionSizeInBytes=', CAST(advisory_partition_bytes AS STRING),"
+            " ' --conf spark.sql.shuffle.partitions=', CAST(shuffle_partitions AS STRING),"
+            " ' --conf spark.default.parallelism=', CAST(shuffle_partitions AS STRING))")},
     ]
 
 
 def _with_plan(df: DataFrame) -> DataFrame:
-    for stage in _plan_stages():
-        df = df.select("*", *[v.alias(k) for k, v in stage().items()])
+    for exprs in _plan_stages():
+        df = stage(df, exprs)
     return df.drop(*[x for x in df.columns if x.startswith("_p_")])
 
 
 def _resolved_with_reason(spark: SparkSession, workloads: DataFrame) -> DataFrame:
-    _, first = reject_reasons()
-    return resolve(spark, workloads).select("*", first.alias("reject_reason"))
+    return stage(resolve(spark, workloads), {"reject_reason": case_first(PROFILE_RULES)})
 
 
 def profile_validate(spark: SparkSession, workloads: DataFrame) -> DataFrame:
