@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rightsize.functions.numeric import ceil_long, codes_where, floor_long, safe_div
+from rightsize.functions.numeric import codes_array, stage
 from rightsize.sources.defaults import NODE_WORKLOAD_DEFAULTS, SHAPE_DEFAULTS, with_defaults
 from rightsize.sources.dims import BROADCAST_ROW_LIMIT, dim
 
@@ -50,81 +50,79 @@ SHAPE_OUTPUTS = ("status", "executors_per_node", "total_executors", "total_compu
 
 def shape_sizing(shapes: DataFrame) -> DataFrame:
     """N1, N2, N5, N10 and V5 per shape (missing fields: form defaults, S3)."""
-    c = F.col
     shapes = with_defaults(shapes, SHAPE_DEFAULTS)
-    epn = floor_long(safe_div(c("node_cores") - c("os_cores"), c("target_exec_cores")))
-    total = epn * c("num_nodes") - F.lit(DRIVER_SLOTS)
-    status = (F.when(epn.isNull() | (epn < 1), F.lit("no_executor_fits"))
-              .when(total < 1, F.lit("cluster_too_small"))
-              .otherwise(F.lit("ok")))
-    ok = status == "ok"
-    raw = safe_div(c("node_ram_gb") - c("os_ram_gb"), epn)
-    overhead = F.greatest(F.lit(MIN_OVERHEAD_GB), raw * F.lit(OVERHEAD_FRACTION))
-    heap = raw - overhead
-    unified = (heap - F.lit(RESERVED_GB)) * c("memory_fraction")
-    return shapes.select(
-        "*", status.alias("status"),
-        epn.alias("executors_per_node"),
-        F.when(ok, total).alias("total_executors"),
-        F.when(ok, total * c("target_exec_cores")).alias("total_compute_cores"),
-        F.when(ok, raw).alias("raw_mem_per_exec_gb"),
-        F.when(ok, overhead).alias("overhead_gb"),
-        F.when(ok, heap).alias("heap_gb"),
-        F.when(ok, unified).alias("unified_mem_per_exec_gb"),
-        F.when(ok, unified * total).alias("cluster_unified_mem_gb"),
-        (c("node_cores") * c("num_nodes")).cast("bigint").alias("cluster_cores"),
-        (c("node_ram_gb") * c("num_nodes")).cast("bigint").alias("cluster_ram_gb"),
-        F.when(ok, heap > G1_HEAP_GB).alias("g1_advised"))
-
-
-def alert_codes(heap: Column, target: Column, inflated_gb: Column, unified_gb: Column) -> Column:
+    df = stage(shapes, {
+        "executors_per_node": ("CAST(floor(try_divide(CAST(node_cores - os_cores AS DOUBLE),"
+                               " CAST(target_exec_cores AS DOUBLE))) AS BIGINT)"),
+        "cluster_cores": "CAST(node_cores * num_nodes AS BIGINT)",
+        "cluster_ram_gb": "CAST(node_ram_gb * num_nodes AS BIGINT)"})
+    df = stage(df, {
+        "_n_total": f"executors_per_node * num_nodes - {DRIVER_SLOTS}",
+        "_n_raw": "try_divide(CAST(node_ram_gb - os_ram_gb AS DOUBLE), CAST(executors_per_node AS DOUBLE))"})
+    df = stage(df, {
+        "status": ("CASE WHEN executors_per_node IS NULL OR executors_per_node < 1 THEN 'no_executor_fits'"
+                   " WHEN _n_total < 1 THEN 'cluster_too_small' ELSE 'ok' END"),
+        "_n_overhead": f"greatest({MIN_OVERHEAD_GB}D, _n_raw * {OVERHEAD_FRACTION}D)"})
+    df = stage(df, {"_n_heap": "_n_raw - _n_overhead"})
+    df = stage(df, {"_n_unified": f"(_n_heap - {RESERVED_GB}D) * memory_fraction"})
+    ok = "status = 'ok'"
+    out = stage(df, {
+        "total_executors": f"CASE WHEN {ok} THEN _n_total END",
+        "total_compute_cores": f"CASE WHEN {ok} THEN _n_total * target_exec_cores END",
+        "raw_mem_per_exec_gb": f"CASE WHEN {ok} THEN _n_raw END",
+        "overhead_gb": f"CASE WHEN {ok} THEN _n_overhead END",
+        "heap_gb": f"CASE WHEN {ok} THEN _n_heap END",
+        "unified_mem_per_exec_gb": f"CASE WHEN {ok} THEN _n_unified END",
+        "cluster_unified_mem_gb": f"CASE WHEN {ok} THEN _n_unified * _n_total END",
+        "g1_advised": f"CASE WHEN {ok} THEN _n_heap > {G1_HEAP_GB} END"})
+    return out.drop(*[x for x in out.columns if x.startswith("_n_")])
+
+
+def alert_codes_sql(heap: str, target: str, inflated: str, unified: str) -> str:
     """Alert codes in check order; ``ok`` when none is raised."""
-    raised = codes_where(
-        (heap > COMPRESSED_OOPS_HEAP_GB, "compressed_oops_lost"),
-        (target > FAT_EXECUTOR_CORES, "fat_executor"),
-        (target == 1, "tiny_executor"),
-        (inflated_gb > unified_gb, "spill_risk"),
-        ((inflated_gb <= unified_gb) & (inflated_gb > unified_gb * F.lit(HIGH_MEMORY_USE)), "high_memory_use"))
-    return F.when(F.size(raised) == 0, F.array(F.lit("ok"))).otherwise(raised)
+    raised = codes_array([
+        (f"{heap} > {COMPRESSED_OOPS_HEAP_GB}", "compressed_oops_lost"),
+        (f"{target} > {FAT_EXECUTOR_CORES}", "fat_executor"),
+        (f"{target} = 1", "tiny_executor"),
+        (f"{inflated} > {unified}", "spill_risk"),
+        (f"{inflated} <= {unified} AND {inflated} > {unified} * {HIGH_MEMORY_USE}D", "high_memory_use"),
+    ])
+    return f"CASE WHEN size({raised}) = 0 THEN array('ok') ELSE {raised} END"
 
 
 def node_pack(spark: SparkSession, workloads: DataFrame, shapes: DataFrame) -> DataFrame:
     """N1-N8, N10 for each workload on its cluster's shape."""
-    c = F.col
     sized = shape_sizing(shapes)
     workloads = with_defaults(workloads, NODE_WORKLOAD_DEFAULTS)
     j = (workloads.join(dim(spark, "inflation"), "data_format", "left")
          .join(sized, "cluster_id", "left"))
-    ok = c("status") == "ok"
-    mb = c("data_size_gb") * c("inflation_factor") * F.lit(1024)
-    base = ceil_long(safe_div(mb, c("partition_size_mb")))
-    mult = ceil_long(safe_div(base, c("total_compute_cores")))
-    shuffle = F.greatest(F.lit(MIN_SHUFFLE_PARTITIONS).cast("bigint"), mult * c("total_compute_cores"))
-    inflated = c("data_size_gb") * c("inflation_factor")
-    heap_flag = floor_long(c("heap_gb"))
-    ovh_flag = ceil_long(c("overhead_gb") * F.lit(1024))
-    s = lambda x: x.cast("string")
-    submit = F.concat(
-        F.lit("--conf spark.executor.instances="), s(c("total_executors")),
-        F.lit(" --conf spark.executor.cores="), s(c("target_exec_cores")),
-        F.lit(" --conf spark.executor.memory="), s(heap_flag), F.lit("g"),
-        F.lit(" --conf spark.executor.memoryOverhead="), s(ovh_flag), F.lit("m"),
-        F.lit(" --conf spark.sql.shuffle.partitions="), s(shuffle),
-        F.lit(" --conf spark.default.parallelism="), s(shuffle),
-        F.lit(" --conf spark.memory.fraction="), s(c("memory_fraction")),
-        F.lit(" --conf spark.sql.adaptive.enabled=true"))
-    return j.select(
+    j = stage(j, {
+        "_n_mb": "data_size_gb * inflation_factor * 1024",
+        "_n_inflated": "data_size_gb * inflation_factor"})
+    j = stage(j, {"_n_base": "CAST(ceil(try_divide(CAST(_n_mb AS DOUBLE), CAST(partition_size_mb AS DOUBLE))) AS BIGINT)"})
+    j = stage(j, {"_n_shuffle": ("greatest(200L, CAST(ceil(try_divide(CAST(_n_base AS DOUBLE),"
+                                 " CAST(total_compute_cores AS DOUBLE))) AS BIGINT) * total_compute_cores)")})
+    ok = "status = 'ok'"
+    submit = ("concat('--conf spark.executor.instances=', CAST(total_executors AS STRING),"
+              " ' --conf spark.executor.cores=', CAST(target_exec_cores AS STRING),"
+              " ' --conf spark.executor.memory=', CAST(CAST(floor(heap_gb) AS BIGINT) AS STRING), 'g',"
+              " ' --conf spark.executor.memoryOverhead=', CAST(CAST(ceil(overhead_gb * 1024) AS BIGINT) AS STRING), 'm',"
+              " ' --conf spark.sql.shuffle.partitions=', CAST(_n_shuffle AS STRING),"
+              " ' --conf spark.default.parallelism=', CAST(_n_shuffle AS STRING),"
+              " ' --conf spark.memory.fraction=', CAST(memory_fraction AS STRING),"
+              " ' --conf spark.sql.adaptive.enabled=true')")
+    return j.selectExpr(
         "workload_id", "cluster_id", "cluster", "data_size_gb", "data_format", "inflation_factor",
-        F.coalesce(c("status"), F.lit("unknown_cluster")).alias("status"),
+        "coalesce(status, 'unknown_cluster') AS status",
         "executors_per_node", "total_executors", "target_exec_cores", "total_compute_cores",
         "raw_mem_per_exec_gb", "overhead_gb", "heap_gb", "cluster_unified_mem_gb",
-        F.when(ok, mb).alias("data_in_memory_mb"),
-        F.when(ok, base).alias("base_partitions"),
-        F.when(ok, shuffle).alias("shuffle_partitions"),
-        F.when(ok, alert_codes(c("heap_gb"), c("target_exec_cores"), inflated,
-                               c("cluster_unified_mem_gb"))).alias("alerts"),
+        f"CASE WHEN {ok} THEN _n_mb END AS data_in_memory_mb",
+        f"CASE WHEN {ok} THEN _n_base END AS base_partitions",
+        f"CASE WHEN {ok} THEN _n_shuffle END AS shuffle_partitions",
+        f"CASE WHEN {ok} THEN {alert_codes_sql('heap_gb', 'target_exec_cores', '_n_inflated', 'cluster_unified_mem_gb')}"
+        " END AS alerts",
         "g1_advised",
-        F.when(ok, submit).alias("spark_submit"))
+        f"CASE WHEN {ok} THEN {submit} END AS spark_submit")
 
 
 def alert_counts(spark: SparkSession, packings: DataFrame) -> DataFrame:
