@@ -299,3 +299,23 @@ def _event_log_dir(spark, sf_dir):
 @job("read_task_metrics")
 def read_task_metrics(spark, sf_dir):
     return S1.read_task_metrics(spark, _event_log_dir(spark, sf_dir))
+
+
+# ---- streaming ---------------------------------------------------------------
+
+from rightsize.streaming import fleet_stream as ST  # noqa: E402
+
+
+@job("wave_plan_stream")
+def wave_plan_stream(spark, sf_dir):
+    """The wave planner as a Structured Streaming query: the workloads table
+    lands as parquet files in the shared folder, is planned file by file
+    (availableNow trigger, exactly-once parquet sink with a checkpoint) and
+    the sink is read back -- valid plans and rejects with their reason."""
+    base = scratch_path(spark, f"wave-stream-{uuid.uuid4().hex}")
+    wl = fixture(spark, sf_dir, "workloads")
+    wl.repartition(4, "workload_id").write.parquet(f"{base}/in")
+    stream = ST.read_workload_stream(spark, f"{base}/in", wl.schema, max_files_per_trigger=1)
+    q = ST.write_plans_stream(ST.plan_stream(stream), f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(*WAVE_KEYS, "reject_reason", *W.WAVE_OUTPUTS)

@@ -653,3 +653,8 @@ SELECT skew_memory_mode, k_skew,
   max(CASE WHEN reject_reason IS NULL THEN container_memory_mb END) AS max_container_memory_mb
 FROM ({_wave_steps('grid')})
 GROUP BY skew_memory_mode, k_skew"""
+
+SQL["wave_plan_stream"] = _with("workloads", extra=_TYPED_WL) + f"""
+SELECT {_WAVE_KEYS}, reject_reason,
+  {", ".join(f"CASE WHEN reject_reason IS NULL THEN {c.strip()} END AS {c.strip()}" for c in _WAVE_OUT.split(","))}
+FROM ({_wave_steps('typed_wl')})"""
