@@ -1,8 +1,10 @@
-"""Column helpers shared by every sizing model.
+"""Expression helpers shared by every sizing model.
 
-All of them build plain Catalyst expressions, so a whole model stays inside
-one whole-stage-codegen span. Integer-valued results (task counts, executors,
-megabytes) are BIGINT; everything else is DOUBLE, never DECIMAL.
+All of them build plain Catalyst expressions (Column objects, or SQL text for
+``selectExpr`` stages -- one JVM call per stage instead of one per operator),
+so a model stays inside whole-stage codegen. Integer-valued results (task
+counts, executors, megabytes) are BIGINT; everything else is DOUBLE (``1.0D``
+literals), never DECIMAL.
 """
 
 from __future__ import annotations
@@ -11,43 +13,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def col_or_lit(value) -> Column:
-    """Accept a Column, a column name or a Python scalar."""
-    if isinstance(value, Column):
-        return value
-    if isinstance(value, str):
-        return F.col(value)
-    return F.lit(value)
-
-
-def dbl(value) -> Column:
-    return col_or_lit(value).cast("double")
-
-
 def ceil_long(c: Column) -> Column:
     """ceil of a DOUBLE as BIGINT (Python's math.ceil on a float)."""
     return F.ceil(c).cast("bigint")
 
 
-def floor_long(c: Column) -> Column:
-    return F.floor(c).cast("bigint")
-
-
-def clamp(c: Column, low: float, high: float) -> Column:
-    """max(low, min(high, c))."""
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))
-
-
 def safe_div(num: Column, den: Column) -> Column:
     """num / den, NULL when den is 0 or NULL (never raises under ANSI)."""
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def round_half_even(c: Column, scale: int) -> Column:
-    """Python's round(x, n) for the values the models round (k / 1024 GB)."""
-    return F.bround(c, scale)
-
-
 def codes_where(*pairs: tuple[Column, str]) -> Column:
     """Array of the codes whose condition holds, in the given order.
 
@@ -59,18 +34,6 @@ def codes_where(*pairs: tuple[Column, str]) -> Column:
                                     for cond, code in pairs]), "")
 
 
-def first_reason(*pairs: tuple[Column, str]) -> tuple[Column, Column]:
-    """Ordered rule list -> (array of failed rule codes, first failed code).
-
-    ``pairs`` is ``(failed_condition, code)``; the first failing rule is the
-    one the scalar version would have raised (a CASE chain, NULL if none).
-    """
-    first = F.when(pairs[0][0], F.lit(pairs[0][1]))
-    for cond, code in pairs[1:]:
-        first = first.when(cond, F.lit(code))
-    return codes_where(*pairs), first
-
-
 def sql_literal(v) -> str:
     """A Python scalar as a Spark SQL literal (DOUBLE for floats)."""
     if isinstance(v, bool):
