@@ -305,6 +305,8 @@ def read_task_metrics(spark, sf_dir):
 
 from rightsize.streaming import fleet_stream as ST  # noqa: E402
 
+STREAM_TIMEOUT_S = 900
+
 
 @job("wave_plan_stream")
 def wave_plan_stream(spark, sf_dir):
@@ -317,5 +319,9 @@ def wave_plan_stream(spark, sf_dir):
     wl.repartition(4, "workload_id").write.parquet(f"{base}/in")
     stream = ST.read_workload_stream(spark, f"{base}/in", wl.schema, max_files_per_trigger=1)
     q = ST.write_plans_stream(ST.plan_stream(stream), f"{base}/out", f"{base}/checkpoint")
-    q.awaitTermination()
+    if not q.awaitTermination(STREAM_TIMEOUT_S):
+        q.stop()
+        raise TimeoutError(f"streaming planner did not finish within {STREAM_TIMEOUT_S}s")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{base}/out").select(*WAVE_KEYS, "reject_reason", *W.WAVE_OUTPUTS)
