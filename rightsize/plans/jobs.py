@@ -152,7 +152,7 @@ def curve_gain(spark, sf_dir):
 
 @job("cheapest")
 def cheapest(spark, sf_dir):
-    return C.cheapest(_candidates(spark, sf_dir))
+    return C.cheapest_two_pass(spark, fixture(spark, sf_dir, "cost_workloads"))
 
 
 @job("time_breakdown")

@@ -51,9 +51,17 @@ def test_pick_shape_against_brute_force(spark):
     assert any(v is not None for v in got.values())
 
 
+def test_cheapest_two_pass_equals_one_pass(spark):
+    wl = fixture(spark, SF_SMALL, "cost_workloads")
+    one = {tuple(r) for r in C.cheapest(C.candidates(spark, wl)).collect()}
+    two = {tuple(r) for r in C.cheapest_two_pass(spark, wl)
+           .select("workload_id", "cheapest_executors", "cheapest_core_hours", "cheapest_runtime_min").collect()}
+    assert one == two and len(one) > 0
+
+
 def test_cheapest_meets_target(spark):
     cands = C.candidates(spark, fixture(spark, SF_SMALL, "cost_workloads"))
-    ch = C.cheapest(cands)
+    ch = C.cheapest_two_pass(spark, fixture(spark, SF_SMALL, "cost_workloads"))
     search = C.sla_search(cands)
     j = ch.join(search, "workload_id")
     assert j.where(F.col("cheapest_runtime_min") > F.col("target_runtime_min")).count() == 0

@@ -34,7 +34,7 @@ def test_shuffle_count(spark, name, expected):
 
 
 def test_search_is_hash_aggregated(spark):
-    for name in ("sla_search", "curve_gain"):
+    for name in ("sla_search", "curve_gain", "cheapest"):
         p = plan(spark, name)
         assert "SortAggregate" not in p and "HashAggregate" in p
 
