@@ -43,11 +43,6 @@ ALERT_SEVERITY = [
     ("ok", "success"),
 ]
 
-SHAPE_OUTPUTS = ("status", "executors_per_node", "total_executors", "total_compute_cores",
-                 "raw_mem_per_exec_gb", "overhead_gb", "heap_gb", "unified_mem_per_exec_gb",
-                 "cluster_unified_mem_gb", "cluster_cores", "cluster_ram_gb", "g1_advised")
-
-
 def shape_sizing(shapes: DataFrame) -> DataFrame:
     """N1, N2, N5, N10 and V5 per shape (missing fields: form defaults, S3)."""
     shapes = with_defaults(shapes, SHAPE_DEFAULTS)

@@ -583,7 +583,7 @@ LEFT JOIN (
 # ---- domain rules (V3) -----------------------------------------------------
 
 def _violation_sql() -> str:
-    from rightsize.operators.quality import KEYS, RULES
+    from rightsize.operators.quality import RULES
     parts = []
     for table, rules in RULES.items():
         for code, col, lo, hi in rules:

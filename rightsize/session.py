@@ -3,7 +3,6 @@ checkpoint folder of whatever session we are handed."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
