@@ -36,7 +36,13 @@ APP_ID_PATTERN = r"((?:app|local|application)[-_][0-9A-Za-z_-]+)"
 
 def read_task_metrics(spark: SparkSession, path: str) -> DataFrame:
     """One row per finished task attempt, in the ``task_metrics`` layout."""
-    raw = (spark.read.schema(TASK_END_SCHEMA).option("recursiveFileLookup", "true").json(path)
+    # A live log folder holds applications still writing (partial compressed
+    # frames) and rolling logs that may be compacted away mid-read.
+    raw = (spark.read.schema(TASK_END_SCHEMA)
+           .option("recursiveFileLookup", "true")
+           .option("ignoreCorruptFiles", "true")
+           .option("ignoreMissingFiles", "true")
+           .json(path)
            .where(F.col("Event") == "SparkListenerTaskEnd")
            .select("*", F.col("_metadata.file_path").alias("file_path")))
     ti, tm = F.col("`Task Info`"), F.col("`Task Metrics`")
