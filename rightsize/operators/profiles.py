@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rightsize.functions.numeric import case_first, stage
+from rightsize.operators.cost import search_partitions
 from rightsize.sources.defaults import PROFILE_DEFAULTS as PROFILE_FORM_DEFAULTS
 from rightsize.sources.defaults import with_defaults
 from rightsize.sources.dims import PROFILE_DEFAULTS, dim
@@ -159,7 +160,10 @@ def enum_rejects(spark: SparkSession, workloads: DataFrame) -> DataFrame:
 
 def profile_compare(spark: SparkSession, workloads: DataFrame) -> DataFrame:
     """Every workload under each profile's defaults, side by side."""
-    grid = (workloads.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in PROFILES])))
+    # Hash the workloads by id before multiplying them: the per-workload
+    # aggregation below then needs no exchange of its own.
+    spread = workloads.repartition(search_partitions(spark), "workload_id")
+    grid = (spread.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in PROFILES])))
             .withColumn("manual_override", F.lit(False)))
     plans = profile_plan(spark, grid)
     # Conditional aggregation instead of pivot(): one aggregate, one exchange,
