@@ -83,3 +83,14 @@ def test_approximate_median_is_close(spark):
         v.sort()
         lo, hi = v[(len(v) - 1) // 2], v[len(v) // 2]
         assert lo <= approx[k] <= hi or abs(approx[k] - exact[k]) <= 0.01 * exact[k] + 1
+
+
+def test_shape_catalogue_size_is_checked(spark):
+    import pytest
+    from rightsize.sources.dims import BROADCAST_ROW_LIMIT, sized_broadcast
+    big = spark.range(BROADCAST_ROW_LIMIT + 1).selectExpr(
+        "CAST(id AS INT) AS cluster_id", "CAST(id AS STRING) AS cluster")
+    with pytest.raises(ValueError):
+        N.capacity_steps(big)
+    small = spark.range(3).selectExpr("CAST(id AS INT) AS cluster_id")
+    assert "Broadcast" in sized_broadcast(small).join(big, "cluster_id")._jdf.queryExecution().executedPlan().toString()
