@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -56,7 +57,7 @@ class Tables:
 
 # ---- inside Python workers ---------------------------------------------------
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Zero-copy runs of rows with about ``most`` bytes of ``column`` each (one
     row at least), so that memory follows the slice and not the batch."""
     lens = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), np.int64)
@@ -82,17 +83,35 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, of, np.bincount(of, minlength=len(texts))
 
 
-def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word (halves of a BLAKE2b digest,
-    computed once for each distinct word of the slice)."""
-    import hashlib
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' UTF-8 bytes end to end (null: none), and where each text begins and ends."""
+    texts = pc.fill_null(texts, "").cast(pa.binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
 
-    coded = words.dictionary_encode()
-    digest = hashlib.blake2b
-    raw = b"".join([digest(w, digest_size=16).digest() for w in coded.dictionary.cast(pa.binary()).to_pylist()])
-    table = np.frombuffer(raw, np.uint64).reshape(-1, 2)
-    index = np.asarray(coded.indices)
-    return table[index, 0], table[index, 1]
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word: polynomials of its bytes,
+    finalised with its length; words over 512 bytes, whose polynomials could be
+    made to meet, by halves of a BLAKE2b digest."""
+    data, ends = raw_bytes(words)
+    size = np.diff(ends)
+    long = np.flatnonzero(size > 512)
+    out = []
+    for turn, base in enumerate((0xD1342543DE82EF95, 0xAF251AF3B0F025B5)):
+        up, down = powers(base, len(data) + 1)
+        sums = np.empty(len(data) + 1, np.uint64)
+        sums[0] = 0
+        values = mix(np.arange(256, dtype=np.uint64), 7 + turn)[data]
+        values *= up[: len(data)]
+        np.cumsum(values, out=sums[1:])
+        h = mix((sums[ends[1:]] - sums[ends[:-1]]) * down[ends[:-1]] + mix(size.astype(np.uint64)))
+        for i in long.tolist():
+            digest = hashlib.blake2b(data[ends[i] : ends[i + 1]].tobytes(), digest_size=16).digest()
+            h[i] = int.from_bytes(digest[8 * turn : 8 * turn + 8], "little")
+        out.append(h)
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -103,23 +122,34 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of a worker
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers modulo 2**64 of an odd base, and their inverses."""
+    if len(_POWERS.get(base, ((),))[0]) < n:
+        made = []
+        for b in (base, pow(base, -1, 2**64)):
+            x = np.full(n, b, np.uint64)
+            x[:1] = 1
+            made.append(np.multiply.accumulate(x, out=x))
+        _POWERS[base] = made[0], made[1]
+    up, down = _POWERS[base]
+    return up[:n], down[:n]
+
+
 def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
     """Polynomial hash modulo 2**64 of every ``width`` consecutive values;
     ``values`` must be hashes themselves, ``base`` odd."""
     n = len(values)
     if n < width:
         return np.empty(0, np.uint64)
-    up = np.full(n, base, np.uint64)
-    up[0] = 1
-    np.multiply.accumulate(up, out=up)
+    up, down = powers(base, n)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(values * up, out=sums[1:])
     m = n - width + 1
-    down = np.full(m, pow(base, -1, 2**64), np.uint64)
-    down[0] = 1
-    np.multiply.accumulate(down, out=down)
-    return (sums[width:] - sums[:m]) * down
+    return (sums[width:] - sums[:m]) * down[:m]
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -36,28 +36,19 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rightsize.llm import sketch
-from rightsize.llm.common import anchors, doc_key, mix, rolling, slices
+from rightsize.llm.common import anchors, doc_key, mix, raw_bytes, rolling, slices
 
 BASE = 0x9FB21C651E98DF25
 SLICE = 1 << 20
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' UTF-8 bytes end to end, and where each text begins and ends."""
-    texts = pc.fill_null(texts, "").cast(pa.binary())
-    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
-    return data[ends[0] : ends[-1]], ends - ends[0]
-
-
 def _anchored(batch: pa.RecordBatch, window: int, gram: int):
     """Bytes, document bounds, gram hashes; per anchor: its place, its row, the first and last start of its windows."""
-    data, bounds = _bytes(batch["text"])
+    data, bounds = raw_bytes(batch["text"])
     if len(data) < window:
         return None
     grams = rolling(mix(np.arange(256, dtype=np.uint64))[data], gram, BASE)
@@ -288,7 +279,7 @@ def _remove(window):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                data, bounds = _bytes(part["text"])
+                data, bounds = raw_bytes(part["text"])
                 spans = part["spans"]
                 rows = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths().fill_null(0)))
                 codes = np.asarray(spans.flatten())
