@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rightsize.llm.byte_bpe import decode, encode
+from rightsize.llm.exact_dedup import equal_texts
+from rightsize.llm.minhash_forest import near_duplicates
 from rightsize.llm.substring_dedup import remove_repeated_passages
 from rightsize.llm.suffix_dedup import remove_repeated_bytes
 
@@ -17,10 +20,29 @@ def op1_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op10_byte_bpe(spark, sf_dir):
+    out = encode(_table(spark, sf_dir, "documents"), bpe_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), bpe_path()), 256).alias("decoded_sha256"))
+
+
+def op2_exact_dedup(spark, sf_dir):
+    return equal_texts(_table(spark, sf_dir, "documents")).drop("key")
+
+
 def op5_suffix_dedup(spark, sf_dir):
     out = remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_suffix_dedup)}
+def op8_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op5_suffix_dedup, op8_minhash_near_dedup, op10_byte_bpe)}
 SQL: dict[str, str] = {}

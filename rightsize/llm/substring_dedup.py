@@ -134,7 +134,7 @@ def _remove(window):
                     np.add.at(change, start + (codes & 0xFFFFFF) + window - 1, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 removed = np.bincount(of[gone], minlength=len(counts))
-                left = words.filter(pa.array(~gone)).to_pylist()
+                left = words.filter(pa.array(~gone)).to_numpy(zero_copy_only=False).tolist()
                 to = np.cumsum(counts - removed).tolist()
                 texts = [" ".join(left[a:b]) for a, b in zip([0, *to], to)]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
