@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
     tables.drop("forest")
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = tables.save(text.join(ends, "key", "left_semi").dropDuplicates(["key"]).select("key", "text"), "texts")
+    # the ends grow with the corpus: never broadcast them
+    texts = tables.save(text.join(ends.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text"), "texts")
 
     def confirmed(some: DataFrame) -> DataFrame:
         a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
