@@ -48,12 +48,14 @@ def char_classes() -> np.ndarray:
     """Class of each code point: white space, letter, number or other."""
     import regex
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
+    kinds = (LETTER, regex.compile(r"\p{L}+")), (NUMBER, regex.compile(r"\p{N}+"))
     out = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, text):
-            out[points[m.start()] : points[m.end() - 1] + 1] = kind
+    for at in range(0, 0x110000, 0x10000):
+        points = range(at, at + 0x10000) if at else (*range(0xD800), *range(0xE000, 0x10000))
+        text = "".join(map(chr, points))
+        for kind, pattern in kinds:
+            for m in pattern.finditer(text):
+                out[points[m.start()] : points[m.end() - 1] + 1] = kind
     out[WHITE] = SPACE
     out[0xD800:0xE000] = OTHER
     return out
@@ -295,7 +297,7 @@ def _encode_partition(classes, ranks, pairs, table):
             for part in slices(batch, "text", 4 << 20):
                 coded, counts = words_of(part["text"], classes.value)
                 words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-                if len(known) > 400_000:
+                if len(known) > 200_000:
                     known.clear()
                 learn([w for w in words if w not in given and w not in known])
                 codes = [given.get(w) or known[w] for w in words]
