@@ -1,8 +1,8 @@
 """Count-min prefilter shared by the two substring operators.
 
 Each partition counts its hashed items in ``depth`` rows of ``2**bits`` cells
-and emits the cells it touched; the sketches are merged by summing equal cells
-in a shuffle with map-side combination. An item's estimate is the least of its
+and emits the cells it touched, once each; the sketches are merged by summing
+equal cells after a shuffle by block of cells. An item's estimate is the least of its
 cells, never below its true count. Only one bit per cell is needed afterwards
 ("counted twice or more"), so what is broadcast is ``depth * 2**bits / 8``
 bytes however large the corpus is; a corpus beyond the sketch's capacity makes
@@ -48,8 +48,10 @@ def count_cells(parts, bits: int, depth: int):
 def merge(cells: DataFrame, bits: int, depth: int) -> Broadcast:
     """The merged sketches as a broadcast bit for each cell: counted twice or more."""
     spark = cells.sparkSession
-    often = cells.groupBy("cell").agg(F.sum("n").alias("n")).filter("n >= 2").select((F.col("cell") + 1).alias("cell"))
-    blocks = often.groupBy(F.bitmap_bucket_number("cell").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    # dealt by block once: both aggregations run within it
+    dealt = cells.select("n", (F.col("cell") + 1).alias("cell")).withColumn("block", F.bitmap_bucket_number("cell")).repartition("block")
+    often = dealt.groupBy("block", "cell").agg(F.sum("n").alias("n")).filter("n >= 2")
+    blocks = often.groupBy("block").agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
     out = np.zeros(max(4096, (depth << bits) // 8), np.uint8)
     for row in blocks.toLocalIterator():  # at most depth * 2**bits / 32768 rows of 4 KB
         block = np.frombuffer(bytes(row["bits"]), np.uint8)

@@ -311,10 +311,10 @@ def _splitters(spark: SparkSession, read: DataFrame, sampler, ranges: int) -> li
     return sorted({heads[len(heads) * i // ranges] for i in range(1, ranges)}) if heads else []
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, bits: int = 27, depth: int = 1) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, bits: int = 28, depth: int = 1) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs) and kept (the
     remaining bytes) of every row of ``docs(doc_id, text)``. The sketch takes
-    ``depth * 2**bits / 8`` bytes of broadcast (16 MB by default)."""
+    ``depth * 2**bits / 8`` bytes of broadcast (32 MB by default)."""
     spark = docs.sparkSession
     read = docs.select(doc_key().alias("key"), "text").filter("text is not null")
     cells = read.select("text").mapInArrow(_sketch_partition(window, gram, bits, depth), "cell long, n byte")
