@@ -53,7 +53,7 @@ def merge(cells: DataFrame, bits: int, depth: int) -> Broadcast:
     often = dealt.groupBy("block", "cell").agg(F.sum("n").alias("n")).filter("n >= 2")
     blocks = often.groupBy("block").agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
     out = np.zeros(max(4096, (depth << bits) // 8), np.uint8)
-    for row in blocks.toLocalIterator():  # at most depth * 2**bits / 32768 rows of 4 KB
+    for row in blocks.collect():  # at most depth * 2**bits / 32768 rows of 4 KB
         block = np.frombuffer(bytes(row["bits"]), np.uint8)
         at = (row["block"] - 1) * 4096
         out[at : at + len(block)] = block[: len(out) - at]
