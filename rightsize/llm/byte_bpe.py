@@ -23,10 +23,11 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rightsize.llm.common import Tables, raw_bytes, slices
@@ -156,7 +157,8 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     ``a * 2**32 + b`` (empty: -1) and the joined ids."""
     found = {(ranks[w[:i]] << 32) + ranks[w[i:]]: r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
     codes, joined = np.full(1 << (2 * len(found)).bit_length(), -1, np.int64), np.zeros(1 << (2 * len(found)).bit_length(), np.int32)
-    todo, value = np.array(sorted(found), np.int64), np.array([found[c] for c in sorted(found)], np.int32)
+    todo, value = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
+    del found
     at = _slot(todo, len(codes))
     while len(todo):
         free = np.flatnonzero(codes[at] < 0)
@@ -242,14 +244,15 @@ def _literal(value, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), schema)
 
 
-def rank_lookup(spark: SparkSession, ranks: dict[bytes, int]):
-    """hex piece -> rank (null: none), from a literal array of maps by hash."""
-    rows = spark.createDataFrame([(k.hex().upper(), v) for k, v in ranks.items()], "piece string, id int")
+def rank_lookup(ranks: dict[bytes, int]):
+    """hex piece -> rank (null: none), from a literal array of maps by CRC."""
     maps: list[dict] = [{} for _ in range(BUCKETS)]
-    for r in rows.select("piece", "id", F.pmod(F.hash("piece"), F.lit(BUCKETS)).alias("bucket")).collect():  # the vocabulary
-        maps[r["bucket"]][r["piece"]] = r["id"]
+    for piece, rank in ranks.items():
+        name = piece.hex().upper()
+        maps[zlib.crc32(name.encode()) % BUCKETS][name] = rank
     table = _literal(maps, "array<map<string,int>>")
-    return lambda piece: F.element_at(F.element_at(table, F.pmod(F.hash(piece), F.lit(BUCKETS)) + 1), piece)
+    bucket = lambda piece: (F.crc32(piece) % BUCKETS + 1).cast("int")
+    return lambda piece: F.element_at(F.element_at(table, bucket(piece)), piece)
 
 
 def fold_merges(word: Column, rank) -> Column:
@@ -328,7 +331,7 @@ def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:
     top = counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(table).select("word")
     # spread over tasks: the fold costs far more than the row
     words = Tables(spark).save(top, "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rank = rank_lookup(spark, ranks)
+    rank = rank_lookup(ranks)
     coded = {bytes(r["word"]): np.array(r["ids"], "<i4").tobytes() for r in words.select("word", fold_merges(F.col("word"), rank).alias("ids")).collect()}
     share = spark.sparkContext.broadcast
     return read.mapInArrow(_encode_partition(classes, share(ranks), share(pair_table(ranks)), share(coded)), ENCODED)

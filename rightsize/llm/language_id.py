@@ -136,7 +136,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fit(learn: DataFrame, classes, bits: int = 15, orders: int = 3, sample: int = 4000, epochs: int = 4) -> dict:
+def fit(learn: DataFrame, classes, bits: int = 15, orders: int = 3, sample: int = 2000, epochs: int = 4) -> dict:
     """The model of ``learn(text, lang)``: idf-weighted coefficients, bias, temperature, languages."""
     read = learn.select("text", F.col("lang").cast("string").alias("lang"))
     rows = read.select("text").mapInArrow(_frequencies(classes, bits, orders), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # 2**bits rows at most
@@ -159,7 +159,8 @@ def fit(learn: DataFrame, classes, bits: int = 15, orders: int = 3, sample: int
     data = []
     for r in taken:
         f, n = np.frombuffer(bytes(r["feature"]), np.uint32).astype(np.int64), np.frombuffer(bytes(r["n"]), np.uint32)
-        data.append((np.append(f, 1 << bits), np.append(SCALE * n / n.sum() * idf[f], 1.0), langs.index(r["lang"])))
+        data.append((np.append(f, 1 << bits).astype(np.int32), np.append(SCALE * n / n.sum() * idf[f], 1.0).astype(np.float32), langs.index(r["lang"])))
+    del rows, taken
     held = data[::5] if len(data) >= 50 else data
     train = [d for i, d in enumerate(data) if i % 5] if len(data) >= 50 else data
     model = Ftrl(1 << bits, len(langs))
