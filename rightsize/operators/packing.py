@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rightsize.functions.numeric import codes_array, stage
 from rightsize.sources.defaults import NODE_WORKLOAD_DEFAULTS, SHAPE_DEFAULTS, with_defaults
-from rightsize.sources.dims import BROADCAST_ROW_LIMIT, dim
+from rightsize.sources.dims import dim
 
 # Node-packer constants and alert thresholds.
 DRIVER_SLOTS = 1                  # one executor slot goes to the driver
@@ -85,12 +85,18 @@ def alert_codes_sql(heap: str, target: str, inflated: str, unified: str) -> str:
     return f"CASE WHEN size({raised}) = 0 THEN array('ok') ELSE {raised} END"
 
 
+# A workload whose format or size no factor answers for is rejected before any arithmetic.
+DATA_STATUS = ("CASE WHEN inflation_factor IS NULL THEN 'unknown_format'"
+               " WHEN NOT coalesce(data_size_gb > 0, false) THEN 'data_size_not_positive' END")
+
+
 def node_pack(spark: SparkSession, workloads: DataFrame, shapes: DataFrame) -> DataFrame:
     """N1-N8, N10 for each workload on its cluster's shape."""
     sized = shape_sizing(shapes)
     workloads = with_defaults(workloads, NODE_WORKLOAD_DEFAULTS)
     j = (workloads.join(dim(spark, "inflation"), "data_format", "left")
          .join(sized, "cluster_id", "left"))
+    j = j.withColumn("status", F.expr(f"coalesce({DATA_STATUS}, status, 'unknown_cluster')"))
     j = stage(j, {
         "_n_mb": "data_size_gb * inflation_factor * 1024",
         "_n_inflated": "data_size_gb * inflation_factor"})
@@ -108,15 +114,16 @@ def node_pack(spark: SparkSession, workloads: DataFrame, shapes: DataFrame) -> D
               " ' --conf spark.sql.adaptive.enabled=true')")
     return j.selectExpr(
         "workload_id", "cluster_id", "cluster", "data_size_gb", "data_format", "inflation_factor",
-        "coalesce(status, 'unknown_cluster') AS status",
-        "executors_per_node", "total_executors", "target_exec_cores", "total_compute_cores",
-        "raw_mem_per_exec_gb", "overhead_gb", "heap_gb", "cluster_unified_mem_gb",
+        "status",
+        "executors_per_node", f"CASE WHEN {ok} THEN total_executors END AS total_executors", "target_exec_cores",
+        *[f"CASE WHEN {ok} THEN {x} END AS {x}" for x in (
+            "total_compute_cores", "raw_mem_per_exec_gb", "overhead_gb", "heap_gb", "cluster_unified_mem_gb")],
         f"CASE WHEN {ok} THEN _n_mb END AS data_in_memory_mb",
         f"CASE WHEN {ok} THEN _n_base END AS base_partitions",
         f"CASE WHEN {ok} THEN _n_shuffle END AS shuffle_partitions",
         f"CASE WHEN {ok} THEN {alert_codes_sql('heap_gb', 'target_exec_cores', '_n_inflated', 'cluster_unified_mem_gb')}"
         " END AS alerts",
-        "g1_advised",
+        f"CASE WHEN {ok} THEN g1_advised END AS g1_advised",
         f"CASE WHEN {ok} THEN {submit} END AS spark_submit")
 
 
@@ -142,17 +149,19 @@ def capacity_steps(shapes: DataFrame) -> DataFrame:
     """The staircase: shapes ordered by (cores, RAM, id) whose capacity beats
     every smaller shape; each answers the needs in (previous best, capacity].
 
-    This is a window over the shapes dimension, whose size is checked first:
-    a catalogue of cluster shapes, not workload data.
+    The best of all smaller shapes is a prefix maximum in two steps: within the
+    shapes of equal core count, and across core counts, so that the only window
+    without a partition key runs over one row per core count.
     """
-    n = shapes.limit(BROADCAST_ROW_LIMIT + 1).count()
-    if n > BROADCAST_ROW_LIMIT:
-        raise ValueError(f"cluster shape catalogue has more than {BROADCAST_ROW_LIMIT} rows")
     sized = shape_sizing(shapes).where(F.col("status") == "ok")
-    order = Window.orderBy("cluster_cores", "cluster_ram_gb", "cluster_id")
-    prev_best = F.max("cluster_unified_mem_gb").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    steps = (sized.select("cluster_id", "cluster", "cluster_cores", "cluster_ram_gb",
-                          "cluster_unified_mem_gb", prev_best.alias("lo"))
+    own = Window.partitionBy("cluster_cores").orderBy("cluster_ram_gb", "cluster_id")
+    within = F.max("cluster_unified_mem_gb").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    across = F.max("best").over(Window.orderBy("cluster_cores").rowsBetween(Window.unboundedPreceding, -1))
+    fewer = (sized.groupBy("cluster_cores").agg(F.max("cluster_unified_mem_gb").alias("best"))
+             .select("cluster_cores", across.alias("fewer_best")))
+    steps = (sized.withColumn("own_best", within).join(fewer, "cluster_cores")
+             .select("cluster_id", "cluster", "cluster_cores", "cluster_ram_gb", "cluster_unified_mem_gb",
+                     F.greatest("own_best", "fewer_best").alias("lo"))
              .where(F.col("lo").isNull() | (F.col("cluster_unified_mem_gb") > F.col("lo"))))
     lo_bin = F.when(F.col("lo").isNull(), F.lit(0)).otherwise(_need_bin(F.col("lo")))
     return steps.withColumn("need_bin", F.explode(F.sequence(lo_bin, _need_bin(F.col("cluster_unified_mem_gb")))))
@@ -160,10 +169,11 @@ def capacity_steps(shapes: DataFrame) -> DataFrame:
 
 def pick_shape(spark: SparkSession, workloads: DataFrame, shapes: DataFrame) -> DataFrame:
     """Per workload the smallest shape raising no spill alert (NULL: none)."""
-    need = (workloads.join(dim(spark, "inflation"), "data_format", "left")
+    need = (with_defaults(workloads, NODE_WORKLOAD_DEFAULTS).join(dim(spark, "inflation"), "data_format", "left")
             .select("workload_id", "data_size_gb", "data_format",
-                    (F.col("data_size_gb") * F.col("inflation_factor")).cast("double").alias("need_gb")))
-    steps = F.broadcast(capacity_steps(shapes))
+                    F.expr(f"CASE WHEN {DATA_STATUS} IS NULL THEN data_size_gb * inflation_factor END")
+                    .cast("double").alias("need_gb")))
+    steps = capacity_steps(shapes)
     cond = ((F.col("w.need_bin") == F.col("s.need_bin"))
             & (F.col("s.lo").isNull() | (F.col("w.need_gb") > F.col("s.lo")))
             & (F.col("w.need_gb") <= F.col("s.cluster_unified_mem_gb")))

@@ -146,7 +146,7 @@ def wave_rejects(workloads: DataFrame, constants: WaveConstants = WaveConstants(
 
 def with_calibration(workloads: DataFrame, calibration: DataFrame,
                      constants: WaveConstants = WaveConstants()) -> DataFrame:
-    """Measured coefficients replace the typed ones where an app has them.
+    """Per coefficient the measured value, else the typed one, else the constant.
 
     A plain equi join on app_id: the calibration table has one row per app,
     so Spark (and AQE, from the runtime size) broadcasts it when it is small
@@ -157,10 +157,13 @@ def with_calibration(workloads: DataFrame, calibration: DataFrame,
                              F.col("k_comp").alias("cal_k_comp"),
                              F.col("k_skew").alias("cal_k_skew"),
                              F.col("e_mem_rate").alias("cal_e_mem_rate"))
+    for name in ("t_base_sec", "e_mem_rate"):
+        typed = F.col(name) if name in workloads.columns else F.lit(None)
+        workloads = workloads.withColumn(name, F.coalesce(typed, F.lit(float(getattr(constants, name)))))
     j = workloads.join(cal, "app_id", "left")
     calibrated = F.col("cal_t_base_sec").isNotNull()
-    return (j.withColumn("t_base_sec", F.coalesce("cal_t_base_sec", F.lit(float(constants.t_base_sec))))
-             .withColumn("e_mem_rate", F.coalesce("cal_e_mem_rate", F.lit(float(constants.e_mem_rate))))
+    return (j.withColumn("t_base_sec", F.coalesce("cal_t_base_sec", F.col("t_base_sec")))
+             .withColumn("e_mem_rate", F.coalesce("cal_e_mem_rate", F.col("e_mem_rate")))
              .withColumn("k_comp", F.coalesce("cal_k_comp", F.col("k_comp")))
              .withColumn("k_skew", F.coalesce("cal_k_skew", F.col("k_skew")))
              .withColumn("coefficient_source", F.when(calibrated, F.lit("calibrated")).otherwise(F.lit("typed")))

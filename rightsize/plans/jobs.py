@@ -280,48 +280,26 @@ def write_plans(spark, sf_dir):
     return write_and_read_back(spark, wave_plan_typed(spark, sf_dir), "wave_plans")
 
 
-# ---- telemetry from event logs (S1) ----------------------------------------
+# ---- streaming ---------------------------------------------------------------
 
 import uuid  # noqa: E402
 
 from rightsize.session import scratch_path  # noqa: E402
-from rightsize.sources import eventlog as S1  # noqa: E402
-
-
-def _event_log_dir(spark, sf_dir):
-    """The session's own event-log folder when logging is on; otherwise a
-    fresh recording of our jobs over ``sf_dir`` in the shared scratch folder."""
-    if spark.conf.get("spark.eventLog.enabled", "false") == "true" and spark.conf.get("spark.eventLog.dir", None):
-        return spark.conf.get("spark.eventLog.dir")
-    return S1.record_event_log(sf_dir, scratch_path(spark, f"eventlog-{uuid.uuid4().hex}"))
-
-
-@job("read_task_metrics")
-def read_task_metrics(spark, sf_dir):
-    return S1.read_task_metrics(spark, _event_log_dir(spark, sf_dir))
-
-
-# ---- streaming ---------------------------------------------------------------
-
 from rightsize.streaming import fleet_stream as ST  # noqa: E402
 
-STREAM_TIMEOUT_S = 900
-
 
 @job("wave_plan_stream")
 def wave_plan_stream(spark, sf_dir):
     """The wave planner as a Structured Streaming query: the workloads table
-    lands as parquet files in the shared folder, is planned file by file
+    lands as parquet files in the shared folder, is planned as it lands
     (availableNow trigger, exactly-once parquet sink with a checkpoint) and
     the sink is read back -- valid plans and rejects with their reason."""
     base = scratch_path(spark, f"wave-stream-{uuid.uuid4().hex}")
     wl = fixture(spark, sf_dir, "workloads")
-    wl.repartition(4, "workload_id").write.parquet(f"{base}/in")
-    stream = ST.read_workload_stream(spark, f"{base}/in", wl.schema, max_files_per_trigger=1)
+    wl.write.parquet(f"{base}/in")
+    stream = ST.read_workload_stream(spark, f"{base}/in", wl.schema)
     q = ST.write_plans_stream(ST.plan_stream(stream), f"{base}/out", f"{base}/checkpoint")
-    if not q.awaitTermination(STREAM_TIMEOUT_S):
-        q.stop()
-        raise TimeoutError(f"streaming planner did not finish within {STREAM_TIMEOUT_S}s")
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{base}/out").select(*WAVE_KEYS, "reject_reason", *W.WAVE_OUTPUTS)

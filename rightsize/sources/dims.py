@@ -2,8 +2,7 @@
 
 They are literal tables of a handful of rows (a proven size bound), so joins
 against them are marked ``broadcast``: the workload table is never shuffled for
-a lookup. A caller may pass its own (e.g. measured) table of the same schema;
-``sized_broadcast`` checks its size before hinting.
+a lookup.
 """
 
 from __future__ import annotations
@@ -66,8 +65,6 @@ SCHEMAS = {
     "inflation": ("data_format string, inflation_factor int", INFLATION),
 }
 
-BROADCAST_ROW_LIMIT = 100_000
-
 
 def _sql_literal(v) -> str:
     if isinstance(v, bool):
@@ -93,8 +90,3 @@ def dims(spark: SparkSession) -> dict[str, DataFrame]:
 
 def dim(spark: SparkSession, name: str) -> DataFrame:
     return F.broadcast(_values_table(spark, name))
-
-
-def sized_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after checking a caller-supplied table is small."""
-    return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df

@@ -10,10 +10,6 @@ comes from the file path (``_metadata.file_path``).
 
 from __future__ import annotations
 
-import os
-import subprocess
-import sys
-import textwrap
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +27,15 @@ TASK_END_SCHEMA = """
                         `Shuffle Write Metrics`: STRUCT<`Shuffle Bytes Written`: BIGINT>>
 """
 
-APP_ID_PATTERN = r"((?:app|local|application)[-_][0-9A-Za-z_-]+)"
+# The log's folder ``eventlog_v2_<id>`` of a rolling log, else the file name up to its first dot.
+APP_ID_PATTERN = r"(?:/eventlog_v2_([^/]+)/[^/]+|/([^/.]+)[^/]*)$"
 
 
 def read_task_metrics(spark: SparkSession, path: str) -> DataFrame:
     """One row per finished task attempt, in the ``task_metrics`` layout."""
-    # A live log folder holds applications still writing (partial compressed
-    # frames) and rolling logs that may be compacted away mid-read.
+    # A damaged or vanished log fails the read: coefficients must not come from part of the telemetry.
     raw = (spark.read.schema(TASK_END_SCHEMA)
            .option("recursiveFileLookup", "true")
-           .option("ignoreCorruptFiles", "true")
-           .option("ignoreMissingFiles", "true")
            .json(path)
            .where(F.col("Event") == "SparkListenerTaskEnd")
            .select("*", F.col("_metadata.file_path").alias("file_path")))
@@ -49,7 +43,8 @@ def read_task_metrics(spark: SparkSession, path: str) -> DataFrame:
     shuffle_read = (F.coalesce(tm["Shuffle Read Metrics"]["Remote Bytes Read"], F.lit(0))
                     + F.coalesce(tm["Shuffle Read Metrics"]["Local Bytes Read"], F.lit(0)))
     return raw.select(
-        F.regexp_extract("file_path", APP_ID_PATTERN, 1).alias("app_id"),
+        F.coalesce(F.nullif(F.regexp_extract("file_path", APP_ID_PATTERN, 1), F.lit("")),
+                   F.regexp_extract("file_path", APP_ID_PATTERN, 2)).alias("app_id"),
         F.col("`Stage ID`").alias("stage_id"),
         F.col("`Stage Attempt ID`").alias("stage_attempt"),
         ti["Task ID"].alias("task_id"),
@@ -66,30 +61,3 @@ def read_task_metrics(spark: SparkSession, path: str) -> DataFrame:
         ti["Speculative"].alias("speculative"),
         F.timestamp_millis(ti["Launch Time"]).alias("launch_ts"),
     )
-
-
-def record_event_log(sf_dir: str, out_dir: str, jobs: tuple[str, ...] = ("calibrate", "sla_search"),
-                     timeout_s: int = 600) -> str:
-    """Run registered jobs over ``sf_dir`` in a child local Spark application
-    with event logging into ``out_dir``; returns ``out_dir``.
-
-    A session's event-logging settings are fixed when it starts, so telemetry
-    of a known run needs its own application.
-    """
-    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    code = textwrap.dedent(f"""
-        import sys
-        sys.path.insert(0, {repo!r})
-        from rightsize.session import local_session
-        from rightsize.plans.jobs import JOBS
-        spark = local_session(cpus="4", shuffle_partitions=8, app_name="rightsize-telemetry",
-                              extra={{"spark.eventLog.enabled": "true", "spark.eventLog.dir": {out_dir!r}}})
-        for name in {list(jobs)!r}:
-            JOBS[name](spark, {sf_dir!r}).write.format("noop").mode("overwrite").save()
-        spark.stop()
-    """)
-    if out_dir.startswith("file:") or "://" not in out_dir and ":" not in out_dir.split("/")[0]:
-        os.makedirs(out_dir.removeprefix("file:"), exist_ok=True)
-    subprocess.run([sys.executable, "-c", code], check=True, timeout=timeout_s,
-                   stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
-    return out_dir

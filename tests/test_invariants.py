@@ -85,12 +85,36 @@ def test_approximate_median_is_close(spark):
         assert lo <= approx[k] <= hi or abs(approx[k] - exact[k]) <= 0.01 * exact[k] + 1
 
 
-def test_shape_catalogue_size_is_checked(spark):
-    import pytest
-    from rightsize.sources.dims import BROADCAST_ROW_LIMIT, sized_broadcast
-    big = spark.range(BROADCAST_ROW_LIMIT + 1).selectExpr(
-        "CAST(id AS INT) AS cluster_id", "CAST(id AS STRING) AS cluster")
-    with pytest.raises(ValueError):
-        N.capacity_steps(big)
-    small = spark.range(3).selectExpr("CAST(id AS INT) AS cluster_id")
-    assert "Broadcast" in sized_broadcast(small).join(big, "cluster_id")._jdf.queryExecution().executedPlan().toString()
+def test_a_large_shape_catalogue(spark):
+    many = spark.range(120_000).selectExpr(
+        "id AS cluster_id", "CAST(id AS STRING) AS cluster", "CAST(8 + id % 40 AS INT) AS node_cores",
+        "CAST(32 + id % 500 AS INT) AS node_ram_gb", "CAST(2 + id % 30 AS INT) AS num_nodes")
+    work = spark.createDataFrame([(1, 900.0, "Plain text"), (2, 1e9, "Plain text")],
+                                 "workload_id int, data_size_gb double, data_format string")
+    got = {r.workload_id: r.best_cluster_id for r in N.pick_shape(spark, work, many).collect()}
+    ok = N.shape_sizing(many).where("status = 'ok' AND cluster_unified_mem_gb >= 2700")
+    best = ok.orderBy("cluster_cores", "cluster_ram_gb", "cluster_id").first()
+    assert got == {1: best.cluster_id, 2: None}
+
+
+def test_packer_rejects_what_it_cannot_size(spark):
+    shape = spark.createDataFrame([(1, "c")], "cluster_id int, cluster string")
+    work = spark.createDataFrame([(1, 1, 1000.0, "Avro"), (2, 1, -5.0, "Plain text"), (3, 1, None, "Plain text"),
+                                  (4, 9, 5.0, "Plain text")],
+                                 "workload_id int, cluster_id int, data_size_gb double, data_format string")
+    packed = {r.workload_id: r for r in N.node_pack(spark, work, shape).collect()}
+    assert [packed[i].status for i in (1, 2, 3, 4)] == ["unknown_format", "data_size_not_positive", "ok", "unknown_cluster"]
+    for i in (1, 2, 4):
+        assert packed[i].alerts is None and packed[i].shuffle_partitions is None and packed[i].spark_submit is None
+    need = {r.workload_id: r.need_gb for r in N.pick_shape(spark, work, shape).collect()}
+    assert need == {1: None, 2: None, 3: 3000.0, 4: 15.0}
+
+
+def test_typed_coefficients_outlive_a_missing_measurement(spark):
+    work = spark.createDataFrame([("w", "a", 11.0, 4.5, 1.1, 1.2)],
+                                 "workload_id string, app_id string, t_base_sec double, e_mem_rate double, k_comp double, k_skew double")
+    cal = spark.createDataFrame([("a", None, None, None, 1.9)],
+                                "app_id string, t_base_sec double, k_comp double, k_skew double, e_mem_rate double")
+    from rightsize.operators.waves import with_calibration
+    row = with_calibration(work, cal).first()
+    assert (row.t_base_sec, row.e_mem_rate, row.k_comp, row.k_skew) == (11.0, 1.9, 1.1, 1.2)
