@@ -24,6 +24,7 @@ import base64
 import heapq
 import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -155,10 +156,14 @@ LAST = 1 << 62  # behind every rank
 def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of ids that join to a piece: an open hash table of codes
     ``a * 2**32 + b`` (empty: -1) and the joined ids."""
-    found = {(ranks[w[:i]] << 32) + ranks[w[i:]]: r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
-    codes, joined = np.full(1 << (2 * len(found)).bit_length(), -1, np.int64), np.zeros(1 << (2 * len(found)).bit_length(), np.int32)
-    todo, value = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
-    del found
+    left, value = array("q"), array("i")
+    for w, r in ranks.items():
+        for i in range(1, len(w)):
+            if (a := ranks.get(w[:i])) is not None and (b := ranks.get(w[i:])) is not None:
+                left.append((a << 32) + b)
+                value.append(r)
+    todo, value = np.array(left, np.int64), np.array(value, np.int32)
+    codes, joined = np.full(1 << (2 * len(todo)).bit_length(), -1, np.int64), np.zeros(1 << (2 * len(todo)).bit_length(), np.int32)
     at = _slot(todo, len(codes))
     while len(todo):
         free = np.flatnonzero(codes[at] < 0)
@@ -332,7 +337,11 @@ def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:
     # spread over tasks: the fold costs far more than the row
     words = Tables(spark).save(top, "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rank = rank_lookup(ranks)
-    coded = {bytes(r["word"]): np.array(r["ids"], "<i4").tobytes() for r in words.select("word", fold_merges(F.col("word"), rank).alias("ids")).collect()}
+    folded = words.select("word", fold_merges(F.col("word"), rank).alias("ids")).toArrow().combine_chunks()
+    coded = {}
+    for part in folded.to_batches():
+        raw, ends = part["ids"].flatten().to_numpy().astype("<i4").tobytes(), np.cumsum(part["ids"].value_lengths().to_numpy()) * 4
+        coded.update(zip(part["word"].to_numpy(zero_copy_only=False).tolist(), (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
     share = spark.sparkContext.broadcast
     return read.mapInArrow(_encode_partition(classes, share(ranks), share(pair_table(ranks)), share(coded)), ENCODED)
 

@@ -139,14 +139,11 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(learn: DataFrame, classes, bits: int = 15, orders: int = 3, sample: int = 2000, epochs: int = 4) -> dict:
     """The model of ``learn(text, lang)``: idf-weighted coefficients, bias, temperature, languages."""
     read = learn.select("text", F.col("lang").cast("string").alias("lang"))
-    rows = read.select("text").mapInArrow(_frequencies(classes, bits, orders), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # 2**bits rows at most
+    rows = read.select("text").mapInArrow(_frequencies(classes, bits, orders), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
+    feature, n = (rows[c].to_numpy() for c in ("feature", "n"))
     frequency = np.zeros(1 << bits)
-    docs = 0
-    for r in rows:
-        if r["feature"] < 0:
-            docs = r["n"]
-        else:
-            frequency[r["feature"]] = r["n"]
+    frequency[feature[feature >= 0]] = n[feature >= 0]
+    docs = int(n[feature < 0].sum())
     per_lang = {r["lang"]: r["n"] for r in read.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(per_lang)
     if not docs:
@@ -155,10 +152,10 @@ def fit(learn: DataFrame, classes, bits: int = 15, orders: int = 3, sample: int
     share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, sample / len(langs) / per_lang[k]))))
     draw = F.xxhash64("text", F.lit("sample"))
     drawn = read.select("text", "lang", draw.alias("draw")).filter(F.pmod("draw", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    taken = sorted(drawn.mapInArrow(_counts(classes, bits, orders), "lang string, draw long, feature binary, n binary").collect(), key=lambda r: (r["draw"], r["lang"], bytes(r["feature"])))
+    taken = sorted(drawn.mapInArrow(_counts(classes, bits, orders), "lang string, draw long, feature binary, n binary").toArrow().to_pylist(), key=lambda r: (r["draw"], r["lang"], r["feature"]))
     data = []
     for r in taken:
-        f, n = np.frombuffer(bytes(r["feature"]), np.uint32).astype(np.int64), np.frombuffer(bytes(r["n"]), np.uint32)
+        f, n = np.frombuffer(r["feature"], np.uint32).astype(np.int64), np.frombuffer(r["n"], np.uint32)
         data.append((np.append(f, 1 << bits).astype(np.int32), np.append(SCALE * n / n.sum() * idf[f], 1.0).astype(np.float32), langs.index(r["lang"])))
     del rows, taken
     held = data[::5] if len(data) >= 50 else data

@@ -11,6 +11,7 @@ from rightsize.llm.hash_index import search
 from rightsize.llm.language_id import identify
 from rightsize.llm.minhash_forest import near_duplicates
 from rightsize.llm.mixing import mix
+from rightsize.llm.oracle import SQL  # noqa: F401
 from rightsize.llm.substring_dedup import remove_repeated_passages
 from rightsize.llm.suffix_dedup import remove_repeated_bytes
 from rightsize.llm.warc import round_trip
@@ -75,4 +76,3 @@ def op8_minhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_mixing, op4_language_id, op5_suffix_dedup, op6_warc, op7_chat_format, op8_minhash_near_dedup, op9_nearest_neighbours, op10_byte_bpe)}
-SQL: dict[str, str] = {}
