@@ -342,6 +342,8 @@ def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:
     for part in folded.to_batches():
         raw, ends = part["ids"].flatten().to_numpy().astype("<i4").tobytes(), np.cumsum(part["ids"].value_lengths().to_numpy()) * 4
         coded.update(zip(part["word"].to_numpy(zero_copy_only=False).tolist(), (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
+    del folded
+    pa.default_memory_pool().release_unused()
     share = spark.sparkContext.broadcast
     return read.mapInArrow(_encode_partition(classes, share(ranks), share(pair_table(ranks)), share(coded)), ENCODED)
 

@@ -158,6 +158,7 @@ def fit(learn: DataFrame, classes, bits: int = 15, orders: int = 3, sample: int
         f, n = np.frombuffer(r["feature"], np.uint32).astype(np.int64), np.frombuffer(r["n"], np.uint32)
         data.append((np.append(f, 1 << bits).astype(np.int32), np.append(SCALE * n / n.sum() * idf[f], 1.0).astype(np.float32), langs.index(r["lang"])))
     del rows, taken
+    pa.default_memory_pool().release_unused()
     held = data[::5] if len(data) >= 50 else data
     train = [d for i, d in enumerate(data) if i % 5] if len(data) >= 50 else data
     model = Ftrl(1 << bits, len(langs))
