@@ -337,7 +337,14 @@ def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:
     # spread over tasks: the fold costs far more than the row
     words = Tables(spark).save(top, "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rank = rank_lookup(ranks)
-    folded = words.select("word", fold_merges(F.col("word"), rank).alias("ids")).toArrow().combine_chunks()
+    # the driver keeps the text of every plan it ran, which would hold the rank map several times over
+    limit = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100000")
+    try:
+        folded = words.select("word", fold_merges(F.col("word"), rank).alias("ids")).toArrow().combine_chunks()
+    finally:
+        spark.conf.set(limit, before)
     coded = {}
     for part in folded.to_batches():
         raw, ends = part["ids"].flatten().to_numpy().astype("<i4").tobytes(), np.cumsum(part["ids"].value_lengths().to_numpy()) * 4
