@@ -30,6 +30,7 @@ from rightsize.llm.common import Tables, doc_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 GRID = 32
+PARTS = 64
 
 
 def targets(sizes: DataFrame, cap: float, cycle: int) -> DataFrame:
@@ -52,13 +53,23 @@ def targets(sizes: DataFrame, cap: float, cycle: int) -> DataFrame:
     return level.select("source", "number", "source_size", F.least("most", F.col("weight") * F.coalesce("share", F.lit(float("inf")))).alias("target"))
 
 
+def with_source(rows: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows(number, key, ...)`` with the columns of ``by_source(number, ...)``,
+    a table. Spark broadcasts it while it measures small. Beyond that the join
+    deals each source over ``PARTS`` parts, so a source with a third of all rows
+    is not one task, and a later aggregate by source combines within the parts."""
+    spread = by_source.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("key", F.lit("part")), F.lit(PARTS)).cast("int")
+    return rows.withColumn("__part", part).join(spread, ["number", "__part"], how).drop("__part")
+
+
 def balance(sized: DataFrame, wanted: DataFrame, tables: Tables, cap: float, rounds: int = 40, near: float = 1e-10) -> DataFrame:
     """number, multiplier of each source: Newton's method on the dual, over
-    ``sized(number, size, prior)`` and ``wanted(number, target)``."""
+    ``sized(number, key, size, prior)`` and ``wanted(number, target)``."""
     state = tables.save(wanted.select("number", "target", F.lit(0.0).alias("multiplier"), F.lit(False).alias("done")), "dual-0")
     for turn in range(1, rounds + 1):
         rate = F.col("prior") * F.exp("multiplier")
-        sums = sized.join(state.select("number", "multiplier"), "number").groupBy("number").agg(
+        sums = with_source(sized, state.select("number", "multiplier")).groupBy("number").agg(
             F.sum(F.col("size") * F.least(rate, F.lit(cap))).alias("tokens"), F.sum(F.when(rate < cap, F.col("size") * rate).otherwise(0.0)).alias("curve")
         )
         gap = F.col("target") - F.coalesce("tokens", F.lit(0.0))
@@ -81,12 +92,12 @@ def copies_of(rate: Column, u: Column, shift: Column, cap: float) -> Column:
 
 def round_to_copies(rated: DataFrame, wanted: DataFrame, tables: Tables, cap: float, rounds: int = 5) -> DataFrame:
     """number, shift of each source: the shift at which the copies of
-    ``rated(number, size, rate, u)`` come nearest to the target."""
+    ``rated(number, key, size, rate, u)`` come nearest to the target."""
     state = tables.save(wanted.select("number", "target", F.lit(-1.0).alias("low"), F.lit(1.0).alias("high")), "shift-0")
     points = [F.col("low") + (F.col("high") - F.col("low")) * (k / GRID) for k in range(GRID + 1)]
     for turn in range(1, rounds + 1):
         taken = [F.sum(F.col("size") * copies_of(F.col("rate"), F.col("u"), p, cap)).alias(f"t{k}") for k, p in enumerate(points)]
-        sums = rated.join(state.select("number", "low", "high"), "number").groupBy("number").agg(*taken)
+        sums = with_source(rated, state.select("number", "low", "high")).groupBy("number").agg(*taken)
         joined = state.join(sums, "number")
         # the last point that takes no more than the target, and the next one
         below = sum((F.when(F.col(f"t{k}") <= F.col("target"), 1).otherwise(0) for k in range(1, GRID)), F.lit(0))
@@ -102,17 +113,17 @@ def round_to_copies(rated: DataFrame, wanted: DataFrame, tables: Tables, cap: fl
     return state
 
 
-def settle(placed: DataFrame, cap: float) -> DataFrame:
+def settle(placed: DataFrame, tables: Tables, name: str, cap: float) -> DataFrame:
     """``placed(number, key, size, copies, target, ...)`` with one copy more or
     less, in each source, of the document that brings it nearest to its target."""
-    gap = placed.groupBy("number").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
-    joined = placed.select("number", "key", "size", "copies").join(gap, "number")
+    gap = tables.save(placed.groupBy("number").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap")), f"{name}-gap")
+    joined = with_source(placed.select("number", "key", "size", "copies"), gap)
     fits = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
     miss = F.abs(F.abs("gap") - F.col("size"))
     best = joined.filter(fits & (miss < F.abs("gap"))).groupBy("number").agg(F.min(F.struct(miss.alias("miss"), F.col("key"), F.signum("gap").alias("add"))).alias("best"))
-    best = best.select("number", F.col("best.key").alias("__key"), F.col("best.add").alias("add"))
+    best = tables.save(best.select("number", F.col("best.key").alias("__key"), F.col("best.add").alias("add")), f"{name}-best")
     add = F.when(F.col("key") == F.col("__key"), F.col("add")).otherwise(0.0)
-    return placed.join(best, "number", "left").withColumn("copies", F.col("copies") + F.coalesce(add, F.lit(0.0))).drop("__key", "add")
+    return with_source(placed, best, "left").withColumn("copies", F.col("copies") + F.coalesce(add, F.lit(0.0))).drop("__key", "add")
 
 
 def mix(docs: DataFrame, cap: int = 3, cycle: int = 3, prior: Column | None = None) -> DataFrame:
@@ -130,12 +141,12 @@ def mix(docs: DataFrame, cap: int = 3, cycle: int = 3, prior: Column | None = No
     dual = balance(sized, wanted, tables, float(cap))
     u = F.shiftrightunsigned(F.xxhash64("key", F.lit("copies")), 11) / F.lit(float(2**53))
     rate = F.least(F.lit(float(cap)), F.col("prior") * F.exp("multiplier"))
-    rated = tables.save(sized.join(dual, "number").withColumn("rate", rate).withColumn("u", u).drop("multiplier", "prior"), "rated")
+    rated = tables.save(with_source(sized, dual).withColumn("rate", rate).withColumn("u", u).drop("multiplier", "prior"), "rated")
     tables.drop("numbered")
     shift = round_to_copies(rated, wanted, tables, float(cap))
-    placed = rated.join(shift, "number").withColumn("copies", copies_of(F.col("rate"), F.col("u"), F.col("shift"), cap)).drop("u", "shift")
+    placed = with_source(rated, shift).withColumn("copies", copies_of(F.col("rate"), F.col("u"), F.col("shift"), cap)).drop("u", "shift")
     for turn in range(2):
-        placed = tables.save(settle(placed, float(cap)), f"copies-{turn}")
+        placed = tables.save(settle(placed, tables, f"settle-{turn}", float(cap)), f"copies-{turn}")
     out = placed.withColumn("copies", F.col("copies").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("key", "doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
