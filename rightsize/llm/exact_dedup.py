@@ -5,11 +5,13 @@ digit (the next bytes), groups of two or more by the next digit, and so on
 until a group is a single document or its documents have ended. Digits grow
 with the depth, so that a text of n bytes takes about log(n) rounds. A round
 counts documents by (group, digit) with map-side combination, and a join hands
-the new group back; a group with a third of all rows is one row on the counted
-side, and its rows are split over tasks by the skew join. Equality is that of
-all bytes; no digest takes part in it. Of a digit only the rows still in a
-group are carried on, with the rest of their text, in a table of the shared
-folder.
+the new group back. The counts are a table of their own, one row per group
+however large it is, so both sides of the merge join are plain exchanges, which
+is what lets adaptive execution split the rows of a group with a third of them
+over tasks (it cannot where an aggregate sits between exchange and join). The
+join is a merge join at every size. Equality is that of all bytes; no digest
+takes part in it. Of a digit only the rows still in a group are carried on, with
+the rest of their text, in a table of the shared folder.
 
 Of equal texts stays the row with the most code points in the original text,
 then with the smallest doc_id (null last), then any one of repeated rows.
@@ -39,8 +41,8 @@ def equal_texts(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     tables = tables or Tables(docs.sparkSession)
     text = docs.select(doc_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.char_length("text"), F.lit(0)).alias("points"), normalised(F.col("text")).cast("binary").alias("rest"))
     text = text.withColumn("text_sha256", F.sha2("rest", 256)).withColumn("digit", F.substring("rest", 1, FIRST))
-    often = text.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = text.join(often, "digit", "left").select(
+    often = tables.save(text.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "count-0")
+    first = text.join(often.hint("merge"), "digit", "left").select(
         F.monotonically_increasing_id().alias("row"), "key", "doc_id", "points", "text_sha256", "n",
         F.when(F.col("n").isNotNull(), F.col("digit")).alias("group"),
         F.when(F.col("n").isNotNull(), F.substring("rest", FIRST + 1, 2**31 - 1)).alias("rest"),
@@ -55,8 +57,8 @@ def equal_texts(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     while not left.isEmpty():
         width *= GROWTH
         cut = left.withColumn("digit", F.substring("rest", 1, width))
-        groups = cut.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least"))
-        split = cut.join(groups, ["group", "digit"]).select(
+        groups = tables.save(cut.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least")), f"count-{level}")
+        split = cut.join(groups.hint("merge"), ["group", "digit"]).select(
             *kept, F.when(F.col("n") > 1, F.col("least").cast("string").cast("binary")).alias("group"),
             (F.length("digit") < width).alias("over"), F.when((F.col("n") > 1) & (F.length("digit") == width), F.substring("rest", width + 1, 2**31 - 1)).alias("rest"),
         )
@@ -67,6 +69,7 @@ def equal_texts(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
         level += 1
     equal = reduce(DataFrame.unionByName, ended)
     best = equal.groupBy("group").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct(F.col("points"), (-F.col("key")).alias("key"), F.col("row"), F.col("doc_id"))).alias("best"))
+    best = tables.save(best, "best")
     out = ["key", "doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     grouped = equal.join(best, "group").withColumn("keep_id", F.col("best.doc_id")).withColumn("kept", F.col("row") == F.col("best.row"))
     alone = single.withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long")).withColumn("kept", F.lit(True))
