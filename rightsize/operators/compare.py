@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rightsize.functions.numeric import ceil_long
 
 COMPARE_COLUMNS = ("workload_id", "model", "executors", "total_cores", "total_ram_mb")
+MODELS = ("cost", "node", "profile", "wave")
 
 
 def from_wave(plans: DataFrame) -> DataFrame:
@@ -61,12 +62,27 @@ def compare_models(*parts: DataFrame) -> DataFrame:
 
 
 def model_spread(compared: DataFrame, k: int = 20) -> DataFrame:
-    """Per workload min/max executors over the models; the k widest spreads."""
+    """Per workload min/max executors over the models; the k widest spreads.
+
+    One minimum and one maximum per model keep the buffers fixed-width, so this
+    is a hash aggregate; the models at the extremes (ties: first name) are read
+    off the aggregated row.
+    """
+    def at(kind: str, model: str) -> str:
+        return f"_{kind}_{model}"
+
+    mine = {m: F.when(F.col("model") == m, F.col("executors")) for m in MODELS}
     per = (compared.groupBy("workload_id")
            .agg(F.count(F.lit(1)).alias("models"),
                 F.min("executors").alias("min_executors"),
                 F.max("executors").alias("max_executors"),
-                F.min_by("model", F.struct("executors", "model")).alias("min_model"),
-                F.min_by("model", F.struct((-F.col("executors")).alias("neg"), "model")).alias("max_model"))
-           .withColumn("spread_ratio", F.try_divide(F.col("max_executors").cast("double"), F.col("min_executors"))))
+                *[F.min(c).alias(at("min", m)) for m, c in mine.items()],
+                *[F.max(c).alias(at("max", m)) for m, c in mine.items()]))
+
+    def first_at(kind: str):
+        return F.coalesce(*[F.when(F.col(at(kind, m)) == F.col(f"{kind}_executors"), F.lit(m)) for m in MODELS])
+
+    per = per.select("workload_id", "models", "min_executors", "max_executors",
+                     first_at("min").alias("min_model"), first_at("max").alias("max_model"),
+                     F.try_divide(F.col("max_executors").cast("double"), F.col("min_executors")).alias("spread_ratio"))
     return per.orderBy(F.col("spread_ratio").desc_nulls_last(), F.col("workload_id")).limit(k)

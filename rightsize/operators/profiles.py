@@ -6,10 +6,8 @@ dimension tables (``rightsize.sources.dims``) joined with broadcast hints, so
 the workload table is never shuffled for a lookup. An unknown name finds no
 dimension row: the workload is rejected (V4) instead of failing the job.
 
-``profile_compare`` evaluates each workload under every profile (explode of
-the profile names, no join against the workload table) and puts the three
-results next to each other with one conditional aggregation (a hand-written
-pivot: one exchange, combined map-side); ``profile_fleet`` is a CUBE.
+``profile_compare`` evaluates each workload under every profile as three
+column sets of its own row; ``profile_fleet`` is a CUBE.
 """
 
 from __future__ import annotations
@@ -18,10 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rightsize.functions.numeric import case_first, stage
-from rightsize.operators.cost import search_partitions
 from rightsize.sources.defaults import PROFILE_DEFAULTS as PROFILE_FORM_DEFAULTS
 from rightsize.sources.defaults import with_defaults
-from rightsize.sources.dims import PROFILE_DEFAULTS, dim
+from rightsize.sources.dims import PROFILE_DEFAULTS, SHUFFLE_MULTIPLIER, dim
 
 # Multipliers, memory rules and driver sizes of the profile planner.
 GB_IN_MB = 1024
@@ -45,6 +42,9 @@ PLAN_OUTPUTS = ("executors", "executor_cores", "executor_memory_mb", "executor_o
                 "effective_data_gb", "spark_submit")
 
 
+VOLUME_GB = "CAST(CASE WHEN volume_unit = 'TB' THEN data_volume * 1024.0D ELSE data_volume END AS DOUBLE)"
+
+
 def resolve(spark: SparkSession, workloads: DataFrame) -> DataFrame:
     """P1 + P2 + P3: profile defaults, unit normalisation and coefficient lookups."""
     workloads = with_defaults(workloads, PROFILE_FORM_DEFAULTS)
@@ -58,7 +58,7 @@ def resolve(spark: SparkSession, workloads: DataFrame) -> DataFrame:
         f"CASE WHEN {over} THEN skew_risk ELSE profile_skew_risk END AS skew_risk",
         f"CAST(CASE WHEN {over} THEN safety_buffer_pct ELSE profile_safety_buffer_pct END AS INT) AS safety_buffer_pct",
         f"CAST(CASE WHEN {over} THEN max_executors_cap ELSE profile_max_executors_cap END AS INT) AS max_executors_cap",
-        "CAST(CASE WHEN volume_unit = 'TB' THEN data_volume * 1024.0D ELSE data_volume END AS DOUBLE) AS data_volume_gb")
+        f"{VOLUME_GB} AS data_volume_gb")
     return (df.join(dim(spark, "formats"), "data_format", "left")
               .join(dim(spark, "complexity"), "complexity", "left")
               .join(dim(spark, "shuffle"), "shuffle_intensity", "left"))
@@ -73,6 +73,10 @@ PROFILE_RULES = [
     ("sla_minutes <= 0", "sla_not_positive"),
 ]
 
+# The rules left for a workload planned under known profiles.
+OWN_RULES = [(rule, code) for rule, code in PROFILE_RULES
+             if code not in ("unknown_profile", "unknown_shuffle_intensity")]
+
 
 def _plan_stages() -> list[dict[str, str]]:
     """P4-P15, P18 as projection stages (SQL over the resolved columns); each
@@ -159,29 +163,35 @@ def enum_rejects(spark: SparkSession, workloads: DataFrame) -> DataFrame:
 
 
 def profile_compare(spark: SparkSession, workloads: DataFrame) -> DataFrame:
-    """Every workload under each profile's defaults, side by side."""
-    # Hash the workloads by id before multiplying them: the per-workload
-    # aggregation below then needs no exchange of its own.
-    spread = workloads.repartition(search_partitions(spark), "workload_id")
-    grid = (spread.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in PROFILES])))
-            .withColumn("manual_override", F.lit(False)))
-    plans = profile_plan(spark, grid)
-    # Conditional aggregation instead of pivot(): one aggregate, one exchange,
-    # and the three rows of a workload (made by one task) combine map-side.
-    aggs = []
-    for p in PROFILES:
-        mine = F.col("profile") == p
-        aggs += [F.max(F.when(mine, F.col("executors"))).alias(f"{p}_executors"),
-                 F.max(F.when(mine, F.col("total_cluster_cores"))).alias(f"{p}_cores"),
-                 F.max(F.when(mine, F.col("total_cluster_ram_mb"))).alias(f"{p}_ram_mb")]
-    wide = plans.groupBy("workload_id").agg(*aggs)
+    """Every workload under each profile's defaults, side by side.
+
+    The profiles are literals, so their plans are three column sets of the
+    workload's own row: two broadcast lookups, no exchange, no aggregate, and
+    rows that share a workload id stay apart.
+    """
+    df = with_defaults(workloads, PROFILE_FORM_DEFAULTS)
+    df = df.withColumn("data_volume_gb", F.expr(VOLUME_GB))
+    df = df.join(dim(spark, "formats"), "data_format", "left").join(dim(spark, "complexity"), "complexity", "left")
+    df = df.where(f"({case_first(OWN_RULES)}) IS NULL")
+    shared = ["workload_id", "complexity", "use_cache", "sla_minutes", "data_volume_gb", "format_factor",
+              "task_memory_mb", "throughput_mbps", "partitions_per_core"]
+    factors, results = dict(SHUFFLE_MULTIPLIER), []
+    for profile, intensity, skew_risk, safety, cap in PROFILE_DEFAULTS:
+        plan = _with_plan(df.select(*shared, *results, F.lit(intensity).alias("shuffle_intensity"),
+                                    F.lit(factors[intensity]).alias("shuffle_factor"),
+                                    F.lit(skew_risk).alias("skew_risk"), F.lit(safety).alias("safety_buffer_pct"),
+                                    F.lit(cap).alias("max_executors_cap")))
+        df = plan.select(*shared, *results, F.col("executors").alias(f"{profile}_executors"),
+                         F.col("total_cluster_cores").alias(f"{profile}_cores"),
+                         F.col("total_cluster_ram_mb").alias(f"{profile}_ram_mb"))
+        results += [f"{profile}_executors", f"{profile}_cores", f"{profile}_ram_mb"]
     base = "Balanced"
     extra = []
     for p in PROFILES:
         if p != base:
             extra.append((F.col(f"{p}_ram_mb") - F.col(f"{base}_ram_mb")).alias(f"{p}_ram_mb_vs_{base}"))
             extra.append((F.col(f"{p}_cores") - F.col(f"{base}_cores")).alias(f"{p}_cores_vs_{base}"))
-    return wide.select("*", *extra)
+    return df.select("workload_id", *results, *extra)
 
 
 def profile_fleet(plans: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def runtime_curve(spark, sf_dir):
 
 @job("sla_search")
 def sla_search(spark, sf_dir):
-    return C.sla_search(_candidates(spark, sf_dir))
+    return C.sla_search(C.candidates(spark, fixture(spark, sf_dir, "cost_workloads"), search_only=True))
 
 
 @job("curve_gain")
@@ -254,7 +254,7 @@ def _compared(spark, sf_dir):
     cw = fixture(spark, sf_dir, "cost_workloads")
     return X.compare_models(
         X.from_wave(W.wave_plan(fixture(spark, sf_dir, "workloads"))),
-        X.from_cost(C.sla_search(C.candidates(spark, cw), keep=X.COST_KEEP)),
+        X.from_cost(C.sla_search(C.candidates(spark, cw, search_only=True), keep=X.COST_KEEP)),
         X.from_profile(_profile_plans(spark, sf_dir)),
         X.from_node(_packings(spark, sf_dir)))
 
