@@ -5,8 +5,8 @@ statistics: the median task time of a plain read+write stage (t_base), the
 median of the heaviest stage relative to it (k_comp), max/median on that stage
 (k_skew) and memory/disk spill of that stage (e_mem_rate).
 
-Plan shape: one shuffle. ``stage_summary`` aggregates tasks by
-(app_id, stage_id) with map-side partial aggregation, so a hot stage (even a
+Plan shape: one shuffle of tasks. ``stage_summary`` aggregates them by
+(app_id, stage_id, stage attempt) with map-side partial aggregation, so a hot stage (even a
 third of all tasks) is pre-combined on every mapper before the exchange and
 only partial buffers move. Everything after it works on one row per stage and
 one row per application, which is small at any scale.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rightsize.functions.numeric import safe_div
+from rightsize.functions.numeric import ceil_long, safe_div
 
 # Thresholds stated for the coefficients.
 SKEW_JOIN_THRESHOLD = 2.0          # k_skew above this -> enable AQE skew join
@@ -29,61 +29,51 @@ K_COMP_CLASSES = (                 # upper bound (exclusive) -> class
 )
 
 
-def _median(c: str, exact: bool) -> Column:
+def _median(c: Column, exact: bool) -> Column:
     if exact:
         return F.median(c).cast("double")
     # Bounded, mergeable state for giant stages.
     return F.percentile_approx(c, 0.5, 10000).cast("double")
 
 
-def stage_summary(task_metrics: DataFrame, exact: bool = True) -> DataFrame:
-    """K1: one row per (app_id, stage_id) with task statistics."""
-    return (task_metrics
-            .groupBy("app_id", "stage_id")
-            .agg(F.count(F.lit(1)).alias("tasks"),
-                 _median("duration_ms", exact).alias("median_ms"),
-                 F.max("duration_ms").alias("max_ms"),
-                 F.sum("mem_spill_bytes").alias("mem_spill_bytes"),
-                 F.sum("disk_spill_bytes").alias("disk_spill_bytes"),
-                 F.sum("input_bytes").alias("input_bytes"),
-                 F.sum("shuffle_bytes").alias("shuffle_bytes"),
-                 F.sum("run_ms").alias("run_ms"),
-                 F.sum("duration_ms").alias("duration_ms"),
-                 F.sum(F.when(F.col("attempt") > 0, 1).otherwise(0)).cast("bigint").alias("retried_tasks"))
-            .withColumn("stage_skew", safe_div(F.col("max_ms"), F.col("median_ms"))))
-
+def _or(df: DataFrame, name: str, absent: object, kind: str) -> Column:
+    """A telemetry column that may be missing or NULL."""
+    value = F.lit(absent).cast(kind)
+    return F.coalesce(F.col(name), value) if name in df.columns else value
 
-def base_task_time(stages: DataFrame, baseline_stage: int) -> DataFrame:
-    """K2: t_base_sec per app = median task time of the baseline stage."""
-    return (stages.where(F.col("stage_id") == baseline_stage)
-            .select("app_id",
-                    F.col("median_ms").alias("base_median_ms"),
-                    (F.col("median_ms") / F.lit(1000.0)).alias("t_base_sec")))
 
+def stage_summary(task_metrics: DataFrame, exact: bool = True) -> DataFrame:
+    """K1: one row per (app_id, stage_id) with the statistics of its last attempt.
 
-def heaviest_stage(stages: DataFrame) -> DataFrame:
-    """K3: the stage with the highest median per app (ties: lowest stage id).
-
-    A grouped ``max_by`` over a struct key instead of a window: it aggregates
-    partially before its (tiny) exchange and needs no sort.
+    Statistics cover successful task attempts; failed attempts that were no
+    speculative copies count as retries. The launch and finish bounds cover
+    every attempt. Stage attempts are aggregated apart and the last one stays:
+    a second aggregation over one row per stage attempt.
     """
-    key = F.struct(F.col("median_ms"), (-F.col("stage_id")).alias("neg_stage"))
-    best = F.max_by(F.struct("stage_id", "tasks", "median_ms", "max_ms",
-                             "mem_spill_bytes", "disk_spill_bytes"), key)
-    return (stages.groupBy("app_id").agg(best.alias("h"))
-            .select("app_id",
-                    F.col("h.stage_id").alias("heavy_stage_id"),
-                    F.col("h.tasks").alias("heavy_tasks"),
-                    F.col("h.median_ms").alias("heavy_median_ms"),
-                    F.col("h.max_ms").alias("heavy_max_ms"),
-                    F.col("h.mem_spill_bytes").alias("heavy_mem_spill_bytes"),
-                    F.col("h.disk_spill_bytes").alias("heavy_disk_spill_bytes")))
-
-
-def compute_factor(heavy: DataFrame, base: DataFrame) -> DataFrame:
-    """K4: k_comp = heavy-stage median / baseline median (NULL without base)."""
-    return (heavy.join(base, "app_id", "left")
-            .withColumn("k_comp", safe_div(F.col("heavy_median_ms"), F.col("base_median_ms"))))
+    failed = _or(task_metrics, "failed", False, "boolean")
+    good = ~(failed | _or(task_metrics, "killed", False, "boolean"))
+    retried = failed & ~_or(task_metrics, "speculative", False, "boolean")
+    launch = _or(task_metrics, "launch_ms", None, "bigint")
+
+    def of_good(name: str) -> Column:
+        return F.when(good, F.col(name))
+
+    sums = ("mem_spill_bytes", "disk_spill_bytes", "input_bytes", "shuffle_bytes", "run_ms", "duration_ms")
+    attempts = (task_metrics
+                .groupBy("app_id", "stage_id", _or(task_metrics, "stage_attempt", 0, "bigint").alias("stage_attempt"))
+                .agg(F.count(F.when(good, 1)).alias("tasks"),
+                     _median(of_good("duration_ms"), exact).alias("median_ms"),
+                     F.max(of_good("duration_ms")).alias("max_ms"),
+                     *[F.sum(of_good(c)).alias(c) for c in sums],
+                     F.count(F.when(retried, 1)).alias("retried_tasks"),
+                     F.min(launch).alias("first_launch_ms"),
+                     F.max(launch + F.col("duration_ms")).alias("last_finish_ms")))
+    last = F.max_by(F.struct("stage_attempt", "tasks", "median_ms", "max_ms", *sums, "retried_tasks"), "stage_attempt")
+    return (attempts.groupBy("app_id", "stage_id")
+            .agg(last.alias("last"), F.min("first_launch_ms").alias("first_launch_ms"),
+                 F.max("last_finish_ms").alias("last_finish_ms"))
+            .select("app_id", "stage_id", "last.*", "first_launch_ms", "last_finish_ms")
+            .withColumn("stage_skew", safe_div(F.col("max_ms"), F.col("median_ms"))))
 
 
 def skew_factor() -> Column:
@@ -182,7 +172,8 @@ def _profile_aggs() -> list[Column]:
             F.sum("input_bytes").alias("input_bytes"),
             F.sum("shuffle_bytes").alias("shuffle_bytes"),
             F.sum("run_ms").alias("run_ms"),
-            F.sum("duration_ms").alias("duration_ms")]
+            F.sum("duration_ms").alias("duration_ms"),
+            (F.max("last_finish_ms") - F.min("first_launch_ms")).alias("span_ms")]
 
 
 def _profile_columns() -> list[Column]:
@@ -192,7 +183,10 @@ def _profile_columns() -> list[Column]:
             safe_div(F.col("input_bytes") / F.lit(1048576.0),
                      F.col("run_ms") / F.lit(1000.0)).alias("cpu_throughput_mb_s_per_core"),
             (F.col("input_bytes") / F.lit(1073741824.0)).alias("input_data_gb"),
-            F.col("duration_ms")]
+            F.col("duration_ms"),
+            (F.col("span_ms") / F.lit(1000.0)).alias("observed_sec"),
+            # tasks that ran at once on average, in whole slots
+            F.greatest(F.lit(1).cast("bigint"), ceil_long(safe_div(F.col("duration_ms"), F.col("span_ms")))).alias("slots")]
 
 
 def measured_profile(stages: DataFrame) -> DataFrame:
@@ -204,32 +198,30 @@ def measured_profile(stages: DataFrame) -> DataFrame:
     return stages.groupBy("app_id").agg(*_profile_aggs()).select(*_profile_columns())
 
 
-def _prediction(per_app: DataFrame, slots: int, block_size_mb: int) -> DataFrame:
-    observed = F.col("duration_ms") / F.lit(1000.0) / F.lit(float(slots))
+def _prediction(per_app: DataFrame, slots: int | None, block_size_mb: int) -> DataFrame:
+    at_once = F.col("slots") if slots is None else F.lit(slots).cast("bigint")
     tasks = F.ceil(F.col("input_data_gb") * F.lit(1024.0) / F.lit(float(block_size_mb)))
-    waves = F.ceil(tasks / F.lit(float(slots)))
+    waves = F.ceil(tasks / F.col("slots").cast("double"))
     t_eff = F.col("t_base_sec") * F.col("k_comp") * F.col("k_skew")
-    return (per_app.select("app_id", observed.alias("observed_sec"), tasks.cast("bigint").alias("tasks"),
-                           waves.cast("bigint").alias("waves"), (waves * t_eff).alias("predicted_sec"))
+    return (per_app.withColumn("slots", at_once)
+            .select("app_id", "observed_sec", "slots", tasks.cast("bigint").alias("tasks"),
+                    waves.cast("bigint").alias("waves"), (waves * t_eff).alias("predicted_sec"))
             .withColumn("abs_error_sec", F.abs(F.col("predicted_sec") - F.col("observed_sec")))
             .withColumn("rel_error", safe_div(F.col("abs_error_sec"), F.col("observed_sec"))))
 
 
-def backtest(calibration: DataFrame, profile: DataFrame, slots: int = 16,
-             block_size_mb: int = 128) -> DataFrame:
+def backtest_from_stages(stages: DataFrame, baseline_stage: int, slots: int | None = None,
+                         block_size_mb: int = 128) -> DataFrame:
     """Predicted against observed runtime, one row per application.
 
-    Observed: total task time spread over ``slots`` concurrent task slots.
-    Predicted: the wave model with the app's own calibrated coefficients,
-    tasks = input / block, waves = ceil(tasks / slots), each wave t_base*k_comp*k_skew.
-    """
-    return _prediction(profile.join(calibration, "app_id"), slots, block_size_mb)
-
+    Observed: first launch to last finish in the telemetry (NULL without
+    launch times). Predicted: the wave model with the app's own calibrated
+    coefficients, tasks = input / block, waves = ceil(tasks / slots), each wave
+    t_base*k_comp*k_skew. ``slots`` are the app's measured ones (K10) unless given.
 
-def backtest_from_stages(stages: DataFrame, baseline_stage: int, slots: int = 16,
-                         block_size_mb: int = 128) -> DataFrame:
-    """K11 in one pass: calibration and measured profile from the same
-    per-app aggregation (one scan and one task-level shuffle, no join)."""
+    Calibration and measured profile come from the same per-app aggregation
+    (one scan and one task-level shuffle, no join).
+    """
     per_app = _per_app(stages, baseline_stage)
     both = per_app.select(*_calibration_columns(baseline_stage),
                           *[c for c in _profile_columns() if str(c) != str(F.col("app_id"))])

@@ -144,6 +144,10 @@ def wave_rejects(workloads: DataFrame, constants: WaveConstants = WaveConstants(
             .select("workload_id", "reject_reason", "reject_reasons"))
 
 
+# Calibrated coefficients and the prefix of the column that says where each came from.
+COEFFICIENTS = {"t_base_sec": "t_base", "e_mem_rate": "e_mem", "k_comp": "k_comp", "k_skew": "k_skew"}
+
+
 def with_calibration(workloads: DataFrame, calibration: DataFrame,
                      constants: WaveConstants = WaveConstants()) -> DataFrame:
     """Per coefficient the measured value, else the typed one, else the constant.
@@ -157,17 +161,15 @@ def with_calibration(workloads: DataFrame, calibration: DataFrame,
                              F.col("k_comp").alias("cal_k_comp"),
                              F.col("k_skew").alias("cal_k_skew"),
                              F.col("e_mem_rate").alias("cal_e_mem_rate"))
-    for name in ("t_base_sec", "e_mem_rate"):
-        typed = F.col(name) if name in workloads.columns else F.lit(None)
-        workloads = workloads.withColumn(name, F.coalesce(typed, F.lit(float(getattr(constants, name)))))
     j = workloads.join(cal, "app_id", "left")
-    calibrated = F.col("cal_t_base_sec").isNotNull()
-    return (j.withColumn("t_base_sec", F.coalesce("cal_t_base_sec", F.col("t_base_sec")))
-             .withColumn("e_mem_rate", F.coalesce("cal_e_mem_rate", F.col("e_mem_rate")))
-             .withColumn("k_comp", F.coalesce("cal_k_comp", F.col("k_comp")))
-             .withColumn("k_skew", F.coalesce("cal_k_skew", F.col("k_skew")))
-             .withColumn("coefficient_source", F.when(calibrated, F.lit("calibrated")).otherwise(F.lit("typed")))
-             .drop("cal_t_base_sec", "cal_k_comp", "cal_k_skew", "cal_e_mem_rate"))
+    values, sources = [], []
+    for name, short in COEFFICIENTS.items():
+        typed = F.col(name) if name in workloads.columns else F.lit(None)
+        measured, constant = F.col(f"cal_{name}"), getattr(constants, name, None)
+        values.append(F.coalesce(measured, typed, F.lit(constant)).cast("double").alias(name))
+        sources.append(F.when(measured.isNotNull(), F.lit("measured")).when(typed.isNotNull(), F.lit("typed"))
+                       .otherwise(F.lit("constant")).alias(f"{short}_source"))
+    return j.select(*[c for c in workloads.columns if c not in COEFFICIENTS], *values, *sources)
 
 
 def wave_fleet(validated: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ WAVE_KEYS = ["workload_id", "team", "app_id", "data_size_gb", "sla_seconds", "k_
 def wave_plan(spark, sf_dir):
     """Plans with coefficients from ``calibrate`` where the app has them."""
     wl = W.with_calibration(fixture(spark, sf_dir, "workloads"), _calibration(spark, sf_dir))
-    return W.wave_plan(wl).select(*WAVE_KEYS, "coefficient_source", *W.WAVE_OUTPUTS)
+    return W.wave_plan(wl).select(*WAVE_KEYS, *[f"{short}_source" for short in W.COEFFICIENTS.values()], *W.WAVE_OUTPUTS)
 
 
 @job("wave_plan_typed")

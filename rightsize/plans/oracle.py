@@ -21,18 +21,26 @@ def _with(*names: str, extra: str = "") -> str:
 # ---- calibration (K) -------------------------------------------------------
 
 _STAGES = """
+attempts AS (
+  SELECT app_id, stage_id, stage_attempt, count(*) FILTER (WHERE NOT failed AND NOT killed) AS tasks,
+    CAST(median(duration_ms) FILTER (WHERE NOT failed AND NOT killed) AS DOUBLE) AS median_ms,
+    max(duration_ms) FILTER (WHERE NOT failed AND NOT killed) AS max_ms,
+    CAST(sum(mem_spill_bytes) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS mem_spill_bytes,
+    CAST(sum(disk_spill_bytes) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS disk_spill_bytes,
+    CAST(sum(input_bytes) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS input_bytes,
+    CAST(sum(shuffle_bytes) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS shuffle_bytes,
+    CAST(sum(run_ms) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS run_ms,
+    CAST(sum(duration_ms) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS duration_ms,
+    count(*) FILTER (WHERE failed AND NOT speculative) AS retried_tasks,
+    min(launch_ms) AS attempt_launch_ms, max(launch_ms + duration_ms) AS attempt_finish_ms
+  FROM task_metrics GROUP BY app_id, stage_id, stage_attempt
+),
 stages AS (
-  SELECT app_id, stage_id, count(*) AS tasks,
-    CAST(median(duration_ms) AS DOUBLE) AS median_ms,
-    max(duration_ms) AS max_ms,
-    CAST(sum(mem_spill_bytes) AS BIGINT) AS mem_spill_bytes,
-    CAST(sum(disk_spill_bytes) AS BIGINT) AS disk_spill_bytes,
-    CAST(sum(input_bytes) AS BIGINT) AS input_bytes,
-    CAST(sum(shuffle_bytes) AS BIGINT) AS shuffle_bytes,
-    CAST(sum(run_ms) AS BIGINT) AS run_ms,
-    CAST(sum(duration_ms) AS BIGINT) AS duration_ms,
-    CAST(sum(CASE WHEN attempt > 0 THEN 1 ELSE 0 END) AS BIGINT) AS retried_tasks
-  FROM task_metrics GROUP BY app_id, stage_id
+  SELECT a.* EXCLUDE (attempt_launch_ms, attempt_finish_ms), w.first_launch_ms, w.last_finish_ms
+  FROM attempts a JOIN (
+    SELECT app_id, stage_id, max(stage_attempt) AS stage_attempt, min(attempt_launch_ms) AS first_launch_ms,
+      max(attempt_finish_ms) AS last_finish_ms
+    FROM attempts GROUP BY app_id, stage_id) w USING (app_id, stage_id, stage_attempt)
 )"""
 
 _CALIBRATION = _STAGES + f""",
@@ -63,20 +71,23 @@ profile AS (
     CAST(sum(shuffle_bytes) AS DOUBLE) / nullif(sum(input_bytes), 0) AS shuffle_ratio,
     (sum(input_bytes) / 1048576e0) / nullif(sum(run_ms) / 1000e0, 0) AS cpu_throughput_mb_s_per_core,
     sum(input_bytes) / 1073741824e0 AS input_data_gb,
-    CAST(sum(duration_ms) AS BIGINT) AS duration_ms
+    CAST(sum(duration_ms) AS BIGINT) AS duration_ms,
+    (max(last_finish_ms) - min(first_launch_ms)) / 1000e0 AS observed_sec,
+    greatest(CAST(1 AS BIGINT), CAST(ceil(CAST(sum(duration_ms) AS DOUBLE)
+      / nullif(max(last_finish_ms) - min(first_launch_ms), 0)) AS BIGINT)) AS slots
   FROM stages GROUP BY app_id
 )"""
 
 _BACKTEST = """,
 errors AS (
-  SELECT app_id, observed_sec, tasks, waves, predicted_sec,
+  SELECT app_id, observed_sec, slots, tasks, waves, predicted_sec,
     abs(predicted_sec - observed_sec) AS abs_error_sec,
     abs(predicted_sec - observed_sec) / nullif(observed_sec, 0) AS rel_error
   FROM (
-    SELECT p.app_id, p.duration_ms / 1000e0 / 16e0 AS observed_sec,
+    SELECT p.app_id, p.observed_sec, p.slots,
       CAST(ceil(p.input_data_gb * 1024e0 / 128e0) AS BIGINT) AS tasks,
-      CAST(ceil(ceil(p.input_data_gb * 1024e0 / 128e0) / 16e0) AS BIGINT) AS waves,
-      ceil(ceil(p.input_data_gb * 1024e0 / 128e0) / 16e0) * (c.t_base_sec * c.k_comp * c.k_skew) AS predicted_sec
+      CAST(ceil(ceil(p.input_data_gb * 1024e0 / 128e0) / p.slots) AS BIGINT) AS waves,
+      ceil(ceil(p.input_data_gb * 1024e0 / 128e0) / p.slots) * (c.t_base_sec * c.k_comp * c.k_skew) AS predicted_sec
     FROM profile p JOIN calibration c ON p.app_id = c.app_id)
 )"""
 
@@ -164,12 +175,15 @@ _CAL_WL = """cal_wl AS (
   SELECT w.workload_id, w.team, w.app_id, w.data_size_gb, w.sla_seconds, w.skew_memory_mode,
     coalesce(c.k_comp, w.k_comp) AS k_comp, coalesce(c.k_skew, w.k_skew) AS k_skew,
     coalesce(c.t_base_sec, 25e0) AS t_base_sec, coalesce(c.e_mem_rate, 3e0) AS e_mem_rate,
-    CASE WHEN c.t_base_sec IS NOT NULL THEN 'calibrated' ELSE 'typed' END AS coefficient_source
+    CASE WHEN c.t_base_sec IS NOT NULL THEN 'measured' ELSE 'constant' END AS t_base_source,
+    CASE WHEN c.e_mem_rate IS NOT NULL THEN 'measured' ELSE 'constant' END AS e_mem_source,
+    CASE WHEN c.k_comp IS NOT NULL THEN 'measured' WHEN w.k_comp IS NOT NULL THEN 'typed' ELSE 'constant' END AS k_comp_source,
+    CASE WHEN c.k_skew IS NOT NULL THEN 'measured' WHEN w.k_skew IS NOT NULL THEN 'typed' ELSE 'constant' END AS k_skew_source
   FROM workloads w LEFT JOIN calibration c ON w.app_id = c.app_id
 )"""
 
 SQL["wave_plan"] = _with("task_metrics", "workloads", extra=_CALIBRATION + ",\n" + _CAL_WL) + f"""
-SELECT {_WAVE_KEYS}, coefficient_source, {_WAVE_OUT}
+SELECT {_WAVE_KEYS}, t_base_source, e_mem_source, k_comp_source, k_skew_source, {_WAVE_OUT}
 FROM ({_wave_steps('cal_wl')}) WHERE reject_reason IS NULL"""
 
 SQL["wave_plan_typed"] = _with("workloads", extra=_TYPED_WL) + f"""

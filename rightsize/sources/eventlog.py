@@ -58,6 +58,8 @@ def read_task_metrics(spark: SparkSession, path: str) -> DataFrame:
         shuffle_read.alias("shuffle_bytes"),
         F.coalesce(tm["Shuffle Write Metrics"]["Shuffle Bytes Written"], F.lit(0)).alias("shuffle_write_bytes"),
         ti["Failed"].alias("failed"),
+        ti["Killed"].alias("killed"),
         ti["Speculative"].alias("speculative"),
+        ti["Launch Time"].alias("launch_ms"),
         F.timestamp_millis(ti["Launch Time"]).alias("launch_ts"),
     )

@@ -26,8 +26,11 @@ SELECT l_suppkey AS app_id, l_linenumber AS stage_id,
   CAST(floor(l_extendedprice) AS BIGINT) * 2048 AS input_bytes,
   CASE WHEN l_linenumber > 1 THEN CAST(floor(l_extendedprice) AS BIGINT) * 1024 ELSE 0 END AS shuffle_bytes,
   CASE WHEN l_partkey % 33 = 0 THEN 1 ELSE 0 END AS attempt,
+  CAST(CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 2 AND l_partkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS stage_attempt,
+  l_partkey % 29 = 0 AS failed, l_partkey % 31 = 0 AS killed, l_partkey % 3 = 0 AS speculative,
+  CAST(l_linenumber AS BIGINT) * 100000 + l_orderkey % 100000 AS launch_ms,
   l_shipdate AS launch_ts
-FROM {lineitem}
+FROM {lineitem} WHERE l_suppkey % 9 <> 0 OR l_linenumber <> 4
 """,
     "file_manifest": """
 SELECT source AS dataset, doc_id AS file_id, n_chars * 1048576 AS bytes FROM {documents}

@@ -18,9 +18,9 @@ def shuffles(p: str) -> int:
 
 
 @pytest.mark.parametrize("name,expected", [
-    ("calibrate", 2),          # tasks -> (app, stage); stages -> app
-    ("stage_summary", 1),
-    ("backtest", 2),
+    ("calibrate", 3),          # tasks -> stage attempt; attempts -> stage; stages -> app
+    ("stage_summary", 2),
+    ("backtest", 3),
     ("sla_search", 1),         # candidates -> workload
     ("curve_gain", 1),
     ("profile_compare", 0),    # three column sets of one row
