@@ -249,19 +249,28 @@ def _literal(value, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), schema)
 
 
-def rank_lookup(ranks: dict[bytes, int]):
-    """hex piece -> rank (null: none), from a literal array of maps by CRC."""
+def rank_table(ranks: dict[bytes, int]) -> Column:
+    """A literal array of maps, by CRC, of hex pieces to ranks."""
     maps: list[dict] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         name = piece.hex().upper()
         maps[zlib.crc32(name.encode()) % BUCKETS][name] = rank
-    table = _literal(maps, "array<map<string,int>>")
-    bucket = lambda piece: (F.crc32(piece) % BUCKETS + 1).cast("int")
-    return lambda piece: F.element_at(F.element_at(table, bucket(piece)), piece)
+    return _literal(maps, "array<map<string,int>>")
 
 
-def fold_merges(word: Column, rank) -> Column:
-    """Ids of a binary word: a fold of ranked merges over its bytes."""
+def rank_in(table: Column, piece: Column) -> Column:
+    """The rank of a hex piece (null: none)."""
+    return F.element_at(F.element_at(table, (F.crc32(piece) % BUCKETS + 1).cast("int")), piece)
+
+
+def fold_merges(word: Column, table: Column) -> Column:
+    """Ids of a binary word: a fold of ranked merges over its bytes. The table
+    is bound to a lambda's variable, so that the plan holds it once and not at
+    each of its uses."""
+    return F.element_at(F.transform(F.array(table), lambda bound: _fold(word, lambda piece: rank_in(bound, piece))), 1)
+
+
+def _fold(word: Column, rank) -> Column:
     text = F.hex(word)
     count = F.octet_length(word)
     bytes_ = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(text, i * 2 + 1, F.lit(2)))
@@ -336,13 +345,12 @@ def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:
     top = counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(table).select("word")
     # spread over tasks: the fold costs far more than the row
     words = Tables(spark).save(top, "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rank = rank_lookup(ranks)
     # the driver keeps the text of every plan it ran, which would hold the rank map several times over
     limit = "spark.sql.maxPlanStringLength"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "100000")
     try:
-        folded = words.select("word", fold_merges(F.col("word"), rank).alias("ids")).toArrow().combine_chunks()
+        folded = words.select("word", fold_merges(F.col("word"), rank_table(ranks)).alias("ids")).toArrow().combine_chunks()
     finally:
         spark.conf.set(limit, before)
     coded = {}
