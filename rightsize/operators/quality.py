@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 from rightsize.functions.numeric import codes_where
 
 # Declared input ranges of the four input forms.
-# (rule code, column, lowest allowed, highest allowed); a str bound names a column.
+# (rule code, column, lowest allowed, highest allowed); a str bound names a column,
+# a tuple in place of the lowest lists the only values allowed.
 RULES: dict[str, list[tuple[str, str, object, object]]] = {
     "workloads": [
         ("data_size_below_min", "data_size_gb", 1.0, None),
         ("sla_below_one_minute", "sla_seconds", 60, None),
         ("k_comp_out_of_range", "k_comp", 1.0, 3.0),
         ("k_skew_out_of_range", "k_skew", 1.0, 3.0),
+        ("block_size_not_offered", "block_size_mb", (64, 96, 128, 192, 256), None),
+        ("t_base_below_min", "t_base_sec", 1.0, None),
+        ("e_mem_out_of_range", "e_mem_rate", 1.0, 6.0),
+        ("cores_per_exec_not_offered", "cores_per_exec", (2, 3, 4, 5, 6, 8), None),
+        ("skew_mode_not_offered", "skew_memory_mode", ("off", "sqrt", "linear"), None),
     ],
     "cost_workloads": [
         ("input_below_min", "input_data_gb", 0.1, None),
@@ -32,6 +38,32 @@ RULES: dict[str, list[tuple[str, str, object, object]]] = {
         ("target_negative", "target_runtime_min", 0.0, None),
         ("min_executors_below_min", "min_executors", 1, None),
         ("max_executors_below_min", "max_executors", 1, None),
+        ("compression_out_of_range", "compression_expand_factor", 1.0, 8.0),
+        ("format_overhead_out_of_range", "format_overhead_factor", 1.0, 2.5),
+        ("amplification_out_of_range", "transform_amplification_factor", 0.5, 3.0),
+        ("udf_complexity_out_of_range", "udf_complexity_factor", 0.5, 4.0),
+        ("stages_below_min", "stages_count", 1, None),
+        ("input_partitions_below_min", "input_partitions", 1, None),
+        ("shuffle_partitions_below_min", "shuffle_partitions", 1, None),
+        ("cores_below_min", "cores_per_executor", 1, None),
+        ("executor_memory_below_min", "executor_memory_gb", 1.0, None),
+        ("memory_overhead_out_of_range", "executor_memory_overhead_pct", 5, 50),
+        ("cpu_utilization_out_of_range", "cluster_cpu_utilization", 0.2, 1.0),
+        ("cpu_throughput_below_min", "cpu_throughput_mb_s_per_core", 1.0, None),
+        ("disk_throughput_below_min", "disk_throughput_mb_s_per_executor", 10.0, None),
+        ("network_throughput_below_min", "network_throughput_mb_s_per_executor", 10.0, None),
+        ("memory_fraction_out_of_range", "spark_memory_fraction", 0.2, 0.9),
+        ("storage_fraction_out_of_range", "spark_storage_fraction", 0.1, 0.9),
+        ("working_set_out_of_range", "active_working_set_fraction", 0.05, 0.7),
+        ("cache_fraction_out_of_range", "cache_fraction_of_data", 0.0, 1.0),
+        ("broadcast_negative", "broadcast_tables_gb", 0.0, None),
+        ("in_flight_shuffle_out_of_range", "concurrent_shuffle_fraction", 0.05, 0.8),
+        ("stage_overhead_negative", "stage_scheduler_overhead_s", 0.0, None),
+        ("spill_penalty_out_of_range", "spill_penalty_per_100pct", 0.0, 2.0),
+        ("gc_sensitivity_out_of_range", "gc_penalty_sensitivity", 0.0, 2.0),
+        ("retry_fraction_out_of_range", "expected_retry_fraction", 0.0, 0.5),
+        ("retry_cost_out_of_range", "retry_cost_fraction", 0.0, 1.0),
+        ("speculation_gain_out_of_range", "speculative_execution_gain", 0.0, 0.35),
     ],
     "profile_workloads": [
         ("data_volume_below_min", "data_volume", 1.0, None),
@@ -64,6 +96,8 @@ def _bound(b) -> Column:
 
 def _violated(column: str, lo, hi) -> Column:
     v = F.col(column)
+    if isinstance(lo, tuple):
+        return F.coalesce(~v.isin(*lo), F.lit(False))
     cond = F.lit(False)
     if lo is not None:
         cond = cond | (v < _bound(lo))
@@ -73,14 +107,23 @@ def _violated(column: str, lo, hi) -> Column:
 
 
 def violations(df: DataFrame, table: str, rules=None) -> DataFrame:
-    """One row per (row, violated rule)."""
+    """One row per (row, violated rule).
+
+    A field the table lacks, or a NULL, takes the form's default (S3), which
+    lies in its range, so its rules are not violated.
+    """
     rules = rules if rules is not None else RULES[table]
-    failed = codes_where(*[(_violated(col, lo, hi), code) for code, col, lo, hi in rules])
+    failed = codes_where(*[(_violated(col, lo, hi), code) for code, col, lo, hi in rules if col in df.columns])
     return df.select(F.lit(table).alias("table_name"), F.col(KEYS[table]).cast("bigint").alias("row_key"),
                      F.explode(failed).alias("rule"))
 
 
-def domain_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """V3: violations of every table, counted per table and rule."""
-    rows = reduce(DataFrame.unionByName, [violations(df, name) for name, df in tables.items()])
-    return rows.groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("violations"))
+def all_violations(tables: list[tuple[str, DataFrame]]) -> DataFrame:
+    """V3 by row: the violations of every (form, table)."""
+    return reduce(DataFrame.unionByName, [violations(df, name) for name, df in tables])
+
+
+def domain_violations(tables: list[tuple[str, DataFrame]]) -> DataFrame:
+    """V3: violations counted per form and rule."""
+    return (all_violations(tables).groupBy("table_name", "rule")
+            .agg(F.count(F.lit(1)).alias("violations")))

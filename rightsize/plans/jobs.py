@@ -238,9 +238,21 @@ def pick_shape(spark, sf_dir):
     return N.pick_shape(spark, fixture(spark, sf_dir, "node_workloads"), fixture(spark, sf_dir, "cluster_shapes"))
 
 
+def _forms(spark, sf_dir):
+    forms = [(t, fixture(spark, sf_dir, t)) for t in V.RULES]
+    return forms + [("cost_workloads", fixture(spark, sf_dir, "cost_forms")),
+                    ("workloads", fixture(spark, sf_dir, "wave_forms"))]
+
+
 @job("domain_violations")
 def domain_violations(spark, sf_dir):
-    return V.domain_violations({t: fixture(spark, sf_dir, t) for t in V.RULES})
+    return V.domain_violations(_forms(spark, sf_dir))
+
+
+@job("violation_rows")
+def violation_rows(spark, sf_dir):
+    """V3 by row: which row breaks which declared range."""
+    return V.all_violations(_forms(spark, sf_dir))
 
 
 # ---- cross-model (X), sources and sinks (S) --------------------------------

@@ -596,25 +596,80 @@ LEFT JOIN (
 
 # ---- domain rules (V3) -----------------------------------------------------
 
-def _violation_sql() -> str:
-    from rightsize.operators.quality import RULES
-    parts = []
-    for table, rules in RULES.items():
-        for code, col, lo, hi in rules:
-            conds = []
-            if lo is not None:
-                conds.append(f"{col} < {lo if isinstance(lo, str) else repr(lo) + ('e0' if isinstance(lo, float) else '')}")
-            if hi is not None:
-                conds.append(f"{col} > {hi if isinstance(hi, str) else repr(hi) + ('e0' if isinstance(hi, float) else '')}")
-            parts.append(f"SELECT '{table}' AS table_name, '{code}' AS rule FROM {table} WHERE {' OR '.join(conds)}")
-    return "\nUNION ALL ".join(parts)
-
-
-SQL["domain_violations"] = _with("workloads", "cost_workloads", "profile_workloads", "cluster_shapes",
-                                 "node_workloads") + f"""
-SELECT table_name, rule, count(*) AS violations FROM (
-{_violation_sql()}
-) GROUP BY table_name, rule"""
+# Declared ranges as the conditions that break them, by table and form.
+_WAVE_BREAKS = {
+    "data_size_below_min": "data_size_gb < 1", "sla_below_one_minute": "sla_seconds < 60",
+    "k_comp_out_of_range": "k_comp NOT BETWEEN 1 AND 3", "k_skew_out_of_range": "k_skew NOT BETWEEN 1 AND 3",
+    "skew_mode_not_offered": "skew_memory_mode NOT IN ('off', 'sqrt', 'linear')",
+}
+_COST_BREAKS = {
+    "input_below_min": "input_data_gb < 0.1e0", "shuffle_ratio_out_of_range": "shuffle_ratio NOT BETWEEN 0 AND 2",
+    "skew_factor_out_of_range": "skew_factor NOT BETWEEN 1 AND 4", "executors_below_min": "executors < 1",
+    "target_negative": "target_runtime_min < 0", "min_executors_below_min": "min_executors < 1",
+    "max_executors_below_min": "max_executors < 1",
+}
+_BREAKS = {
+    ("workloads", "workloads"): _WAVE_BREAKS,
+    ("workloads", "wave_forms"): _WAVE_BREAKS | {
+        "block_size_not_offered": "block_size_mb NOT IN (64, 96, 128, 192, 256)",
+        "t_base_below_min": "t_base_sec < 1", "e_mem_out_of_range": "e_mem_rate NOT BETWEEN 1 AND 6",
+        "cores_per_exec_not_offered": "cores_per_exec NOT IN (2, 3, 4, 5, 6, 8)",
+    },
+    ("cost_workloads", "cost_workloads"): _COST_BREAKS,
+    ("cost_workloads", "cost_forms"): _COST_BREAKS | {
+        "compression_out_of_range": "compression_expand_factor NOT BETWEEN 1 AND 8",
+        "format_overhead_out_of_range": "format_overhead_factor NOT BETWEEN 1 AND 2.5e0",
+        "amplification_out_of_range": "transform_amplification_factor NOT BETWEEN 0.5e0 AND 3",
+        "udf_complexity_out_of_range": "udf_complexity_factor NOT BETWEEN 0.5e0 AND 4",
+        "stages_below_min": "stages_count < 1", "input_partitions_below_min": "input_partitions < 1",
+        "shuffle_partitions_below_min": "shuffle_partitions < 1", "cores_below_min": "cores_per_executor < 1",
+        "executor_memory_below_min": "executor_memory_gb < 1",
+        "memory_overhead_out_of_range": "executor_memory_overhead_pct NOT BETWEEN 5 AND 50",
+        "cpu_utilization_out_of_range": "cluster_cpu_utilization NOT BETWEEN 0.2e0 AND 1",
+        "cpu_throughput_below_min": "cpu_throughput_mb_s_per_core < 1",
+        "disk_throughput_below_min": "disk_throughput_mb_s_per_executor < 10",
+        "network_throughput_below_min": "network_throughput_mb_s_per_executor < 10",
+        "memory_fraction_out_of_range": "spark_memory_fraction NOT BETWEEN 0.2e0 AND 0.9e0",
+        "storage_fraction_out_of_range": "spark_storage_fraction NOT BETWEEN 0.1e0 AND 0.9e0",
+        "working_set_out_of_range": "active_working_set_fraction NOT BETWEEN 0.05e0 AND 0.7e0",
+        "cache_fraction_out_of_range": "cache_fraction_of_data NOT BETWEEN 0 AND 1",
+        "broadcast_negative": "broadcast_tables_gb < 0",
+        "in_flight_shuffle_out_of_range": "concurrent_shuffle_fraction NOT BETWEEN 0.05e0 AND 0.8e0",
+        "stage_overhead_negative": "stage_scheduler_overhead_s < 0",
+        "spill_penalty_out_of_range": "spill_penalty_per_100pct NOT BETWEEN 0 AND 2",
+        "gc_sensitivity_out_of_range": "gc_penalty_sensitivity NOT BETWEEN 0 AND 2",
+        "retry_fraction_out_of_range": "expected_retry_fraction NOT BETWEEN 0 AND 0.5e0",
+        "retry_cost_out_of_range": "retry_cost_fraction NOT BETWEEN 0 AND 1",
+        "speculation_gain_out_of_range": "speculative_execution_gain NOT BETWEEN 0 AND 0.35e0",
+    },
+    ("profile_workloads", "profile_workloads"): {
+        "data_volume_below_min": "data_volume < 1", "sla_out_of_range": "sla_minutes NOT BETWEEN 5 AND 720",
+        "safety_buffer_out_of_range": "safety_buffer_pct NOT BETWEEN 0 AND 40",
+        "executor_cap_below_min": "max_executors_cap < 1",
+    },
+    ("cluster_shapes", "cluster_shapes"): {
+        "node_cores_below_min": "node_cores < 2", "node_ram_below_min": "node_ram_gb < 4",
+        "num_nodes_below_min": "num_nodes < 2",
+        "target_cores_out_of_range": "target_exec_cores NOT BETWEEN 1 AND node_cores",
+        "os_cores_negative": "os_cores < 0", "os_ram_negative": "os_ram_gb < 0",
+        "partition_size_below_min": "partition_size_mb < 10",
+        "memory_fraction_out_of_range": "memory_fraction NOT BETWEEN 0.1e0 AND 0.9e0",
+    },
+    ("node_workloads", "node_workloads"): {"data_size_below_min": "data_size_gb < 1"},
+}
+
+
+def _violations_sql() -> str:
+    rows = [f"SELECT '{form}' AS table_name, CAST({'cluster_id' if form == 'cluster_shapes' else 'workload_id'} AS BIGINT)"
+            f" AS row_key, '{code}' AS rule FROM {table} WHERE {broken}"
+            for (form, table), rules in _BREAKS.items() for code, broken in rules.items()]
+    return (_with(*[table for _, table in _BREAKS], extra="violated AS (\n" + "\nUNION ALL ".join(rows) + "\n)"))
+
+
+SQL["domain_violations"] = _violations_sql() + """
+SELECT table_name, rule, count(*) AS violations FROM violated GROUP BY table_name, rule"""
+
+SQL["violation_rows"] = _violations_sql() + "SELECT * FROM violated"
 
 
 # ---- cross-model (X), sources and sinks (S) --------------------------------

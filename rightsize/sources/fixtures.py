@@ -85,6 +85,56 @@ SELECT o_orderkey AS workload_id, c_nationkey AS cluster_id,
   CAST(floor(o_totalprice / 500e0) AS BIGINT) + 1 AS data_size_gb,
   CASE o_orderkey % 3 WHEN 0 THEN 'Parquet / ORC' WHEN 1 THEN 'Compressed CSV / JSON' ELSE 'Plain text' END AS data_format
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+""",
+    "cost_forms": """
+SELECT o_orderkey AS workload_id,
+  CASE WHEN o_orderkey % 40 = 0 THEN 9e0 ELSE 3e0 END AS compression_expand_factor,
+  CASE WHEN o_orderkey % 40 = 1 THEN 0.5e0 ELSE 1.25e0 END AS format_overhead_factor,
+  CASE WHEN o_orderkey % 40 = 2 THEN 3.5e0 ELSE 1e0 END AS transform_amplification_factor,
+  CASE WHEN o_orderkey % 40 = 3 THEN 0.25e0 ELSE 1e0 END AS udf_complexity_factor,
+  CASE WHEN o_orderkey % 40 = 4 THEN 0 ELSE 18 END AS stages_count,
+  CASE WHEN o_orderkey % 40 = 5 THEN 0 ELSE 1200 END AS input_partitions,
+  CASE WHEN o_orderkey % 40 = 6 THEN 0 ELSE 2000 END AS shuffle_partitions,
+  CASE WHEN o_orderkey % 40 = 7 THEN 0 ELSE 4 END AS cores_per_executor,
+  CASE WHEN o_orderkey % 40 = 8 THEN 0.5e0 ELSE 16e0 END AS executor_memory_gb,
+  CASE WHEN o_orderkey % 40 = 9 THEN 51e0 ELSE 12e0 END AS executor_memory_overhead_pct,
+  CASE WHEN o_orderkey % 40 = 10 THEN 0.1e0 ELSE 0.75e0 END AS cluster_cpu_utilization,
+  CASE WHEN o_orderkey % 40 = 11 THEN 0.5e0 ELSE 90e0 END AS cpu_throughput_mb_s_per_core,
+  CASE WHEN o_orderkey % 40 = 12 THEN 9e0 ELSE 320e0 END AS disk_throughput_mb_s_per_executor,
+  CASE WHEN o_orderkey % 40 = 13 THEN 9e0 ELSE 220e0 END AS network_throughput_mb_s_per_executor,
+  CASE WHEN o_orderkey % 40 = 14 THEN 0.95e0 ELSE 0.6e0 END AS spark_memory_fraction,
+  CASE WHEN o_orderkey % 40 = 15 THEN 0.05e0 ELSE 0.5e0 END AS spark_storage_fraction,
+  CASE WHEN o_orderkey % 40 = 16 THEN 0.75e0 ELSE 0.2e0 END AS active_working_set_fraction,
+  CASE WHEN o_orderkey % 40 = 17 THEN 1.5e0 ELSE 0.2e0 END AS cache_fraction_of_data,
+  CASE WHEN o_orderkey % 40 = 18 THEN -1e0 ELSE 5e0 END AS broadcast_tables_gb,
+  CASE WHEN o_orderkey % 40 = 19 THEN 0.01e0 ELSE 0.25e0 END AS concurrent_shuffle_fraction,
+  CASE WHEN o_orderkey % 40 = 20 THEN -1e0 ELSE 8e0 END AS stage_scheduler_overhead_s,
+  CASE WHEN o_orderkey % 40 = 21 THEN 2.5e0 ELSE 0.65e0 END AS spill_penalty_per_100pct,
+  CASE WHEN o_orderkey % 40 = 22 THEN -0.5e0 ELSE 0.9e0 END AS gc_penalty_sensitivity,
+  CASE WHEN o_orderkey % 40 = 23 THEN 0.6e0 ELSE 0.03e0 END AS expected_retry_fraction,
+  CASE WHEN o_orderkey % 40 = 24 THEN 1.5e0 ELSE 0.35e0 END AS retry_cost_fraction,
+  CASE WHEN o_orderkey % 40 = 25 THEN 0.4e0 ELSE 0.05e0 END AS speculative_execution_gain,
+  CASE WHEN o_orderkey % 40 = 26 THEN 0.05e0 ELSE 500e0 END AS input_data_gb,
+  CASE WHEN o_orderkey % 40 = 27 THEN 2.5e0 ELSE 0.8e0 END AS shuffle_ratio,
+  CASE WHEN o_orderkey % 40 = 28 THEN 4.5e0 ELSE 1.2e0 END AS skew_factor,
+  CASE WHEN o_orderkey % 40 = 29 THEN 0 ELSE 30 END AS executors,
+  CASE WHEN o_orderkey % 40 = 30 THEN -5e0 ELSE 60e0 END AS target_runtime_min,
+  CASE WHEN o_orderkey % 40 = 31 THEN 0 ELSE 4 END AS min_executors,
+  CASE WHEN o_orderkey % 40 = 32 THEN 0 ELSE 120 END AS max_executors
+FROM {orders}
+""",
+    "wave_forms": """
+SELECT o_orderkey AS workload_id,
+  CASE WHEN o_orderkey % 16 = 0 THEN 0.5e0 ELSE 500e0 END AS data_size_gb,
+  CASE WHEN o_orderkey % 16 = 1 THEN 30 ELSE 1200 END AS sla_seconds,
+  CASE WHEN o_orderkey % 16 = 2 THEN 3.5e0 ELSE 1.2e0 END AS k_comp,
+  CASE WHEN o_orderkey % 16 = 3 THEN 0.5e0 ELSE 1.3e0 END AS k_skew,
+  CASE WHEN o_orderkey % 16 = 4 THEN 100 ELSE 128 END AS block_size_mb,
+  CASE WHEN o_orderkey % 16 = 5 THEN 0.5e0 ELSE 25e0 END AS t_base_sec,
+  CASE WHEN o_orderkey % 16 = 6 THEN 7e0 ELSE 3e0 END AS e_mem_rate,
+  CASE WHEN o_orderkey % 16 = 7 THEN 7 ELSE 5 END AS cores_per_exec,
+  CASE WHEN o_orderkey % 16 = 8 THEN 'cubic' ELSE 'off' END AS skew_memory_mode
+FROM {orders}
 """,
 }
 
@@ -97,6 +147,8 @@ FIXTURE_TABLES: dict[str, tuple[str, ...]] = {
     "profile_workloads": ("orders", "customer"),
     "cluster_shapes": ("nation",),
     "node_workloads": ("orders", "customer"),
+    "cost_forms": ("orders",),
+    "wave_forms": ("orders",),
 }
 
 # Baseline (plain read + write) stage of the task_metrics fixture.
