@@ -35,6 +35,8 @@ from rightsize.llm.common import Tables, raw_bytes, slices
 
 LONGEST = 64
 BUCKETS = 8192
+#: Of a task: bytes of text cut at a time, and words outside the table whose ids are kept for reuse.
+SLICE, KNOWN = 1 << 20, 50_000
 #: Unicode's White_Space.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -236,7 +238,7 @@ def merge_many(words: list[bytes], pairs: tuple[np.ndarray, np.ndarray], single:
 def _count_partition(classes):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 coded, _ = words_of(part["text"], classes.value)
                 times = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
                 yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(times.astype(np.int64))], names=["word", "n"])
@@ -311,10 +313,10 @@ def _encode_partition(classes, ranks, pairs, table):
                     known.update(zip(like[at : at + 16384], merge_many(like[at : at + 16384], pairs.value, single)))
 
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 coded, counts = words_of(part["text"], classes.value)
                 words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-                if len(known) > 200_000:
+                if len(known) > KNOWN:
                     known.clear()
                 learn([w for w in words if w not in given and w not in known])
                 codes = [given.get(w) or known[w] for w in words]
