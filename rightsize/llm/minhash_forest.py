@@ -7,18 +7,27 @@ component has the smallest id in it.
 1. Rows with equal sets are one node (grouped by a digest of the whole set).
 2. The forest: each of ``trees`` signature orders sorts all nodes by its own
    ``depth`` minhashes, range-partitioned by the whole signature, so that a
-   dense region spreads over tasks like any other. Candidates are neighbours in
+   dense region spreads over tasks like any other; rows that share all of them
+   are ordered by bytes of further minhashes. Candidates are neighbours in
    an order, up to ``near`` apart, that share a prefix of at least ``least``
-   minhashes. The depth adapts by itself: what lies between two documents in
-   an order shares at least their common prefix, so sparse regions pair at a
-   short prefix and dense ones only at a long one. The last rows of each task
-   meet the first of the next in a small second pass.
+   minhashes. Up to ``depth`` the depth adapts by itself: what lies between two
+   documents in an order shares at least their common prefix, so sparse regions
+   pair at a short prefix and dense ones only at a long one. The last rows of
+   each task meet the first of the next in a small second pass. Where more than
+   ``near`` rows share all ``depth`` minhashes, step 6 compares the others.
 3. A 2-bit sketch of further minhashes drops pairs whose estimate lies five
    standard deviations below the threshold.
 4. Links are confirmed on full sets, in rounds: first each node's best
    estimate, then every other candidate whose ends are not connected yet.
    A pair inside a component adds nothing to the components.
 5. Components by smallest-neighbour contraction with pointer jumping.
+6. A dense region is the rows of one order that share all ``depth`` minhashes,
+   if there are more than ``near``. Where steps 1 to 5 leave one in several
+   components, its whole sets are compared with each other, all pairs whose
+   ends are not connected yet, in pairs of blocks that bound a task's memory. So
+   every two documents with an equal signature in an order are compared or
+   connected, however many rows have it; the work in a region grows with the
+   number of pairs that no link connects.
 
 Defined results: null, empty and blank texts have an empty set, are linked with
 nothing and stay; texts under five words are one shingle; ties go to the
@@ -34,7 +43,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rightsize.llm.common import Tables, doc_key, mix, rolling, slices, split_words, word_hashes
@@ -83,10 +92,14 @@ def _signatures(size: int, trees: int, depth: int):
                         least = np.minimum.reduceat((values * factors[t]) >> np.uint64(20), at)
                         sig[t, full] = (mix(least) >> np.uint64(32)).astype(np.uint32)
                 rows = np.ascontiguousarray(sig.T)
+                orders = rows[:, : trees * depth].reshape(-1, trees, depth)
+                # a byte of each minhash of the next order: the order of rows with equal prefixes
+                further = np.roll(orders, -1, axis=1).astype(np.uint8)
+                orders = np.concatenate([orders.astype(">u4").view(np.uint8), further], axis=2).reshape(part.num_rows, -1)
                 two = (rows[:, :SKETCH] & np.uint32(3)).astype(np.uint8).reshape(len(rows), -1, 4)
                 two = two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
                 yield pa.RecordBatch.from_arrays(
-                    [part["key"], part["doc_id"], pa.array(np.diff(bounds)), pa.array([hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:])], pa.binary()), pa.array([r.astype(">u4").tobytes() for r in rows[:, : trees * depth]], pa.binary()), pa.array([r.tobytes() for r in two], pa.binary())],
+                    [part["key"], part["doc_id"], pa.array(np.diff(bounds)), pa.array([hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:])], pa.binary()), pa.array([r.tobytes() for r in orders], pa.binary()), pa.array([r.tobytes() for r in two], pa.binary())],
                     names=["key", "doc_id", "n_shingles", "set", "forest", "sketch"],
                 )
 
@@ -97,12 +110,12 @@ PAIRS = "a long, b long, agree int, edge int, tree int, prefix binary, node long
 
 
 def _neighbours(depth: int, near: int, least: int, enough: int):
-    """Candidate pairs of a sorted partition, and its first and last rows (edge 0 and 1)."""
-    width = 4 * depth
+    """Candidate pairs of a sorted partition, its first and last rows (edge 0
+    and 1), and the rows of its dense regions (edge 2, with the prefix they share)."""
 
     def pairs(tree, prefix, node, sketch, skip=0):
         n = len(node)
-        sig = np.frombuffer(b"".join(prefix), np.uint8).reshape(n, depth, 4)
+        sig = np.frombuffer(b"".join(prefix), np.uint8).reshape(n, 5 * depth)[:, : 4 * depth].reshape(n, depth, 4)
         two = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, -1)
         for d in range(1, min(near, n - 1) + 1):
             lead = (sig[d:, :least] == sig[:-d, :least]).all(axis=(1, 2)) & (tree[d:] == tree[:-d])
@@ -114,6 +127,12 @@ def _neighbours(depth: int, near: int, least: int, enough: int):
             if len(i):
                 yield np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d]), agree.astype(np.int32)
 
+    def dense(tree, prefix):
+        n = len(tree)
+        sig = np.frombuffer(b"".join(prefix), np.uint8).reshape(n, 5 * depth)[:, : 4 * depth]
+        i = np.flatnonzero((sig[near:] == sig[:-near]).all(axis=1) & (tree[near:] == tree[:-near])) if n > near else np.empty(0, np.int64)
+        return np.unique((i[:, None] + np.arange(near + 1)).ravel())
+
     def run(batches):
         tail = None
         for batch in batches:
@@ -129,6 +148,10 @@ def _neighbours(depth: int, near: int, least: int, enough: int):
             for a, b, agree in pairs(*cols, skip):
                 none = pa.nulls(len(a))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], names=[f.split()[0] for f in PAIRS.split(", ")])
+            many = dense(*cols[:2]).tolist()
+            for at in range(0, len(many), 4096):
+                some = many[at : at + 4096]
+                yield _edge((cols[0][some], [cols[1][i][: 4 * depth] for i in some], cols[2][some], [None] * len(some)), 2, slice(None))
             tail = tuple(c[-near:] for c in cols)
         if tail is not None:
             yield _edge(tail, 1, slice(0, near))
@@ -159,6 +182,101 @@ def _confirm(size: int, percent: int):
     return run
 
 
+DENSE_ROWS, DENSE_SHINGLES = 1024, 1 << 20  # of a block, about
+
+
+def _sets(size: int):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                values, bounds = shingle_sets(part["text"], size)
+                yield pa.RecordBatch.from_arrays([part["key"], pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], most: int = 4096) -> np.ndarray:
+    """The sizes of the intersections of all sets ``x`` with all sets ``y``, exact,
+    by products of ``most`` columns: one column for each value that both sides hold."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    flat = [np.concatenate(s) for s in (x, y)]
+    of = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    both = np.intersect1d(*flat)
+    cells = []
+    for values, row in zip(flat, of):
+        at = np.searchsorted(both, values)
+        has = at < len(both)
+        has[has] = both[at[has]] == values[has]
+        order = np.argsort(at[has], kind="stable")
+        cells.append((at[has][order], row[has][order]))
+    for start in range(0, len(both), most):
+        sides = []
+        for (at, row), n in zip(cells, out.shape):
+            a, b = np.searchsorted(at, [start, start + most])
+            one = np.zeros((n, min(most, len(both) - start)), np.float32)
+            one[row[a:b], at[a:b] - start] = 1
+            sides.append(one)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _compare(percent: int):
+    """(a, b) of all rows of two blocks that links between them connect: b is the smallest node."""
+
+    def run(table):
+        side, node, comp = (np.asarray(table[c]) for c in ("side", "node", "component"))
+        sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == side.max()))
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        size = np.array([len(s) for s in sets])
+        both = overlaps([sets[i] for i in left], [sets[i] for i in right])
+        link = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (comp[left][:, None] != comp[right])
+        label, changed = node.copy(), True
+        i, j = np.nonzero(link)
+        i, j = left[i], right[j]
+        while changed:
+            before = label.copy()
+            np.minimum.at(label, i, before[j])
+            np.minimum.at(label, j, label[i])
+            changed = (label != before).any()
+        moved = label != node
+        return pa.table({"a": pa.array(node[moved]), "b": pa.array(label[moved])})
+
+    return run
+
+
+def dense_links(members: DataFrame, nodes: DataFrame, text: DataFrame, done: DataFrame, size: int, percent: int, tables: Tables) -> DataFrame | None:
+    """Edges (a, b) that connect what is linked inside the regions of
+    ``members(region, node)`` beyond the components ``done``; None without any.
+    Components of more rows than a block have blocks of their own, which are not
+    compared with each other; all other rows of a region share its blocks."""
+    own = done.select("node", F.col("least").alias("component"))
+    members = members.join(own.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "n_shingles").hint("merge"), "node")
+    members = tables.save(members, "dense-members")
+    by_comp = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    by_comp = tables.save(by_comp, "dense-components")
+    mixed = by_comp.groupBy("region").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("region")
+    by_comp = by_comp.join(mixed.hint("merge"), "region").withColumn("large", F.when(F.col("n") > DENSE_ROWS, F.col("component")))
+    parts = by_comp.groupBy("region", "large").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("n") / DENSE_ROWS, F.col("shingles") / DENSE_SHINGLES)).cast("long")
+    upto = F.sum("blocks").over(Window.partitionBy("region").orderBy("large").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("blocks", blocks).withColumn("first", upto - F.col("blocks")).withColumn("total", F.sum("blocks").over(Window.partitionBy("region")))
+    parts = tables.save(parts.select("region", "large", "blocks", "first", "total"), "dense-parts")
+    if parts.isEmpty():
+        return None
+    where = by_comp.select("region", "component", "large").alias("c").join(parts.alias("p"), F.expr("c.region = p.region and c.large <=> p.large")).select("c.region", "component", "p.large", "blocks", "first", "total")
+    placed = members.join(where.hint("merge"), ["region", "component"]).withColumn("x", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1))).filter("large is null or y < first or y >= first + blocks")
+    placed = placed.select("region", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), F.when(F.col("x") > F.col("y"), 1).otherwise(0).alias("side"), "node", "component")
+    placed = tables.save(placed, "dense-placed")
+    ends = placed.select(F.col("node").alias("key")).distinct()
+    sets = text.join(ends.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets(size), "node long, shingles binary")
+    sets = tables.save(sets, "dense-sets")
+    full = placed.join(sets.hint("merge"), "node").select("region", "lo", "hi", "side", "node", "component", "shingles")
+    return tables.save(full.groupBy("region", "lo", "hi").applyInArrow(_compare(percent), "a long, b long").distinct(), "dense-links")
+
+
 def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(node, least) of every node of ``edges(a, b)``: the smallest node it can
     reach. Every round hooks each root to the least root next to it and then
@@ -192,19 +310,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
     text = docs.select(doc_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = tables.save(text.mapInArrow(_signatures(size, trees, depth), NODES), "sets")
     # equal sets are one node, named by its smallest key
-    node_of = rows.filter("n_shingles > 0").groupBy("set").agg(F.min("key").alias("node"), F.min_by("forest", "key").alias("forest"), F.min_by("sketch", "key").alias("sketch"))
+    node_of = rows.filter("n_shingles > 0").groupBy("set").agg(F.min("key").alias("node"), F.min_by("forest", "key").alias("forest"), F.min_by("sketch", "key").alias("sketch"), F.min("n_shingles").alias("n_shingles"))
     nodes = tables.save(node_of, "nodes")
-    order = nodes.select("node", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("forest", t * (4 * depth) + 1, F.lit(4 * depth)))).alias("tree", "prefix"))
+    order = nodes.select("node", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("forest", t * (5 * depth) + 1, F.lit(5 * depth)))).alias("tree", "prefix"))
     p = percent / 100
     agree = p + (1 - p) / 4  # share of equal two-bit minhashes at the threshold
     enough = int(SKETCH * agree - 5 * (SKETCH * agree * (1 - agree)) ** 0.5)
     order = order.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node").select("tree", "prefix", "node", "sketch")
     found = tables.save(order.mapInArrow(_neighbours(depth, near, least, enough), PAIRS), "forest")
     # where one task's last rows meet the next one's first: near * 2 rows a task
-    edges = found.filter("edge is not null").select("tree", "prefix", "node", "sketch").distinct()
+    edges = found.filter("edge < 2").select("tree", "prefix", "node", "sketch").distinct()
     edges = edges.repartitionByRange("tree").sortWithinPartitions("tree", "prefix", "node").select("tree", "prefix", "node", "sketch")
-    met = edges.mapInArrow(_neighbours(depth, near, least, enough), PAIRS).filter("edge is null")
-    pairs = found.filter("edge is null").select("a", "b", "agree").union(met.select("a", "b", "agree"))
+    met = tables.save(edges.mapInArrow(_neighbours(depth, near, least, enough), PAIRS).filter("edge is null or edge = 2"), "met")
+    dense = found.union(met).filter("edge = 2").select(F.xxhash64("tree", "prefix").alias("region"), "node").distinct()
+    dense = tables.save(dense, "dense")
+    pairs = found.filter("edge is null").select("a", "b", "agree").union(met.filter("edge is null").select("a", "b", "agree"))
     pairs = tables.save(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
     tables.drop("forest")
 
@@ -228,7 +348,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
     open_ = rest.join(la, "a", "left").join(lb, "b", "left").filter("la is null or lb is null or la <> lb").select("a", "b")
     more = tables.save(confirmed(open_), "links-2")
     if not more.isEmpty():
-        done = components(links.union(more), tables, "all")
+        links = links.union(more)
+        done = components(links, tables, "all")
+    last = None if dense.isEmpty() else dense_links(dense, nodes, text, done, size, percent, tables)
+    if last is not None and not last.isEmpty():
+        done = components(links.union(last), tables, "whole")
     labels = nodes.select("set", "node").join(done, "node", "left").select("set", F.coalesce("least", "node").alias("component"))
     out = rows.select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).alias("set")).join(labels, "set", "left")
     out = out.withColumn("component", F.coalesce("component", "key"))

@@ -77,6 +77,29 @@ def test_near(docs):
     assert by_id(minhash_forest.near_duplicates(docs), "n_shingles", "component_id", "kept") == brute.near(pairs(docs))
 
 
+def family(n: int, shared: int = 1000, own: int = 100) -> list:
+    """Texts on one template whose pairs lie just below the threshold, but for text i and i + n: those are linked."""
+    base = [f"t{i}" for i in range(shared + 4)]
+    tail = lambda k, *names: [f"{name}o{j}" for name in names for j in range(own * k // 2)]
+    return [" ".join(base + tail(2, f"d{i}")) for i in range(n)] + [" ".join(base + tail(1, f"d{i}", f"e{i}")) for i in range(n)]
+
+
+def test_near_in_a_dense_region(spark, monkeypatch):
+    rows = list(enumerate(family(120)))
+    want = brute.near(rows)
+    assert sum(x[2] for x in want.values()) == 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (1024, 16):
+        monkeypatch.setattr(minhash_forest, "DENSE_ROWS", block)
+        assert by_id(minhash_forest.near_duplicates(docs, percent=85), "n_shingles", "component_id", "kept") == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(5)
+    x, y = ([np.unique(rng.integers(0, 90, rng.integers(0, 60)).astype(np.uint64)) for _ in range(n)] for n in (30, 20))
+    assert minhash_forest.overlaps(x, y, most=7).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
 def test_bpe_matches_tiktoken(docs):
     import public_tokenizers
     import tiktoken
