@@ -7,8 +7,7 @@ component has the smallest id in it.
 1. Rows with equal sets are one node (grouped by a digest of the whole set).
 2. The forest: each of ``trees`` signature orders sorts all nodes by its own
    ``depth`` minhashes, range-partitioned by the whole signature, so that a
-   dense region spreads over tasks like any other; rows that share all of them
-   are ordered by bytes of further minhashes. Candidates are neighbours in
+   dense region spreads over tasks like any other. Candidates are neighbours in
    an order, up to ``near`` apart, that share a prefix of at least ``least``
    minhashes. Up to ``depth`` the depth adapts by itself: what lies between two
    documents in an order shares at least their common prefix, so sparse regions
@@ -92,14 +91,10 @@ def _signatures(size: int, trees: int, depth: int):
                         least = np.minimum.reduceat((values * factors[t]) >> np.uint64(20), at)
                         sig[t, full] = (mix(least) >> np.uint64(32)).astype(np.uint32)
                 rows = np.ascontiguousarray(sig.T)
-                orders = rows[:, : trees * depth].reshape(-1, trees, depth)
-                # a byte of each minhash of the next order: the order of rows with equal prefixes
-                further = np.roll(orders, -1, axis=1).astype(np.uint8)
-                orders = np.concatenate([orders.astype(">u4").view(np.uint8), further], axis=2).reshape(part.num_rows, -1)
                 two = (rows[:, :SKETCH] & np.uint32(3)).astype(np.uint8).reshape(len(rows), -1, 4)
                 two = two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
                 yield pa.RecordBatch.from_arrays(
-                    [part["key"], part["doc_id"], pa.array(np.diff(bounds)), pa.array([hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:])], pa.binary()), pa.array([r.tobytes() for r in orders], pa.binary()), pa.array([r.tobytes() for r in two], pa.binary())],
+                    [part["key"], part["doc_id"], pa.array(np.diff(bounds)), pa.array([hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:])], pa.binary()), pa.array([r.astype(">u4").tobytes() for r in rows[:, : trees * depth]], pa.binary()), pa.array([r.tobytes() for r in two], pa.binary())],
                     names=["key", "doc_id", "n_shingles", "set", "forest", "sketch"],
                 )
 
@@ -115,7 +110,7 @@ def _neighbours(depth: int, near: int, least: int, enough: int):
 
     def pairs(tree, prefix, node, sketch, skip=0):
         n = len(node)
-        sig = np.frombuffer(b"".join(prefix), np.uint8).reshape(n, 5 * depth)[:, : 4 * depth].reshape(n, depth, 4)
+        sig = np.frombuffer(b"".join(prefix), np.uint8).reshape(n, depth, 4)
         two = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, -1)
         for d in range(1, min(near, n - 1) + 1):
             lead = (sig[d:, :least] == sig[:-d, :least]).all(axis=(1, 2)) & (tree[d:] == tree[:-d])
@@ -129,7 +124,7 @@ def _neighbours(depth: int, near: int, least: int, enough: int):
 
     def dense(tree, prefix):
         n = len(tree)
-        sig = np.frombuffer(b"".join(prefix), np.uint8).reshape(n, 5 * depth)[:, : 4 * depth]
+        sig = np.frombuffer(b"".join(prefix), np.uint8).reshape(n, 4 * depth)
         i = np.flatnonzero((sig[near:] == sig[:-near]).all(axis=1) & (tree[near:] == tree[:-near])) if n > near else np.empty(0, np.int64)
         return np.unique((i[:, None] + np.arange(near + 1)).ravel())
 
@@ -151,7 +146,7 @@ def _neighbours(depth: int, near: int, least: int, enough: int):
             many = dense(*cols[:2]).tolist()
             for at in range(0, len(many), 4096):
                 some = many[at : at + 4096]
-                yield _edge((cols[0][some], [cols[1][i][: 4 * depth] for i in some], cols[2][some], [None] * len(some)), 2, slice(None))
+                yield _edge((cols[0][some], [cols[1][i] for i in some], cols[2][some], [None] * len(some)), 2, slice(None))
             tail = tuple(c[-near:] for c in cols)
         if tail is not None:
             yield _edge(tail, 1, slice(0, near))
@@ -312,7 +307,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
     # equal sets are one node, named by its smallest key
     node_of = rows.filter("n_shingles > 0").groupBy("set").agg(F.min("key").alias("node"), F.min_by("forest", "key").alias("forest"), F.min_by("sketch", "key").alias("sketch"), F.min("n_shingles").alias("n_shingles"))
     nodes = tables.save(node_of, "nodes")
-    order = nodes.select("node", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("forest", t * (5 * depth) + 1, F.lit(5 * depth)))).alias("tree", "prefix"))
+    order = nodes.select("node", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("forest", t * (4 * depth) + 1, F.lit(4 * depth)))).alias("tree", "prefix"))
     p = percent / 100
     agree = p + (1 - p) / 4  # share of equal two-bit minhashes at the threshold
     enough = int(SKETCH * agree - 5 * (SKETCH * agree * (1 - agree)) ** 0.5)
