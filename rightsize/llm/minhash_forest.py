@@ -356,8 +356,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
     return out.select("key", "doc_id", "n_shingles", "component", ids.alias("component_id"), (F.col("component") == F.col("key")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("key").alias("__key")).distinct()
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component of links at
+    ``percent``, with all their columns."""
+    kept = near_duplicates(docs, percent=percent).filter("kept").select(F.col("key").alias("__key")).distinct()
     named = docs.withColumn("__key", doc_key()).join(kept, "__key", "left_semi")
     return named.select(*(F.col(f"`{c}`") for c in docs.columns))

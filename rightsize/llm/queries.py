@@ -72,7 +72,7 @@ def op7_chat_format(spark, sf_dir):
 
 
 def op8_minhash_near_dedup(spark, sf_dir):
-    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_mixing, op4_language_id, op5_suffix_dedup, op6_warc, op7_chat_format, op8_minhash_near_dedup, op9_nearest_neighbours, op10_byte_bpe)}

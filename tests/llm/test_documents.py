@@ -94,6 +94,19 @@ def test_near_in_a_dense_region(spark, monkeypatch):
         assert by_id(minhash_forest.near_duplicates(docs, percent=85), "n_shingles", "component_id", "kept") == want
 
 
+def test_near_copies_of_the_pipeline(spark):
+    import corpus_pipeline as P
+
+    rows = []
+    for i in range(20):  # one of 55 words replaced: 46 of 56 shingles, 0.82
+        words = [f"p{i}w{j}" for j in range(55)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:20] + ["other"] + words[21:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d for d, x in brute.near(rows, percent=80).items() if x[2]}
+    assert len(want) == 20 and len({d for d, x in brute.near(rows).items() if x[2]}) == 40
+    assert {r.doc_id for r in P.drop_near_copies(spark, docs, SF).collect()} == want
+
+
 def test_overlaps():
     rng = np.random.default_rng(5)
     x, y = ([np.unique(rng.integers(0, 90, rng.integers(0, 60)).astype(np.uint64)) for _ in range(n)] for n in (30, 20))
