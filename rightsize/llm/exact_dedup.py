@@ -52,7 +52,7 @@ def equal_texts(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     single = first.filter("n is null").select(*kept)
     left = first.filter("n is not null").select(*kept, "group", "rest")
     # documents that ended inside their first digit are equal already
-    ended = [left.filter(F.length("group") < FIRST).select(*kept, "group")]
+    ended = [left.filter(F.length("group") < FIRST).select(*kept, F.concat(F.lit("0-").cast("binary"), "group").alias("group"))]
     left, width, level = left.filter(F.length("group") == FIRST), FIRST, 1
     while not left.isEmpty():
         width *= GROWTH

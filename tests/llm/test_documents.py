@@ -68,6 +68,12 @@ def test_exact(docs):
     assert by_id(exact_dedup.equal_texts(docs), "keep_id", "group_size", "kept", "text_sha256") == brute.equal(pairs(docs))
 
 
+def test_exact_texts_like_a_group_name(spark):
+    rows = list(enumerate(["!" * 100] * 2 + [f"1-{k << 33}" for k in range(10) for _ in range(2)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(exact_dedup.equal_texts(docs), "keep_id", "group_size", "kept", "text_sha256") == brute.equal(rows)
+
+
 def test_bytes(docs):
     out = {d: (n, m, len(s), brute.sha(bytes(k))) for d, (n, m, s, k) in by_id(suffix_dedup.remove_repeated_bytes(docs, bits=20), "n_bytes", "n_removed", "spans", "kept").items()}
     assert out == brute.byte_runs(pairs(docs))
