@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from rightsize.operators import cost as C
 from rightsize.operators import packing as N
 from rightsize.operators import waves as W

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from oracle_check import compare, duck
 
 JOBS = sorted(E.queries())

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from rightsize.plans.jobs import JOBS
 
 

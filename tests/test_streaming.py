@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from rightsize.operators import waves as W
 from rightsize.session import scratch_path
 from rightsize.sources.fixtures import fixture
