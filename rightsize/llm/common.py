@@ -43,9 +43,10 @@ class Tables:
             spark.sparkContext.setCheckpointDir(base)
         self.base = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written once and read back."""
-        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` written once, in a folder a value of ``by`` if given, and read back."""
+        write = df.write.option("compression", "zstd")
+        (write.partitionBy(by) if by else write).parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, name: str) -> None:

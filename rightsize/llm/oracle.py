@@ -45,3 +45,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN t END, '' ORDER BY turn, role, t), '')) AS loss_sha256,
   CAST(sum(15 + {_ESCAPED.format('role')} + {_ESCAPED.format('t')}) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
+
+SQL["op11_hard_negatives"] = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s
+  FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+pos AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pair WHERE same) WHERE r <= 5),
+neg AS (SELECT p.a, p.b AS p, p.s AS ps, n.b AS n, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS r
+  FROM pos p JOIN pair n ON p.a = n.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM neg WHERE r <= 10"""
+
+# a CRC-32 bit by bit: eight shifts a byte, its polynomial reflected
+_CRC = """xor(list_reduce(list_transform(range(0, 8 * strlen(CAST(c AS VARCHAR))), lambda i: CAST(
+    (ascii(substr(CAST(c AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1)) >> (i % 8)) & 1 AS BIGINT)),
+  lambda crc, bit: xor(crc >> 1, CASE WHEN xor(crc & 1, bit) = 1 THEN 3988292384 ELSE 0 END), CAST(4294967295 AS BIGINT)), 4294967295)"""
+SQL["op13_prefix_trie"] = f"""
+WITH turn AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(struct_pack(role := role, x := x) ORDER BY pos) AS w FROM turn GROUP BY c),
+head AS (SELECT c, c - c % 5 AS base, w, {_CRC} % 9 AS h FROM own),
+new AS (SELECT head.c, list_concat(coalesce(list_slice(own.w, 1, h), []), list_slice(head.w, h + 1, len(head.w))) AS w
+  FROM head LEFT JOIN own ON own.c = head.base),
+node AS (SELECT p, min(c) AS conv_id, count(*) AS n_convs, len(p) AS depth,
+    sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE n = len(p)), '')) AS ends_sha256
+  FROM (SELECT c, len(w) AS n, list_slice(w, 1, d) AS p FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM new)) GROUP BY p),
+kid AS (SELECT list_slice(p, 1, len(p) - 1) AS p, count(*) AS n FROM node WHERE len(p) > 0 GROUP BY ALL),
+sub AS (SELECT up AS p, sum(CASE WHEN kid.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT p, list_slice(p, 1, unnest(range(0, len(p) + 1))) AS up,
+      CASE WHEN len(p) > 0 THEN (n_convs - 1) * strlen(p[len(p)].x) ELSE 0 END AS saved FROM node) AS below
+  LEFT JOIN kid ON kid.p = below.p GROUP BY up)
+SELECT node.conv_id, node.depth, above.conv_id AS parent_conv_id, node.n_convs, CAST(coalesce(kid.n, 0) AS BIGINT) AS n_children,
+  CAST(sub.n_leaves AS BIGINT) AS n_leaves, CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN sub ON sub.p = node.p LEFT JOIN kid ON kid.p = node.p
+LEFT JOIN node above ON node.depth > 0 AND above.p = list_slice(node.p, 1, node.depth - 1)"""

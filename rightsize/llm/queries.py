@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from rightsize.llm.byte_bpe import decode, encode
 from rightsize.llm.chat_format import as_events, digests, final_messages, render
 from rightsize.llm.exact_dedup import equal_texts
+from rightsize.llm.hard_negatives import mine, scaled
 from rightsize.llm.hash_index import search
 from rightsize.llm.language_id import identify
 from rightsize.llm.minhash_forest import near_duplicates
 from rightsize.llm.mixing import mix
 from rightsize.llm.oracle import SQL  # noqa: F401
+from rightsize.llm.prefix_trie import forked_trie
 from rightsize.llm.substring_dedup import remove_repeated_passages
 from rightsize.llm.suffix_dedup import remove_repeated_bytes
+from rightsize.llm.url_filter import judge_urls
 from rightsize.llm.warc import round_trip
 
 
@@ -75,4 +78,21 @@ def op8_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_mixing, op4_language_id, op5_suffix_dedup, op6_warc, op7_chat_format, op8_minhash_near_dedup, op9_nearest_neighbours, op10_byte_bpe)}
+def op11_hard_negatives(spark, sf_dir):
+    rows = scaled(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved))
+
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op12_url_filter(spark, sf_dir):
+    return judge_urls(_table(spark, sf_dir, "pages"), RULES)
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return forked_trie(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_mixing, op4_language_id, op5_suffix_dedup, op6_warc, op7_chat_format, op8_minhash_near_dedup, op9_nearest_neighbours, op10_byte_bpe, op11_hard_negatives, op12_url_filter, op13_prefix_trie)}
