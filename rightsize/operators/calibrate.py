@@ -1,15 +1,17 @@
 """Calibration: task telemetry -> sizing coefficients.
 
 The coefficients the wave planner needs are read off per-stage task
-statistics: the median task time of a plain read+write stage (t_base), the
+statistics: the median task time of a plain read+write run (t_base), the
 median of the heaviest stage relative to it (k_comp), max/median on that stage
 (k_skew) and memory/disk spill of that stage (e_mem_rate).
 
-Plan shape: one shuffle of tasks. ``stage_summary`` aggregates them by
-(app_id, stage_id, stage attempt) with map-side partial aggregation, so a hot stage (even a
-third of all tasks) is pre-combined on every mapper before the exchange and
-only partial buffers move. Everything after it works on one row per stage and
-one row per application, which is small at any scale.
+Plan shape: one shuffle of tasks, keyed by (app_id, stage_id, task_index), which
+keeps each partition's last successful attempt; a hot stage spreads over its
+partitions. Its result, the rows that count, is stored once in the shared
+folder and read by the aggregates per stage (partial aggregates) and by the two
+passes of the median (``operators.selection``), none of which holds a stage's
+values in one task. Everything after it works on one row per stage or
+application. The baseline is a table of its own, matched by an as-of join.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rightsize.functions.numeric import ceil_long, safe_div
+from rightsize.operators.asof import asof_join
+from rightsize.operators.selection import duration_sketches, exact_median, same_keys, sketch_median
+from rightsize.sources.sinks import write_and_read_back
 
 # Thresholds stated for the coefficients.
 SKEW_JOIN_THRESHOLD = 2.0          # k_skew above this -> enable AQE skew join
@@ -29,53 +34,90 @@ K_COMP_CLASSES = (                 # upper bound (exclusive) -> class
 )
 
 
-def _median(c: Column, exact: bool) -> Column:
-    if exact:
-        return F.median(c).cast("double")
-    # Bounded, mergeable state for giant stages.
-    return F.percentile_approx(c, 0.5, 10000).cast("double")
-
-
 def _or(df: DataFrame, name: str, absent: object, kind: str) -> Column:
     """A telemetry column that may be missing or NULL."""
     value = F.lit(absent).cast(kind)
     return F.coalesce(F.col(name), value) if name in df.columns else value
 
 
-def stage_summary(task_metrics: DataFrame, exact: bool = True) -> DataFrame:
-    """K1: one row per (app_id, stage_id) with the statistics of its last attempt.
+TASK_SUMS = ("mem_spill_bytes", "disk_spill_bytes", "input_bytes", "shuffle_bytes", "run_ms")
+
 
-    Statistics cover successful task attempts; failed attempts that were no
-    speculative copies count as retries. The launch and finish bounds cover
-    every attempt. Stage attempts are aggregated apart and the last one stays:
-    a second aggregation over one row per stage attempt.
+def last_attempts(task_metrics: DataFrame) -> DataFrame:
+    """One row per (app_id, stage_id, task_index): the measures of the
+    partition's last successful attempt, NULL where none succeeded.
+
+    A stage that ran again after lost output ran only the lost partitions; the
+    others keep the attempt they have. Attempts follow each other by task_id,
+    which an application counts up, else by (stage attempt, attempt, launch).
+    Failed attempts that were no speculative copies count as retries; the
+    launch and finish bounds cover every attempt. Without a task_index every
+    successful attempt is a partition of its own.
+
+    Each measure is a ``max_by`` over a long, so the buffers have a fixed width
+    and the aggregate hashes; equal orders do not occur within a partition.
     """
     failed = _or(task_metrics, "failed", False, "boolean")
     good = ~(failed | _or(task_metrics, "killed", False, "boolean"))
     retried = failed & ~_or(task_metrics, "speculative", False, "boolean")
     launch = _or(task_metrics, "launch_ms", None, "bigint")
+    stage_attempt = _or(task_metrics, "stage_attempt", 0, "bigint")
+    if "task_id" in task_metrics.columns:
+        turn = F.col("task_id").cast("bigint")
+    else:  # 10 bits each for the attempts, 43 for the milliseconds
+        small = F.least(stage_attempt, F.lit(1023)) * 1024 + F.least(_or(task_metrics, "attempt", 0, "bigint"), F.lit(1023))
+        turn = small * F.lit(1 << 43) + F.coalesce(launch, F.lit(0))
+    index = F.col("task_index") if "task_index" in task_metrics.columns else F.monotonically_increasing_id()
+    turn_if_good = F.when(good, turn)
+
+    def last(name: str) -> Column:
+        return F.max_by(F.col(name), turn_if_good).alias(name)
+
+    return (task_metrics.groupBy("app_id", "stage_id", index.alias("task_index"))
+            .agg(F.count(F.when(good, 1)).alias("good"),
+                 last("duration_ms"), *[last(c) for c in TASK_SUMS],
+                 F.max(F.when(good, stage_attempt)).alias("stage_attempt"),
+                 F.count(F.when(retried, 1)).alias("retried_tasks"),
+                 F.min(launch).alias("first_launch_ms"),
+                 F.max(launch + F.col("duration_ms")).alias("last_finish_ms")))
 
-    def of_good(name: str) -> Column:
-        return F.when(good, F.col(name))
-
-    sums = ("mem_spill_bytes", "disk_spill_bytes", "input_bytes", "shuffle_bytes", "run_ms", "duration_ms")
-    attempts = (task_metrics
-                .groupBy("app_id", "stage_id", _or(task_metrics, "stage_attempt", 0, "bigint").alias("stage_attempt"))
-                .agg(F.count(F.when(good, 1)).alias("tasks"),
-                     _median(of_good("duration_ms"), exact).alias("median_ms"),
-                     F.max(of_good("duration_ms")).alias("max_ms"),
-                     *[F.sum(of_good(c)).alias(c) for c in sums],
-                     F.count(F.when(retried, 1)).alias("retried_tasks"),
-                     F.min(launch).alias("first_launch_ms"),
-                     F.max(launch + F.col("duration_ms")).alias("last_finish_ms")))
-    last = F.max_by(F.struct("stage_attempt", "tasks", "median_ms", "max_ms", *sums, "retried_tasks"), "stage_attempt")
-    return (attempts.groupBy("app_id", "stage_id")
-            .agg(last.alias("last"), F.min("first_launch_ms").alias("first_launch_ms"),
-                 F.max("last_finish_ms").alias("last_finish_ms"))
-            .select("app_id", "stage_id", "last.*", "first_launch_ms", "last_finish_ms")
+
+def stage_summary(task_metrics: DataFrame, exact: bool = True) -> DataFrame:
+    """K1: one row per (app_id, stage_id) over its partitions' last successful attempts.
+
+    The exact median is selected in passes over the stored attempts;
+    ``exact=False`` reads it off one KLL sketch per stage, in one pass.
+    """
+    keys = ["app_id", "stage_id"]
+    held = last_attempts(task_metrics)
+    if exact:
+        held = write_and_read_back(task_metrics.sparkSession, held, "last-attempts", None)
+    counted = F.col("good") > 0
+    stages = (held.groupBy(*keys)
+              .agg(F.max("stage_attempt").alias("stage_attempt"),
+                   F.count(F.when(counted, 1)).alias("tasks"),
+                   F.max("duration_ms").alias("max_ms"),
+                   *[F.sum(c).alias(c) for c in (*TASK_SUMS, "duration_ms")],
+                   F.sum("retried_tasks").alias("retried_tasks"),
+                   F.min("first_launch_ms").alias("first_launch_ms"),
+                   F.max("last_finish_ms").alias("last_finish_ms")))
+    if exact:
+        median = exact_median(held, keys, "duration_ms", "median_ms")
+    else:
+        median = sketch_median(duration_sketches(held, keys, "duration_ms"), keys, "median_ms").drop("n")
+    return (same_keys(stages, median, keys, "left")
+            .withColumn("median_ms", F.col("median_ms").cast("double"))
             .withColumn("stage_skew", safe_div(F.col("max_ms"), F.col("median_ms"))))
 
 
+def baseline_medians(baseline_tasks: DataFrame) -> DataFrame:
+    """K2: (app_id, run_ms, base_median_ms), the median task time of every
+    plain read+write run: one row a run of ``baseline_tasks`` (app_id, run_ms,
+    duration_ms)."""
+    held = write_and_read_back(baseline_tasks.sparkSession, baseline_tasks.select("app_id", "run_ms", "duration_ms"), "baseline", None)
+    return exact_median(held, ["app_id", "run_ms"], "duration_ms", "base_median_ms").withColumnRenamed("run_ms", "baseline_run_ms")
+
+
 def skew_factor() -> Column:
     """K5: max / median task time on the heavy stage."""
     return safe_div(F.col("heavy_max_ms"), F.col("heavy_median_ms"))
@@ -86,29 +128,30 @@ def memory_expansion() -> Column:
     return safe_div(F.col("heavy_mem_spill_bytes"), F.col("heavy_disk_spill_bytes"))
 
 
-def _per_app(stages: DataFrame, baseline_stage: int) -> DataFrame:
-    """One aggregation per app over the stage summary: heaviest stage (K3),
-    baseline median (K2) and the sums the measured profile (K10) needs."""
+def _per_app(stages: DataFrame, baselines: DataFrame) -> DataFrame:
+    """One aggregation per app over the stage summary: heaviest stage (K3) and
+    the sums the measured profile (K10) needs; then the median of the app's
+    latest baseline run that started no later than the app itself (K2)."""
     key = F.struct(F.col("median_ms"), (-F.col("stage_id")).alias("neg_stage"))
     heavy = F.max_by(F.struct("stage_id", "tasks", "median_ms", "max_ms",
                               "mem_spill_bytes", "disk_spill_bytes"), key)
-    base = F.max(F.when(F.col("stage_id") == baseline_stage, F.col("median_ms")))
-    return (stages.groupBy("app_id")
-            .agg(heavy.alias("h"), base.alias("base_median_ms"), *_profile_aggs())
+    apps = (stages.groupBy("app_id")
+            .agg(heavy.alias("h"), F.min("first_launch_ms").alias("started_ms"), *_profile_aggs())
             .select("*",
-                    (F.col("base_median_ms") / F.lit(1000.0)).alias("t_base_sec"),
                     F.col("h.stage_id").alias("heavy_stage_id"),
                     F.col("h.tasks").alias("heavy_tasks"),
                     F.col("h.median_ms").alias("heavy_median_ms"),
                     F.col("h.max_ms").alias("heavy_max_ms"),
                     F.col("h.mem_spill_bytes").alias("heavy_mem_spill_bytes"),
-                    F.col("h.disk_spill_bytes").alias("heavy_disk_spill_bytes")))
+                    F.col("h.disk_spill_bytes").alias("heavy_disk_spill_bytes")).drop("h"))
+    return (asof_join(apps, baselines, "app_id", "started_ms", "baseline_run_ms", ["baseline_run_ms", "base_median_ms"])
+            .withColumn("t_base_sec", F.col("base_median_ms") / F.lit(1000.0)))
 
 
-def _calibration_columns(baseline_stage: int) -> list[Column]:
+def _calibration_columns() -> list[Column]:
     return [
         F.col("app_id"),
-        F.lit(baseline_stage).cast("int").alias("baseline_stage"),
+        F.col("baseline_run_ms"),
         F.col("t_base_sec"),
         F.col("heavy_stage_id"),
         F.col("heavy_tasks"),
@@ -119,16 +162,12 @@ def _calibration_columns(baseline_stage: int) -> list[Column]:
     ]
 
 
-def calibrate(task_metrics: DataFrame, baseline_stage: int, exact: bool = True,
-              stages: DataFrame | None = None) -> DataFrame:
-    """K9: one calibration row per application (K2 + K3 + K4 + K5 + K6 + K7).
-
-    The heaviest stage (K3) and the baseline median (K2) come out of the same
-    per-app aggregation over the stage summary, so the telemetry is scanned
-    and shuffled once and no join is needed.
+def calibrate(stages: DataFrame, baselines: DataFrame) -> DataFrame:
+    """K9: one calibration row per application (K2 + K3 + K4 + K5 + K6 + K7)
+    from a stage summary (K1) and the medians of the baseline runs (K2).
+    An application without an earlier baseline run has no t_base and no k_comp.
     """
-    stages = stages if stages is not None else stage_summary(task_metrics, exact)
-    return _per_app(stages, baseline_stage).select(*_calibration_columns(baseline_stage))
+    return _per_app(stages, baselines).select(*_calibration_columns())
 
 
 def skew_advice(calibration: DataFrame) -> DataFrame:
@@ -210,21 +249,22 @@ def _prediction(per_app: DataFrame, slots: int | None, block_size_mb: int) -> Da
             .withColumn("rel_error", safe_div(F.col("abs_error_sec"), F.col("observed_sec"))))
 
 
-def backtest_from_stages(stages: DataFrame, baseline_stage: int, slots: int | None = None,
-                         block_size_mb: int = 128) -> DataFrame:
+def backtest_from_stages(stages: DataFrame, baselines: DataFrame, peaks: DataFrame | None = None,
+                         slots: int | None = None, block_size_mb: int = 128) -> DataFrame:
     """Predicted against observed runtime, one row per application.
 
     Observed: first launch to last finish in the telemetry (NULL without
     launch times). Predicted: the wave model with the app's own calibrated
     coefficients, tasks = input / block, waves = ceil(tasks / slots), each wave
-    t_base*k_comp*k_skew. ``slots`` are the app's measured ones (K10) unless given.
-
-    Calibration and measured profile come from the same per-app aggregation
-    (one scan and one task-level shuffle, no join).
+    t_base*k_comp*k_skew. ``slots``, unless given, are the most tasks the app
+    ran at once (``peaks``, from ``operators.parallelism``), without them the
+    mean (K10).
     """
-    per_app = _per_app(stages, baseline_stage)
-    both = per_app.select(*_calibration_columns(baseline_stage),
-                          *[c for c in _profile_columns() if str(c) != str(F.col("app_id"))])
+    both = _per_app(stages, baselines).select(
+        *_calibration_columns(), *[c for c in _profile_columns() if str(c) != str(F.col("app_id"))])
+    if peaks is not None:
+        both = (same_keys(both, peaks.select("app_id", "peak_tasks"), ["app_id"], "left")
+                .withColumn("slots", F.coalesce(F.greatest("peak_tasks", F.lit(1).cast("bigint")), "slots")))
     return _prediction(both, slots, block_size_mb)
 
 

