@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from rightsize.functions.numeric import ceil_long, safe_div
 from rightsize.operators.asof import asof_join
+from rightsize.operators.cost import with_cost_at, with_invariants
 from rightsize.operators.selection import duration_sketches, exact_median, same_keys, sketch_median
+from rightsize.sources.defaults import COST_DEFAULTS, with_defaults
 from rightsize.sources.sinks import write_and_read_back
 
 # Thresholds stated for the coefficients.
@@ -207,6 +209,7 @@ def _profile_aggs() -> list[Column]:
     return [F.count(F.lit(1)).alias("stages_count"),
             F.sum("tasks").alias("tasks"),
             F.max(F.when(scan, F.col("tasks"))).alias("input_partitions"),
+            F.max("tasks").alias("widest_stage"),
             F.sum("retried_tasks").alias("retried_tasks"),
             F.sum("input_bytes").alias("input_bytes"),
             F.sum("shuffle_bytes").alias("shuffle_bytes"),
@@ -268,6 +271,38 @@ def backtest_from_stages(stages: DataFrame, baselines: DataFrame, peaks: DataFra
     return _prediction(both, slots, block_size_mb)
 
 
+# What the fitted rates already contain, or telemetry does not tell, is neutral in the cost model.
+NEUTRAL_COST = {"compression_expand_factor": 1.0, "format_overhead_factor": 1.0, "transform_amplification_factor": 1.0,
+                "skew_factor": 1.0, "join_multiplier": 1.0, "udf_complexity_factor": 1.0, "cluster_cpu_utilization": 1.0,
+                "spill_penalty_per_100pct": 0.0, "gc_penalty_sensitivity": 0.0, "speculative_execution_gain": 0.0}
+
+
+def backtest_models(stages: DataFrame, baselines: DataFrame, peaks: DataFrame, rates: DataFrame) -> DataFrame:
+    """The wave model and the cost model beside the observed runtime, an application a row.
+
+    The cost model runs on the app's measured profile and its fitted rates
+    (``operators.fit``), a slot as an executor of one core, as many as ran at
+    once. A rate the fit could not measure is the form's default. A stage's
+    overhead is its tasks' fitted overhead as one slot meets it.
+    """
+    wave = backtest_from_stages(stages, baselines, peaks).select("app_id", "observed_sec", "slots", F.col("predicted_sec").alias("wave_sec"))
+    aggs = stages.groupBy("app_id").agg(*_profile_aggs())
+    profile = aggs.select(*_profile_columns(), "widest_stage").drop("cpu_throughput_mb_s_per_core", "duration_ms", "observed_sec", "slots")
+    rates = rates.select("app_id", "cpu_throughput_mb_s_per_core", "disk_throughput_mb_s_per_executor", "network_throughput_mb_s_per_executor", "task_overhead_s")
+    app = same_keys(same_keys(wave, profile, ["app_id"], "inner"), rates, ["app_id"], "left")
+    per_slot = F.col("tasks") / (F.col("stages_count") * F.col("slots"))
+    app = app.withColumns({"executors": F.col("slots"), "cores_per_executor": F.lit(1), "shuffle_partitions": F.coalesce("widest_stage", F.lit(1)),
+                           "input_partitions": F.coalesce("input_partitions", F.lit(1)), "shuffle_ratio": F.coalesce("shuffle_ratio", F.lit(0.0)),
+                           "expected_retry_fraction": F.coalesce("expected_retry_fraction", F.lit(0.0)),
+                           "stage_scheduler_overhead_s": F.coalesce("task_overhead_s", F.lit(0.0)) * per_slot,
+                           **{k: F.lit(v) for k, v in NEUTRAL_COST.items()}})
+    cost = with_cost_at(with_invariants(with_defaults(app, COST_DEFAULTS)), "executors")
+    error = {m: safe_div(F.abs(F.col(f"{m}_sec") - F.col("observed_sec")), F.col("observed_sec")).alias(f"{m}_rel_error") for m in ("wave", "cost")}
+    both = cost.select("app_id", "observed_sec", "slots", "wave_sec", (F.col("estimated_runtime_min") * 60.0).alias("cost_sec")).select("*", *error.values())
+    closer = F.when(F.col("wave_rel_error") < F.col("cost_rel_error"), "wave").when(F.col("cost_rel_error").isNotNull(), "cost")
+    return both.withColumn("closer", closer)
+
+
 def backtest_by_team(errors: DataFrame, app_teams: DataFrame) -> DataFrame:
     """K11 roll-up: error per team over the apps a team runs.
 

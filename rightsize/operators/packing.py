@@ -8,9 +8,8 @@ own size estimate). Alerts are an array column, exploded only for counting.
 ``pick_shape`` (N9) finds, for every workload, the smallest feasible shape
 (cluster cores, then RAM, then id) whose unified memory holds the inflated
 data. No workload x shape pairs are formed: the shapes are reduced to a
-staircase of capacity intervals -- interval (lo, hi] answers every need in it
--- and workloads find their one interval through an equi join on a
-logarithmic bin of the need plus a range filter.
+staircase of capacities, and each workload finds its step by halving in a
+packed index of it (``operators.staircase``).
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rightsize.functions.numeric import codes_array, stage
+from rightsize.operators.staircase import first_step
 from rightsize.sources.defaults import NODE_WORKLOAD_DEFAULTS, SHAPE_DEFAULTS, with_defaults
 from rightsize.sources.dims import dim
 
@@ -137,17 +137,10 @@ def alert_counts(spark: SparkSession, packings: DataFrame) -> DataFrame:
 
 # ---- N9: smallest shape that holds the data --------------------------------
 
-MAX_BIN = 62
-
-
-def _need_bin(x: Column) -> Column:
-    """Logarithmic bin of a GB amount; monotone in x."""
-    return F.least(F.lit(MAX_BIN), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(x, F.lit(1.0))))).cast("int"))
-
-
 def capacity_steps(shapes: DataFrame) -> DataFrame:
     """The staircase: shapes ordered by (cores, RAM, id) whose capacity beats
-    every smaller shape; each answers the needs in (previous best, capacity].
+    every smaller shape; each answers the needs above the previous step's
+    capacity up to its own.
 
     The best of all smaller shapes is a prefix maximum in two steps: within the
     shapes of equal core count, and across core counts, so that the only window
@@ -159,12 +152,10 @@ def capacity_steps(shapes: DataFrame) -> DataFrame:
     across = F.max("best").over(Window.orderBy("cluster_cores").rowsBetween(Window.unboundedPreceding, -1))
     fewer = (sized.groupBy("cluster_cores").agg(F.max("cluster_unified_mem_gb").alias("best"))
              .select("cluster_cores", across.alias("fewer_best")))
-    steps = (sized.withColumn("own_best", within).join(fewer, "cluster_cores")
-             .select("cluster_id", "cluster", "cluster_cores", "cluster_ram_gb", "cluster_unified_mem_gb",
-                     F.greatest("own_best", "fewer_best").alias("lo"))
-             .where(F.col("lo").isNull() | (F.col("cluster_unified_mem_gb") > F.col("lo"))))
-    lo_bin = F.when(F.col("lo").isNull(), F.lit(0)).otherwise(_need_bin(F.col("lo")))
-    return steps.withColumn("need_bin", F.explode(F.sequence(lo_bin, _need_bin(F.col("cluster_unified_mem_gb")))))
+    return (sized.withColumn("own_best", within).join(fewer, "cluster_cores")
+            .select("cluster_id", "cluster", "cluster_cores", "cluster_ram_gb", "cluster_unified_mem_gb",
+                    F.greatest("own_best", "fewer_best").alias("lo"))
+            .where(F.col("lo").isNull() | (F.col("cluster_unified_mem_gb") > F.col("lo"))).drop("lo"))
 
 
 def pick_shape(spark: SparkSession, workloads: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -174,12 +165,8 @@ def pick_shape(spark: SparkSession, workloads: DataFrame, shapes: DataFrame) ->
                     F.expr(f"CASE WHEN {DATA_STATUS} IS NULL THEN data_size_gb * inflation_factor END")
                     .cast("double").alias("need_gb")))
     steps = capacity_steps(shapes)
-    cond = ((F.col("w.need_bin") == F.col("s.need_bin"))
-            & (F.col("s.lo").isNull() | (F.col("w.need_gb") > F.col("s.lo")))
-            & (F.col("w.need_gb") <= F.col("s.cluster_unified_mem_gb")))
-    j = need.withColumn("need_bin", _need_bin(F.col("need_gb"))).alias("w").join(steps.alias("s"), cond, "left")
-    return j.select(F.col("w.workload_id").alias("workload_id"), F.col("w.need_gb").alias("need_gb"),
-                    F.col("s.cluster_id").alias("best_cluster_id"), F.col("s.cluster").alias("best_cluster"),
-                    F.col("s.cluster_cores").alias("best_cluster_cores"),
-                    F.col("s.cluster_ram_gb").alias("best_cluster_ram_gb"),
-                    F.col("s.cluster_unified_mem_gb").alias("best_cluster_unified_mem_gb"))
+    best = steps.select(*[F.col(c).alias(f"best_{c}") for c in steps.columns])
+    found = first_step(need, "need_gb", steps, "cluster_unified_mem_gb", "best_cluster_unified_mem_gb")
+    return (found.join(best, "best_cluster_unified_mem_gb", "left")
+            .select("workload_id", "need_gb", "best_cluster_id", "best_cluster", "best_cluster_cores",
+                    "best_cluster_ram_gb", "best_cluster_unified_mem_gb"))

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rightsize.operators import calibrate as K
+from rightsize.operators import fit
 from rightsize.operators import parallelism as L
 from rightsize.operators import selection as S
 from rightsize.sources.fixtures import fixture
-from rightsize.sources.sinks import write_and_read_back
+from rightsize.operators import unique as U
+from rightsize.sources.sinks import plan_changes as changes_between
+from rightsize.sources.sinks import write_and_read_back, write_bucketed
 
 Job = Callable[[SparkSession, str], DataFrame]
 JOBS: dict[str, Job] = {}
@@ -92,6 +95,17 @@ def backtest_by_team(spark, sf_dir):
     return K.backtest_by_team(_errors(spark, sf_dir), fixture(spark, sf_dir, "workloads"))
 
 
+@job("fitted_rates")
+def fitted_rates(spark, sf_dir):
+    """The cost model's rates per application by least squares."""
+    return fit.fitted_rates(fixture(spark, sf_dir, "task_metrics"), ["app_id"])
+
+
+@job("backtest_models")
+def backtest_models(spark, sf_dir):
+    return K.backtest_models(_stages(spark, sf_dir), _baselines(spark, sf_dir), _peaks(spark, sf_dir), fitted_rates(spark, sf_dir))
+
+
 @job("median_rank_error")
 def median_rank_error(spark, sf_dir):
     """K1 approximate: sketches of task time per (day, stage) are stored, the
@@ -172,7 +186,7 @@ def runtime_curve(spark, sf_dir):
 
 @job("sla_search")
 def sla_search(spark, sf_dir):
-    return C.sla_search(C.candidates(spark, fixture(spark, sf_dir, "cost_workloads"), search_only=True))
+    return C.sla_search(C.search_base(spark, fixture(spark, sf_dir, "cost_workloads")))
 
 
 @job("curve_gain")
@@ -294,9 +308,9 @@ from rightsize.sources.manifest import dataset_sizes as _dataset_sizes  # noqa:
 def _compared(spark, sf_dir):
     cw = fixture(spark, sf_dir, "cost_workloads")
     return X.compare_models(
-        X.from_wave(W.wave_plan(fixture(spark, sf_dir, "workloads"))),
-        X.from_cost(C.sla_search(C.candidates(spark, cw, search_only=True), keep=X.COST_KEEP)),
-        X.from_profile(_profile_plans(spark, sf_dir)),
+        X.from_wave(W.wave_validate(fixture(spark, sf_dir, "workloads"))),
+        X.from_cost(C.sla_search(C.search_base(spark, cw), keep=X.COST_KEEP)),
+        X.from_profile(P.profile_validate(spark, fixture(spark, sf_dir, "profile_workloads"))),
         X.from_node(_packings(spark, sf_dir)))
 
 
@@ -321,6 +335,26 @@ def write_plans(spark, sf_dir):
     return write_and_read_back(spark, wave_plan_typed(spark, sf_dir), "wave_plans")
 
 
+PLAN_BUCKETS = 16
+
+
+@job("plan_changes")
+def plan_changes(spark, sf_dir):
+    """The typed plans of one run against those of a later run with the
+    telemetry's coefficients, both as bucketed tables."""
+    wl = fixture(spark, sf_dir, "workloads")
+    first = write_bucketed(spark, W.wave_plan(wl), "plans", "workload_id", PLAN_BUCKETS)
+    later = W.wave_plan(W.with_calibration(wl, _calibration(spark, sf_dir)))
+    second = write_bucketed(spark, later, "plans", "workload_id", PLAN_BUCKETS)
+    return changes_between(spark, first, second, "workload_id", ("executors", "executor_heap_mb"))
+
+
+@job("duplicate_rejects")
+def duplicate_rejects(spark, sf_dir):
+    """V: submissions whose workload id is not unique."""
+    return U.duplicate_rejects(fixture(spark, sf_dir, "resubmitted_workloads"), "workload_id")
+
+
 # ---- streaming ---------------------------------------------------------------
 
 import uuid  # noqa: E402

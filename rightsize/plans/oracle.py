@@ -121,6 +121,40 @@ SELECT *, max_ms / nullif(median_ms, 0) AS stage_skew FROM stages"""
 SQL["parallelism"] = _with("task_metrics", extra=_PARALLEL.lstrip(",")) + """
 SELECT *, CAST(task_ms AS DOUBLE) / nullif(busy_ms, 0) AS mean_tasks FROM parallel"""
 
+_FIT = """
+sums AS (
+  SELECT app_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(a) AS DOUBLE) AS sa, CAST(sum(b) AS DOUBLE) AS sb,
+    CAST(sum(c) AS DOUBLE) AS sc, CAST(sum(a * a) AS DOUBLE) AS saa, CAST(sum(a * b) AS DOUBLE) AS sab, CAST(sum(a * c) AS DOUBLE) AS sac,
+    CAST(sum(b * b) AS DOUBLE) AS sbb, CAST(sum(b * c) AS DOUBLE) AS sbc, CAST(sum(c * c) AS DOUBLE) AS scc,
+    CAST(sum(a * y) AS DOUBLE) AS say, CAST(sum(b * y) AS DOUBLE) AS sby, CAST(sum(c * y) AS DOUBLE) AS scy
+  FROM (SELECT app_id, duration_ms AS y, (input_bytes + 524288) // 1048576 AS a, (disk_spill_bytes + 524288) // 1048576 AS b,
+      (shuffle_bytes + 524288) // 1048576 AS c FROM task_metrics WHERE NOT failed AND NOT killed)
+  GROUP BY app_id
+),
+cov AS (
+  SELECT *, saa - sa * sa / n AS caa, sab - sa * sb / n AS cab, sac - sa * sc / n AS cac, sbb - sb * sb / n AS cbb,
+    sbc - sb * sc / n AS cbc, scc - sc * sc / n AS ccc, say - sa * sy / n AS ga, sby - sb * sy / n AS gb, scy - sc * sy / n AS gc
+  FROM sums
+),
+e1 AS (SELECT *, CASE WHEN caa > 1e-9 * greatest(saa, 1e0) THEN 1e0 / caa ELSE 0e0 END AS ia FROM cov),
+e2 AS (SELECT *, cbb - cab * ia * cab AS db, cbc - cab * ia * cac AS ebc, gb - cab * ia * ga AS hb, ccc - cac * ia * cac AS fc,
+    gc - cac * ia * ga AS qc FROM e1),
+e3 AS (SELECT *, CASE WHEN db > 1e-9 * greatest(cbb, 1e0) THEN 1e0 / db ELSE 0e0 END AS ib FROM e2),
+e4 AS (SELECT *, fc - ebc * ib * ebc AS dc, qc - ebc * ib * hb AS hc FROM e3),
+e5 AS (SELECT *, hc * CASE WHEN dc > 1e-9 * greatest(ccc, 1e0) THEN 1e0 / dc ELSE 0e0 END AS bc FROM e4),
+e6 AS (SELECT *, (hb - ebc * bc) * ib AS bb FROM e5),
+e7 AS (SELECT *, (ga - cab * bb - cac * bc) * ia AS ba FROM e6),
+rates AS (
+  SELECT *, CASE WHEN input_ms_mb > 0 THEN 1000e0 / input_ms_mb END AS cpu_throughput_mb_s_per_core,
+    CASE WHEN spill_ms_mb > 0 THEN 1000e0 / spill_ms_mb END AS disk_throughput_mb_s_per_executor,
+    CASE WHEN shuffle_ms_mb > 0 THEN 1000e0 / shuffle_ms_mb END AS network_throughput_mb_s_per_executor,
+    CASE WHEN overhead_ms > 0 THEN overhead_ms / 1000e0 END AS task_overhead_s
+  FROM (SELECT app_id, CAST(n AS BIGINT) AS tasks, round((sy - ba * sa - bb * sb - bc * sc) / n, 6) AS overhead_ms,
+      round(ba, 6) AS input_ms_mb, round(bb, 6) AS spill_ms_mb, round(bc, 6) AS shuffle_ms_mb FROM e7)
+)"""
+
+SQL["fitted_rates"] = _with("task_metrics", extra=_FIT) + "SELECT * FROM rates"
+
 # the merged sketches' medians differ from run to run; that they lie within the bound does not
 SQL["median_rank_error"] = _with("task_metrics") + """
 SELECT stage_id, count(*) AS tasks, true AS within_bound FROM task_metrics GROUP BY stage_id"""
@@ -314,6 +348,26 @@ def _cost_exprs(ex: str) -> dict[str, str]:
     return e
 
 
+SQL["backtest_models"] = _with("task_metrics", "baseline_tasks", extra=_CALIBRATION + _PROFILE + _BACKTEST + "," + _FIT) + f""",
+widest AS (SELECT app_id, max(tasks) AS shuffle_partitions FROM stages GROUP BY app_id),
+app AS (
+  SELECT e.app_id, e.observed_sec, e.slots, e.predicted_sec AS wave_sec, p.input_data_gb, coalesce(p.shuffle_ratio, 0e0) AS shuffle_ratio,
+    p.stages_count, coalesce(p.input_partitions, 1) AS input_partitions, w.shuffle_partitions, coalesce(p.expected_retry_fraction, 0e0) AS retry_frac,
+    coalesce(r.cpu_throughput_mb_s_per_core, 90e0) AS cpu_tp, coalesce(r.disk_throughput_mb_s_per_executor, 320e0) AS disk_tp,
+    coalesce(r.network_throughput_mb_s_per_executor, 220e0) AS net_tp,
+    coalesce(r.task_overhead_s, 0e0) * (CAST(p.tasks AS DOUBLE) / (p.stages_count * e.slots)) AS stage_overhead,
+    1e0 AS compression_expand_factor, 1e0 AS format_overhead_factor, 1e0 AS transform_amplification_factor, 1e0 AS skew_factor,
+    1e0 AS join_multiplier, 1e0 AS udf_complexity_factor, 1e0 AS cluster_cpu_utilization, 0e0 AS spill_penalty, 0e0 AS gc_sens,
+    0e0 AS spec_gain, 0.35e0 AS retry_cost, 1 AS cores_per_executor, 16e0 AS executor_memory_gb, 0.6e0 AS mem_frac, 0.5e0 AS storage_frac,
+    0.2e0 AS ws_frac, 0.2e0 AS cache_frac, 5e0 AS broadcast_tables_gb, 0.25e0 AS concurrent_frac
+  FROM errors e JOIN profile p USING (app_id) JOIN widest w USING (app_id) LEFT JOIN rates r USING (app_id)
+),
+both_models AS (SELECT app_id, observed_sec, slots, wave_sec, {_cost_exprs('slots')['estimated_runtime_min']} * 60e0 AS cost_sec FROM app)
+SELECT *, CASE WHEN wave_rel_error < cost_rel_error THEN 'wave' WHEN cost_rel_error IS NOT NULL THEN 'cost' END AS closer
+FROM (SELECT *, abs(wave_sec - observed_sec) / nullif(observed_sec, 0) AS wave_rel_error,
+  abs(cost_sec - observed_sec) / nullif(observed_sec, 0) AS cost_rel_error FROM both_models)"""
+
+
 def _estimate_sql() -> str:
     e = _cost_exprs("executors")
     cols = ",\n  ".join(f"{v} AS {k}" for k, v in e.items())
@@ -707,31 +761,37 @@ _COMPARED = (_with("workloads", "cost_workloads", "profile_workloads", "node_wor
                    extra=_TYPED_WL + ",\n" + _COST_SRC + ",\n" + _cands_sql() + ",\n" + _PROFILE_DIMS + ",\n"
                    + _SHAPES + ",\n" + _PACK) + f""",
 search AS (
-  SELECT workload_id, CAST(min(CASE WHEN in_search AND target_runtime_min > 0 AND runtime_min <= target_runtime_min THEN n END) AS BIGINT) AS best
-  FROM cands GROUP BY workload_id
+  SELECT workload_id, target_runtime_min, CAST(min(CASE WHEN in_search AND target_runtime_min > 0 AND runtime_min <= target_runtime_min THEN n END) AS BIGINT) AS best
+  FROM cands GROUP BY workload_id, target_runtime_min
 ),
 compared AS (
-  SELECT workload_id, 'wave' AS model, executors, total_cores, container_memory_mb * executors AS total_ram_mb
-  FROM ({_wave_steps('typed_wl')}) WHERE reject_reason IS NULL
+  SELECT workload_id, 'wave' AS model, CASE WHEN reject_reason IS NULL THEN executors END AS executors,
+    CASE WHEN reject_reason IS NULL THEN total_cores END AS total_cores,
+    CASE WHEN reject_reason IS NULL THEN container_memory_mb * executors END AS total_ram_mb, coalesce(reject_reason, 'ok') AS status
+  FROM ({_wave_steps('typed_wl')})
   UNION ALL
   SELECT s.workload_id, 'cost', s.best, CAST(s.best * c.cores_per_executor AS BIGINT),
-    CAST(ceil(s.best * (c.executor_memory_gb + c.executor_memory_gb * c.executor_memory_overhead_pct / 100e0) * 1024e0) AS BIGINT)
-  FROM search s JOIN cw c ON s.workload_id = c.workload_id WHERE s.best IS NOT NULL
+    CAST(ceil(s.best * (c.executor_memory_gb + c.executor_memory_gb * c.executor_memory_overhead_pct / 100e0) * 1024e0) AS BIGINT),
+    CASE WHEN s.target_runtime_min <= 0 THEN 'disabled' WHEN s.best IS NULL THEN 'unreachable' ELSE 'ok' END
+  FROM search s JOIN cw c ON s.workload_id = c.workload_id
   UNION ALL
-  SELECT workload_id, 'profile', executors, total_cluster_cores, total_cluster_ram_mb
+  SELECT workload_id, 'profile', executors, total_cluster_cores, total_cluster_ram_mb, 'ok'
   FROM ({_profile_plan_sql('profile_workloads')})
   UNION ALL
-  SELECT workload_id, 'node', total_executors, total_compute_cores, CAST(ceil(total_executors * raw_mem_per_exec_gb * 1024e0) AS BIGINT)
-  FROM packed WHERE status = 'ok'
+  SELECT workload_id, 'profile', NULL, NULL, NULL, reject_reason
+  FROM ({_profile_resolved('profile_workloads')}) WHERE reject_reason IS NOT NULL
+  UNION ALL
+  SELECT workload_id, 'node', total_executors, total_compute_cores, CAST(ceil(total_executors * raw_mem_per_exec_gb * 1024e0) AS BIGINT), status
+  FROM packed
 )""")
 
 SQL["compare_models"] = _COMPARED + "\nSELECT * FROM compared"
 
 SQL["model_spread"] = _COMPARED + """
-SELECT workload_id, count(*) AS models, min(executors) AS min_executors, max(executors) AS max_executors,
+SELECT workload_id, count(executors) AS models, min(executors) AS min_executors, max(executors) AS max_executors,
   arg_min(model, (executors, model)) AS min_model, arg_min(model, (-executors, model)) AS max_model,
   max(executors) / nullif(CAST(min(executors) AS DOUBLE), 0) AS spread_ratio
-FROM compared GROUP BY workload_id
+FROM compared WHERE executors IS NOT NULL GROUP BY workload_id
 ORDER BY spread_ratio DESC NULLS LAST, workload_id LIMIT 20"""
 
 SQL["dataset_sizes"] = _with("file_manifest") + """
@@ -740,6 +800,21 @@ FROM file_manifest GROUP BY dataset"""
 
 SQL["write_plans"] = SQL["wave_plan_typed"]
 
+SQL["duplicate_rejects"] = _with("resubmitted_workloads") + """
+SELECT *, 'duplicate_key' AS reject_reason
+FROM (SELECT *, count(*) OVER (PARTITION BY workload_id) AS copies FROM resubmitted_workloads) WHERE copies > 1"""
+
+SQL["plan_changes"] = _with("task_metrics", "baseline_tasks", "workloads", extra=_CALIBRATION + ",\n" + _CAL_WL + ",\n" + _TYPED_WL) + f""",
+old_plans AS (SELECT workload_id, executors, executor_heap_mb FROM ({_wave_steps('typed_wl')}) WHERE reject_reason IS NULL),
+new_plans AS (SELECT workload_id, executors, executor_heap_mb FROM ({_wave_steps('cal_wl')}) WHERE reject_reason IS NULL)
+SELECT * FROM (
+  SELECT coalesce(o.workload_id, n.workload_id) AS workload_id,
+    CASE WHEN o.workload_id IS NULL THEN 'added' WHEN n.workload_id IS NULL THEN 'removed'
+      WHEN o.executors <> n.executors OR o.executor_heap_mb <> n.executor_heap_mb THEN 'changed' END AS change,
+    o.executors AS old_executors, n.executors AS new_executors, o.executor_heap_mb AS old_executor_heap_mb, n.executor_heap_mb AS new_executor_heap_mb
+  FROM old_plans o FULL JOIN new_plans n ON o.workload_id = n.workload_id)
+WHERE change IS NOT NULL"""
+
 SQL["wave_skew_sensitivity"] = _with("workloads", extra="""grid AS (
   SELECT workload_id, data_size_gb, sla_seconds, k_comp, k AS k_skew, m AS skew_memory_mode,
     25e0 AS t_base_sec, 3e0 AS e_mem_rate

@@ -63,6 +63,13 @@ SELECT o_orderkey AS workload_id, c_mktsegment AS team,
   CASE WHEN o_orderkey % 11 = 0 THEN 0e0 ELSE 10e0 + (o_custkey % 6) * 10e0 END AS target_runtime_min,
   4 AS min_executors, CASE WHEN o_orderkey % 13 = 0 THEN 6 ELSE 120 END AS max_executors
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+""",
+    "resubmitted_workloads": """
+SELECT o_orderkey AS workload_id, c_mktsegment AS team, CAST(10 + o_custkey % 50 AS BIGINT) AS executors, 1 AS submission
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+UNION ALL
+SELECT o_orderkey - o_orderkey % 40 AS workload_id, c_mktsegment AS team, CAST(20 + o_custkey % 50 AS BIGINT) AS executors, 2 AS submission
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderstatus = 'P'
 """,
     "profile_workloads": """
 SELECT o_orderkey AS workload_id, c_mktsegment AS team,
@@ -152,6 +159,7 @@ FIXTURE_TABLES: dict[str, tuple[str, ...]] = {
     "file_manifest": ("documents",),
     "workloads": ("orders", "customer"),
     "cost_workloads": ("orders", "customer"),
+    "resubmitted_workloads": ("orders", "customer"),
     "profile_workloads": ("orders", "customer"),
     "cluster_shapes": ("nation",),
     "node_workloads": ("orders", "customer"),

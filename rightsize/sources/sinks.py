@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rightsize.session import scratch_path
 
@@ -27,3 +29,31 @@ def write_and_read_back(spark: SparkSession, df: DataFrame, name: str, partition
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     write_plans(df, path, partition_by)
     return spark.read.parquet(path)
+
+
+# ---- plan tables that later runs are joined with ------------------------------
+
+def write_bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, buckets: int) -> str:
+    """``df`` as a table of ``buckets`` files, hashed by ``key`` and sorted by
+    it within each; an external table below the shared folder. Returns its name
+    in the catalog. Rows are dealt to their bucket first, so a bucket is one
+    file and its order holds for whoever reads it."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).sortWithinPartitions(key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", scratch_path(spark, table)).saveAsTable(table))
+    return table
+
+
+def plan_changes(spark: SparkSession, before: str, after: str, key: str, compared: tuple[str, ...]) -> DataFrame:
+    """What changed, a workload a row, between two plan tables of
+    ``write_bucketed`` with equal bucket counts: 'added', 'removed', 'changed'
+    with the old and new values; equal plans have no row. Both tables are
+    already dealt by the key: a merge join without an exchange, whose sorts meet
+    one sorted file each."""
+    old = spark.table(before).select(F.col(key).alias("old_key"), *[F.col(c).alias(f"old_{c}") for c in compared])
+    new = spark.table(after).select(F.col(key).alias("new_key"), *[F.col(c).alias(f"new_{c}") for c in compared])
+    both = old.hint("merge").join(new, F.col("old_key") == F.col("new_key"), "full_outer")
+    same = reduce(lambda a, b: a & b, [F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in compared])
+    change = F.when(F.col("old_key").isNull(), "added").when(F.col("new_key").isNull(), "removed").when(~same, "changed")
+    return (both.withColumn("change", change).where("change IS NOT NULL")
+            .select(F.coalesce("old_key", "new_key").alias(key), "change", *[f"{v}_{c}" for c in compared for v in ("old", "new")]))

@@ -59,19 +59,19 @@ def test_g3_cost_defaults(spark):
     assert len(curve) == 117
     assert curve[4] == pytest.approx(114026.4, abs=0.1)
     assert curve[120] == pytest.approx(5.5446, abs=1e-4)
-    s = C.sla_search(C.candidates(spark, wl)).first()
+    s = C.sla_search(C.search_base(spark, wl)).first()
     assert (s.best_executors, s.status) == (41, "met")
     assert s.runtime_at_best_min == pytest.approx(59.2375, abs=1e-4)
 
 
 def test_cost_status_and_unknown_join(spark):
     wl = _cost_one(spark, join_strategy="nonsense", target_runtime_min=0.0)
-    assert C.sla_search(C.candidates(spark, wl)).first().status == "disabled"
+    assert C.sla_search(C.search_base(spark, wl)).first().status == "disabled"
     est = C.cost_estimate(spark, wl).first()
     ref = C.cost_estimate(spark, _cost_one(spark, join_strategy="Sort-merge join")).first()
     assert est.shuffled_gb == ref.shuffled_gb   # unknown kind falls back to 1.0
     wl = _cost_one(spark, target_runtime_min=1.0, max_executors=6)
-    assert C.sla_search(C.candidates(spark, wl)).first().status == "unreachable"
+    assert C.sla_search(C.search_base(spark, wl)).first().status == "unreachable"
 
 
 def _profile(spark, profile, gb, fmt, complexity, sla, cache):

@@ -21,7 +21,7 @@ def test_total_cores_is_executors_times_cores(spark):
 
 def test_search_best_meets_target_and_one_less_does_not(spark):
     cands = C.candidates(spark, fixture(spark, SF_SMALL, "cost_workloads"))
-    best = C.sla_search(cands).where("status = 'met'").select("workload_id", "best_executors")
+    best = C.sla_search(C.search_base(spark, fixture(spark, SF_SMALL, "cost_workloads"))).where("status = 'met'").select("workload_id", "best_executors")
     j = cands.join(best, "workload_id")
     at_best = j.where(F.col("n") == F.col("best_executors"))
     assert at_best.where(F.col("runtime_min") > F.col("target_runtime_min")).count() == 0
@@ -60,9 +60,8 @@ def test_cheapest_two_pass_equals_one_pass(spark):
 
 
 def test_cheapest_meets_target(spark):
-    cands = C.candidates(spark, fixture(spark, SF_SMALL, "cost_workloads"))
     ch = C.cheapest_two_pass(spark, fixture(spark, SF_SMALL, "cost_workloads"))
-    search = C.sla_search(cands)
+    search = C.sla_search(C.search_base(spark, fixture(spark, SF_SMALL, "cost_workloads")))
     j = ch.join(search, "workload_id")
     assert j.where(F.col("cheapest_runtime_min") > F.col("target_runtime_min")).count() == 0
     assert j.where(F.col("cheapest_executors") < F.col("best_executors")).count() == 0

@@ -18,7 +18,7 @@ def shuffles(p: str) -> int:
 
 
 @pytest.mark.parametrize("name,expected", [
-    ("sla_search", 1),         # candidates -> workload
+    ("sla_search", 1),         # spreads the workloads; no candidate rows
     ("curve_gain", 1),
     ("profile_compare", 0),    # three column sets of one row
     ("profile_plan", 0),       # projections and broadcast lookups only
@@ -31,7 +31,8 @@ def test_shuffle_count(spark, name, expected):
 
 
 def test_search_is_hash_aggregated(spark):
-    for name in ("sla_search", "curve_gain", "cheapest", "model_spread"):
+    assert "Generate" not in plan(spark, "sla_search") and "Aggregate" not in plan(spark, "sla_search")
+    for name in ("curve_gain", "cheapest", "model_spread"):
         p = plan(spark, name)
         assert "SortAggregate" not in p and "HashAggregate" in p
 
@@ -64,7 +65,7 @@ def test_dims_are_broadcast(spark):
 
 
 @pytest.mark.parametrize("name", ["profile_plan", "wave_plan_typed", "node_pack", "cost_estimate",
-                                  "sla_search", "pick_shape", "wave_rejects"])
+                                  "pick_shape", "wave_rejects"])
 def test_projections_stay_in_whole_stage_codegen(spark, name):
     """No lambda-based (CodegenFallback) expression splits a model's projection
     out of whole-stage codegen."""
