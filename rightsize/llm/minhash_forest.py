@@ -16,10 +16,15 @@ component has the smallest id in it.
    ``near`` rows share all ``depth`` minhashes, step 6 compares the others.
 3. A 2-bit sketch of further minhashes drops pairs whose estimate lies five
    standard deviations below the threshold.
-4. Links are confirmed on full sets, in rounds: first each node's best
-   estimate, then every other candidate whose ends are not connected yet.
-   A pair inside a component adds nothing to the components.
-5. Components by smallest-neighbour contraction with pointer jumping.
+4. Links are confirmed on full sets, in rounds, as in Boruvka's minimum
+   spanning tree. First every node's best candidate. Then the orders are gone
+   through again for the candidates between components only, so a family of
+   near copies, one component by then, gives none; in each round every
+   component tests its best untested pairs (1, 4, 16 ... of them), tested pairs
+   and pairs within a component drop out, and what is linked is contracted.
+   Every candidate is tested or its ends are connected.
+5. Components of the links, over the components of the round before, by
+   smallest-neighbour contraction with pointer jumping.
 6. A dense region is the rows of one order that share all ``depth`` minhashes,
    if there are more than ``near``. Where steps 1 to 5 leave one in several
    components, its whole sets are compared with each other, all pairs whose
@@ -101,26 +106,49 @@ def _signatures(size: int, trees: int, depth: int):
     return run
 
 
-PAIRS = "a long, b long, agree int, edge int, tree int, prefix binary, node long, sketch binary"
+PAIRS = "a long, b long, agree int, edge int, tree int, prefix binary, node long, sketch binary, comp long"
+_PAIRS = [(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in PAIRS.split(", ")]
 
 
-def _neighbours(depth: int, near: int, least: int, enough: int):
-    """Candidate pairs of a sorted partition, its first and last rows (edge 0
-    and 1), and the rows of its dense regions (edge 2, with the prefix they share)."""
+def _pair_rows(**columns) -> pa.RecordBatch:
+    """A batch of ``PAIRS``; columns that are not given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _PAIRS], names=[c for c, _ in _PAIRS])
 
-    def pairs(tree, prefix, node, sketch, skip=0):
-        n = len(node)
+
+def _neighbours(depth: int, near: int, least: int, enough: int, best: bool):
+    """Candidate pairs of a sorted partition between rows of different ``comp``,
+    its first and last rows (edge 0 and 1), and the rows of its dense regions
+    (edge 2, with the prefix they share). With ``best``, only each row's
+    (``node``'s) pair of best agreement."""
+
+    def agreeing(tree, prefix, two, comp, skip):
+        """(i, i + d, agreement) of rows up to ``near`` apart that share ``least`` minhashes."""
+        n = len(tree)
         sig = np.frombuffer(b"".join(prefix), np.uint8).reshape(n, depth, 4)
-        two = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, -1)
         for d in range(1, min(near, n - 1) + 1):
-            lead = (sig[d:, :least] == sig[:-d, :least]).all(axis=(1, 2)) & (tree[d:] == tree[:-d])
+            lead = (sig[d:, :least] == sig[:-d, :least]).all(axis=(1, 2)) & (tree[d:] == tree[:-d]) & (comp[d:] != comp[:-d])
             lead[: max(skip - d, 0)] = False  # pairs of rows that an earlier batch held
             i = np.flatnonzero(lead)
             x = two[i] ^ two[i + d]
-            agree = SKETCH - np.unpackbits((x | x >> 1) & 0x55, axis=1).sum(axis=1)
-            i, agree = i[agree >= enough], agree[agree >= enough]
-            if len(i):
-                yield np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d]), agree.astype(np.int32)
+            agree = (SKETCH - np.unpackbits((x | x >> 1) & 0x55, axis=1).sum(axis=1)).astype(np.int32)
+            yield i[agree >= enough], i[agree >= enough] + d, agree[agree >= enough]
+
+    def pairs(tree, prefix, node, sketch, comp, skip=0):
+        n = len(node)
+        two = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, -1)
+        top, partner = np.full(n, -1, np.int32), np.zeros(n, np.int64)
+        for i, j, agree in agreeing(tree, prefix, two, comp, skip):
+            if best:
+                for own, other in ((i, j), (j, i)):
+                    better = agree > top[own]
+                    top[own[better]], partner[own[better]] = agree[better], other[better]
+            elif len(i):
+                yield _pair_rows(a=np.minimum(node[i], node[j]), b=np.maximum(node[i], node[j]), agree=agree)
+        if best and (top >= 0).any():
+            i = np.flatnonzero(top >= 0)
+            j = partner[i]
+            yield _pair_rows(a=np.minimum(node[i], node[j]), b=np.maximum(node[i], node[j]), agree=top[i], node=node[i])
 
     def dense(tree, prefix):
         n = len(tree)
@@ -128,33 +156,30 @@ def _neighbours(depth: int, near: int, least: int, enough: int):
         i = np.flatnonzero((sig[near:] == sig[:-near]).all(axis=1) & (tree[near:] == tree[:-near])) if n > near else np.empty(0, np.int64)
         return np.unique((i[:, None] + np.arange(near + 1)).ravel())
 
+    def edge(cols, side, rows):
+        tree, prefix, node, sketch, comp = (c[rows] for c in cols)
+        return _pair_rows(edge=[side] * len(tree), tree=tree, prefix=list(prefix), node=node, sketch=list(sketch), comp=comp)
+
     def run(batches):
         tail = None
         for batch in batches:
-            cols = np.asarray(batch["tree"]), batch["prefix"].to_pylist(), np.asarray(batch["node"]), batch["sketch"].to_pylist()
+            cols = np.asarray(batch["tree"]), batch["prefix"].to_pylist(), np.asarray(batch["node"]), batch["sketch"].to_pylist(), np.asarray(batch["comp"])
             if not len(cols[0]):
                 continue
             skip = 0
             if tail is None:
-                yield _edge(cols, 0, slice(0, near))
+                yield edge(cols, 0, slice(0, near))
             else:
                 skip = len(tail[0])
                 cols = tuple(np.concatenate([t, c]) if isinstance(c, np.ndarray) else t + c for t, c in zip(tail, cols))
-            for a, b, agree in pairs(*cols, skip):
-                none = pa.nulls(len(a))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], names=[f.split()[0] for f in PAIRS.split(", ")])
-            many = dense(*cols[:2]).tolist()
+            yield from pairs(*cols, skip)
+            many = dense(*cols[:2]).tolist() if best else []
             for at in range(0, len(many), 4096):
                 some = many[at : at + 4096]
-                yield _edge((cols[0][some], [cols[1][i] for i in some], cols[2][some], [None] * len(some)), 2, slice(None))
+                yield edge((cols[0][some], [cols[1][i] for i in some], cols[2][some], [None] * len(some), cols[4][some]), 2, slice(None))
             tail = tuple(c[-near:] for c in cols)
         if tail is not None:
-            yield _edge(tail, 1, slice(0, near))
-
-    def _edge(cols, side, rows):
-        tree, prefix, node, sketch = (c[rows] for c in cols)
-        none = pa.nulls(len(tree))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array([side] * len(tree), pa.int32()), pa.array(tree), pa.array(list(prefix), pa.binary()), pa.array(node), pa.array(list(sketch), pa.binary())], names=[f.split()[0] for f in PAIRS.split(", ")])
+            yield edge(tail, 1, slice(0, near))
 
     return run
 
@@ -172,7 +197,7 @@ def _confirm(size: int, percent: int):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part["a"].filter(keep), part["b"].filter(keep)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([part[c].filter(keep) for c in ("a", "b", "la", "lb")], names=["a", "b", "la", "lb"])
 
     return run
 
@@ -247,7 +272,7 @@ def dense_links(members: DataFrame, nodes: DataFrame, text: DataFrame, done: Dat
     Components of more rows than a block have blocks of their own, which are not
     compared with each other; all other rows of a region share its blocks."""
     own = done.select("node", F.col("least").alias("component"))
-    members = members.join(own.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "n_shingles").hint("merge"), "node")
+    members = members.join(own.hint("merge"), "node").join(nodes.select("node", "n_shingles").hint("merge"), "node")
     members = tables.save(members, "dense-members")
     by_comp = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     by_comp = tables.save(by_comp, "dense-components")
@@ -307,47 +332,83 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
     # equal sets are one node, named by its smallest key
     node_of = rows.filter("n_shingles > 0").groupBy("set").agg(F.min("key").alias("node"), F.min_by("forest", "key").alias("forest"), F.min_by("sketch", "key").alias("sketch"), F.min("n_shingles").alias("n_shingles"))
     nodes = tables.save(node_of, "nodes")
-    order = nodes.select("node", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("forest", t * (4 * depth) + 1, F.lit(4 * depth)))).alias("tree", "prefix"))
     p = percent / 100
     agree = p + (1 - p) / 4  # share of equal two-bit minhashes at the threshold
     enough = int(SKETCH * agree - 5 * (SKETCH * agree * (1 - agree)) ** 0.5)
-    order = order.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node").select("tree", "prefix", "node", "sketch")
-    found = tables.save(order.mapInArrow(_neighbours(depth, near, least, enough), PAIRS), "forest")
-    # where one task's last rows meet the next one's first: near * 2 rows a task
-    edges = found.filter("edge < 2").select("tree", "prefix", "node", "sketch").distinct()
-    edges = edges.repartitionByRange("tree").sortWithinPartitions("tree", "prefix", "node").select("tree", "prefix", "node", "sketch")
-    met = tables.save(edges.mapInArrow(_neighbours(depth, near, least, enough), PAIRS).filter("edge is null or edge = 2"), "met")
-    dense = found.union(met).filter("edge = 2").select(F.xxhash64("tree", "prefix").alias("region"), "node").distinct()
-    dense = tables.save(dense, "dense")
-    pairs = found.filter("edge is null").select("a", "b", "agree").union(met.filter("edge is null").select("a", "b", "agree"))
-    pairs = tables.save(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
-    tables.drop("forest")
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    # the ends grow with the corpus: never broadcast them
-    texts = tables.save(text.join(ends.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text"), "texts")
-
-    def confirmed(some: DataFrame) -> DataFrame:
+    columns = ["tree", "prefix", "node", "sketch", "comp"]
+
+    def neighbours(labelled: DataFrame, best: bool, name: str) -> DataFrame:
+        """``PAIRS`` of all orders of ``labelled`` (nodes with their ``comp``)."""
+        prefixes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("forest", t * (4 * depth) + 1, F.lit(4 * depth)))
+        order = labelled.select("node", "sketch", "comp", F.posexplode(prefixes).alias("tree", "prefix"))
+        order = order.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node").select(columns)
+        run = _neighbours(depth, near, least, enough, best)
+        found = tables.save(order.mapInArrow(run, PAIRS), name)
+        # where one task's last rows meet the next one's first: near * 2 rows a task
+        edges = found.filter("edge < 2").select(columns).distinct()
+        edges = edges.repartitionByRange("tree").sortWithinPartitions("tree", "prefix", "node").select(columns)
+        met = tables.save(edges.mapInArrow(run, PAIRS).filter("edge is null or edge = 2"), f"{name}-met")
+        return found.filter("edge is null or edge = 2").union(met)
+
+    def confirmed(some: DataFrame, texts: DataFrame) -> DataFrame:
         a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-        return some.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long")
-
-    # round 1: the best candidate of each node; round 2: all others not connected by then
-    each = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
-    best = each.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
-    links = tables.save(confirmed(best), "links-1")
+        both = some.select("a", "b", "la", "lb").join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+        return both.select("a", "b", "la", "lb", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long, la long, lb long")
+
+    def texts_of(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        # the ends grow with the corpus: never broadcast them
+        return tables.save(text.join(ends.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text"), name)
+
+    # first each node's best pair, over all orders
+    found = neighbours(nodes.select("node", "sketch", "forest", F.col("node").alias("comp")), True, "forest")
+    dense = tables.save(found.filter("edge = 2").select(F.xxhash64("tree", "prefix").alias("region"), "node").distinct(), "dense")
+    best = found.filter("edge is null and a <> b").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+    best = tables.save(best.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), "best")
+    tables.drop("forest")
+    links = tables.save(confirmed(best, texts_of(best, "texts-best")).select("a", "b"), "links")
     done = components(links, tables, "near")
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    la = done.select(F.col("node").alias("a"), F.col("least").alias("la"))
-    lb = done.select(F.col("node").alias("b"), F.col("least").alias("lb"))
-    open_ = rest.join(la, "a", "left").join(lb, "b", "left").filter("la is null or lb is null or la <> lb").select("a", "b")
-    more = tables.save(confirmed(open_), "links-2")
-    if not more.isEmpty():
-        links = links.union(more)
-        done = components(links, tables, "all")
+    # then the pairs between what is not connected yet, the best of each component first
+    placed = nodes.join(done.hint("merge"), "node", "left").select("node", "sketch", "forest", F.coalesce("least", "node").alias("comp"))
+    found = neighbours(placed, False, "rest").filter("edge is null and a <> b")
+    open_ = found.groupBy("a", "b").agg(F.max("agree").alias("agree")).join(best.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    la, lb = (done.select(F.col("node").alias(x), F.col("least").alias(f"l{x}")) for x in "ab")
+    open_ = open_.join(la.hint("merge"), "a", "left").join(lb.hint("merge"), "b", "left").select("a", "b", "agree", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    open_ = tables.save(open_, "open-0")
+    tables.drop("rest")
+    turn, moves = 0, []
+    if not open_.isEmpty():
+        texts = texts_of(open_, "texts")
+    while not open_.isEmpty():
+        each = open_.select(F.col("la").alias("own"), "*").union(open_.select(F.col("lb").alias("own"), "*"))
+        first = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("agree"), "a", "b"))
+        picked = tables.save(each.withColumn("rank", first).filter(F.col("rank") <= 4**turn).select("a", "b", "la", "lb").distinct(), f"picked-{turn}")
+        joined = tables.save(confirmed(picked, texts).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), f"joined-{turn}")
+        left = open_.join(picked.select("a", "b"), ["a", "b"], "left_anti")
+        if not joined.isEmpty():
+            move = components(joined, tables, f"moved-{turn}")
+            moves.append(move)
+            for x in ("la", "lb"):
+                to = move.select(F.col("node").alias(x), F.col("least").alias("to"))
+                left = left.join(to, x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
+        turn += 1
+        open_ = tables.save(left.filter("la <> lb").select("a", "b", "agree", "la", "lb"), f"open-{turn}")
+        tables.drop(f"open-{turn - 1}")
+    done = nodes.select("node").join(done.hint("merge"), "node", "left").select("node", F.coalesce("least", "node").alias("least"))
+
+    def moved(done: DataFrame, move: DataFrame) -> DataFrame:
+        to = move.select(F.col("node").alias("least"), F.col("least").alias("to"))
+        return done.join(to, "least", "left").select("node", F.coalesce("to", "least").alias("least"))
+
+    for move in moves:
+        done = moved(done, move)
+    done = tables.save(done, "done")
     last = None if dense.isEmpty() else dense_links(dense, nodes, text, done, size, percent, tables)
     if last is not None and not last.isEmpty():
-        done = components(links.union(last), tables, "whole")
+        la, lb = (done.select(F.col("node").alias(x), F.col("least").alias(f"l{x}")) for x in "ab")
+        last = last.join(la.hint("merge"), "a").join(lb.hint("merge"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        done = moved(done, components(tables.save(last, "dense-joined"), tables, "whole"))
     labels = nodes.select("set", "node").join(done, "node", "left").select("set", F.coalesce("least", "node").alias("component"))
     out = rows.select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).alias("set")).join(labels, "set", "left")
     out = out.withColumn("component", F.coalesce("component", "key"))

@@ -225,4 +225,24 @@ def test_every_query_is_registered():
 
     names = set(E.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_a_family_of_near_copies_makes_few_pairs(spark, monkeypatch, n):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(k, " ".join(base[:at] + [f"o{k}"] + base[at + 1 :])) for k in range(n) for at in [rng.randrange(150)]]
+    made = {}
+
+    def save(self, df, name, by=None, real=minhash_forest.Tables.save):
+        out = real(self, df, name, by)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash_forest.Tables, "save", save)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in minhash_forest.near_duplicates(docs, percent=85).collect()} == {0}
+    tested = sum(v for k, v in made.items() if k == "best" or k.startswith("picked"))
+    assert tested <= 2 * n and sum(v for k, v in made.items() if k == "links" or k.startswith("joined")) <= 2 * n
+    assert sum(v for k, v in made.items() if k.startswith("open")) <= 2 * n
