@@ -21,7 +21,9 @@ right and to the left of it.
    the prefix it shares with the last winner: a longer shared prefix wins
    without a comparison, and equal ones are compared from there on.
 5. Suffixes that share ``gram`` bytes or more come out next to each other; the
-   windows around them are compared byte by byte, earliest document first.
+   windows around them are compared byte by byte, earliest document first. A
+   gram with more than ``GROUP`` surroundings is no task's own: its windows are
+   dealt by a 128-bit digest and grouped.
 
 Defined results: null and empty texts have no bytes; texts shorter than the
 window are kept; repeated rows of one document (same doc_id, same text) are one
@@ -32,6 +34,7 @@ of a range, and for one gram the distinct surroundings it occurs in.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_right
 
 import numpy as np
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rightsize.llm import sketch
-from rightsize.llm.common import anchors, doc_key, mix, raw_bytes, rolling, slices
+from rightsize.llm.common import Tables, anchors, doc_key, mix, raw_bytes, rolling, slices
 
 BASE = 0x9FB21C651E98DF25
 SLICE = 1 << 20
@@ -109,8 +112,15 @@ def _front_coded(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return size, lcp
 
 
-def _runs(window, gram, bits, depth, merged, splitters, hold=1 << 18):
-    """Sorted, front-coded runs of a partition's anchored suffixes, a row for each range."""
+HOLD = 24 << 20  # bytes of a run in the making, about
+OBJECTS = 300  # bytes of a held suffix or record besides its text
+
+
+def _runs(window, gram, bits, depth, merged, splitters, hold=None):
+    """Sorted, front-coded runs of a partition's anchored suffixes, a row for
+    each range; a run is cut when its suffixes and the records of covered ones
+    take about ``hold`` bytes."""
+    hold = hold or HOLD
 
     def write(first: dict, covered: list):
         order = sorted(first)
@@ -134,6 +144,7 @@ def _runs(window, gram, bits, depth, merged, splitters, hold=1 << 18):
     def run(batches):
         first: dict[tuple[bytes, int], tuple[int, int]] = {}  # (right bytes + reversed left bytes, how many are right): earliest (key, place)
         covered: list[tuple] = []
+        held = 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 if (w := _repeated(part, window, gram, bits, depth, merged)) is None:
@@ -143,15 +154,18 @@ def _runs(window, gram, bits, depth, merged, splitters, hold=1 << 18):
                 for a, b, c, k, p in zip(at.tolist(), lo.tolist(), hi.tolist(), key.tolist(), (at - bounds[of]).tolist()):
                     s = (raw[a : c + window] + raw[b:a][::-1], c + window - a)
                     old = first.setdefault(s, (k, p))
-                    if old != (k, p):
+                    if old == (k, p):
+                        held += len(s[0]) + OBJECTS
+                    else:
+                        held += OBJECTS
                         if (k, p) < old:
                             first[s] = (k, p)
                             old, k, p = (k, p), *old
                         r, left = bisect_right(splitters.value, s[0][:gram]), a - b
                         covered.append((r, k, p - left, left + s[1] - window + 1))
-                if len(first) + len(covered) > hold:
-                    yield from write(first, covered)
-                    first, covered = {}, []
+                    if held > hold:
+                        yield from write(first, covered)
+                        first, covered, held = {}, [], 0
         if first:
             yield from write(first, covered)
 
@@ -249,25 +263,44 @@ def _covered(group: list, window: int):
                     seen.add(w)
 
 
+GROUP = 20_000  # surroundings of one gram that a task compares itself
+
+
+def _windows(group: list, window: int):
+    """(key, start, digest) of every window around the gram of a group of suffixes."""
+    for s, _, right, key, place in group:
+        context, left = s[right:][::-1] + s[:right], len(s) - right
+        for off in range(window - right, left + 1):
+            yield key, place - off, hashlib.blake2b(context[left - off : left - off + window], digest_size=16).digest()
+
+
 def _merge_range(window, gram):
+    """Covered windows of a range as (key, first start, number of starts); the
+    windows of a gram with more than ``GROUP`` surroundings as (key, start, digest)."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [[], [], []]
+        out, hashed = [[], [], []], [[], [], []]
 
-        def close(group):
-            for c in _covered(group, window) if len(group) > 1 else ():
-                for x, y in zip(out, c):
+        def close(group, spilled):
+            to, found = (hashed, _windows(group, window)) if spilled else (out, _covered(group, window) if len(group) > 1 else ())
+            for c in found:
+                for x, y in zip(to, c):
                     x.append(y)
 
-        group: list = []
+        group, spilled = [], False
         for s in merge_runs([_decode(r) for r in rows]):
-            if s[1] < gram and group:
-                close(group)
-                group = []
+            if s[1] < gram and (group or spilled):
+                close(group, spilled)
+                group, spilled = [], False
             group.append(s)
-        close(group)
-        arrays = [np.concatenate([*(np.frombuffer(r[c], t) for r in rows), np.array(x, t)]) for c, t, x in zip(("c_key", "c_start", "c_n"), (np.int64, np.int32, np.int32), out)]
-        return pa.table([pa.array(x) for x in arrays], names=["key", "start", "n"])
+            if len(group) >= GROUP:
+                close(group, True)
+                group, spilled = [], True
+        close(group, spilled)
+        arrays = [np.concatenate([*(np.frombuffer(r[c], t) for r in rows), np.array(x, t), np.array(h, t)]) for c, t, x, h in zip(("c_key", "c_start", "c_n"), (np.int64, np.int32, np.int32), out, (*hashed[:2], [1] * len(hashed[0])))]
+        digest = [None] * (len(arrays[0]) - len(hashed[2])) + hashed[2]
+        return pa.table([*(pa.array(x) for x in arrays), pa.array(digest, pa.binary())], names=["key", "start", "n", "digest"])
 
     return run
 
@@ -303,10 +336,13 @@ def _remove(window):
     return run
 
 
-def _splitters(spark: SparkSession, read: DataFrame, sampler, ranges: int) -> list[bytes]:
-    """At most ``ranges - 1`` grams that cut a sample of the suffixes evenly."""
-    n = read.count()
-    sample = read.select("text").sample(min(1.0, 40 * ranges / max(n, 1)), seed=7)
+def _splitters(spark: SparkSession, read: DataFrame, sampler, ranges: int, apart: int) -> list[bytes]:
+    """At most ``ranges - 1`` grams that cut a sample of the suffixes evenly.
+    Texts are drawn by the bytes of all texts, so that about 200 suffixes a range
+    are seen, whatever the texts' lengths; every eighth anchor of a text, one in
+    ``apart`` bytes, is looked at."""
+    total = read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    sample = read.select("text").sample(min(1.0, 200 * ranges * 8 * apart / max(total, 1)), seed=7)
     heads = sorted(bytes(r["head"]) for r in sample.mapInArrow(sampler, "head binary").toLocalIterator())
     return sorted({heads[len(heads) * i // ranges] for i in range(1, ranges)}) if heads else []
 
@@ -320,9 +356,14 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, bi
     cells = read.select("text").mapInArrow(_sketch_partition(window, gram, bits, depth), "cell long, n byte")
     merged = sketch.merge(cells, bits, depth)
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = spark.sparkContext.broadcast(_splitters(spark, read, _sample_partition(window, gram, bits, depth, merged), ranges))
+    cuts = spark.sparkContext.broadcast(_splitters(spark, read, _sample_partition(window, gram, bits, depth, merged), ranges, (window - gram) // 2))
     runs = read.mapInArrow(_runs(window, gram, bits, depth, merged, cuts), RUN)
-    covered = runs.groupBy("range").applyInArrow(_merge_range(window, gram), "key long, start int, n int")
+    found = Tables(spark).save(runs.groupBy("range").applyInArrow(_merge_range(window, gram), "key long, start int, n int, digest binary"), "covered")
+    # windows around a frequent gram meet by their digest, wherever they lie
+    hashed = found.filter("digest is not null").select("digest", "key", "start")
+    first = hashed.groupBy("digest").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    again = hashed.join(first, "digest").filter(F.struct("key", "start") != F.col("first")).select("key", "start", F.lit(1).alias("n"))
+    covered = found.filter("digest is null").select("key", "start", "n").union(again)
     spans = covered.groupBy("key").agg(F.collect_list(F.col("start").cast("long") * 2**24 + F.col("n")).alias("spans"))
     whole = docs.select(doc_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return whole.join(spans, "key", "left").mapInArrow(_remove(window), KEPT)
