@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rightsize.llm.common import Tables, raw_bytes, slices
+from rightsize.llm.common import Tables, raw_bytes, release, slices
 
 LONGEST = 64
 BUCKETS = 8192
@@ -361,6 +361,7 @@ def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:
         coded.update(zip(part["word"].to_numpy(zero_copy_only=False).tolist(), (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
     del folded
     pa.default_memory_pool().release_unused()
+    release(spark)  # the fold's plan and its rank map
     share = spark.sparkContext.broadcast
     return read.mapInArrow(_encode_partition(classes, share(ranks), share(pair_table(ranks)), share(coded)), ENCODED)
 

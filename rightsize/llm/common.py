@@ -56,6 +56,13 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage. Spark frees the broadcasts,
+    shuffles and generated classes of ended queries only after a collection,
+    and a driver that runs many short queries may see none for long."""
+    spark._jvm.System.gc()
+
+
 # ---- inside Python workers ---------------------------------------------------
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
