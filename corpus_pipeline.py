@@ -8,11 +8,13 @@ tables and extra columns are treated as each operator's docstring says.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rightsize.llm import byte_bpe, exact_dedup, language_id, minhash_forest, mixing
-from rightsize.llm.common import Tables
+from rightsize.llm.common import Tables, release
 from rightsize.llm.queries import bpe_path
 
 
@@ -42,12 +44,23 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(byte_bpe.decode(F.col("ids"), bpe_path()), 256).alias("decoded_sha256"))
 
 
+def _fresh(stage):
+    """``stage`` on a driver that has let go of what the stage before it held."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("exact_dedup", drop_exact_copies),
-    ("minhash_near_dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("byte_bpe", tokenise),
+    ("language_id", _fresh(identify_language)),
+    ("exact_dedup", _fresh(drop_exact_copies)),
+    ("minhash_near_dedup", _fresh(drop_near_copies)),
+    ("mixing", _fresh(mix_sources)),
+    ("byte_bpe", _fresh(tokenise)),
 ]
 
 #: Trained language ID, minhash candidates, Newton steps and BPE merges have no SQL form.
