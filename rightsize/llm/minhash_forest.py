@@ -17,12 +17,13 @@ component has the smallest id in it.
 3. A 2-bit sketch of further minhashes drops pairs whose estimate lies five
    standard deviations below the threshold.
 4. Links are confirmed on full sets, in rounds, as in Boruvka's minimum
-   spanning tree. First every node's best candidate. Then the orders are gone
-   through again for the candidates between components only, so a family of
-   near copies, one component by then, gives none; in each round every
-   component tests its best untested pairs (1, 4, 16 ... of them), tested pairs
-   and pairs within a component drop out, and what is linked is contracted.
-   Every candidate is tested or its ends are connected.
+   spanning tree. First every node's best candidate, and once more between the
+   components of these. Then the orders are gone through again for the
+   candidates between components only, so a family of near copies, one component
+   by then, gives none; in each round every component tests its best untested
+   pairs (1, 16, 256 ... of them), tested pairs and pairs within a component drop
+   out, and what is linked is contracted. Every candidate is tested or its ends
+   are connected.
 5. Components of the links, over the components of the round before, by
    smallest-neighbour contraction with pointer jumping.
 6. A dense region is the rows of one order that share all ``depth`` minhashes,
@@ -54,6 +55,7 @@ from rightsize.llm.common import Tables, doc_key, mix, rolling, slices, split_wo
 
 BASE = 0xC2B2AE3D27D4EB4F
 SKETCH = 128  # minhashes kept as two bits each
+FEW_ORDERS = 4  # of the second look for each node's best pair
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +108,7 @@ def _signatures(size: int, trees: int, depth: int):
     return run
 
 
-PAIRS = "a long, b long, agree int, edge int, tree int, prefix binary, node long, sketch binary, comp long"
+PAIRS = "a long, b long, agree int, edge int, tree int, prefix binary, node long, sketch binary, comp long, la long, lb long"
 _PAIRS = [(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in PAIRS.split(", ")]
 
 
@@ -134,6 +136,10 @@ def _neighbours(depth: int, near: int, least: int, enough: int, best: bool):
             agree = (SKETCH - np.unpackbits((x | x >> 1) & 0x55, axis=1).sum(axis=1)).astype(np.int32)
             yield i[agree >= enough], i[agree >= enough] + d, agree[agree >= enough]
 
+    def ordered(node, comp, i, j, /, **more):
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        return _pair_rows(a=node[i], b=node[j], la=comp[i], lb=comp[j], **more)
+
     def pairs(tree, prefix, node, sketch, comp, skip=0):
         n = len(node)
         two = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, -1)
@@ -144,11 +150,10 @@ def _neighbours(depth: int, near: int, least: int, enough: int, best: bool):
                     better = agree > top[own]
                     top[own[better]], partner[own[better]] = agree[better], other[better]
             elif len(i):
-                yield _pair_rows(a=np.minimum(node[i], node[j]), b=np.maximum(node[i], node[j]), agree=agree)
+                yield ordered(node, comp, i, j, agree=agree)
         if best and (top >= 0).any():
             i = np.flatnonzero(top >= 0)
-            j = partner[i]
-            yield _pair_rows(a=np.minimum(node[i], node[j]), b=np.maximum(node[i], node[j]), agree=top[i], node=node[i])
+            yield ordered(node, comp, i, partner[i], agree=top[i], node=node[i])
 
     def dense(tree, prefix):
         n = len(tree)
@@ -337,9 +342,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
     enough = int(SKETCH * agree - 5 * (SKETCH * agree * (1 - agree)) ** 0.5)
     columns = ["tree", "prefix", "node", "sketch", "comp"]
 
-    def neighbours(labelled: DataFrame, best: bool, name: str) -> DataFrame:
-        """``PAIRS`` of all orders of ``labelled`` (nodes with their ``comp``)."""
-        prefixes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("forest", t * (4 * depth) + 1, F.lit(4 * depth)))
+    def neighbours(done: DataFrame | None, best: bool, orders: int, name: str) -> DataFrame:
+        """``PAIRS`` of the first ``orders`` orders between the components ``done`` (at first, each node is one)."""
+        labelled = nodes.withColumn("comp", F.col("node")) if done is None else nodes.join(done.withColumnRenamed("least", "comp").hint("merge"), "node")
+        prefixes = F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda t: F.substring("forest", t * (4 * depth) + 1, F.lit(4 * depth)))
         order = labelled.select("node", "sketch", "comp", F.posexplode(prefixes).alias("tree", "prefix"))
         order = order.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node").select(columns)
         run = _neighbours(depth, near, least, enough, best)
@@ -350,60 +356,60 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
         met = tables.save(edges.mapInArrow(run, PAIRS).filter("edge is null or edge = 2"), f"{name}-met")
         return found.filter("edge is null or edge = 2").union(met)
 
-    def confirmed(some: DataFrame, texts: DataFrame) -> DataFrame:
+    def confirmed(some: DataFrame, name: str) -> DataFrame:
+        """The links among pairs (a, b, la, lb), as distinct (a, b) of the components they connect."""
+        ends = some.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        # the ends grow with the corpus: never broadcast them
+        texts = tables.save(text.join(ends.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text"), f"texts-{name}")
         a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
         both = some.select("a", "b", "la", "lb").join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-        return both.select("a", "b", "la", "lb", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long, la long, lb long")
+        links = both.select("a", "b", "la", "lb", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long, la long, lb long")
+        links = tables.save(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), f"links-{name}")
+        tables.drop(f"texts-{name}")
+        return links
 
-    def texts_of(pairs: DataFrame, name: str) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        # the ends grow with the corpus: never broadcast them
-        return tables.save(text.join(ends.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text"), name)
-
-    # first each node's best pair, over all orders
-    found = neighbours(nodes.select("node", "sketch", "forest", F.col("node").alias("comp")), True, "forest")
-    dense = tables.save(found.filter("edge = 2").select(F.xxhash64("tree", "prefix").alias("region"), "node").distinct(), "dense")
-    best = found.filter("edge is null and a <> b").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
-    best = tables.save(best.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), "best")
-    tables.drop("forest")
-    links = tables.save(confirmed(best, texts_of(best, "texts-best")).select("a", "b"), "links")
-    done = components(links, tables, "near")
-    # then the pairs between what is not connected yet, the best of each component first
-    placed = nodes.join(done.hint("merge"), "node", "left").select("node", "sketch", "forest", F.coalesce("least", "node").alias("comp"))
-    found = neighbours(placed, False, "rest").filter("edge is null and a <> b")
-    open_ = found.groupBy("a", "b").agg(F.max("agree").alias("agree")).join(best.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-    la, lb = (done.select(F.col("node").alias(x), F.col("least").alias(f"l{x}")) for x in "ab")
-    open_ = open_.join(la.hint("merge"), "a", "left").join(lb.hint("merge"), "b", "left").select("a", "b", "agree", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-    open_ = tables.save(open_, "open-0")
+    def moved(done: DataFrame, move: DataFrame) -> DataFrame:
+        to = move.select(F.col("node").alias("least"), F.col("least").alias("to"))
+        return done.join(to, "least", "left").select("node", F.coalesce("to", "least").alias("least"))
+
+    # first each node's best pair over all orders, then over a few between the components of the first
+    done = nodes.select("node", F.col("node").alias("least"))
+    tested, dense = None, None
+    for turn, orders in enumerate((trees, min(trees, FEW_ORDERS))):
+        found = neighbours(done if turn else None, True, orders, f"forest-{turn}")
+        if not turn:
+            dense = tables.save(found.filter("edge = 2").select(F.xxhash64("tree", "prefix").alias("region"), "node").distinct(), "dense")
+        best = found.filter("edge is null").groupBy("node").agg(F.max_by(F.struct("a", "b", "la", "lb"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.*").distinct()
+        best = tables.save(best, f"best-{turn}")
+        tables.drop(f"forest-{turn}")
+        tested = best if tested is None else tested.union(best)
+        links = confirmed(best, f"best-{turn}")
+        if not links.isEmpty():
+            done = tables.save(moved(done, components(links, tables, f"near-{turn}")), f"done-{turn}")
+    # then all pairs between what is not connected yet, the best of each component first
+    found = neighbours(done, False, trees, "rest").filter("edge is null").select("a", "b", "agree", "la", "lb", F.lit(0).alias("tested"))
+    again = tested.select("a", "b", F.lit(0).alias("agree"), F.lit(None).cast("long").alias("la"), F.lit(None).cast("long").alias("lb"), F.lit(1).alias("tested"))
+    open_ = found.union(again).groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("agree", "la", "lb", "tested")))
+    open_ = tables.save(open_.filter("tested = 0").drop("tested"), "open-0")
     tables.drop("rest")
-    turn, moves = 0, []
-    if not open_.isEmpty():
-        texts = texts_of(open_, "texts")
+    turn = 0
     while not open_.isEmpty():
         each = open_.select(F.col("la").alias("own"), "*").union(open_.select(F.col("lb").alias("own"), "*"))
-        first = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("agree"), "a", "b"))
-        picked = tables.save(each.withColumn("rank", first).filter(F.col("rank") <= 4**turn).select("a", "b", "la", "lb").distinct(), f"picked-{turn}")
-        joined = tables.save(confirmed(picked, texts).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), f"joined-{turn}")
-        left = open_.join(picked.select("a", "b"), ["a", "b"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("agree"), "a", "b"))
+        ranked = each.withColumn("rank", rank).groupBy("a", "b", "agree", "la", "lb").agg(F.min("rank").alias("rank"))
+        ranked = tables.save(ranked, f"ranked-{turn}")
+        joined = confirmed(ranked.filter(F.col("rank") <= 16**turn), f"open-{turn}")
+        left = ranked.filter(F.col("rank") > 16**turn).drop("rank")
         if not joined.isEmpty():
             move = components(joined, tables, f"moved-{turn}")
-            moves.append(move)
+            done = tables.save(moved(done, move), f"joined-{turn}")
             for x in ("la", "lb"):
                 to = move.select(F.col("node").alias(x), F.col("least").alias("to"))
                 left = left.join(to, x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
         turn += 1
         open_ = tables.save(left.filter("la <> lb").select("a", "b", "agree", "la", "lb"), f"open-{turn}")
         tables.drop(f"open-{turn - 1}")
-    done = nodes.select("node").join(done.hint("merge"), "node", "left").select("node", F.coalesce("least", "node").alias("least"))
-
-    def moved(done: DataFrame, move: DataFrame) -> DataFrame:
-        to = move.select(F.col("node").alias("least"), F.col("least").alias("to"))
-        return done.join(to, "least", "left").select("node", F.coalesce("to", "least").alias("least"))
-
-    for move in moves:
-        done = moved(done, move)
-    done = tables.save(done, "done")
     last = None if dense.isEmpty() else dense_links(dense, nodes, text, done, size, percent, tables)
     if last is not None and not last.isEmpty():
         la, lb = (done.select(F.col("node").alias(x), F.col("least").alias(f"l{x}")) for x in "ab")
