@@ -26,6 +26,16 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), by_text)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(key, row): every row of ``docs`` as a struct beside its key, so that no
+    column of it can clash with one of ours."""
+    return docs.select(doc_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
 class Tables:
     """Intermediate tables, written as Parquet below ``spark.checkpoint.dir``.
 

@@ -23,10 +23,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rightsize.llm.common import SPACES, Tables, doc_key
+from rightsize.llm.common import SPACES, Tables, doc_key, packed, unpacked
 
 FIRST, GROWTH = 64, 8
 
@@ -77,10 +77,16 @@ def equal_texts(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows repeated in full stay once."""
-    kept = equal_texts(docs).filter("kept").groupBy("key").agg(F.lit(True).alias("__kept"))
-    named = docs.withColumn("__key", doc_key())
-    twice = named.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    named = named.join(kept.withColumnRenamed("key", "__key"), "__key").join(twice, "__key", "left")
-    once, more = named.filter("__n is null"), named.filter("__n is not null").dropDuplicates(["__key"])
-    return once.unionByName(more).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that stay, with all their columns. Rows of one
+    doc_id with equal texts stay once, the longest original first; with
+    different texts each is a document of its own."""
+    kept = equal_texts(docs).filter("kept").select("key", "text_sha256")
+    rows = packed(docs)
+    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(twice, "key", "left")
+    once = rows.filter("n is null").join(kept.select("key").distinct(), "key", "left_semi")
+    text = F.col("row").getField("text")
+    more = rows.filter("n is not null").withColumn("text_sha256", F.sha2(normalised(text).cast("binary"), 256)).join(kept.distinct(), ["key", "text_sha256"], "left_semi")
+    order = Window.partitionBy("key", "text_sha256").orderBy(F.char_length(text).desc_nulls_last(), text)
+    more = more.withColumn("turn", F.row_number().over(order)).filter("turn = 1")
+    return unpacked(once.select("row").unionByName(more.select("row")), docs.columns)

@@ -89,7 +89,7 @@ def _counts(classes, bits, orders):
                 cuts = np.searchsorted(code, np.arange(part.num_rows + 1, dtype=np.int64) << bits)
                 h = (code & ((1 << bits) - 1)).astype(np.uint32)
                 keep = np.flatnonzero(has).tolist()
-                yield pa.RecordBatch.from_arrays([part["lang"].take(pa.array(keep)), part["draw"].take(pa.array(keep)), *(pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in keep], pa.binary()) for x in (h, n.astype(np.uint32)))], names=["lang", "draw", "feature", "n"])
+                yield pa.RecordBatch.from_arrays([part["lang"].take(pa.array(keep, pa.int64())), part["draw"].take(pa.array(keep, pa.int64())), *(pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in keep], pa.binary()) for x in (h, n.astype(np.uint32)))], names=["lang", "draw", "feature", "n"])
 
     return run
 

@@ -51,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rightsize.llm.common import Tables, doc_key, mix, rolling, slices, split_words, word_hashes
+from rightsize.llm.common import Tables, doc_key, mix, packed, rolling, slices, split_words, unpacked, word_hashes
 
 BASE = 0xC2B2AE3D27D4EB4F
 SKETCH = 128  # minhashes kept as two bits each
@@ -426,6 +426,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component of links at
     ``percent``, with all their columns."""
-    kept = near_duplicates(docs, percent=percent).filter("kept").select(F.col("key").alias("__key")).distinct()
-    named = docs.withColumn("__key", doc_key()).join(kept, "__key", "left_semi")
-    return named.select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = near_duplicates(docs, percent=percent).filter("kept").select("key").distinct()
+    return unpacked(packed(docs).join(kept, "key", "left_semi"), docs.columns)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rightsize.llm.common import Tables, doc_key
+from rightsize.llm.common import Tables, doc_key, packed, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 GRID = 32
@@ -153,7 +153,6 @@ def mix(docs: DataFrame, cap: int = 3, cycle: int = 3, prior: Column | None = No
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of ``docs`` as many times as it has copies, with all its columns."""
-    copies = mix(docs).filter("copies > 0").groupBy("key").agg(F.max("copies").alias("__copies")).withColumnRenamed("key", "__key")
-    named = docs.withColumn("__key", doc_key()).join(copies, "__key")
-    spread = named.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return spread.select(*(F.col(f"`{c}`") for c in docs.columns))
+    copies = mix(docs).filter("copies > 0").groupBy("key").agg(F.max("copies").alias("copies"))
+    spread = packed(docs).join(copies, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unpacked(spread, docs.columns)
