@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rightsize.llm.common import Tables, raw_bytes, release, slices
+from rightsize.llm.common import Tables, raw_bytes, release, slices, tidy
 
 LONGEST = 64
 BUCKETS = 8192
@@ -243,7 +243,7 @@ def _count_partition(classes):
                 times = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
                 yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(times.astype(np.int64))], names=["word", "n"])
 
-    return run
+    return tidy(run)
 
 
 def _literal(value, schema: str) -> Column:
@@ -332,7 +332,7 @@ def _encode_partition(classes, ranks, pairs, table):
                 raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids.astype("<i4"))])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.diff(bounds)), lists, raw], names=["doc_id", "n_tokens", "ids", "ids_le"])
 
-    return run
+    return tidy(run)
 
 
 def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:

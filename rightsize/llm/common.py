@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -75,6 +77,24 @@ def release(spark: SparkSession) -> None:
 
 # ---- inside Python workers ---------------------------------------------------
 
+def tidy(run):
+    """A partition function that leaves its worker as it found it. Workers live
+    on from task to task, and a task's functions, with the tables they have
+    cached, form reference cycles that a worker may not collect for many tasks."""
+
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc keeps freed blocks otherwise
+                libc.malloc_trim(0)
+
+    return each
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Zero-copy runs of rows with about ``most`` bytes of ``column`` each (one
     row at least), so that memory follows the slice and not the batch."""

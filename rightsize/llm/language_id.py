@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rightsize.llm.byte_bpe import LETTER, char_classes
-from rightsize.llm.common import raw_bytes, slices
+from rightsize.llm.common import raw_bytes, slices, tidy
 
 UNKNOWN = "und"
 SCALE = 100.0  # of term frequencies, which are shares of a text's n-grams
@@ -74,7 +74,7 @@ def _frequencies(classes, bits, orders):
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], docs))], names=["feature", "n"])
 
-    return run
+    return tidy(run)
 
 
 def _counts(classes, bits, orders):
@@ -91,7 +91,7 @@ def _counts(classes, bits, orders):
                 keep = np.flatnonzero(has).tolist()
                 yield pa.RecordBatch.from_arrays([part["lang"].take(pa.array(keep, pa.int64())), part["draw"].take(pa.array(keep, pa.int64())), *(pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in keep], pa.binary()) for x in (h, n.astype(np.uint32)))], names=["lang", "draw", "feature", "n"])
 
-    return run
+    return tidy(run)
 
 
 class Ftrl:
@@ -191,7 +191,7 @@ def _predict(classes, model):
                 rest = [part[c] for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*(c for c in part.schema.names if c != "text"), "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def held_out(doc_id: Column) -> Column:

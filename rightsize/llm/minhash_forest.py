@@ -51,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rightsize.llm.common import Tables, doc_key, mix, packed, rolling, slices, split_words, unpacked, word_hashes
+from rightsize.llm.common import Tables, doc_key, mix, packed, rolling, slices, split_words, tidy, unpacked, word_hashes
 
 BASE = 0xC2B2AE3D27D4EB4F
 SKETCH = 128  # minhashes kept as two bits each
@@ -105,7 +105,7 @@ def _signatures(size: int, trees: int, depth: int):
                     names=["key", "doc_id", "n_shingles", "set", "forest", "sketch"],
                 )
 
-    return run
+    return tidy(run)
 
 
 PAIRS = "a long, b long, agree int, edge int, tree int, prefix binary, node long, sketch binary, comp long, la long, lb long"
@@ -186,7 +186,7 @@ def _neighbours(depth: int, near: int, least: int, enough: int, best: bool):
         if tail is not None:
             yield edge(tail, 1, slice(0, near))
 
-    return run
+    return tidy(run)
 
 
 def _confirm(size: int, percent: int):
@@ -204,7 +204,7 @@ def _confirm(size: int, percent: int):
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part[c].filter(keep) for c in ("a", "b", "la", "lb")], names=["a", "b", "la", "lb"])
 
-    return run
+    return tidy(run)
 
 
 DENSE_ROWS, DENSE_SHINGLES = 1024, 1 << 20  # of a block, about
@@ -217,7 +217,7 @@ def _sets(size: int):
                 values, bounds = shingle_sets(part["text"], size)
                 yield pa.RecordBatch.from_arrays([part["key"], pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["node", "shingles"])
 
-    return run
+    return tidy(run)
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray], most: int = 4096) -> np.ndarray:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rightsize.llm import sketch
-from rightsize.llm.common import Tables, anchors, doc_key, mix, raw_bytes, rolling, slices
+from rightsize.llm.common import Tables, anchors, doc_key, mix, raw_bytes, rolling, slices, tidy
 
 BASE = 0x9FB21C651E98DF25
 SLICE = 1 << 20
@@ -73,7 +73,7 @@ def _sketch_partition(window, gram, bits, depth):
                 if (w := _anchored(part, window, gram)) is not None:
                     yield w[2][w[3]]
 
-    return lambda batches: sketch.count_cells(items(batches), bits, depth)
+    return tidy(lambda batches: sketch.count_cells(items(batches), bits, depth))
 
 
 def _repeated(batch, window, gram, bits, depth, merged):
@@ -93,7 +93,7 @@ def _sample_partition(window, gram, bits, depth, merged):
                     raw = w[0].tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + gram] for a in w[2][::8].tolist()], pa.binary())], names=["head"])
 
-    return run
+    return tidy(run)
 
 
 RUN = "range int, lcp binary, size binary, right binary, key binary, place binary, rest binary, c_key binary, c_start binary, c_n binary"
@@ -169,7 +169,7 @@ def _runs(window, gram, bits, depth, merged, splitters, hold=None):
         if first:
             yield from write(first, covered)
 
-    return run
+    return tidy(run)
 
 
 def _decode(row):
@@ -333,7 +333,7 @@ def _remove(window):
                 struct = pa.StructArray.from_arrays([pa.array(begins - bounds[of]), pa.array(ends - begins)], names=["start", "length"])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.diff(bounds)), pa.array(np.diff(total).astype(np.int64)), pa.ListArray.from_arrays(pa.array(found), struct), pa.array([left[a:b] for a, b in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return run
+    return tidy(run)
 
 
 def _splitters(spark: SparkSession, read: DataFrame, sampler, ranges: int, apart: int) -> list[bytes]:
