@@ -118,12 +118,46 @@ def violations(df: DataFrame, table: str, rules=None) -> DataFrame:
                      F.explode(failed).alias("rule"))
 
 
-def all_violations(tables: list[tuple[str, DataFrame]]) -> DataFrame:
-    """V3 by row: the violations of every (form, table)."""
-    return reduce(DataFrame.unionByName, [violations(df, name) for name, df in tables])
+def _rules_side_by_side(df: DataFrame, forms: dict[str, str]) -> list[tuple[Column, str]]:
+    """(condition that breaks it, "form:rule") for the struct columns ``forms`` of ``df``."""
+    rules = []
+    for column, form in forms.items():
+        fields = set(df.schema[column].dataType.names)
+        for code, field, lo, hi in RULES[form]:
+            if field in fields:
+                bound = f"{column}.{hi}" if isinstance(hi, str) else hi
+                rules.append((F.col(f"has_{column}") & _violated(f"{column}.{field}", lo, bound), f"{form}:{code}"))
+    return rules
 
 
-def domain_violations(tables: list[tuple[str, DataFrame]]) -> DataFrame:
-    """V3: violations counted per form and rule."""
-    return (all_violations(tables).groupBy("table_name", "rule")
-            .agg(F.count(F.lit(1)).alias("violations")))
+def _named(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(F.substring_index("failed", ":", 1).alias("table_name"), *more, F.substring_index("failed", ":", -1).alias("rule"))
+
+
+def violations_side_by_side(df: DataFrame, forms: dict[str, str]) -> DataFrame:
+    """``violations`` of several forms that are struct columns of one row
+    (column name -> form, where ``has_<column>`` holds): one scan, one
+    projection, one explode, whatever the number of forms."""
+    key = F.coalesce(*[F.col(f"{column}.{KEYS[form]}") for column, form in forms.items()])
+    return _named(df.select(key.cast("bigint").alias("row_key"), F.explode(codes_where(*_rules_side_by_side(df, forms))).alias("failed")), "row_key")
+
+
+def counts_side_by_side(df: DataFrame, forms: dict[str, str]) -> DataFrame:
+    """The same counted per form and rule: one count a rule in one aggregate
+    without keys, so a task ships one row and no violation becomes a row."""
+    rules = _rules_side_by_side(df, forms)
+    counted = df.agg(*[F.count(F.when(cond, 1)).alias(f"r{i}") for i, (cond, _) in enumerate(rules)])
+    each = F.explode(F.array(*[F.struct(F.lit(code).alias("failed"), F.col(f"r{i}").alias("n")) for i, (_, code) in enumerate(rules)])).alias("e")
+    return _named(counted.select(each).select("e.*"), "n").select("table_name", "rule", "n").where("n > 0")
+
+
+def all_violations(parts: list[DataFrame]) -> DataFrame:
+    """V3 by row, over all forms."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def domain_violations(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """V3: violations per form and rule, of counts and of violation rows."""
+    each = rows.select("table_name", "rule", F.lit(1).cast("bigint").alias("n"))
+    return (counts.unionByName(each).groupBy("table_name", "rule")
+            .agg(F.sum("n").alias("violations")))

@@ -16,7 +16,7 @@ from rightsize.operators import calibrate as K
 from rightsize.operators import fit
 from rightsize.operators import parallelism as L
 from rightsize.operators import selection as S
-from rightsize.sources.fixtures import fixture
+from rightsize.sources.fixtures import fixture, forms_of_orders
 from rightsize.operators import unique as U
 from rightsize.sources.sinks import plan_changes as changes_between
 from rightsize.sources.sinks import write_and_read_back, write_bucketed
@@ -282,21 +282,28 @@ def pick_shape(spark, sf_dir):
     return N.pick_shape(spark, fixture(spark, sf_dir, "node_workloads"), fixture(spark, sf_dir, "cluster_shapes"))
 
 
-def _forms(spark, sf_dir):
-    forms = [(t, fixture(spark, sf_dir, t)) for t in V.RULES]
-    return forms + [("cost_workloads", fixture(spark, sf_dir, "cost_forms")),
-                    ("workloads", fixture(spark, sf_dir, "wave_forms"))]
+# Struct columns beside each other, and the form whose ranges they are held against.
+ORDER_FORMS = {"workloads": "workloads", "cost_workloads": "cost_workloads", "profile_workloads": "profile_workloads",
+               "node_workloads": "node_workloads", "cost_forms": "cost_workloads", "wave_forms": "workloads"}
+
+
+def _order_forms(spark, sf_dir):
+    return forms_of_orders(spark, sf_dir, tuple(ORDER_FORMS))
+
+
+def _shape_violations(spark, sf_dir):
+    return V.violations(fixture(spark, sf_dir, "cluster_shapes"), "cluster_shapes")
 
 
 @job("domain_violations")
 def domain_violations(spark, sf_dir):
-    return V.domain_violations(_forms(spark, sf_dir))
+    return V.domain_violations(V.counts_side_by_side(_order_forms(spark, sf_dir), ORDER_FORMS), _shape_violations(spark, sf_dir))
 
 
 @job("violation_rows")
 def violation_rows(spark, sf_dir):
     """V3 by row: which row breaks which declared range."""
-    return V.all_violations(_forms(spark, sf_dir))
+    return V.all_violations([V.violations_side_by_side(_order_forms(spark, sf_dir), ORDER_FORMS), _shape_violations(spark, sf_dir)])
 
 
 # ---- cross-model (X), sources and sinks (S) --------------------------------

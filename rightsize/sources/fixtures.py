@@ -174,6 +174,20 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(FIXTURE_SQL[name], **tables)
 
 
+def forms_of_orders(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """The order-based fixture tables ``names`` side by side: one row an order,
+    one struct a table and beside it ``has_<name>`` (whether the table has a row
+    for the order), from one scan of the orders and one join."""
+    columns, sources = [], []
+    for name in names:
+        fields = FIXTURE_SQL[name].strip().rsplit("FROM", 1)[0]
+        has = "c_custkey IS NOT NULL" if "customer" in FIXTURE_TABLES[name] else "true"
+        columns.append(f"struct({name}.*) AS {name}, {has} AS has_{name}")
+        sources.append(f"LATERAL ({fields}) AS {name}")
+    tables = {t: read_table(spark, sf_dir, t) for t in ("orders", "customer")}
+    return spark.sql(f"SELECT {', '.join(columns)} FROM {{orders}} LEFT JOIN {{customer}} ON o_custkey = c_custkey, {', '.join(sources)}", **tables)
+
+
 def fixture_cte(name: str) -> str:
     """The same block for the DuckDB oracle (views carry the table names)."""
     return FIXTURE_SQL[name].format(**{t: t for t in FIXTURE_TABLES[name]}).strip()
