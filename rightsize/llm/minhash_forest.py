@@ -397,10 +397,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, trees: in
     while not open_.isEmpty():
         each = open_.select(F.col("la").alias("own"), "*").union(open_.select(F.col("lb").alias("own"), "*"))
         rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("agree"), "a", "b"))
-        ranked = each.withColumn("rank", rank).groupBy("a", "b", "agree", "la", "lb").agg(F.min("rank").alias("rank"))
-        ranked = tables.save(ranked, f"ranked-{turn}")
-        joined = confirmed(ranked.filter(F.col("rank") <= 16**turn), f"open-{turn}")
-        left = ranked.filter(F.col("rank") > 16**turn).drop("rank")
+        # the limit is taken on both sides of the exchange, so a component with very many pairs ships few
+        picked = each.withColumn("rank", rank).filter(F.col("rank") <= 16**turn).select("a", "b", *(F.lit(None).cast(t).alias(c) for c, t in (("agree", "int"), ("la", "long"), ("lb", "long"))), F.lit(1).alias("picked"))
+        marked = open_.withColumn("picked", F.lit(0)).union(picked).groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("agree", "la", "lb", "picked")))
+        marked = tables.save(marked, f"ranked-{turn}")
+        joined = confirmed(marked.filter("picked = 1"), f"open-{turn}")
+        left = marked.filter("picked = 0").drop("picked")
         if not joined.isEmpty():
             move = components(joined, tables, f"moved-{turn}")
             done = tables.save(moved(done, move), f"joined-{turn}")
