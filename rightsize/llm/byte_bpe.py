@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 1. Every text is cut into words by the tokenizer's pattern; the words' counts
-   over the whole corpus choose the ``table`` most frequent ones.
+   over the whole corpus choose the most frequent ones, ``table`` at most.
 2. Spark higher-order functions encode each of these distinct words once: an
    ``aggregate`` folds the ranked merges over the word's array of bytes (as hex
    strings, so that joining two pieces is ``concat``), looking pairs up in a
@@ -335,6 +335,22 @@ def _encode_partition(classes, ranks, pairs, table):
     return tidy(run)
 
 
+def most_frequent(counts: DataFrame, table: int) -> DataFrame:
+    """The words of ``counts(word, n)`` whose count is over the least level that
+    leaves at most ``table`` of them. Levels are counts to ten significant bits,
+    so a histogram of some thousand rows finds it and no task sorts the words."""
+    over = F.greatest(F.length(F.bin("n")) - 10, F.lit(0)).cast("int")
+    level = F.expr("shiftleft(shiftright(n, over), over)")
+    held = counts.withColumn("over", over).withColumn("level", level)
+    least, taken = 0, 0
+    for row in sorted(held.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        taken += row["count"]
+        if taken > table:
+            least = row["level"]
+            break
+    return held.filter(F.col("level") > least).select("word")
+
+
 def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:
     """doc_id, n_tokens, ids and ids_le (little-endian unsigned 32-bit) of every
     row of ``docs(doc_id, text)``, by the rank file at ``path``. At most
@@ -344,9 +360,11 @@ def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:
     classes = spark.sparkContext.broadcast(char_classes())
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = read.select("text").mapInArrow(_count_partition(classes), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(table).select("word")
+    tables = Tables(spark)
+    counts = tables.save(counts.filter(F.octet_length("word") <= LONGEST), "counts")
     # spread over tasks: the fold costs far more than the row
-    words = Tables(spark).save(top, "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = tables.save(most_frequent(counts, table), "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tables.drop("counts")
     # the driver keeps the text of every plan it ran, which would hold the rank map several times over
     limit = "spark.sql.maxPlanStringLength"
     before = spark.conf.get(limit)

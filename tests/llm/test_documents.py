@@ -265,3 +265,15 @@ def test_a_family_of_near_copies_makes_few_pairs(spark, monkeypatch, n):
     tested = sum(v for k, v in made.items() if k.startswith("best")) + made.get("ranked-0", 0)
     assert tested <= 3 * n and sum(v for k, v in made.items() if k.startswith("links")) <= 2 * n
     assert sum(v for k, v in made.items() if k.startswith("open")) <= n
+
+
+def test_most_frequent_words(spark):
+    rng = random.Random(8)
+    rows = [(f"w{i}".encode(), rng.choice([1, 1, 2, 3, 40, 5000, 5001, 10**12])) for i in range(400)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for table in (0, 1, 60, 150, 399, 400, 1000):
+        got = {bytes(r.word) for r in byte_bpe.most_frequent(counts, table).collect()}
+        least = min((n for w, n in rows if w in got), default=None)
+        assert len(got) <= table and (table < 400 or len(got) == 400)
+        assert least is None or {w for w, n in rows if n >= least + 8} <= got
+    assert byte_bpe.most_frequent(counts.limit(0), 5).collect() == []
