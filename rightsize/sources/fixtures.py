@@ -28,7 +28,7 @@ SELECT l_suppkey AS app_id, l_linenumber AS stage_id,
   CASE WHEN l_partkey % 33 = 0 THEN 1 ELSE 0 END AS attempt,
   CAST(CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 2 AND l_partkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS stage_attempt,
   l_partkey % 29 = 0 AS failed, l_partkey % 31 = 0 AS killed, l_partkey % 3 = 0 AS speculative,
-  l_orderkey * 1000000 + l_partkey AS task_id,
+  ((l_orderkey * 20000000 + CAST(floor(l_extendedprice * 100e0) AS BIGINT)) * 64 + CAST(floor(l_quantity) AS BIGINT)) * 64 + l_partkey % 64 AS task_id,
   CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 2 THEN l_orderkey % 64 ELSE l_orderkey END AS task_index,
   (9131 + l_suppkey % 1000) * 86400000 + l_linenumber * 100000 + l_orderkey % 100000 AS launch_ms
 FROM {lineitem}
