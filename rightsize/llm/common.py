@@ -54,11 +54,15 @@ class Tables:
             base = tempfile.mkdtemp(prefix="llm-tables-")
             spark.sparkContext.setCheckpointDir(base)
         self.base = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        self.saved = 0
 
     def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """``df`` written once, in a folder a value of ``by`` if given, and read back."""
         write = df.write.option("compression", "zstd")
         (write.partitionBy(by) if by else write).parquet(f"{self.base}/{name}")
+        self.saved += 1
+        if self.saved % 12 == 0:  # loops write many small tables, a query each
+            release(self.spark)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, name: str) -> None:
