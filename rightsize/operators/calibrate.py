@@ -8,8 +8,8 @@ median of the heaviest stage relative to it (k_comp), max/median on that stage
 Plan shape: one shuffle of tasks, keyed by (app_id, stage_id, task_index), which
 keeps each partition's last successful attempt; a hot stage spreads over its
 partitions. Its result, the rows that count, is stored once in the shared
-folder and read by the aggregates per stage (partial aggregates) and by the two
-passes of the median (``operators.selection``), none of which holds a stage's
+folder and read by the aggregates per stage (partial aggregates) and by the
+median's one exchange (``operators.selection``), none of which holds a stage's
 values in one task. Everything after it works on one row per stage or
 application. The baseline is a table of its own, matched by an as-of join.
 """
@@ -93,7 +93,7 @@ def stage_summary(task_metrics: DataFrame, exact: bool = True) -> DataFrame:
     keys = ["app_id", "stage_id"]
     held = last_attempts(task_metrics)
     if exact:
-        held = write_and_read_back(task_metrics.sparkSession, held, "last-attempts", None)
+        held = write_and_read_back(task_metrics.sparkSession, held.drop("task_index"), "last-attempts", None, "zstd")
     counted = F.col("good") > 0
     stages = (held.groupBy(*keys)
               .agg(F.max("stage_attempt").alias("stage_attempt"),
@@ -116,7 +116,7 @@ def baseline_medians(baseline_tasks: DataFrame) -> DataFrame:
     """K2: (app_id, run_ms, base_median_ms), the median task time of every
     plain read+write run: one row a run of ``baseline_tasks`` (app_id, run_ms,
     duration_ms)."""
-    held = write_and_read_back(baseline_tasks.sparkSession, baseline_tasks.select("app_id", "run_ms", "duration_ms"), "baseline", None)
+    held = write_and_read_back(baseline_tasks.sparkSession, baseline_tasks.select("app_id", "run_ms", "duration_ms"), "baseline", None, "zstd")
     return exact_median(held, ["app_id", "run_ms"], "duration_ms", "base_median_ms").withColumnRenamed("run_ms", "baseline_run_ms")
 
 

@@ -1,12 +1,13 @@
 """Tasks that ran at once: a sweep over launch and finish events.
 
 An attempt occupies a slot from its launch up to, not including, its finish.
-Events are the changes of the running count, summed per (application, instant)
-map-side. The prefix sum over an application's instants is split by time
-ranges: a range's own running sum starts from what the ranges before it add up
-to, so an application with a third of all tasks is dealt over its ranges and
-no task holds more than one range's instants; only one row per range meets in
-the window that carries the sums over.
+Events are the changes of the running count. One exchange deals them by
+(application, time range); there they are summed per instant. The prefix sum
+over an application's instants is split by these ranges: a range's own running
+sum starts from what the ranges before it add up to, so an application with a
+third of all tasks is dealt over its ranges and no task holds more than one
+range's instants; only one row per range meets in the window that carries the
+sums over.
 """
 
 from __future__ import annotations
@@ -21,21 +22,24 @@ def running_counts(tasks: DataFrame, range_ms: int) -> DataFrame:
     """(app_id, at_ms, until_ms, running): steps of the number of running
     attempts, one per instant at which it may change."""
     spans = tasks.where("launch_ms IS NOT NULL AND duration_ms > 0")
+    kind = dict(tasks.dtypes)["app_id"]
     event = F.explode(F.array(F.struct(F.col("launch_ms").alias("at_ms"), F.lit(1).cast("bigint").alias("step")),
                               F.struct((F.col("launch_ms") + F.col("duration_ms")).alias("at_ms"), F.lit(-1).cast("bigint").alias("step"))))
-    steps = (spans.select("app_id", event.alias("e")).groupBy("app_id", "e.at_ms")
-             .agg(F.sum("e.step").alias("step"))
-             .withColumn("part", F.expr(f"floor(at_ms / {range_ms})").cast("bigint")))
-    inside = Window.partitionBy("app_id", "part").orderBy("at_ms")
+    # a null application is one too: null-free keys keep the dealing through the join below
+    app, none, part = F.coalesce("app_id", F.lit("0").cast(kind)), F.col("app_id").isNull(), F.expr(f"coalesce(CAST(floor(at_ms / {range_ms}) AS BIGINT), 0L)")
+    events = spans.select(app.alias("app"), none.alias("no_app"), event.alias("e")).select("app", "no_app", "e.at_ms", "e.step")
+    of = ["app", "no_app", "part"]
+    steps = (events.repartition("app", "no_app", part).withColumn("part", part)
+             .groupBy(*of, "at_ms").agg(F.sum("step").alias("step")))
+    inside = Window.partitionBy(*of).orderBy("at_ms")
     local = (steps.withColumn("own", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-             .withColumn("next_ms", F.lead("at_ms").over(inside)))
-    over = Window.partitionBy("app_id").orderBy("part")
-    ranges = (steps.groupBy("app_id", "part").agg(F.sum("step").alias("sum"), F.min("at_ms").alias("first_ms"))
-              .select("app_id", "part", (F.sum("sum").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum")).alias("before"),
+             .withColumn("next_ms", F.lead("at_ms").over(inside)).drop("step"))
+    over = Window.partitionBy("app", "no_app").orderBy("part")
+    ranges = (steps.groupBy(*of).agg(F.sum("step").alias("sum"), F.min("at_ms").alias("first_ms"))
+              .select(*of, (F.sum("sum").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum")).alias("before"),
                       F.lead("first_ms").over(over).alias("following_ms")))
-    joined = local.alias("l").join(ranges.alias("r"), F.col("l.app_id").eqNullSafe(F.col("r.app_id")) & (F.col("l.part") == F.col("r.part")))
-    return joined.select("l.app_id", "at_ms", F.coalesce("next_ms", "following_ms").alias("until_ms"),
-                         (F.col("own") + F.col("before")).alias("running"))
+    return local.join(ranges, of).select(F.when(~F.col("no_app"), F.col("app")).alias("app_id"), "at_ms", F.coalesce("next_ms", "following_ms").alias("until_ms"),
+                                         (F.col("own") + F.col("before")).alias("running"))
 
 
 def parallelism(tasks: DataFrame, range_ms: int = 600_000) -> DataFrame:

@@ -1,15 +1,18 @@
 """Exact medians by distributed selection, and mergeable sketches beside them.
 
-``exact_median`` holds no group's values anywhere. Two passes over the rows:
+``exact_median`` holds no group's values anywhere. One exchange deals the values
+over tasks by (keys, value div ``width``, lane of the value), and two passes read it:
 
-1. a histogram of (keys, value div ``width``), combined map-side; a running
-   count over a group's buckets tells which bucket holds the middle ranks;
+1. a histogram of (keys, value div ``width``, lane); a running count over a
+   group's buckets tells which bucket holds the middle ranks, and in which lanes;
 2. the values of that bucket alone (two buckets where the middle ranks fall
-   into neighbours), counted by value, at most ``width`` of them.
+   into neighbours), counted by value, at most ``width`` of them. The chosen
+   buckets go to the lanes that hold values of theirs, the values stay where
+   they are.
 
-So a group with a third of all rows is work of every mapper in both passes and
-its second exchange is dealt by value; what one task sees of it is a row per
-bucket, then a row per distinct value of the chosen bucket.
+So a group with a third of all rows is work of every mapper and of as many tasks
+as it has buckets and lanes; what one task sees of it besides is a row per
+bucket and lane, then a row per distinct value of the chosen bucket.
 
 ``duration_sketches`` are KLL sketches a day, to be stored; ``merge_sketches``
 adds days (or anything else) up without the tasks.
@@ -44,44 +47,90 @@ def _bucket(value: str, width: int) -> Column:
     return F.expr(f"(`{value}` - pmod(`{value}`, {width})) div {width}")
 
 
+def _group(keys: list[str]) -> list[str]:
+    return [*keys, "null_keys"]
+
+
+def _stand_in(kind: str) -> Column:
+    return F.lit("1970-01-01" if kind.startswith(("date", "timestamp")) else "0").cast(kind)
+
+
+def dealt(rows: DataFrame, keys: list[str], value: str, width: int, lanes: int) -> DataFrame:
+    """(keys, null_keys, value, bucket, lane): the values dealt over tasks by all
+    columns but the value. Keys are null-free, ``null_keys`` has a bit for each
+    that was NULL; so a null key is a group too and plain equi joins need no
+    other dealing. Whatever groups or joins by these columns adds no exchange,
+    and every reader of it shares the one."""
+    kinds = dict(rows.dtypes)
+    marks = reduce(Column.__add__, [F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)])
+    plain = (rows.where(F.col(value).isNotNull())
+             .select(*[F.coalesce(F.col(k), _stand_in(kinds[k])).alias(k) for k in keys], marks.alias("null_keys"), value))
+    zero = F.lit(0)
+    bucket, lane = F.coalesce(_bucket(value, width), zero.cast("bigint")), F.coalesce(F.pmod(F.col(value), F.lit(lanes)).cast("int"), zero)
+    return plain.repartition(*_group(keys), bucket, lane).withColumns({"bucket": bucket, "lane": lane})
+
+
+def _with_nulls(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys as they were before ``dealt``."""
+    own = [F.when(F.col("null_keys").bitwiseAND(1 << i) == 0, F.col(k)).alias(k) for i, k in enumerate(keys)]
+    return df.select(*own, *[c for c in df.columns if c not in _group(keys)])
+
+
+def _middle(held: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, null_keys, bucket, lane, before, low, high): the lanes that hold values of the middle buckets of ``dealt`` rows."""
+    group = _group(keys)
+    counted = held.groupBy(*group, "bucket", "lane").agg(F.count(F.lit(1)).alias("n")).repartition(*group)
+    over = Window.partitionBy(*group)
+    by_bucket, first = over.orderBy("bucket"), Window.unboundedPreceding
+    placed = (counted.withColumn("before", F.coalesce(F.sum("n").over(by_bucket.rangeBetween(first, -1)), F.lit(0)))
+              .withColumn("upto", F.sum("n").over(by_bucket.rangeBetween(first, Window.currentRow)))
+              .withColumn("total", F.sum("n").over(over))
+              .withColumn("low", F.expr("(total - 1) div 2")).withColumn("high", F.expr("total div 2")))
+    return (placed.where("before <= high AND upto > low")
+            .select(*group, "bucket", "lane", "before", "low", "high"))
+
+
+LANES = 16
+
+
 def middle_buckets(rows: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
     """(keys, bucket, before, low, high): the buckets that hold a group's middle
     ``low`` and ``high`` ranks (from 0), and how many values lie before each."""
-    counted = rows.groupBy(*keys, _bucket(value, width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*keys)
-    placed = (counted.withColumn("before", F.sum("n").over(group.orderBy("bucket")) - F.col("n"))
-              .withColumn("total", F.sum("n").over(group))
-              .withColumn("low", F.expr("(total - 1) div 2")).withColumn("high", F.expr("total div 2")))
-    return (placed.where("before <= high AND before + n > low")
-            .select(*keys, "bucket", "before", "low", "high"))
+    return _with_nulls(_middle(dealt(rows, keys, value, width, LANES), keys).drop("lane").distinct(), keys)
+
+
+def _middle_values(rows: DataFrame, keys: list[str], value: str, width: int, lanes: int) -> DataFrame:
+    held = dealt(rows, keys, value, width, lanes)
+    at = [*_group(keys), "bucket", "lane"]
+    # hashed: two rows a group and lane at most, and the values need no sort
+    return (held.join(_middle(held, keys).hint("shuffle_hash"), at)
+            .groupBy(*at, "before", "low", "high", F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def middle_values(rows: DataFrame, keys: list[str], value: str, width: int, lanes: int = 16) -> DataFrame:
-    """(keys, bucket, before, low, high, value, n): the distinct values of the
-    middle buckets. The join is dealt by the value's lane besides the key, so
+def middle_values(rows: DataFrame, keys: list[str], value: str, width: int, lanes: int = LANES) -> DataFrame:
+    """(keys, bucket, lane, before, low, high, value, n): the distinct values of
+    the middle buckets. The join is dealt by the value's lane besides the key, so
     that a frequent group's bucket meets in ``lanes`` tasks; the grouping by
     value needs no exchange after it."""
-    held = rows.withColumn("bucket", _bucket(value, width)).withColumn("lane", F.pmod(F.col(value), F.lit(lanes)).cast("int"))
-    chosen = middle_buckets(rows, keys, value, width).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return (same_keys(held, chosen, [*keys, "bucket", "lane"], "inner")
-            .groupBy(*keys, "bucket", "lane", "before", "low", "high", F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    return _with_nulls(_middle_values(rows, keys, value, width, lanes), keys)
 
 
 def exact_median(rows: DataFrame, keys: list[str], value: str, name: str, width: int = 4096) -> DataFrame:
     """(keys, ``name``): the median of the whole-number column ``value`` by
     group, the mean of the middle two for an even count. NULLs do not count; a
-    group of NULLs has no row. ``rows`` is read twice: pass a stored table."""
-    rows = rows.select(*keys, value).where(F.col(value).isNotNull())
-    counts = middle_values(rows, keys, value, width)
+    group of NULLs has no row. Keys are numbers, text, dates or times."""
+    # what is left of a group, twice ``width`` rows at most, meets once
+    group = _group(keys)
+    counts = _middle_values(rows.select(*keys, value), keys, value, width, LANES).repartition(*group)
     # cumulative counts within one bucket: a window of at most ``width`` rows
-    at = F.sum("n").over(Window.partitionBy(*keys, "bucket").orderBy("value")) + F.col("before")
+    at = F.sum("n").over(Window.partitionBy(*group, "bucket").orderBy("value")) + F.col("before")
     placed = counts.withColumn("upto", at).withColumn("from", F.col("upto") - F.col("n"))
 
     def of_rank(rank: str) -> Column:
         return F.min(F.when((F.col("from") <= F.col(rank)) & (F.col("upto") > F.col(rank)), F.col("value")))
 
-    return (placed.groupBy(*keys).agg(of_rank("low").alias("a"), of_rank("high").alias("b"))
-            .select(*keys, ((F.col("a") + F.col("b")) / F.lit(2.0)).alias(name)))
+    medians = placed.groupBy(*group).agg(of_rank("low").alias("low_value"), of_rank("high").alias("high_value"))
+    return _with_nulls(medians.select(*group, ((F.col("low_value") + F.col("high_value")) / F.lit(2.0)).alias(name)), keys)
 
 
 # ---- sketches ----------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,35 +12,40 @@ from pyspark.sql import functions as F
 from rightsize.session import scratch_path
 
 
-def write_plans(df: DataFrame, path: str, partition_by: str | None = "team") -> str:
+def write_plans(df: DataFrame, path: str, partition_by: str | None = "team", compression: str | None = None) -> str:
     """One parallel write; each task writes its own files (no coalesce to one)."""
     w = df.write.mode("overwrite")
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
     return path
 
 
-def write_and_read_back(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = "team") -> DataFrame:
+def write_and_read_back(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = "team",
+                        compression: str | None = None) -> DataFrame:
     """Write under the shared checkpoint folder and return the written table.
 
     Reading the files back also cuts the lineage: later jobs start from the
     written table, not from a recomputation.
     """
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    write_plans(df, path, partition_by)
+    write_plans(df, path, partition_by, compression)
     return spark.read.parquet(path)
 
 
 # ---- plan tables that later runs are joined with ------------------------------
 
-def write_bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, buckets: int) -> str:
-    """``df`` as a table of ``buckets`` files, hashed by ``key`` and sorted by
+def write_bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, buckets: int,
+                   then: Callable[[DataFrame], DataFrame] = lambda df: df) -> str:
+    """``then(df)`` as a table of ``buckets`` files, hashed by ``key`` and sorted by
     it within each; an external table below the shared folder. Returns its name
     in the catalog. Rows are dealt to their bucket first, so a bucket is one
-    file and its order holds for whoever reads it."""
+    file and its order holds for whoever reads it. ``then`` works row by row and
+    keeps the key: the narrow rows meet the exchange, not what is made of them."""
     table = f"{name}_{uuid.uuid4().hex}"
-    (df.repartition(buckets, key).sortWithinPartitions(key).write.bucketBy(buckets, key).sortBy(key)
+    (then(df.repartition(buckets, key)).sortWithinPartitions(key).write.bucketBy(buckets, key).sortBy(key)
      .option("path", scratch_path(spark, table)).saveAsTable(table))
     return table
 

@@ -1,6 +1,7 @@
 """Telemetry jobs against brute force: selection, sketches, as-of join, sweep line, re-run stages."""
 
 import random
+import re
 from collections import defaultdict
 from statistics import median
 
@@ -47,6 +48,44 @@ def test_a_hot_stage_is_work_of_several_tasks(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
 
 
+def exchanges(p: str) -> tuple[int, int]:
+    """Exchanges that move rows, and those read a second time."""
+    reused = p.count("ReusedExchange")
+    return len(re.findall(r"\bExchange hashpartitioning", p)) - reused, reused
+
+
+def planned(df) -> str:
+    """The plan with its exchanges merged, as it runs without adaptive changes."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+
+
+def test_the_median_moves_a_value_once(spark):
+    rows = spark.range(1000).selectExpr("id % 7 AS app_id", "id % 3 AS stage_id", "id AS duration_ms")
+    p = planned(S.exact_median(rows, ["app_id", "stage_id"], "duration_ms", "m"))
+    # the values, their histogram, the middle buckets, what is left of a group; no sort of the values for the join
+    assert exchanges(p) == (4, 1)
+    assert "SortMergeJoin" not in p and "ShuffledHashJoin" in p
+
+
+def test_medians_of_null_and_text_keys(spark):
+    rows = [(a, d, v) for a, d in (("0", 0), (None, 0), ("0", None), (None, None), ("b", 1)) for v in (len(str(a)), 9, 90 + len(str(d)), None)]
+    df = spark.createDataFrame(rows, "a string, d int, v bigint")
+    got = {(r.a, r.d): r.m for r in S.exact_median(df, ["a", "d"], "v", "m").collect()}
+    assert got == {(a, d): 9.0 for a, d, _ in rows}
+    dates = df.selectExpr("date_add(DATE'1970-01-01', d) AS day", "v")
+    assert {str(r.day) for r in S.exact_median(dates, ["day"], "v", "m").collect()} == {"1970-01-01", "1970-01-02", "None"}
+    values = S.middle_values(df, ["a", "d"], "v", 4096)
+    assert {(r.a, r.d, r.value, r.n) for r in values.collect()} == {(*r, 1) for r in rows if r[2] is not None}
+    assert {(r.a, r.d, r.bucket, r.before, r.low, r.high) for r in S.middle_buckets(df, ["a", "d"], "v", 4096).collect()} == {(a, d, 0, 0, 1, 1) for a, d, _ in rows}
+
+
 @pytest.mark.parametrize("name", ["stage_summary", "calibrate", "backtest"])
 def test_no_median_aggregate_in_the_plan(spark, name):
     p = JOBS[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
@@ -89,6 +128,20 @@ def test_sweep_line_against_brute_force(spark):
         assert got == want
 
 
+def test_the_sweep_moves_an_event_once(spark):
+    tasks = spark.range(1000).selectExpr("id % 7 AS app_id", "id * 50 AS launch_ms", "id % 9 * 100 AS duration_ms")
+    p = planned(running_counts(tasks, 10_000))
+    # the events, an application's ranges, the sums before a range
+    assert exchanges(p) == (3, 1)
+
+
+def test_attempts_without_an_application_are_one(spark):
+    rows = [(a, s, 10) for a in (None, "0", "x") for s in (0, 5, 1000, 1000)]
+    for range_ms in (600_000, 100, 7):
+        got = parallelism(spark.createDataFrame(rows, "app_id string, launch_ms bigint, duration_ms bigint"), range_ms).collect()
+        assert sorted((str(r.app_id), r.peak_tasks, r.busy_ms, r.task_ms) for r in got) == [(a, 2, 25, 40) for a in ("0", "None", "x")]
+
+
 def test_a_hot_application_is_dealt_over_its_time_ranges(spark):
     hot = spark.range(100_000).selectExpr("1 AS app_id", "id * 37 AS launch_ms", "CAST(5000 AS BIGINT) AS duration_ms")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
