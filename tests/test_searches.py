@@ -153,3 +153,19 @@ def test_plan_tables_are_joined_without_an_exchange(spark):
     got = {r.workload_id: (r.change, r.old_executors, r.new_executors) for r in out.collect()}
     want = {i: ("removed", i % 5, None) for i in range(10)} | {i: ("changed", i % 5, 99) for i in range(50, 300, 50)} | {1000: ("added", None, 1)}
     assert got == want
+
+
+def test_plan_tables_get_narrow_rows_and_buckets_as_an_exchange_has_parts(spark, monkeypatch):
+    df = spark.range(500).selectExpr("id * 7 % 500 AS workload_id")
+    table = sinks.write_bucketed(spark, df, "plans", "workload_id", 4, then=lambda d: d.withColumn("wide", F.expr("repeat('x', 100)")))
+    assert sorted(r.workload_id for r in spark.table(table).where("wide = repeat('x', 100)").collect()) == list(range(500))
+    files = spark.table(table).groupBy(F.input_file_name().alias("f")).agg(F.collect_list("workload_id").alias("ids")).collect()
+    assert len(files) == 4 and all(r.ids == sorted(r.ids) for r in files)
+    seen = []
+    monkeypatch.setattr("rightsize.plans.jobs.write_bucketed", lambda spark, df, name, key, buckets, then: seen.append((df.columns, buckets)) or sinks.write_bucketed(spark, df, name, key, buckets, then))
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert JOBS["plan_changes"](spark, SF_SMALL).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert [b for _, b in seen] == [24, 24] and not any("spark_submit" in c for c, _ in seen)
