@@ -365,6 +365,7 @@ def encode(docs: DataFrame, path: str, table: int = 1 << 16) -> DataFrame:
     # spread over tasks: the fold costs far more than the row
     words = tables.save(most_frequent(counts, table), "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     tables.drop("counts")
+    release(spark)  # what follows is the largest plan of all
     # the driver keeps the text of every plan it ran, which would hold the rank map several times over
     limit = "spark.sql.maxPlanStringLength"
     before = spark.conf.get(limit)

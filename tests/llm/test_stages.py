@@ -1,10 +1,12 @@
 """Pipeline stages on nulls, repeated rows, empty tables and clashing column names."""
 
+import platform
+
 import pytest
 
 import brute
 import corpus_pipeline as P
-from rightsize.llm import exact_dedup, language_id, minhash_forest, mixing
+from rightsize.llm import common, exact_dedup, language_id, minhash_forest, mixing
 
 SCHEMA = ("doc_id long, text string, lang string, source string, key long, row string, n long, turn long, copies long, kept boolean,"
           " text_sha256 string, __key long, __n long, __kept boolean, __copies long, __copy long, score double, lang_pred string, component long")
@@ -77,3 +79,14 @@ def test_stages_of_the_pipeline_in_order(spark, odd):
         assert now.dtypes == odd.dtypes and now.count()
     last = P.STAGES[-1][1](spark, now, "").collect()
     assert sorted(r.decoded_sha256 for r in last) == sorted(brute.sha(r.text) for r in now.collect())
+
+
+def test_the_driver_gives_memory_back_every_few_tables(spark, monkeypatch):
+    said, trim = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda s: said.append(trim(s)))
+    tables = common.Tables(spark)
+    for i in range(6):
+        assert tables.save(spark.range(i), f"t{i}").count() == i
+    assert len(said) == 1
+    if platform.libc_ver()[0] == "glibc":
+        assert "Trim native heap" in said[0]
